@@ -42,10 +42,28 @@ def top_gap(cells: Column, field: str, on_single: str = "error") -> Column:
     raise ValueError(f"unknown on_single: {on_single}")
 
 
+def let(bindings: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate a struct of values once per row and hand it to ``fn``.
+
+    A plain intermediate column used inside a lambda would be inlined there by the optimizer
+    and evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(bindings), fn), F.lit(0))
+
+
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def add_field_with(
+    df: DataFrame, name: str, bindings: dict[str, Column], fn: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """Add a field that needs per-query values; ``fn`` gets the cell and the bound values."""
+    bound = F.struct(F.col("cells").alias("cells"), *[v.alias(k) for k, v in bindings.items()])
+    fill = lambda s: F.transform(s["cells"], lambda c: c.withField(name, fn(c, s)))
+    return df.withColumn("cells", let(bound, fill))
+
+
 def add_field(df: DataFrame, name: str, fn: Callable[[Column], Column], cells: str = "cells") -> DataFrame:
     """Add or replace one field of every cell."""
     return df.withColumn(cells, F.transform(cells, lambda c: c.withField(name, fn(c))))
@@ -64,8 +82,12 @@ def rename_field(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def to_long(df: DataFrame, *fields: str, keep: Sequence[str] = ("id",)) -> DataFrame:
-    """One row per cell: the key columns, ``model`` and the chosen fields."""
-    exploded = df.select(*keep, F.explode("cells").alias("cell"))
+    """One row per cell: the key columns, ``model`` and the chosen fields.
+
+    The outer explode keeps the optimizer from evaluating the cells a second time in a
+    "not empty" filter; the null row of an empty array is dropped after it.
+    """
+    exploded = df.select(*keep, F.explode_outer("cells").alias("cell")).where(F.col("cell").isNotNull())
     return exploded.select(*keep, F.col("cell.model").alias("model"), *[F.col(f"cell.{f}").alias(f) for f in fields])
 
 

@@ -107,10 +107,15 @@ def summary_by_model(rows: DataFrame, models: Sequence[str]) -> DataFrame:
     """
     names = rows.sparkSession.createDataFrame([(m,) for m in models], "model STRING")
     parts = rows.select(
-        F.explode(
+        F.explode_outer(
             F.array(
                 F.struct(F.col("selected").alias("model"), F.lit(1).alias("s"), F.lit(0).alias("o"), F.col("regret")),
-                F.struct(F.col("oracle").alias("model"), F.lit(0), F.lit(1), F.lit(None).cast("double")),
+                F.struct(
+                    F.col("oracle").alias("model"),
+                    F.lit(0).alias("s"),
+                    F.lit(1).alias("o"),
+                    F.lit(None).cast("double").alias("regret"),
+                ),
             )
         ).alias("e")
     ).select("e.*")
@@ -126,8 +131,9 @@ def summary_by_model(rows: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def quantile_table(rows: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUANTILES) -> DataFrame:
-    """Long table ``column, q, value`` of exact interpolated quantiles."""
-    out = [(c, float(q), float(v)) for c in columns for q, v in zip(probabilities, exact_quantiles(rows, c, probabilities))]
+    """Long table ``metric, q, value`` of exact interpolated quantiles."""
+    found = exact_quantiles(rows, columns, probabilities)
+    out = [(c, float(q), float(v)) for c in columns for q, v in zip(probabilities, found[c])]
     return rows.sparkSession.createDataFrame(out, "metric STRING, q DOUBLE, value DOUBLE")
 
 
@@ -197,7 +203,8 @@ def _pairs(cells: Column, fields: Sequence[str]) -> Column:
 
 def model_pairs(panel: DataFrame, *fields: str, keep: Sequence[str] = ("id",)) -> DataFrame:
     """One row per query and pair of its models, made inside the row without a self-join."""
-    exploded = panel.select(*keep, F.explode(_pairs(F.col("cells"), fields)).alias("p"))
+    exploded = panel.select(*keep, F.explode_outer(_pairs(F.col("cells"), fields)).alias("p"))
+    exploded = exploded.where(F.col("p").isNotNull())
     return exploded.select(
         *keep,
         F.col("p.i.model").alias("model_i"),
@@ -257,12 +264,16 @@ def soft_oracle_loss(labels: DataFrame) -> DataFrame:
     ``labels`` has ``cells<model, logit, target>`` and ``row_weight``; a target of zero adds nothing.
     """
     logits = C.values(F.col("cells"), "logit")
-    rows = labels.withColumn("_top", F.array_max(logits))
-    rows = rows.withColumn("_lse", F.col("_top") + F.ln(C.total(F.transform(logits, lambda x: F.exp(x - F.col("_top"))))))
-    term = lambda c: F.when(
-        c["target"] > 0, c["target"] * (F.ln(c["target"]) - (c["logit"] - F.col("_lse")))
+    shifted = lambda s: C.total(F.transform(s["x"], lambda x: F.exp(x - s["top"])))
+    lse = C.let(F.struct(logits.alias("x"), F.array_max(logits).alias("top")), lambda s: s["top"] + F.ln(shifted(s)))
+    term = lambda c, s: F.when(
+        c["target"] > 0, c["target"] * (F.ln(c["target"]) - (c["logit"] - s["lse"]))
     ).otherwise(0.0)
-    rows = rows.select("row_weight", C.total(F.transform("cells", term)).alias("kl"))
+    divergence = C.let(
+        F.struct(F.col("cells").alias("cells"), lse.alias("lse")),
+        lambda s: C.total(F.transform(s["cells"], lambda c: term(c, s))),
+    )
+    rows = labels.select("row_weight", divergence.alias("kl"))
     total = F.sum(F.col("kl") * F.col("row_weight"))
     return rows.agg((total / F.greatest(F.sum("row_weight"), F.lit(1e-6))).alias("kl_loss"))
 

@@ -17,7 +17,7 @@ FLAT = 1e-12
 
 
 def _scaled(panel: DataFrame, floor: float) -> DataFrame:
-    scale = exact_quantiles(panel, "_spread", [SCALE_QUANTILE])[0]
+    scale = exact_quantiles(panel, ["_spread"], [SCALE_QUANTILE])["_spread"][0]
     if scale <= FLAT:
         return panel.withColumn("row_weight", F.lit(1.0)).drop("_spread")
     share = clip(F.col("_spread") / F.lit(scale), 0.0, 1.0)

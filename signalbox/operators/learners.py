@@ -193,8 +193,8 @@ def _boosted_probabilities(data: DataFrame, queries: DataFrame, models: Sequence
         out = fitted.transform(out)
     share = lambda i: F.get(vector_to_array(F.col(f"_p{i}")), F.lit(1)) if i in present else F.lit(0.0)
     scored = out.select("id", _cells(models, share).alias("cells"))
-    scored = scored.withColumn("_t", C.total(C.values(F.col("cells"), "score")))
-    return C.add_field(scored, "score", lambda c: c["score"] / F.col("_t")).drop("_t")
+    total = C.total(C.values(F.col("cells"), "score"))
+    return C.add_field_with(scored, "score", {"total": total}, lambda c, s: c["score"] / s["total"])
 
 
 def boosted_classifier_scores(
@@ -235,7 +235,7 @@ def soft_oracle_scores(
     """
     labels = soft_oracle_labels(panel, temperature).select("id", "cells", "row_weight")
     joined = rows.select("id", "features").join(labels, "id")
-    exploded = joined.select("features", "row_weight", F.explode("cells").alias("cell"))
+    exploded = joined.select("features", "row_weight", F.explode_outer("cells").alias("cell"))
     data = exploded.select(
         "features",
         _label_index(models, F.col("cell.model")).alias("label"),
@@ -264,7 +264,7 @@ def head_cells(
             F.struct(F.lit(1.0).alias("label"), p.alias("weight")),
             F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - p).alias("weight")),
         )
-        data = rows.select("features", F.explode(both).alias("e")).select("features", "e.*").where("weight > 0")
+        data = rows.select("features", F.explode_outer(both).alias("e")).select("features", "e.*").where("weight > 0")
         seen = data.agg(F.min("label"), F.max("label")).first()
         if seen[0] == seen[1]:
             return np.zeros(size), 30.0 if seen[0] == 1.0 else -30.0

@@ -18,18 +18,21 @@ def row_softmax(panel: DataFrame, field: str, temperature: float, out: str = "pr
         temperature = max(temperature, floor)
     if temperature <= 0:
         raise ValueError("temperature must be greater than zero")
-    df = panel.withColumn("_top", F.array_max(C.values(F.col("cells"), field)))
-    df = C.add_field(df, out, lambda c: F.exp((c[field] - F.col("_top")) / F.lit(float(temperature))))
-    df = df.withColumn("_sum", C.total(C.values(F.col("cells"), out)))
-    return C.add_field(df, out, lambda c: c[out] / F.col("_sum")).drop("_top", "_sum")
+    top = F.array_max(C.values(F.col("cells"), field))
+    scaled = lambda c, s: F.exp((c[field] - s["top"]) / F.lit(float(temperature)))
+    df = C.add_field_with(panel, out, {"top": top}, scaled)
+    total = C.total(C.values(F.col("cells"), out))
+    return C.add_field_with(df, out, {"total": total}, lambda c, s: c[out] / s["total"])
 
 
 def row_minmax(panel: DataFrame, field: str = "score", out: str = "score", tiny: float = 1e-8) -> DataFrame:
     """Min-max over a query's cells; a flat row keeps a denominator of 1."""
     values = C.values(F.col("cells"), field)
-    df = panel.withColumn("_low", F.array_min(values)).withColumn("_span", F.array_max(values) - F.col("_low"))
-    df = df.withColumn("_span", F.when(F.col("_span") > tiny, F.col("_span")).otherwise(1.0))
-    return C.add_field(df, out, lambda c: (c[field] - F.col("_low")) / F.col("_span")).drop("_low", "_span")
+    low, high = F.array_min(values), F.array_max(values)
+    span = lambda s: F.when(s["high"] - s["low"] > tiny, s["high"] - s["low"]).otherwise(1.0)
+    return C.add_field_with(
+        panel, out, {"low": low, "high": high}, lambda c, s: (c[field] - s["low"]) / span(s)
+    )
 
 
 def model_minmax(

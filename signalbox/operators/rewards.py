@@ -54,8 +54,8 @@ def normalize_cost(panel: DataFrame, method: str = "global-max", guard: str = "o
         return C.add_field(panel, "norm_cost", lambda c: c["cost"])
     if method == "row-max":
         highest = F.array_max(C.values(F.col("cells"), "cost"))
-        out = panel.withColumn("_d", F.when(highest == 0, 1.0).otherwise(highest))
-        return C.add_field(out, "norm_cost", lambda c: c["cost"] / F.col("_d")).drop("_d")
+        share = lambda c, s: c["cost"] / F.when(s["highest"] == 0, 1.0).otherwise(s["highest"])
+        return C.add_field_with(panel, "norm_cost", {"highest": highest}, share)
     if method in GLOBAL_METHODS:
         out = panel.withColumn("_d", denominator(fit, method, guard))
         return C.add_field(out, "norm_cost", lambda c: c["cost"] / F.col("_d")).drop("_d")

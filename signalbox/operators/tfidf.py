@@ -70,11 +70,12 @@ def with_terms(docs: DataFrame, spec: TfidfSpec, text: str = "query") -> DataFra
 def term_statistics(docs: DataFrame, spec: TfidfSpec, text: str = "query") -> DataFrame:
     """``term, tf, df`` over all documents, in one shuffle of pre-aggregated counts.
 
-    A document contributes each of its terms as one occurrence row, plus one marked row per
+    The outer explode keeps the text from being cut into terms a second time by an inferred
+    filter.  A document contributes each of its terms as one occurrence row, plus one marked row per
     distinct term; a term every document holds is summed on the map side first.
     """
     tagged = with_terms(docs, spec, text).select(
-        F.explode(
+        F.explode_outer(
             F.concat(
                 F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))),
                 F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))),
@@ -82,7 +83,8 @@ def term_statistics(docs: DataFrame, spec: TfidfSpec, text: str = "query") -> Da
         ).alias("e")
     )
     return (
-        tagged.groupBy(F.col("e.term").alias("term"))
+        tagged.where(F.col("e").isNotNull())
+        .groupBy(F.col("e.term").alias("term"))
         .agg(F.sum(1 - F.col("e.d")).alias("tf"), F.sum(F.col("e.d")).alias("df"))
     )
 

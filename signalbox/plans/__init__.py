@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from signalbox.plans import scoring  # noqa: F401
+    from signalbox.plans import evaluation, scoring  # noqa: F401

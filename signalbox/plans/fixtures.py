@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.functions import cells as C
+from signalbox.session import spread
 from signalbox.sources.tables import wide_to_panel
 
 MODELS = [f"Model_{c}" for c in "ABCDEFGHIJK"]
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for text work, spread over the cores when the file has too few splits."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _mix(m: int, key: tuple[int, int, int, int]) -> Column:
     a, b, c, p = key
     return ((F.col("doc_id") * a + F.col("n_chars") * b + m * m * c) % p).cast("double")
@@ -92,23 +98,44 @@ OPENINGS = [
 ]
 
 
+def _prompted_text() -> Column:
+    opening = F.get(F.lit(OPENINGS), (F.col("doc_id") % len(OPENINGS)).cast("int"))
+    family = F.concat(F.lit(" ARC-AGI Task "), F.lower(F.hex("doc_id")), F.lit("\n"))
+    return F.when(F.col("doc_id") % 23 == 5, family).otherwise(F.concat(opening, F.col("text")))
+
+
 def prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document texts behind an opening chosen by id; an id-only family query every 23 ids."""
-    docs = table(spark, sf_dir, "documents")
-    opening = F.get(F.lit(OPENINGS), (F.col("doc_id") % len(OPENINGS)).cast("int"))
-    text = F.when(
-        F.col("doc_id") % 23 == 5, F.concat(F.lit(" ARC-AGI Task "), F.lower(F.hex("doc_id")), F.lit("\n"))
-    ).otherwise(F.concat(opening, F.col("text")))
-    return docs.select(F.col("doc_id").alias("id"), text.alias("query"))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), _prompted_text().alias("query"))
 
 
 def prompted_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = panel(spark, sf_dir).select("id", "cells", F.col("query").alias("text"))
-    opening = F.get(F.lit(OPENINGS), (F.col("id") % len(OPENINGS)).cast("int"))
-    text = F.when(
-        F.col("id") % 23 == 5, F.concat(F.lit(" ARC-AGI Task "), F.lower(F.hex("id")), F.lit("\n"))
-    ).otherwise(F.concat(opening, F.col("text")))
-    return docs.select("id", text.alias("query"), "cells")
+    """The panel with prompted texts and the task label of each."""
+    key = PERFORMANCE
+    docs = texts(spark, sf_dir)
+    cell = lambda m, name: F.struct(
+        F.lit(name).alias("model"),
+        (_mix(m, key) / 100).alias("performance"),
+        (((m + 1) * (F.col("n_chars") + 200)).cast("double") / 1_000_000).alias("cost"),
+    )
+    return docs.select(
+        F.col("doc_id").alias("id"), _prompted_text().alias("query"),
+        F.array(*[cell(m, n) for m, n in enumerate(MODELS)]).alias("cells"),
+    )
+
+
+def text_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel for text work; the same rows as ``panel``."""
+    key = PERFORMANCE
+    cell = lambda m, name: F.struct(
+        F.lit(name).alias("model"),
+        (_mix(m, key) / 100).alias("performance"),
+        (((m + 1) * (F.col("n_chars") + 200)).cast("double") / 1_000_000).alias("cost"),
+    )
+    return texts(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), F.col("text").alias("query"),
+        F.array(*[cell(m, n) for m, n in enumerate(MODELS)]).alias("cells"),
+    )
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
