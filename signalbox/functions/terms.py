@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from signalbox.functions.cells import let
+
 
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
@@ -48,17 +50,24 @@ def words(folded: Column) -> Column:
 
 
 def word_ngrams(folded: Column, low: int, high: int) -> Column:
-    tokens = words(folded)
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    """Runs of ``low`` to ``high`` consecutive words.
+
+    The words are bound once; an n-gram joins n shifted views of them.
+    """
+    def grams(bound: Column) -> Column:
+        tokens = bound["tokens"]
+        size = F.size(tokens)
+        parts = []
+        for n in range(low, high + 1):
+            width = F.greatest(size - F.lit(n - 1), F.lit(0))
+            run = F.slice(tokens, F.lit(1), width)
+            for shift in range(1, n):
+                following = F.slice(tokens, F.lit(shift + 1), width)
+                run = F.zip_with(run, following, lambda a, b: F.concat(a, F.lit(" "), b))
+            parts.append(run)
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return let(F.struct(words(folded).alias("tokens")), grams)
 
 
 # A zero-width match at every code point whose look-ahead captures the n-gram there.

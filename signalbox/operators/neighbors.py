@@ -293,7 +293,9 @@ def similar_examples(
 def unit(vector: Column) -> Column:
     """The vector divided by its length; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(vector, lambda x: x / F.when(norm > 0, norm).otherwise(1.0))
+    length = F.when(norm > 0, norm).otherwise(1.0)
+    bound = F.struct(vector.alias("v"), length.alias("n"))
+    return C.let(bound, lambda s: F.transform(s["v"], lambda x: x / s["n"]))
 
 
 def residual_scores(
@@ -344,4 +346,5 @@ def warm_up(train: DataFrame, queries: DataFrame, width: int, k: int = 5, share:
     )
     joined = queries.select("id", "vec").join(means, "id", "left")
     mixed = F.zip_with("vec", "near", lambda a, b: F.lit(1.0 - share) * a + F.lit(share) * b)
-    return joined.select("id", unit(F.coalesce(mixed, F.col("vec").cast("array<double>"))).alias("vec"))
+    mixed = joined.select("id", F.coalesce(mixed, F.col("vec").cast("array<double>")).alias("vec"))
+    return mixed.select("id", unit(F.col("vec")).alias("vec"))

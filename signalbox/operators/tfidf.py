@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,28 +112,49 @@ def fit(docs: DataFrame, spec: TfidfSpec, text: str = "query", retry_min_df: boo
     return TfidfModel(spec, names[order].tolist(), table.column("idf").to_numpy()[order], n)
 
 
-def _weigh(counts: DataFrame, model: TfidfModel, schema: T.StructType, as_vector: bool) -> DataFrame:
-    """Turn (index, count) arrays into L2-normalised TF-IDF weights, one Arrow batch at a time."""
-    idf, sublinear, size = model.idf, model.spec.sublinear, model.size
+def _count_terms(terms: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index, count) of every vocabulary term of a batch, by row and then index."""
+    lengths = terms.value_lengths().to_numpy(zero_copy_only=False)
+    place = pc.index_in(terms.flatten(), value_set=vocabulary)
+    known = place.is_valid().to_numpy(zero_copy_only=False)
+    index = pc.fill_null(place, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    row = np.repeat(np.arange(len(terms)), lengths)[known]
+    keys, counts = np.unique(row * len(vocabulary) + index, return_counts=True)
+    return keys // len(vocabulary), keys % len(vocabulary), counts
+
+
+def transform(docs: DataFrame, model: TfidfModel, keep: Sequence[str] = ("id",), text: str = "query", as_vector: bool = False) -> DataFrame:
+    """``keep`` columns plus ``idx, w`` arrays, or plus one ``features`` vector.
+
+    Terms outside the vocabulary drop out; a text without known terms gets an empty vector.  The
+    vocabulary, bounded by ``max_features``, is broadcast; a task counts and weighs one Arrow
+    batch at a time.
+    """
+    slim = with_terms(docs, model.spec, text).select(*keep, "_terms")
+    fields = [f for f in slim.schema.fields if f.name != "_terms"]
+    if as_vector:
+        extra = [T.StructField("features", VectorUDT())]
+    else:
+        extra = [T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("w", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType(fields + extra)
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(model.terms, pa.string()), model.idf))
+    sublinear, size = model.spec.sublinear, model.size
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf = shared.value
         for batch in batches:
-            if batch.num_rows == 0:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            raw_idx, raw_cnt = batch.column("_idx"), batch.column("_cnt")
-            idx = raw_idx.flatten().to_numpy(zero_copy_only=False)
-            cnt = raw_cnt.flatten().to_numpy(zero_copy_only=False)
-            lengths = raw_idx.value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            w = ((1.0 + np.log(cnt)) if sublinear else cnt) * idf[idx]
-            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=batch.num_rows))
-            w = w / norm[row]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(idx, pa.int32()))
+            row, index, count = _count_terms(batch.column("_terms"), vocabulary)
+            w = ((1.0 + np.log(count)) if sublinear else count.astype(np.float64)) * idf[index]
+            w = w / np.sqrt(np.bincount(row, weights=w * w, minlength=n))[row]
+            ends = np.cumsum(np.bincount(row, minlength=n))
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, pa.array(index, pa.int32()))
             ws = pa.ListArray.from_arrays(offsets, pa.array(w, pa.float64()))
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("_idx", "_cnt")]
+            kept = [batch.column(f.name) for f in fields]
             if as_vector:
-                n = batch.num_rows
                 vector = pa.StructArray.from_arrays(
                     [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), ids, ws],
                     ["type", "size", "indices", "values"],
@@ -143,24 +164,7 @@ def _weigh(counts: DataFrame, model: TfidfModel, schema: T.StructType, as_vector
                 columns = [*kept, ids, ws]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return counts.mapInArrow(weigh, schema)
-
-
-def transform(docs: DataFrame, model: TfidfModel, keep: Sequence[str] = ("id",), text: str = "query", as_vector: bool = False) -> DataFrame:
-    """``keep`` columns plus ``idx, w`` arrays, or plus one ``features`` vector.
-
-    Terms outside the vocabulary drop out; a text without known terms gets an empty vector.
-    """
-    counter = CountVectorizerModel.from_vocabulary(model.terms, inputCol="_terms", outputCol="_counts")
-    counted = counter.transform(with_terms(docs, model.spec, text))
-    raw = F.unwrap_udt("_counts")
-    slim = counted.select(*keep, raw["indices"].alias("_idx"), raw["values"].alias("_cnt"))
-    fields = [f for f in slim.schema.fields if f.name not in ("_idx", "_cnt")]
-    if as_vector:
-        extra = [T.StructField("features", VectorUDT())]
-    else:
-        extra = [T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("w", T.ArrayType(T.DoubleType()))]
-    return _weigh(slim, model, T.StructType(fields + extra), as_vector)
+    return slim.mapInArrow(weigh, schema)
 
 
 def weight_rows(weighted: DataFrame, model: TfidfModel, keep: Sequence[str] = ("id",)) -> DataFrame:

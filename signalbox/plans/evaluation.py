@@ -371,11 +371,11 @@ def prior_cv_board(spark, sf) -> DataFrame:
     n = F.coalesce("n", F.lit(0))
     prior = F.when(n > 0, (F.col("s") + 20.0 * F.col("g")) / (n + 20.0)).otherwise(F.col("g"))
     cells = C.from_long(joined.select("task", "model", prior.alias("score")), "score", keys=("task",))
+    picks = D.decide(cells, "score", ("task",), "pick").select("task", "pick")
     # One row per seed and task label.
-    looked_up = held.join(F.broadcast(cells.withColumnRenamed("cells", "prior_cells")), "task")
-    pick = C.best(F.col("prior_cells"), "score")["model"]
+    looked_up = held.join(F.broadcast(picks), "task")
     best = C.best(F.col("cells"), "reward")["value"]
-    rows = looked_up.select("seed", C.value_of(F.col("cells"), pick, "reward").alias("routed"), best.alias("oracle"))
+    rows = looked_up.select("seed", C.value_of(F.col("cells"), F.col("pick"), "reward").alias("routed"), best.alias("oracle"))
     means = rows.groupBy("seed").agg(F.avg("routed").alias("task_prior"), F.avg("oracle").alias("oracle"))
     return means.unpivot(["seed"], ["task_prior", "oracle"], "method", "reward")
 
