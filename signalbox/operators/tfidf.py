@@ -67,26 +67,28 @@ def with_terms(docs: DataFrame, spec: TfidfSpec, text: str = "query") -> DataFra
     return docs.withColumn("_terms", column)
 
 
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents per distinct term of each batch."""
+    for batch in batches:
+        terms = batch.column("_terms")
+        coded = pc.dictionary_encode(terms.flatten())
+        size = len(coded.dictionary)
+        if size == 0:
+            continue
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy(zero_copy_only=False))
+        tf = np.bincount(code, minlength=size)
+        df = np.bincount(np.unique(row * size + code) % size, minlength=size)
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(tf), pa.array(df)], ["term", "tf", "df"])
+
+
 def term_statistics(docs: DataFrame, spec: TfidfSpec, text: str = "query") -> DataFrame:
-    """``term, tf, df`` over all documents, in one shuffle of pre-aggregated counts.
+    """``term, tf, df`` over all documents, in one shuffle of counts already summed per batch.
 
-    The outer explode keeps the text from being cut into terms a second time by an inferred
-    filter.  A document contributes each of its terms as one occurrence row, plus one marked row per
-    distinct term; a term every document holds is summed on the map side first.
+    A term every document holds arrives as one row per batch, so no term is a hot key.
     """
-    tagged = with_terms(docs, spec, text).select(
-        F.explode_outer(
-            F.concat(
-                F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))),
-                F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))),
-            )
-        ).alias("e")
-    )
-    return (
-        tagged.where(F.col("e").isNotNull())
-        .groupBy(F.col("e.term").alias("term"))
-        .agg(F.sum(1 - F.col("e.d")).alias("tf"), F.sum(F.col("e.d")).alias("df"))
-    )
+    counted = with_terms(docs, spec, text).select("_terms").mapInArrow(_partial_counts, "term string, tf long, df long")
+    return counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def vocabulary(docs: DataFrame, spec: TfidfSpec, text: str = "query", n_docs: int | None = None) -> DataFrame:

@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from signalbox.plans import evaluation, scoring, text  # noqa: F401
+    from signalbox.plans import ensembles, evaluation, learned, prompting, scoring, text  # noqa: F401
