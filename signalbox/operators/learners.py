@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -25,10 +25,11 @@ from signalbox.session import durable
 PARALLEL_FITS = 4
 
 
-def _fit_all(jobs: Sequence[Callable]) -> list:
+def _fit_all(rows: DataFrame, jobs: Sequence[Callable]) -> list:
     """Run independent fits from a few driver threads; each fit is a distributed job."""
+    inherit = inheritable_thread_target(rows.sparkSession)
     with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        futures = [pool.submit(inherit(job)) for job in jobs]
         return [f.result() for f in futures]
 
 
@@ -118,7 +119,7 @@ def fit_ridge(
         ).fit(data)
         return fitted.coefficients.toArray(), fitted.intercept
 
-    fitted = _fit_all([lambda i=i: one(i) for i in range(len(models))])
+    fitted = _fit_all(rows, [lambda i=i: one(i) for i in range(len(models))])
     return np.stack([w for w, _ in fitted], axis=1), np.array([b for _, b in fitted])
 
 
@@ -139,7 +140,7 @@ def boosted_regression_scores(
         ).fit(data)
 
     out = queries
-    for fitted in _fit_all([lambda i=i: one(i) for i in range(len(models))]):
+    for fitted in _fit_all(rows, [lambda i=i: one(i) for i in range(len(models))]):
         out = fitted.transform(out)
     return out.select("id", _cells(models, lambda i: F.col(f"_p{i}")).alias("cells"))
 
@@ -184,12 +185,11 @@ def _boosted_probabilities(data: DataFrame, queries: DataFrame, models: Sequence
     def one(i: int):
         binary = data.select("features", (F.col("label") == i).cast("double").alias("label"))
         return GBTClassifier(
-            maxIter=trees, maxDepth=depth, stepSize=step, seed=seed + i,
-            predictionCol=f"_d{i}", rawPredictionCol=f"_r{i}", probabilityCol=f"_p{i}",
-        ).fit(binary)
+            maxIter=trees, maxDepth=depth, stepSize=step, seed=seed + i, predictionCol=f"_d{i}"
+        ).setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_p{i}").fit(binary)
 
     out = queries
-    for fitted in _fit_all([lambda i=i: one(i) for i in present]):
+    for fitted in _fit_all(data, [lambda i=i: one(i) for i in present]):
         out = fitted.transform(out)
     share = lambda i: F.get(vector_to_array(F.col(f"_p{i}")), F.lit(1)) if i in present else F.lit(0.0)
     scored = out.select("id", _cells(models, share).alias("cells"))
@@ -273,7 +273,7 @@ def head_cells(
         ).fit(data)
         return fitted.coefficients.toArray(), fitted.intercept
 
-    heads = _fit_all([lambda i=i: performance(i) for i in range(len(models))])
+    heads = _fit_all(rows, [lambda i=i: performance(i) for i in range(len(models))])
     weights, bias = np.stack([w for w, _ in heads], axis=1), np.array([b for _, b in heads])
     perf = linear_cells(queries, models, weights, bias, "logistic")
     weights, bias = fit_ridge(rows, models, penalty, "z_costs", max_iter)
@@ -347,7 +347,7 @@ def pairwise_scores(
         ).fit(data)
         return fitted.coefficients.toArray(), fitted.intercept
 
-    fitted = _fit_all([lambda i=i, j=j: one(i, j) for i, j in pairs])
+    fitted = _fit_all(rows, [lambda i=i, j=j: one(i, j) for i, j in pairs])
     weights, bias = np.stack([w for w, _ in fitted], axis=1), np.array([b for _, b in fitted])
     names = [f"{i}:{j}" for i, j in pairs]
     wins = linear_cells(vectors, names, weights, bias, "logistic")
