@@ -22,12 +22,14 @@ from signalbox.functions import cells as C
 from signalbox.functions.scalars import truncate_text
 from signalbox.operators import tfidf
 from signalbox.operators.priors import global_cells, global_prior, lookup_task_priors, task_priors
+from signalbox.session import durable
 
 # Bounds of one block: rows and stored numbers.  A dense stretch of similarities takes
 # QUERY_ROWS * TRAIN_ROWS * 8 bytes at most.
 QUERY_ROWS = 1024
 TRAIN_ROWS = 4096
 BLOCK_VALUES = 4_000_000
+SMALL_BLOCK = 128
 SIMILARITY_DIGITS = 9
 
 
@@ -117,9 +119,24 @@ def _top_k(similarities: np.ndarray, train_ids: np.ndarray, k: int, positive_onl
 
 # --- the blocked join -----------------------------------------------------------
 
-def _blocks(side: DataFrame, rows_per_block: int, size: Column) -> int:
+def _blocks(side: DataFrame, rows_per_block: int, size: Column) -> tuple[int, int]:
+    """(number of blocks, number of rows) so that a block keeps both bounds."""
     count, stored = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return max(1, math.ceil(count / rows_per_block), math.ceil(stored / BLOCK_VALUES))
+    return max(1, math.ceil(count / rows_per_block), math.ceil(stored / BLOCK_VALUES)), count
+
+
+def _grid_shape(queries: tuple[int, int], train: tuple[int, int], cores: int) -> tuple[int, int]:
+    """Blocks per side; small inputs are cut finer, so that every core gets a few pairs of blocks.
+
+    Finer blocks mean more copies of the other side, so large inputs keep the largest blocks.
+    """
+    (n_q, rows_q), (n_t, rows_t) = queries, train
+    while n_q * n_t < 3 * cores and max(rows_q / n_q, rows_t / n_t) > 2 * SMALL_BLOCK:
+        if rows_t / n_t >= rows_q / n_q:
+            n_t += 1
+        else:
+            n_q += 1
+    return n_q, n_t
 
 
 def nearest(
@@ -139,8 +156,8 @@ def nearest(
     """
     columns = ["idx", "w"] if kind == "sparse" else ["vec"]
     size = F.size(columns[0])
-    n_q = _blocks(queries, query_rows, size)
-    n_t = _blocks(train, train_rows, size)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_q, n_t = _grid_shape(_blocks(queries, query_rows, size), _blocks(train, train_rows, size), cores)
     block = lambda n, tag: F.pmod(F.xxhash64(F.lit(tag), "id"), F.lit(n)).cast("int")
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", *columns, block(n_q, "q").alias("_q")).withColumn("_t", grid(n_t))
@@ -229,10 +246,13 @@ def dense_rewards(panel: DataFrame, models: Sequence[str], field: str = "reward"
 def text_neighbors(
     train: DataFrame, queries: DataFrame, spec: tfidf.TfidfSpec, k: int, payload: Sequence[str] = ()
 ) -> DataFrame:
-    """Neighbours of query texts among training texts under a vocabulary fit on the training texts."""
+    """Neighbours of query texts among training texts under a vocabulary fit on the training texts.
+
+    The vectors are written once: they are counted for the block sizes and then compared.
+    """
     model = tfidf.fit(train, spec)
-    left = tfidf.transform(queries, model)
-    right = tfidf.transform(train, model, keep=("id", *payload))
+    left = durable(tfidf.transform(queries, model))
+    right = durable(tfidf.transform(train, model, keep=("id", *payload)))
     return nearest(left, right, k, "sparse", payload)
 
 

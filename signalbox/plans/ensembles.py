@@ -13,10 +13,10 @@ from signalbox.operators import calibrate as B
 from signalbox.operators import decide as D
 from signalbox.operators import ensemble as E
 from signalbox.plans import fixtures as X
-from signalbox.plans.evaluation import prior_cv_board, rewarded  # noqa: F401
+from signalbox.plans.evaluation import rewarded
 from signalbox.plans.fixtures import MODELS, sql
 from signalbox.plans.registry import register
-from signalbox.plans.scoring import VERSUS_SQL, _r
+from signalbox.plans.scoring import VERSUS_SQL, _method_rewards, _r
 
 # --- calibration ---------------------------------------------------------------------------
 
@@ -269,8 +269,6 @@ def i6_decisions(spark, sf):
         body="SELECT CAST(row_number() OVER (ORDER BY mean DESC, method) AS INTEGER) AS rank, method FROM mboard ORDER BY mean DESC LIMIT 2"),
 )
 def i7(spark, sf):
-    from signalbox.plans.scoring import _method_rewards
-
     board = A.cv_summary(_method_rewards(spark, sf))
     names = E.final_methods(list(X.SOURCES), 2, board)
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "rank INT, method STRING")

@@ -18,6 +18,7 @@ from signalbox.plans import fixtures as X
 from signalbox.plans.fixtures import MODELS, sql
 from signalbox.plans.registry import register
 from signalbox.plans.scoring import LEVEL_SQL, PROFILE_SQL, TASK_SQL, _r
+from signalbox.session import durable
 
 
 def rewarded(spark, sf, source: str = "alpha") -> DataFrame:
@@ -260,8 +261,18 @@ BACKOFF = """backoff AS (SELECT p.id, p.domain, gp.model, CASE WHEN h1.prior IS
     LEFT JOIN hier h3 ON h3.level='domain' AND h3.key=p.domain AND h3.model=gp.model AND h3.n>=20)"""
 
 
+def profiled_rewards(spark, sf) -> DataFrame:
+    """Rewards and task profile without the text, written once for the scans that follow."""
+    return durable(with_task_profile(prompted_rewards(spark, sf)).drop("query"))
+
+
+def tagged_rewards(spark, sf) -> DataFrame:
+    """Rewards and task label without the text, written once for the scans that follow."""
+    return durable(prompted_rewards(spark, sf).withColumn("task", task_label(F.col("query"))).drop("query"))
+
+
 def _backed_off(spark, sf) -> DataFrame:
-    panel = with_task_profile(prompted_rewards(spark, sf)).drop("query")
+    panel = profiled_rewards(spark, sf)
     return P.backoff_priors(panel, P.hierarchical_priors(panel))
 
 
@@ -355,7 +366,7 @@ def prior_cv_board(spark, sf) -> DataFrame:
 
     The seed is one more grouping key: priors per (seed, task), lookups by (seed, task).
     """
-    tagged = prompted_rewards(spark, sf).withColumn("task", task_label(F.col("query"))).drop("query")
+    tagged = tagged_rewards(spark, sf)
     seeded = J.seeded_holdouts(tagged, 0.2, SEEDS)
     keyed = seeded.withColumn("task", F.concat_ws("|", "seed", "task"))
     fit, held = keyed.where(~F.col("held_out")), keyed.where("held_out")
@@ -487,7 +498,7 @@ def e3(spark, sf):
         (SELECT id, CASE WHEN id%5=0 THEN 'unheard' ELSE task END AS task FROM tasks) q CROSS JOIN gp LEFT JOIN tp ON tp.task=q.task AND tp.model=gp.model"""),
 )
 def e4(spark, sf):
-    tagged = prompted_rewards(spark, sf).withColumn("task", task_label(F.col("query"))).drop("query")
+    tagged = tagged_rewards(spark, sf)
     odd = F.when(F.col("id") % 5 == 0, "unheard").otherwise(F.col("task"))
     out = P.lookup_task_priors(tagged.select("id", odd.alias("task")), P.task_priors(tagged), P.global_prior(tagged))
     return _r(C.to_long(out, "score"), "score")

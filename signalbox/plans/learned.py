@@ -21,7 +21,7 @@ from signalbox.operators import rewards as R
 from signalbox.operators import splits as J
 from signalbox.operators import tfidf as TF
 from signalbox.plans import fixtures as X
-from signalbox.plans.evaluation import HIER, PROMPTED_REWARD, prompted_rewards  # noqa: F401
+from signalbox.plans.evaluation import HIER, PROMPTED_REWARD, profiled_rewards
 from signalbox.plans.fixtures import HELD, MODELS, SPLIT_SEED, sql
 from signalbox.plans.registry import register
 from signalbox.plans.scoring import _r
@@ -141,7 +141,7 @@ def g9(spark, sf):
 )
 def g10(spark, sf):
     """Subtask priors score coding queries, domain priors the others, id-only tasks fall back."""
-    panel = with_task_profile(prompted_rewards(spark, sf)).drop("query")
+    panel = profiled_rewards(spark, sf)
     priors = P.hierarchical_priors(panel)
     def scorer(level: str, column: str, part: DataFrame) -> DataFrame:
         cells = C.from_long(
@@ -211,8 +211,8 @@ def score_blocks(
     asked = durable(queries.select("id", "query"))
     for view in views:
         model = TF.fit(carried, TF.SPECS[view])
-        left = TF.transform(asked, model)
-        right = TF.transform(carried, model, keep=("id", "rewards"))
+        left = durable(TF.transform(asked, model))
+        right = durable(TF.transform(carried, model, keep=("id", "rewards")))
         means = NB.weighted_mean(NB.nearest(left, right, max(ks), "sparse", ("rewards",)), MODELS, "rewards", ks, 1e-8)
         joined = asked.select("id").join(means, "id", "left")
         fallback = P.global_cells(P.global_prior(carried))

@@ -14,7 +14,6 @@ from signalbox.operators import rewards as R
 from signalbox.operators import splits as J
 from signalbox.operators import tfidf as TF
 from signalbox.plans import fixtures as X
-from signalbox.plans.evaluation import PROMPTED_REWARD, SUMMARY  # noqa: F401
 from signalbox.plans.fixtures import HELD, MODELS, SPLIT_SEED, sql
 from signalbox.plans.registry import register
 from signalbox.plans.scoring import TASK_SQL, _r
