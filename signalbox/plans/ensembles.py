@@ -46,7 +46,7 @@ def h2(spark, sf):
 
 @register(
     "h3_apply_biases",
-    sql("panel", "den", "rw", "alpha", BIAS_SQL, body="""SELECT id, model AS pred_model, round(s,6) AS score, round(reward,6) AS reward FROM
+    sql("panel", "den", "rw", "alpha", BIAS_SQL, body="""SELECT id, model AS pred_model, round(s,8) AS score, round(reward,8) AS reward FROM
         (SELECT a.id, a.model, a.score+b.bias AS s, r.reward, row_number() OVER (PARTITION BY a.id ORDER BY a.score+b.bias DESC, a.model) AS rk
          FROM alpha a JOIN bias b ON b.model=a.model JOIN rw r ON r.id=a.id AND r.model=a.model) WHERE rk=1"""),
 )
@@ -61,7 +61,7 @@ def h3(spark, sf):
 
 @register(
     "h3_reward_before_after",
-    sql("panel", "den", "rw", "alpha", BIAS_SQL, body="""SELECT round(avg(reward) FILTER (WHERE k0=1),6) AS reward_before, round(avg(reward) FILTER (WHERE k1=1),6) AS reward_after FROM
+    sql("panel", "den", "rw", "alpha", BIAS_SQL, body="""SELECT round(avg(reward) FILTER (WHERE k0=1),8) AS reward_before, round(avg(reward) FILTER (WHERE k1=1),8) AS reward_after FROM
         (SELECT r.reward, row_number() OVER (PARTITION BY a.id ORDER BY a.score DESC, a.model) AS k0,
          row_number() OVER (PARTITION BY a.id ORDER BY a.score+b.bias DESC, a.model) AS k1
          FROM alpha a JOIN bias b ON b.model=a.model JOIN rw r ON r.id=a.id AND r.model=a.model)"""),
@@ -94,7 +94,7 @@ def blocks(spark, sf) -> DataFrame:
 
 @register(
     "i1_weighted_blend",
-    sql(*X.SOURCES, body=f"""SELECT a.id, a.model, round(CAST(0.5 AS DOUBLE)*a.score+CAST(0.3 AS DOUBLE)*b.score+CAST(0.2 AS DOUBLE)*g.score,6) AS score
+    sql(*X.SOURCES, body=f"""SELECT a.id, a.model, round(CAST(0.5 AS DOUBLE)*a.score+CAST(0.3 AS DOUBLE)*b.score+CAST(0.2 AS DOUBLE)*g.score,8) AS score
         FROM {_scaled_sql('alpha')} a JOIN {_scaled_sql('beta')} b ON a.id=b.id AND a.model=b.model JOIN {_scaled_sql('gamma')} g ON a.id=g.id AND a.model=g.model"""),
 )
 def i1(spark, sf):
@@ -103,7 +103,7 @@ def i1(spark, sf):
 
 @register(
     "i1_equal_unscaled_blend",
-    sql(*X.SOURCES, body="""SELECT id, model, round(sum(score)/3,6) AS score FROM (SELECT * FROM alpha UNION ALL SELECT * FROM beta UNION ALL SELECT * FROM gamma) GROUP BY id, model"""),
+    sql(*X.SOURCES, body="""SELECT id, model, round(sum(score)/3,8) AS score FROM (SELECT * FROM alpha UNION ALL SELECT * FROM beta UNION ALL SELECT * FROM gamma) GROUP BY id, model"""),
 )
 def i1_equal(spark, sf):
     return _r(C.to_long(E.blend(sources(spark, sf), scale="none"), "score"), "score")
@@ -117,7 +117,7 @@ def _row_scaled_sql(name: str) -> str:
 ROW_SCALED = "rs AS (" + " UNION ALL ".join(_row_scaled_sql(n) for n in X.SOURCES) + ")"
 
 
-@register("i2_block_average", sql(*X.SOURCES, ROW_SCALED, body="SELECT id, model, round(avg(score),6) AS score FROM rs WHERE method IN ('alpha','gamma') GROUP BY id, model"))
+@register("i2_block_average", sql(*X.SOURCES, ROW_SCALED, body="SELECT id, model, round(avg(score),8) AS score FROM rs WHERE method IN ('alpha','gamma') GROUP BY id, model"))
 def i2(spark, sf):
     return _r(C.to_long(E.average_blocks(blocks(spark, sf), ["alpha", "gamma"]), "score"), "score")
 
@@ -152,7 +152,7 @@ def _register_history(policy: str, top_n: int) -> None:
 
     @register(
         f"i3_vote_weights_{policy}",
-        sql(HISTORY_SQL, f"u AS ({_USABLE[policy]} {limit})", body="""SELECT file_name, public_score, round(e/sum(e) OVER (),6) AS weight FROM
+        sql(HISTORY_SQL, f"u AS ({_USABLE[policy]} {limit})", body="""SELECT file_name, public_score, round(e/sum(e) OVER (),8) AS weight FROM
             (SELECT *, exp((public_score-max(public_score) OVER ())/CAST(0.01 AS DOUBLE)) AS e FROM u)"""),
     )
     def run(spark, sf):
@@ -186,14 +186,14 @@ def votes(spark, sf) -> DataFrame:
     return E.vote_scores(submissions(spark, sf), E.vote_weights(usable))
 
 
-@register("i3_vote_scores", sql(HISTORY_SQL, VOTES_SQL, body="SELECT id, model, round(score,6) AS score FROM votes"))
+@register("i3_vote_scores", sql(HISTORY_SQL, VOTES_SQL, body="SELECT id, model, round(score,8) AS score FROM votes"))
 def i3(spark, sf):
     return _r(C.to_long(votes(spark, sf), "score"), "score")
 
 
 @register(
     "i4_base_vote",
-    sql(HISTORY_SQL, VOTES_SQL, "base", body="""SELECT id, model, round(sum(s),6) AS score FROM (SELECT id, model, (1-CAST(0.25 AS DOUBLE))*score AS s FROM votes
+    sql(HISTORY_SQL, VOTES_SQL, "base", body="""SELECT id, model, round(sum(s),8) AS score FROM (SELECT id, model, (1-CAST(0.25 AS DOUBLE))*score AS s FROM votes
         UNION ALL SELECT id, pred_model, CAST(0.25 AS DOUBLE) FROM base) GROUP BY id, model"""),
 )
 def i4(spark, sf):
@@ -202,7 +202,7 @@ def i4(spark, sf):
 
 # --- overrides -----------------------------------------------------------------------------------
 
-_GUARDED = """SELECT id, base_pred, score_pred, round(margin,6) AS margin_vs_base, round(gap,6) AS top_gap, coalesce(o,false) AS override,
+_GUARDED = """SELECT id, base_pred, score_pred, round(margin,8) AS margin_vs_base, round(gap,8) AS top_gap, coalesce(o,false) AS override,
     CASE WHEN o THEN score_pred ELSE base_pred END AS final_pred FROM """
 
 
@@ -289,7 +289,7 @@ def grid(spark, sf) -> DataFrame:
 
 @register(
     "i8_candidate_grid",
-    sql(*X.SOURCES, "base", ROW_SCALED, GRID_SQL, body="SELECT CAST(top_n AS INTEGER) AS top_n, base_weight, id, model AS pred_model, round(s,6) AS score FROM grid"),
+    sql(*X.SOURCES, "base", ROW_SCALED, GRID_SQL, body="SELECT CAST(top_n AS INTEGER) AS top_n, base_weight, id, model AS pred_model, round(s,8) AS score FROM grid"),
 )
 def i8(spark, sf):
     return _r(grid(spark, sf).drop("_base"), "score")

@@ -49,7 +49,7 @@ def logits(df: DataFrame) -> DataFrame:
 
 @register(
     "d1_denominators",
-    sql("panel", "den", body="""SELECT 'global-max' AS method, round(g,6) AS denominator FROM den UNION ALL SELECT 'mean-row-max', round(r,6) FROM den"""),
+    sql("panel", "den", body="""SELECT 'global-max' AS method, round(g,8) AS denominator FROM den UNION ALL SELECT 'mean-row-max', round(r,8) FROM den"""),
 )
 def d1(spark, sf):
     panel = X.panel(spark, sf)
@@ -70,7 +70,7 @@ def d1_sparse(spark, sf):
 
 @register(
     "d2_policy_reward",
-    sql("panel", "den", "rw", "base", body="SELECT round(avg(reward),6) AS policy_reward, count(*) AS n FROM rw r JOIN base b ON r.id=b.id AND r.model=b.pred_model"),
+    sql("panel", "den", "rw", "base", body="SELECT round(avg(reward),8) AS policy_reward, count(*) AS n FROM rw r JOIN base b ON r.id=b.id AND r.model=b.pred_model"),
 )
 def d2(spark, sf):
     return _r(A.policy_reward(rewarded(spark, sf), X.base_decisions(spark, sf)), "policy_reward")
@@ -78,16 +78,16 @@ def d2(spark, sf):
 
 @register(
     "d2_policy_reward_row_max",
-    sql("panel", "base", body="""SELECT round(CAST(0.85 AS DOUBLE)*avg(performance)-(1-CAST(0.85 AS DOUBLE))*avg(cost/mx),6) AS policy_reward, count(*) AS n
+    sql("panel", "base", body="""SELECT round(CAST(0.85 AS DOUBLE)*avg(performance)-(1-CAST(0.85 AS DOUBLE))*avg(cost/mx),8) AS policy_reward, count(*) AS n
         FROM (SELECT *, max(cost) OVER (PARTITION BY id) AS mx FROM panel) p JOIN base b ON p.id=b.id AND p.model=b.pred_model"""),
 )
 def d2_row_max(spark, sf):
     return _r(A.policy_reward_metric(X.panel(spark, sf), X.base_decisions(spark, sf), "row-max"), "policy_reward")
 
 
-_METRICS = """SELECT round(avg(routing_reward),6) AS routing_reward, round(avg(oracle_reward),6) AS oracle_reward,
-    round(avg(oracle_reward)-avg(routing_reward),6) AS routing_regret,
-    round(avg(CASE WHEN selected=oracle THEN 1.0::DOUBLE ELSE 0 END),6) AS top1_accuracy, count(*) AS n FROM """
+_METRICS = """SELECT round(avg(routing_reward),8) AS routing_reward, round(avg(oracle_reward),8) AS oracle_reward,
+    round(avg(oracle_reward)-avg(routing_reward),8) AS routing_regret,
+    round(avg(CASE WHEN selected=oracle THEN 1.0::DOUBLE ELSE 0 END),8) AS top1_accuracy, count(*) AS n FROM """
 
 
 @register("d3_routing_metrics", sql(*REWARDS, AUDIT, body=_METRICS + "audit"))
@@ -103,7 +103,7 @@ def d3_performance(spark, sf):
 
 
 _AUDIT_COLUMNS = ("oracle_reward", "routing_reward", "margin", "reward_gap", "regret")
-_AUDIT_SELECT = "SELECT id, selected, oracle, " + ", ".join(f"round({c},6) AS {c}" for c in _AUDIT_COLUMNS) + " FROM "
+_AUDIT_SELECT = "SELECT id, selected, oracle, " + ", ".join(f"round({c},8) AS {c}" for c in _AUDIT_COLUMNS) + " FROM "
 
 
 @register("d4_audit_rows", sql(*REWARDS, AUDIT, body=_AUDIT_SELECT + "audit"))
@@ -119,7 +119,7 @@ def d4_performance(spark, sf):
 @register(
     "d5_summary_by_model",
     sql(*REWARDS, AUDIT, body="""SELECT m.model, (SELECT count(*) FROM audit WHERE selected=m.model) AS selection_count,
-        (SELECT count(*) FROM audit WHERE oracle=m.model) AS oracle_count, (SELECT round(avg(regret),6) FROM audit WHERE selected=m.model) AS mean_regret
+        (SELECT count(*) FROM audit WHERE oracle=m.model) AS oracle_count, (SELECT round(avg(regret),8) FROM audit WHERE selected=m.model) AS mean_regret
         FROM (SELECT DISTINCT model FROM panel UNION ALL SELECT 'Model_Z') m"""),
 )
 def d5(spark, sf):
@@ -131,7 +131,7 @@ _Q = ", ".join(str(q) for q in A.QUANTILES)
 
 @register(
     "d5_quantiles",
-    sql(*REWARDS, AUDIT, body="SELECT metric, q, round(value,6) AS value FROM (" + " UNION ALL ".join(
+    sql(*REWARDS, AUDIT, body="SELECT metric, q, round(value,8) AS value FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS metric, unnest([{_Q}])::DOUBLE AS q, unnest(quantile_cont({c}, [{_Q}])) AS value FROM audit" for c in ("margin", "reward_gap", "regret")) + ")"),
 )
 def d5_quantiles(spark, sf):
@@ -141,7 +141,7 @@ def d5_quantiles(spark, sf):
 @register(
     "d6_range_weights",
     sql("panel", "den", "rw", body="""SELECT id, round(CAST(0.05 AS DOUBLE)+(1-CAST(0.05 AS DOUBLE))*least(1,greatest(0,s/(SELECT quantile_cont(s,0.9) FROM
-        (SELECT max(reward)-min(reward) AS s FROM rw GROUP BY id)))),6) AS row_weight FROM (SELECT id, max(reward)-min(reward) AS s FROM rw GROUP BY id)"""),
+        (SELECT max(reward)-min(reward) AS s FROM rw GROUP BY id)))),8) AS row_weight FROM (SELECT id, max(reward)-min(reward) AS s FROM rw GROUP BY id)"""),
 )
 def d6_range(spark, sf):
     return _r(W.range_weights(rewarded(spark, sf)).select("id", "row_weight"), "row_weight")
@@ -153,7 +153,7 @@ GAPS = """gaps AS (SELECT id, least(1,greatest(0,max(CASE WHEN rk=1 THEN reward
 
 @register(
     "d6_gap_weights",
-    sql("panel", "den", "rw", "ranked", GAPS, body="SELECT id, round(row_weight,6) AS row_weight, round(g,6) AS raw_weight FROM gw"),
+    sql("panel", "den", "rw", "ranked", GAPS, body="SELECT id, round(row_weight,8) AS row_weight, round(g,8) AS raw_weight FROM gw"),
 )
 def d6_gap(spark, sf):
     scaled = W.gap_weights(rewarded(spark, sf))
@@ -163,7 +163,7 @@ def d6_gap(spark, sf):
 
 @register(
     "d7_soft_oracle_labels",
-    sql("panel", "den", "rw", "ranked", GAPS, body="""SELECT t.id, t.model, round(e/sum(e) OVER (PARTITION BY t.id),6) AS target, round(reward,6) AS reward, round(row_weight,6) AS row_weight
+    sql("panel", "den", "rw", "ranked", GAPS, body="""SELECT t.id, t.model, round(e/sum(e) OVER (PARTITION BY t.id),8) AS target, round(reward,8) AS reward, round(row_weight,8) AS row_weight
         FROM (SELECT id, model, reward, exp((reward-max(reward) OVER (PARTITION BY id))/CAST(0.05 AS DOUBLE)) AS e FROM rw) t JOIN gw ON gw.id=t.id"""),
 )
 def d7(spark, sf):
@@ -173,8 +173,8 @@ def d7(spark, sf):
 
 @register(
     "d7_performance_labels",
-    sql("panel", "den", "rw", body="""SELECT r.id, model, performance AS target, round(reward,6) AS reward, round(CAST(0.05 AS DOUBLE)+(1-CAST(0.05 AS DOUBLE))*
-        least(1,greatest(0,s/(SELECT quantile_cont(s,0.9) FROM (SELECT max(reward)-min(reward) AS s FROM rw GROUP BY id)))),6) AS row_weight
+    sql("panel", "den", "rw", body="""SELECT r.id, model, performance AS target, round(reward,8) AS reward, round(CAST(0.05 AS DOUBLE)+(1-CAST(0.05 AS DOUBLE))*
+        least(1,greatest(0,s/(SELECT quantile_cont(s,0.9) FROM (SELECT max(reward)-min(reward) AS s FROM rw GROUP BY id)))),8) AS row_weight
         FROM rw r JOIN (SELECT id, max(reward)-min(reward) AS s FROM rw GROUP BY id) g ON g.id=r.id"""),
 )
 def d7_performance(spark, sf):
@@ -191,7 +191,7 @@ def d7_performance(spark, sf):
           avg(greatest(logit,0)+ln(1+exp(-abs(logit)))-logit*performance) AS b FROM sc GROUP BY id))""",
         """pr AS (SELECT a.row_weight AS w, abs(a.reward-b.reward) AS g, -sign(a.reward-b.reward)*(a.s-b.s)/CAST(0.05 AS DOUBLE) AS x
           FROM sc a JOIN sc b ON a.id=b.id AND a.model<b.model WHERE abs(a.reward-b.reward)>=1e-4)""",
-        body="""SELECT round(bce_loss+r,6) AS total_loss, round(bce_loss,6) AS bce_loss, round(r,6) AS ranking_loss FROM bce,
+        body="""SELECT round(bce_loss+r,8) AS total_loss, round(bce_loss,8) AS bce_loss, round(r,8) AS ranking_loss FROM bce,
           (SELECT sum((greatest(x,0)+ln(1+exp(-abs(x))))*g*w)/sum(g*w) AS r FROM pr)"""),
 )
 def d8(spark, sf):
@@ -205,7 +205,7 @@ def d8(spark, sf):
     sql(*REWARDS, "ranked", GAPS, """st AS (SELECT aw.id, row_weight, logit-max(logit) OVER (PARTITION BY aw.id) AS z,
           exp((reward-max(reward) OVER (PARTITION BY aw.id))/CAST(0.05 AS DOUBLE)) AS e FROM aw JOIN gw ON gw.id=aw.id)""",
         "st2 AS (SELECT id, row_weight, e/sum(e) OVER (PARTITION BY id) AS t, z-ln(sum(exp(z)) OVER (PARTITION BY id)) AS lp FROM st)",
-        body="""SELECT round(sum(kl*w)/greatest(sum(w),1e-6),6) AS kl_loss FROM (SELECT max(row_weight) AS w,
+        body="""SELECT round(sum(kl*w)/greatest(sum(w),1e-6),8) AS kl_loss FROM (SELECT max(row_weight) AS w,
           sum(CASE WHEN t>0 THEN t*(ln(t)-lp) ELSE 0 END) AS kl FROM st2 GROUP BY id)"""),
 )
 def d9(spark, sf):
@@ -233,7 +233,7 @@ def prompted_rewards(spark, sf) -> DataFrame:
 
 @register(
     "d10_task_priors",
-    sql(*PROMPTED_REWARD, PRIORS, body=f"""SELECT names.task, gp.model, coalesce(n,0) AS n, round(coalesce(prior,g),6) AS prior, round(g,6) AS global_prior
+    sql(*PROMPTED_REWARD, PRIORS, body=f"""SELECT names.task, gp.model, coalesce(n,0) AS n, round(coalesce(prior,g),8) AS prior, round(g,8) AS global_prior
         FROM (SELECT unnest({list(TASK_NAMES)}) AS task) names CROSS JOIN gp LEFT JOIN tp ON tp.task=names.task AND tp.model=gp.model"""),
 )
 def d10(spark, sf):
@@ -248,7 +248,7 @@ HIER = """gp AS (SELECT model, avg(reward) AS g, count(*) AS n FROM rw GROUP BY
       UNION ALL SELECT 'global', '__global__', model, n, g FROM gp)"""
 
 
-@register("d11_hierarchical_priors", sql(*PROMPTED_REWARD, HIER, body="SELECT level, key, model, n, round(prior,6) AS prior FROM hier"))
+@register("d11_hierarchical_priors", sql(*PROMPTED_REWARD, HIER, body="SELECT level, key, model, n, round(prior,8) AS prior FROM hier"))
 def d11(spark, sf):
     return _r(P.hierarchical_priors(with_task_profile(prompted_rewards(spark, sf)).drop("query")), "prior")
 
@@ -276,7 +276,7 @@ def _backed_off(spark, sf) -> DataFrame:
     return P.backoff_priors(panel, P.hierarchical_priors(panel))
 
 
-@register("d11_backoff_priors", sql(*PROMPTED_REWARD, HIER, BACKOFF, body="SELECT id, prior_level, model, round(prior,6) AS score FROM backoff"))
+@register("d11_backoff_priors", sql(*PROMPTED_REWARD, HIER, BACKOFF, body="SELECT id, prior_level, model, round(prior,8) AS score FROM backoff"))
 def d11_backoff(spark, sf):
     out = _backed_off(spark, sf).select("id", "prior_level", F.col("prior_cells").alias("cells"))
     return _r(C.to_long(out, "score", keep=("id", "prior_level")), "score")
@@ -284,7 +284,7 @@ def d11_backoff(spark, sf):
 
 @register(
     "d12_prior_blend",
-    sql(*PROMPTED_REWARD, HIER, BACKOFF, body="""SELECT b.id, b.model, round((1-w)*reward+w*prior,6) AS score FROM
+    sql(*PROMPTED_REWARD, HIER, BACKOFF, body="""SELECT b.id, b.model, round((1-w)*reward+w*prior,8) AS score FROM
         (SELECT *, CASE WHEN domain='coding' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END AS w FROM backoff) b JOIN rw r ON r.id=b.id AND r.model=b.model"""),
 )
 def d12(spark, sf):
@@ -299,8 +299,8 @@ SUMMARY = """summary AS (SELECT m.model, coalesce(label_count,0) AS label_count,
 
 @register(
     "d13_training_summary",
-    sql("panel", "den", "rw", "ranked", SUMMARY, body="""SELECT model, label_count, round(mean_reward,6) AS mean_reward,
-        round(mean_performance,6) AS mean_performance, round(mean_cost,6) AS mean_cost FROM summary"""),
+    sql("panel", "den", "rw", "ranked", SUMMARY, body="""SELECT model, label_count, round(mean_reward,8) AS mean_reward,
+        round(mean_performance,8) AS mean_performance, round(mean_cost,8) AS mean_cost FROM summary"""),
 )
 def d13(spark, sf):
     return _r(A.training_summary(rewarded(spark, sf)), "mean_reward", "mean_performance", "mean_cost")
@@ -325,7 +325,7 @@ def d14(spark, sf):
 
 @register(
     "d15_fixed_cost_scores",
-    sql(*REWARDS, body="""SELECT s.id, s.model, round(CAST(0.85 AS DOUBLE)*least(1,greatest(0,s.score))-(1-CAST(0.85 AS DOUBLE))*f.c,6) AS score
+    sql(*REWARDS, body="""SELECT s.id, s.model, round(CAST(0.85 AS DOUBLE)*least(1,greatest(0,s.score))-(1-CAST(0.85 AS DOUBLE))*f.c,8) AS score
         FROM alpha s JOIN (SELECT model, avg(norm_cost) AS c FROM rw GROUP BY model) f ON f.model=s.model"""),
 )
 def d15(spark, sf):
@@ -336,7 +336,7 @@ def d15(spark, sf):
 @register(
     "d15_train_mean_fallback",
     sql(*REWARDS, body="""SELECT a.id, a.model, CASE WHEN a.id%3=0 THEN 'scorer' ELSE 'train_mean' END AS router_source,
-        round(CASE WHEN a.id%3=0 THEN a.score ELSE g.m END,6) AS score FROM aw a JOIN (SELECT model, avg(reward) AS m FROM rw GROUP BY model) g ON g.model=a.model"""),
+        round(CASE WHEN a.id%3=0 THEN a.score ELSE g.m END,8) AS score FROM aw a JOIN (SELECT model, avg(reward) AS m FROM rw GROUP BY model) g ON g.model=a.model"""),
 )
 def d15_fallback(spark, sf):
     panel = rewarded(spark, sf)
@@ -393,8 +393,8 @@ def prior_cv_board(spark, sf) -> DataFrame:
 
 @register(
     "d16_cv_summary",
-    sql(*PROMPTED_REWARD, "ranked", SEEDED, PRIOR_CV, body="""SELECT method, round(avg(reward),6) AS mean, round(stddev_samp(reward),6) AS std,
-        round(min(reward),6) AS min, round(max(reward),6) AS max, count(*) AS n FROM board GROUP BY method"""),
+    sql(*PROMPTED_REWARD, "ranked", SEEDED, PRIOR_CV, body="""SELECT method, round(avg(reward),8) AS mean, round(stddev_samp(reward),8) AS std,
+        round(min(reward),8) AS min, round(max(reward),8) AS max, count(*) AS n FROM board GROUP BY method"""),
 )
 def d16(spark, sf):
     return _r(A.cv_summary(prior_cv_board(spark, sf)), "mean", "std", "min", "max")
@@ -402,7 +402,7 @@ def d16(spark, sf):
 
 @register(
     "d17_residuals",
-    sql(*REWARDS, body="SELECT id, model, round(reward-(score+CASE WHEN model='Model_B' THEN CAST(0.02 AS DOUBLE) ELSE 0 END),6) AS residual FROM aw"),
+    sql(*REWARDS, body="SELECT id, model, round(reward-(score+CASE WHEN model='Model_B' THEN CAST(0.02 AS DOUBLE) ELSE 0 END),8) AS residual FROM aw"),
 )
 def d17(spark, sf):
     biases = spark.createDataFrame([("Model_B", 0.02)], "model STRING, bias DOUBLE")
@@ -411,7 +411,7 @@ def d17(spark, sf):
 
 @register(
     "d18_regression_metrics",
-    sql(*REWARDS, body="SELECT round(avg((score-reward)*(score-reward)),6) AS mse, round(avg(abs(score-reward)),6) AS mae, count(*) AS n FROM aw"),
+    sql(*REWARDS, body="SELECT round(avg((score-reward)*(score-reward)),8) AS mse, round(avg(abs(score-reward)),8) AS mae, count(*) AS n FROM aw"),
 )
 def d18(spark, sf):
     return _r(A.regression_metrics(C.to_long(rewarded(spark, sf), "score", "reward"), "score", "reward"), "mse", "mae")
@@ -419,7 +419,7 @@ def d18(spark, sf):
 
 @register(
     "d19_token_scores",
-    """SELECT id, model AS pred_model, round(s,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, model) AS rk FROM
+    """SELECT id, model AS pred_model, round(s,8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, model) AS rk FROM
        (SELECT l_orderkey AS id, 'Model_'||chr(CAST(65+l_linenumber%3 AS INTEGER)) AS model, avg(-l_quantity/64) AS s FROM lineitem GROUP BY ALL)) WHERE rk=1""",
 )
 def d19(spark, sf):
@@ -434,8 +434,8 @@ def d19(spark, sf):
 
 @register(
     "d20_collapse_report",
-    sql(*REWARDS, AUDIT, body="""SELECT round(max(n)/sum(n),6) AS max_selection_share, (SELECT selected FROM audit GROUP BY selected ORDER BY count(*) DESC, selected DESC LIMIT 1) AS most_selected,
-        round(sum(near)/sum(n),6) AS near_zero_margin_share, count(*) AS models_selected FROM
+    sql(*REWARDS, AUDIT, body="""SELECT round(max(n)/sum(n),8) AS max_selection_share, (SELECT selected FROM audit GROUP BY selected ORDER BY count(*) DESC, selected DESC LIMIT 1) AS most_selected,
+        round(sum(near)/sum(n),8) AS near_zero_margin_share, count(*) AS models_selected FROM
         (SELECT selected, count(*) AS n, count(*) FILTER (WHERE margin<=CAST(0.01 AS DOUBLE)) AS near FROM audit GROUP BY selected)"""),
 )
 def d20(spark, sf):
@@ -444,8 +444,8 @@ def d20(spark, sf):
 
 @register(
     "d20_selection_drift",
-    sql("alpha", "base", body="""SELECT coalesce(a.model,b.model) AS model, round(coalesce(a.s,0),6) AS train_share, round(coalesce(b.s,0),6) AS test_share,
-        round(coalesce(b.s,0)-coalesce(a.s,0),6) AS shift FROM (SELECT pred_model AS model, count(*)/sum(count(*)) OVER () AS s FROM base GROUP BY 1) a
+    sql("alpha", "base", body="""SELECT coalesce(a.model,b.model) AS model, round(coalesce(a.s,0),8) AS train_share, round(coalesce(b.s,0),8) AS test_share,
+        round(coalesce(b.s,0)-coalesce(a.s,0),8) AS shift FROM (SELECT pred_model AS model, count(*)/sum(count(*)) OVER () AS s FROM base GROUP BY 1) a
         FULL JOIN (SELECT model, count(*)/sum(count(*)) OVER () AS s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, model) AS rk FROM alpha) WHERE rk=1 GROUP BY model) b
         ON a.model=b.model"""),
 )
@@ -456,7 +456,7 @@ def d20_drift(spark, sf):
 
 @register(
     "d20_selection_ratio",
-    sql(*REWARDS, AUDIT, body="""SELECT m.model, s AS selection_count, o AS oracle_count, round(s/nullif(o,0),6) AS ratio FROM (SELECT DISTINCT model FROM panel) m,
+    sql(*REWARDS, AUDIT, body="""SELECT m.model, s AS selection_count, o AS oracle_count, round(s/nullif(o,0),8) AS ratio FROM (SELECT DISTINCT model FROM panel) m,
         LATERAL (SELECT count(*) FILTER (WHERE selected=m.model) AS s, count(*) FILTER (WHERE oracle=m.model) AS o FROM audit)"""),
 )
 def d20_ratio(spark, sf):
@@ -486,7 +486,7 @@ def e2(spark, sf):
 
 @register(
     "e3_gather_cells",
-    sql("panel", "den", "rw", "base", body="SELECT b.id, b.pred_model, round(reward,6) AS value FROM base b JOIN rw r ON r.id=b.id AND r.model=b.pred_model"),
+    sql("panel", "den", "rw", "base", body="SELECT b.id, b.pred_model, round(reward,8) AS value FROM base b JOIN rw r ON r.id=b.id AND r.model=b.pred_model"),
 )
 def e3(spark, sf):
     return _r(D.gather(rewarded(spark, sf), X.base_decisions(spark, sf), "reward"), "value")
@@ -494,7 +494,7 @@ def e3(spark, sf):
 
 @register(
     "e4_prior_lookup",
-    sql(*PROMPTED_REWARD, PRIORS, body="""SELECT q.id, gp.model, round(coalesce(prior,g),6) AS score FROM
+    sql(*PROMPTED_REWARD, PRIORS, body="""SELECT q.id, gp.model, round(coalesce(prior,g),8) AS score FROM
         (SELECT id, CASE WHEN id%5=0 THEN 'unheard' ELSE task END AS task FROM tasks) q CROSS JOIN gp LEFT JOIN tp ON tp.task=q.task AND tp.model=gp.model"""),
 )
 def e4(spark, sf):
@@ -506,7 +506,7 @@ def e4(spark, sf):
 
 @register(
     "e5_model_pairs",
-    sql("panel", "den", "rw", body="""SELECT a.id, a.model AS model_i, b.model AS model_j, round(a.reward,6) AS reward_i, round(b.reward,6) AS reward_j
+    sql("panel", "den", "rw", body="""SELECT a.id, a.model AS model_i, b.model AS model_j, round(a.reward,8) AS reward_i, round(b.reward,8) AS reward_j
         FROM rw a JOIN rw b ON a.id=b.id AND a.model<b.model"""),
 )
 def e5(spark, sf):
@@ -553,7 +553,7 @@ def j2(spark, sf):
 
 @register(
     "j3_repeated_holdout",
-    sql(*PROMPTED_REWARD, "ranked", SEEDED, PRIOR_CV, body="SELECT method, CAST(seed AS INTEGER) AS seed, round(reward,6) AS reward FROM board"),
+    sql(*PROMPTED_REWARD, "ranked", SEEDED, PRIOR_CV, body="SELECT method, CAST(seed AS INTEGER) AS seed, round(reward,8) AS reward FROM board"),
 )
 def j3(spark, sf):
     return _r(prior_cv_board(spark, sf), "reward")

@@ -135,7 +135,7 @@ def g9(spark, sf):
 @register(
     "g10_hybrid_routing",
     sql(*PROMPTED_REWARD, HIER, body="""SELECT p.id, CASE WHEN domain='coding' THEN 'coding' WHEN domain='arc_agi' THEN 'train_mean' ELSE 'general' END AS router_source,
-        gp.model, round(CASE WHEN domain='coding' THEN h1.prior WHEN domain='arc_agi' THEN gp.g ELSE h2.prior END,6) AS score
+        gp.model, round(CASE WHEN domain='coding' THEN h1.prior WHEN domain='arc_agi' THEN gp.g ELSE h2.prior END,8) AS score
         FROM profiles p CROSS JOIN gp LEFT JOIN hier h1 ON h1.level='subtask' AND h1.key=p.k AND h1.model=gp.model
         LEFT JOIN hier h2 ON h2.level='domain' AND h2.key=p.domain AND h2.model=gp.model"""),
 )

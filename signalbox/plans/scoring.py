@@ -21,7 +21,12 @@ from signalbox.session import ensure_checkpoint_dir
 from signalbox.sources import tables as S
 
 
-def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+def _r(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
+    """Round for the comparison with SQL.
+
+    Means of the derived rewards can end exactly at the seventh decimal, so fewer digits would
+    leave the rounding to the order of the sum.
+    """
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
@@ -38,7 +43,7 @@ def scratch(spark, name: str) -> str:
 
 @register(
     "a1_csv_round_trip",
-    sql("panel", body="""SELECT id, query, round(sum(performance),6) AS performance, round(sum(cost),6) AS cost
+    sql("panel", body="""SELECT id, query, round(sum(performance),8) AS performance, round(sum(cost),8) AS cost
         FROM panel GROUP BY id, query"""),
 )
 def a1(spark, sf):
@@ -110,7 +115,7 @@ def a4_wide(spark, sf):
 
 
 _WIDE = ", ".join(
-    f"round(max(CASE WHEN model='{m}' THEN {f} END),6) AS {m}{suffix}"
+    f"round(max(CASE WHEN model='{m}' THEN {f} END),8) AS {m}{suffix}"
     for m in MODELS
     for f, suffix in (("performance", "_pred_performance"), ("cost", "_pred_cost"), ("reward", "_carrot_score"))
 )
@@ -125,7 +130,7 @@ def a5(spark, sf):
 
 @register(
     "a6_router_parameters",
-    sql("panel", body="""SELECT model, round(avg(cost),6) AS cost_mean, round(stddev_pop(cost),6) AS cost_std,
+    sql("panel", body="""SELECT model, round(avg(cost),8) AS cost_mean, round(stddev_pop(cost),8) AS cost_std,
         CAST(0 AS DOUBLE) AS score_bias, CAST(1 AS DOUBLE) AS ranking_loss_weight FROM panel GROUP BY model"""),
 )
 def a6(spark, sf):
@@ -157,7 +162,7 @@ def a7(spark, sf):
 
 # --- rewards and cost norms -----------------------------------------------------------
 
-@register("b1_reward", sql("panel", "den", "rwg", body="SELECT id, model, round(norm_cost,6) AS norm_cost, round(reward,6) AS reward FROM rwg"))
+@register("b1_reward", sql("panel", "den", "rwg", body="SELECT id, model, round(norm_cost,8) AS norm_cost, round(reward,8) AS reward FROM rwg"))
 def b1(spark, sf):
     return _r(C.to_long(R.add_reward(X.panel(spark, sf)), "norm_cost", "reward"), "norm_cost", "reward")
 
@@ -179,7 +184,7 @@ _NORMS = {
 
 
 def _register_norm(name: str, method: str, expression: str) -> None:
-    @register(f"b2_cost_norm_{name}", sql("panel", "den", body=f"SELECT id, model, round({expression},6) AS norm_cost FROM panel"))
+    @register(f"b2_cost_norm_{name}", sql("panel", "den", body=f"SELECT id, model, round({expression},8) AS norm_cost FROM panel"))
     def run(spark, sf):
         return _r(C.to_long(R.normalize_cost(X.panel(spark, sf), method), "norm_cost"), "norm_cost")
 
@@ -194,12 +199,12 @@ for _name, (_method, _expression) in _NORMS.items():
         (SELECT avg(mx) FROM (SELECT max(cost) AS mx FROM sparse GROUP BY id)),6) AS reward FROM sparse"""),
 )
 def b2_sparse(spark, sf):
-    return _r(C.to_long(R.add_reward(X.sparse_panel(spark, sf), "mean-row-max"), "reward"), "reward")
+    return _r(C.to_long(R.add_reward(X.sparse_panel(spark, sf), "mean-row-max"), "reward"), "reward", digits=6)
 
 
 @register(
     "b3_cost_scaler",
-    sql("panel", body="""SELECT id, p.model, round((cost-m)/s,6) AS z_cost, round(greatest(0, m+s*((cost-m)/s)),6) AS pred_cost
+    sql("panel", body="""SELECT id, p.model, round((cost-m)/s,8) AS z_cost, round(greatest(0, m+s*((cost-m)/s)),8) AS pred_cost
         FROM panel p JOIN (SELECT model, avg(cost) AS m, stddev_pop(cost) AS s FROM panel GROUP BY model) q ON p.model=q.model"""),
 )
 def b3(spark, sf):
@@ -211,7 +216,7 @@ def b3(spark, sf):
 @register(
     "b4_plug_in_score",
     sql("panel", "den", body="""SELECT id, model, round((1-CAST(0.4 AS DOUBLE))*performance
-        -CAST(0.4 AS DOUBLE)*(cost/(SELECT g FROM den)),6) AS score FROM panel"""),
+        -CAST(0.4 AS DOUBLE)*(cost/(SELECT g FROM den)),8) AS score FROM panel"""),
 )
 def b4(spark, sf):
     panel = X.panel(spark, sf)
@@ -223,7 +228,7 @@ def b4(spark, sf):
 @register(
     "b5_clipped_score",
     sql("panel", "alpha", body="""SELECT p.id, p.model, round(CAST(0.85 AS DOUBLE)*least(1, greatest(0, a.score*2-CAST(0.5 AS DOUBLE)))
-        -(1-CAST(0.85 AS DOUBLE))*greatest(0, p.performance-CAST(0.5 AS DOUBLE)),6) AS score
+        -(1-CAST(0.85 AS DOUBLE))*greatest(0, p.performance-CAST(0.5 AS DOUBLE)),8) AS score
         FROM panel p JOIN alpha a ON p.id=a.id AND p.model=a.model"""),
 )
 def b5(spark, sf):
@@ -236,7 +241,7 @@ def b5(spark, sf):
 @register(
     "b6_rescore_changed",
     sql("panel", "den", body="""SELECT CAST(count(*) FILTER (WHERE a.model<>b.model) AS BIGINT) AS changed, count(*) AS compared,
-          round((SELECT q/(1+q) FROM (SELECT (1-CAST(0.85 AS DOUBLE))/CAST(0.85 AS DOUBLE)*(g/r) AS q FROM den)),6) AS cost_weight
+          round((SELECT q/(1+q) FROM (SELECT (1-CAST(0.85 AS DOUBLE))/CAST(0.85 AS DOUBLE)*(g/r) AS q FROM den)),8) AS cost_weight
         FROM (SELECT id, model, row_number() OVER (PARTITION BY id ORDER BY
                 CAST(0.85 AS DOUBLE)*performance-(1-CAST(0.85 AS DOUBLE))*(cost/(SELECT g FROM den)) DESC, model) AS rk FROM panel) a
         JOIN (SELECT id, model, row_number() OVER (PARTITION BY id ORDER BY
@@ -257,7 +262,7 @@ def b6(spark, sf):
 
 @register(
     "b7_row_softmax",
-    sql("panel", "den", "rw", body="""SELECT id, model, round(e/sum(e) OVER (PARTITION BY id),6) AS probability FROM
+    sql("panel", "den", "rw", body="""SELECT id, model, round(e/sum(e) OVER (PARTITION BY id),8) AS probability FROM
         (SELECT id, model, exp((reward-max(reward) OVER (PARTITION BY id))/CAST(0.05 AS DOUBLE)) AS e FROM rw)"""),
 )
 def b7(spark, sf):
@@ -267,7 +272,7 @@ def b7(spark, sf):
 
 @register(
     "b8_clipped_sigmoid",
-    sql("alpha", body="SELECT id, model, round(1/(1+exp(-least(30,greatest(-30,(score-CAST(0.5 AS DOUBLE))*100)))),6) AS p FROM alpha"),
+    sql("alpha", body="SELECT id, model, round(1/(1+exp(-least(30,greatest(-30,(score-CAST(0.5 AS DOUBLE))*100)))),8) AS p FROM alpha"),
 )
 def b8(spark, sf):
     out = C.add_field(X.scores(spark, sf), "p", lambda c: sigmoid((c["score"] - F.lit(0.5)) * 100))
@@ -276,7 +281,7 @@ def b8(spark, sf):
 
 @register(
     "b9_row_minmax",
-    sql("alpha", body="""SELECT id, model, round((score-lo)/CASE WHEN hi-lo>1e-8 THEN hi-lo ELSE 1 END,6) AS score FROM
+    sql("alpha", body="""SELECT id, model, round((score-lo)/CASE WHEN hi-lo>1e-8 THEN hi-lo ELSE 1 END,8) AS score FROM
         (SELECT *, min(score) OVER (PARTITION BY id) AS lo, max(score) OVER (PARTITION BY id) AS hi FROM alpha)"""),
 )
 def b9(spark, sf):
@@ -285,7 +290,7 @@ def b9(spark, sf):
 
 @register(
     "b10_model_minmax",
-    sql("beta", body="""SELECT id, model, round((score-lo)/CASE WHEN hi-lo>1e-12 THEN hi-lo ELSE 1 END,6) AS score FROM
+    sql("beta", body="""SELECT id, model, round((score-lo)/CASE WHEN hi-lo>1e-12 THEN hi-lo ELSE 1 END,8) AS score FROM
         (SELECT *, min(score) OVER (PARTITION BY model) AS lo, max(score) OVER (PARTITION BY model) AS hi FROM beta)"""),
 )
 def b10(spark, sf):
@@ -387,7 +392,7 @@ def b14(spark, sf):
 
 @register(
     "b15_implied_cost",
-    sql("panel", "den", "rw", body="""SELECT id, model, round(greatest(0,(CAST(0.85 AS DOUBLE)*performance-reward)/(1-CAST(0.85 AS DOUBLE))),6) AS implied_cost FROM rw"""),
+    sql("panel", "den", "rw", body="""SELECT id, model, round(greatest(0,(CAST(0.85 AS DOUBLE)*performance-reward)/(1-CAST(0.85 AS DOUBLE))),8) AS implied_cost FROM rw"""),
 )
 def b15(spark, sf):
     out = R.add_implied_cost(R.add_reward(X.panel(spark, sf), "mean-row-max"))
@@ -432,7 +437,7 @@ def b16(spark, sf):
 
 # --- argmax and ranking -----------------------------------------------------------------
 
-@register("c1_oracle_label", sql("panel", "den", "rw", "ranked", body="SELECT id, model AS label, round(reward,6) AS oracle_reward FROM ranked WHERE rk=1"))
+@register("c1_oracle_label", sql("panel", "den", "rw", "ranked", body="SELECT id, model AS label, round(reward,8) AS oracle_reward FROM ranked WHERE rk=1"))
 def c1(spark, sf):
     return _r(D.oracle(R.add_reward(X.panel(spark, sf), "mean-row-max")), "oracle_reward")
 
@@ -443,19 +448,19 @@ def c1(spark, sf):
         FROM (SELECT id, model, CAST(0.85 AS DOUBLE)*performance-(1-CAST(0.85 AS DOUBLE))*(cost/(SELECT max(cost) FROM sparse)) AS reward FROM sparse)) WHERE rk=1"""),
 )
 def c1_sparse(spark, sf):
-    return _r(D.oracle(R.add_reward(X.sparse_panel(spark, sf))), "oracle_reward")
+    return _r(D.oracle(R.add_reward(X.sparse_panel(spark, sf))), "oracle_reward", digits=6)
 
 
 @register(
     "c2_route_decision",
-    sql("alpha", body="""SELECT id, model AS pred_model, round(score,6) AS score FROM
+    sql("alpha", body="""SELECT id, model AS pred_model, round(score,8) AS score FROM
         (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, model) AS rk FROM alpha) WHERE rk=1"""),
 )
 def c2(spark, sf):
     return _r(D.decide(X.scores(spark, sf)), "score")
 
 
-@register("c3_constant_board", sql("panel", "den", "rw", body="SELECT model, round(avg(reward),6) AS mean_reward, count(*) AS n FROM rw GROUP BY model"))
+@register("c3_constant_board", sql("panel", "den", "rw", body="SELECT model, round(avg(reward),8) AS mean_reward, count(*) AS n FROM rw GROUP BY model"))
 def c3(spark, sf):
     return _r(D.constant_board(R.add_reward(X.panel(spark, sf), "mean-row-max")), "mean_reward")
 
@@ -479,7 +484,7 @@ _MARGIN = "max(CASE WHEN rk=1 THEN reward END)-max(CASE WHEN rk=2 THEN reward EN
 
 @register(
     "c4_margins",
-    sql("panel", "den", "rw", "ranked", body=f"SELECT id, round({_MARGIN},6) AS margin, round(least(1,greatest(0,{_MARGIN})),6) AS clipped_margin FROM ranked GROUP BY id"),
+    sql("panel", "den", "rw", "ranked", body=f"SELECT id, round({_MARGIN},8) AS margin, round(least(1,greatest(0,{_MARGIN})),8) AS clipped_margin FROM ranked GROUP BY id"),
 )
 def c4(spark, sf):
     return _r(D.margins(R.add_reward(X.panel(spark, sf), "mean-row-max")), "margin", "clipped_margin")
@@ -487,7 +492,7 @@ def c4(spark, sf):
 
 @register(
     "c5_examples_per_label",
-    sql("panel", "den", "rw", "ranked", body=rf"""SELECT id, label, round(margin,6) AS margin,
+    sql("panel", "den", "rw", "ranked", body=rf"""SELECT id, label, round(margin,8) AS margin,
         CASE WHEN length(query)>600 THEN regexp_replace(substr(query,1,600),'\s+$','')||chr(10)||'[truncated]' ELSE query END AS query, rank FROM
         (SELECT *, row_number() OVER (PARTITION BY label ORDER BY margin DESC, id) AS rank FROM
          (SELECT id, max(query) AS query, max(CASE WHEN rk=1 THEN model END) AS label, {_MARGIN} AS margin FROM ranked GROUP BY id)) WHERE rank<=3"""),
@@ -506,7 +511,7 @@ VERSUS_SQL = """versus AS (SELECT b.id, b.pred_model AS base_pred, max(CASE WHEN
 
 @register(
     "c6_override_candidates",
-    sql("alpha", "base", VERSUS_SQL, body="""SELECT id, base_pred, score_pred, round(margin,6) AS margin_vs_base, round(gap,6) AS top_gap FROM versus
+    sql("alpha", "base", VERSUS_SQL, body="""SELECT id, base_pred, score_pred, round(margin,8) AS margin_vs_base, round(gap,8) AS top_gap FROM versus
         WHERE base_pred<>score_pred ORDER BY margin DESC, gap DESC, id LIMIT 40"""),
 )
 def c6(spark, sf):
@@ -532,7 +537,7 @@ METHODS_SQL = "methods AS (" + " UNION ALL ".join(
 
 @register(
     "c7_method_leaderboard",
-    sql("panel", "den", "rw", *X.SOURCES, METHODS_SQL, body="""SELECT method, round(avg(reward),6) AS mean_reward, count(*) AS n,
+    sql("panel", "den", "rw", *X.SOURCES, METHODS_SQL, body="""SELECT method, round(avg(reward),8) AS mean_reward, count(*) AS n,
         CAST(row_number() OVER (ORDER BY avg(reward) DESC, method) AS INTEGER) AS rank FROM methods GROUP BY method"""),
 )
 def c7(spark, sf):
@@ -541,7 +546,7 @@ def c7(spark, sf):
 
 @register(
     "c8_frequencies",
-    sql("prompted", body=f"""SELECT label, n, round(n/sum(n) OVER (),6) AS share FROM
+    sql("prompted", body=f"""SELECT label, n, round(n/sum(n) OVER (),8) AS share FROM
         (SELECT k AS label, count(*) AS n FROM (SELECT {PROFILE_SQL} AS k FROM prompted) GROUP BY k ORDER BY n DESC, label LIMIT 12)"""),
 )
 def c8(spark, sf):

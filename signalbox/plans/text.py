@@ -64,7 +64,7 @@ KNN_SCORES = """gm AS (SELECT r.model, avg(reward) AS g FROM rw r JOIN split s O
 @register(
     "f1_word_vocabulary",
     sql(word_terms_sql("(SELECT doc_id AS id, text AS query FROM documents)", keep="id"), body="""SELECT term, CAST(sum(c) AS BIGINT) AS tf, count(*) AS df,
-        round(ln((1.0::DOUBLE+(SELECT count(*) FROM documents))/(1+count(*)))+1,6) AS idf FROM tf GROUP BY term ORDER BY tf DESC, term LIMIT 200000"""),
+        round(ln((1.0::DOUBLE+(SELECT count(*) FROM documents))/(1+count(*)))+1,8) AS idf FROM tf GROUP BY term ORDER BY tf DESC, term LIMIT 200000"""),
 )
 def f1(spark, sf):
     docs = rewarded_texts(spark, sf).select("id", "query")
@@ -73,14 +73,14 @@ def f1(spark, sf):
 
 @register(
     "f1_word_weights",
-    sql("split", word_terms_sql("split"), weights_sql(40000, False, 2), body="""SELECT id, count(*) AS n_terms, round(sum(w),5) AS total, round(max(w),6) AS top FROM w GROUP BY id"""),
+    sql("split", word_terms_sql("split"), weights_sql(40000, False, 2), body="""SELECT id, count(*) AS n_terms, round(sum(w),5) AS total, round(max(w),8) AS top FROM w GROUP BY id"""),
 )
 def f1_weights(spark, sf):
     train, held = J.train_and_held(rewarded_texts(spark, sf).select("id", "query"), HELD, SPLIT_SEED)
     model = TF.fit(train, TF.SPECS["retrieval"])
     weighted = TF.transform(train.unionByName(held), model)
     stats = weighted.select("id", F.size("idx").alias("n_terms"), C.total(F.col("w")).alias("total"), F.array_max("w").alias("top"))
-    return stats.where("n_terms > 0").select("id", "n_terms", F.round("total", 5).alias("total"), F.round("top", 6).alias("top"))
+    return stats.where("n_terms > 0").select("id", "n_terms", F.round("total", 5).alias("total"), F.round("top", 8).alias("top"))
 
 
 _CHARS = "strip_accents(lower(text))"
@@ -113,7 +113,7 @@ def f2_char_wb(spark, sf):
 @register(
     "f3_tfidf_knn",
     sql("split", "panel", "den", "rw", word_terms_sql("split"), weights_sql(200000), neighbors_sql(100), KNN_SCORES,
-        body="SELECT id, model, round(score,6) AS score FROM knn_all"),
+        body="SELECT id, model, round(score,8) AS score FROM knn_all"),
 )
 def f3(spark, sf):
     train, held = text_split(spark, sf)
@@ -130,7 +130,7 @@ SPLIT_PRIORS = f"""tasks AS (SELECT id, {TASK_SQL} AS task FROM split),
 @register(
     "f4_task_knn_router",
     sql("split", "panel", "den", "rw", word_terms_sql("split"), weights_sql(200000), neighbors_sql(100), KNN_SCORES, SPLIT_PRIORS,
-        body="""SELECT id, model AS pred_model, round(score,6) AS score FROM
+        body="""SELECT id, model AS pred_model, round(score,8) AS score FROM
         (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, model) AS rk FROM mixed) WHERE rk=1"""),
 )
 def f4(spark, sf):
@@ -142,13 +142,15 @@ def f4(spark, sf):
 @register(
     "f5_similar_examples",
     sql("split", "panel", "den", "rw", "ranked", word_terms_sql("split"), weights_sql(40000, False, 2), neighbors_sql(5), body="""SELECT nn.id, neighbor_id, rank,
-        round(similarity,6) AS similarity, label, round(margin,6) AS margin FROM nn JOIN (SELECT id, max(CASE WHEN rk=1 THEN model END) AS label,
+        round(similarity,6) AS similarity, label, round(margin,8) AS margin FROM nn JOIN (SELECT id, max(CASE WHEN rk=1 THEN model END) AS label,
         max(CASE WHEN rk=1 THEN reward END)-max(CASE WHEN rk=2 THEN reward END) AS margin FROM ranked GROUP BY id) l ON l.id=nn.neighbor_id"""),
 )
 def f5(spark, sf):
     labelled = D.labelled_margins(rewarded_texts(spark, sf))
     train, held = J.train_and_held(labelled, HELD, SPLIT_SEED)
-    return _r(NB.similar_examples(train, held, 5).drop("example"), "similarity", "margin")
+    out = _r(NB.similar_examples(train, held, 5).drop("example"), "margin")
+    # The similarity is rounded already; eight of its nine digits would often be a tie.
+    return _r(out, "similarity", digits=6)
 
 
 # --- dense vectors -----------------------------------------------------------------------
@@ -170,7 +172,7 @@ def vector_split(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @register(
     "f6_dense_knn_residual",
-    sql(VECTORS, dense_neighbors_sql(50), body="""SELECT dn.id, model, round(sum(greatest(similarity,0)*residual)/sum(greatest(similarity,0)),6) AS score
+    sql(VECTORS, dense_neighbors_sql(50), body="""SELECT dn.id, model, round(sum(greatest(similarity,0)*residual)/sum(greatest(similarity,0)),8) AS score
         FROM dn JOIN res ON res.id=neighbor_id GROUP BY dn.id, model"""),
 )
 def f6(spark, sf):
@@ -180,7 +182,7 @@ def f6(spark, sf):
 
 @register(
     "f6_corrected_decisions",
-    sql(VECTORS, dense_neighbors_sql(50), body="""SELECT id, model AS pred_model, round(s,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, model) AS rk FROM
+    sql(VECTORS, dense_neighbors_sql(50), body="""SELECT id, model AS pred_model, round(s,8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, model) AS rk FROM
         (SELECT c.id, c.model, r.residual+CAST(0.15 AS DOUBLE)*c.score AS s FROM
          (SELECT dn.id, model, sum(greatest(similarity,0)*residual)/sum(greatest(similarity,0)) AS score FROM dn JOIN res ON res.id=neighbor_id GROUP BY dn.id, model) c
          JOIN res r ON r.id=c.id AND r.model=c.model)) WHERE rk=1"""),
@@ -202,7 +204,7 @@ def f6_decisions(spark, sf):
         """near AS (SELECT id, pos, avg(v) AS m FROM (SELECT dn.id, generate_subscripts(e.vec,1) AS pos, unnest(e.vec) AS v FROM dn JOIN ev e ON e.id=dn.neighbor_id) GROUP BY id, pos),
         own AS (SELECT id, generate_subscripts(vec,1) AS pos, unnest(vec) AS v FROM ev WHERE held_out),
         mix AS (SELECT o.id, o.pos, (1-CAST(0.2 AS DOUBLE))*v+CAST(0.2 AS DOUBLE)*m AS x FROM own o JOIN near n ON n.id=o.id AND n.pos=o.pos)""",
-        body="SELECT id, CAST(pos-1 AS INTEGER) AS pos, round(x/sqrt(sum(x*x) OVER (PARTITION BY id)),6) AS x FROM mix",
+        body="SELECT id, CAST(pos-1 AS INTEGER) AS pos, round(x/sqrt(sum(x*x) OVER (PARTITION BY id)),8) AS x FROM mix",
     ),
 )
 def f7(spark, sf):
