@@ -39,6 +39,14 @@ def implied_cost(performance: Column, reward: Column, alpha: float = 0.85) -> Co
     return F.greatest(F.lit(0.0), (F.lit(alpha) * performance - reward) / F.lit(1.0 - alpha))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """The number as text with fixed digits, a tie decided by its exact binary value.
+
+    ``format_string`` rounds the shortest decimal form instead, which differs at ties.
+    """
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def truncate_text(text: Column, max_chars: int, marker: str = "\n[truncated]") -> Column:
     """Cut a long text and mark it; trailing white space before the marker goes."""
     if max_chars <= 0:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalbox.functions import cells as C
-from signalbox.functions.scalars import truncate_text
+from signalbox.functions.scalars import fixed, truncate_text
 
 
 def decide(panel: DataFrame, field: str = "score", keep: Sequence[str] = ("id",), out: str = "pred_model") -> DataFrame:
@@ -133,7 +133,7 @@ def _format(rows: DataFrame) -> DataFrame:
     entry = F.struct((-F.col("n")).alias("o"), F.col("label"), F.col("n"), F.col("share"))
     text = F.transform(
         F.array_sort(F.collect_list(entry)),
-        lambda r: F.format_string("%s=%d (%.1f%%)", r["label"], r["n"], r["share"] * 100),
+        lambda r: F.format_string("%s=%d (%s%%)", r["label"], r["n"], fixed(r["share"] * 100, 1)),
     )
     joined = F.array_join(text, ", ")
     return rows.agg(F.when(F.length(joined) > 0, joined).otherwise("none").alias("counts"))
