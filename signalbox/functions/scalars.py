@@ -42,9 +42,11 @@ def implied_cost(performance: Column, reward: Column, alpha: float = 0.85) -> Co
 def fixed(x: Column, digits: int) -> Column:
     """The number as text with fixed digits, a tie decided by its exact binary value.
 
-    ``format_string`` rounds the shortest decimal form instead, which differs at ties.
+    ``format_string`` rounds the shortest decimal form instead, which differs at ties.  Rounding
+    to nine digits first takes out the noise of summing in another order, so that a text made
+    from means is the same on every run.
     """
-    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+    return F.replace(F.format_number(F.round(x, 9), digits), F.lit(","), F.lit(""))
 
 
 def truncate_text(text: Column, max_chars: int, marker: str = "\n[truncated]") -> Column:

@@ -117,13 +117,13 @@ def a4_wide(spark, sf):
 _WIDE = ", ".join(
     f"round(max(CASE WHEN model='{m}' THEN {f} END),8) AS {m}{suffix}"
     for m in MODELS
-    for f, suffix in (("performance", "_pred_performance"), ("cost", "_pred_cost"), ("reward", "_carrot_score"))
+    for f, suffix in (("performance", "_pred_performance"), ("cost", "_pred_cost"), ("reward", "_score"))
 )
 
 
 @register("a5_wide_export", sql("panel", "den", "rw", body=f"SELECT id, {_WIDE} FROM rw GROUP BY id"))
 def a5(spark, sf):
-    fields = {"performance": "_pred_performance", "cost": "_pred_cost", "reward": "_carrot_score"}
+    fields = {"performance": "_pred_performance", "cost": "_pred_cost", "reward": "_score"}
     out = S.wide_export(R.add_reward(X.panel(spark, sf), "mean-row-max"), MODELS, fields)
     return _r(out, *[c for c in out.columns if c != "id"])
 
@@ -555,7 +555,7 @@ def c8(spark, sf):
 
 @register(
     "c8_formatted_counts",
-    sql("base", body="""SELECT string_agg(label||'='||n||' ('||printf('%.1f', 100.0*n/t)||'%)', ', ' ORDER BY n DESC, label) AS counts FROM
+    sql("base", body="""SELECT string_agg(label||'='||n||' ('||printf('%.1f', round(100.0*n/t,9))||'%)', ', ' ORDER BY n DESC, label) AS counts FROM
         (SELECT pred_model AS label, count(*) AS n, sum(count(*)) OVER () AS t FROM base GROUP BY pred_model)"""),
 )
 def c8_text(spark, sf):

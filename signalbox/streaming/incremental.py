@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,12 +47,12 @@ def route_stream(
 
 def earlier_decisions(spark: SparkSession, log_folder: str, skip: int | None = None) -> DataFrame:
     """Decisions logged so far, without those of batch ``skip``."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(log_folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    try:
+        log = spark.read.schema(DECISION_SCHEMA + ", batch BIGINT").json(log_folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], DECISION_SCHEMA)
-    log = spark.read.schema(DECISION_SCHEMA + ", batch BIGINT").json(log_folder)
     if skip is not None:
         log = log.where(F.col("batch") != skip)
     return log.select("id", "pred_model", "decision_source")
