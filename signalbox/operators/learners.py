@@ -98,7 +98,7 @@ def _target_stats(rows: DataFrame, values: str, n_models: int) -> tuple[int, lis
 
 
 def fit_ridge(
-    rows: DataFrame, models: Sequence[str], alpha: float = 10.0, values: str = "rewards", max_iter: int = 100
+    rows: DataFrame, models: Sequence[str], alpha: float = 10.0, values: str = "rewards", max_iter: int = 100, tol: float = 1e-6
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and intercepts of one ridge regression per model on shared features.
 
@@ -115,7 +115,7 @@ def fit_ridge(
             return np.zeros(size), data.agg(F.avg("label")).first()[0]
         fitted = LinearRegression(
             solver="l-bfgs", elasticNetParam=0.0, standardization=False, regParam=alpha / n * stds[i],
-            maxIter=max_iter, tol=1e-8,
+            maxIter=max_iter, tol=tol,
         ).fit(data)
         return fitted.coefficients.toArray(), fitted.intercept
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from signalbox.functions import cells as C
 from signalbox.operators import audit as A
 from signalbox.operators import calibrate as B
-from signalbox.operators import decide as D
 from signalbox.operators import ensemble as E
 from signalbox.plans import fixtures as X
 from signalbox.plans.evaluation import rewarded

@@ -47,7 +47,7 @@ def g1(spark, sf):
 def g2(spark, sf):
     train, held = text_split(spark, sf)
     rows, queries = G.text_features(NB.dense_rewards(train, MODELS), held, TF.SPECS["word12"], keep=("rewards",))
-    return long_scores(G.ridge_scores(rows, queries, MODELS))
+    return long_scores(G.ridge_scores(rows, queries, MODELS, max_iter=40))
 
 
 @register("g3_pairwise_preferences")
@@ -127,7 +127,7 @@ def g9(spark, sf):
     """Multi-output reward regression and the policy reward of its decisions."""
     train, held = text_split(spark, sf)
     rows, queries = G.text_features(NB.dense_rewards(train, MODELS), held, TF.SPECS["word12"], keep=("rewards",))
-    decisions = D.decide(G.ridge_scores(rows, queries, MODELS))
+    decisions = D.decide(G.ridge_scores(rows, queries, MODELS, max_iter=40))
     oracle = held.select(C.best(F.col("cells"), "reward")["value"].alias("v")).agg(F.avg("v")).scalar()
     return A.policy_reward(held, decisions).withColumn("oracle_reward", oracle)
 
