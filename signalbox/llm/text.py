@@ -144,9 +144,11 @@ class Words:
         return out, bound
 
 
-def words_of(column: pa.Array, fold: bool = True, prefixes: tuple[int, ...] = (), limit: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
+def words_of(
+    column: pa.Array, fold: bool = True, prefixes: tuple[int, ...] = (), kinds: np.ndarray | None = None, limit: int = CHUNK
+) -> Iterator[tuple[int, int, Words]]:
     """(first row, last row, words) for ranges of a string column."""
     data, offsets = texts(column)
     for first, last in spans(offsets, limit):
         low, high = offsets[first], offsets[last]
-        yield first, last, Words(data[low:high], offsets[first : last + 1] - low, fold, prefixes)
+        yield first, last, Words(data[low:high], offsets[first : last + 1] - low, fold, prefixes, kinds)
