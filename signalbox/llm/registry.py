@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["mixing", "packing", "token_files", "warc", "fingerprints", "toxicity"]
+MODULES = ["ngram_join", "toxicity", "mixing", "packing", "token_files", "fingerprints", "warc"]
 
 
 def register(name: str, oracle: str | None = None):
