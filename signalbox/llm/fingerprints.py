@@ -13,10 +13,9 @@ import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from signalbox.llm.registry import register
-from signalbox.llm.storage import id_bounds, id_bucket, partitions
+from signalbox.llm.storage import with_next
 
 SHINGLE = 5
 BINS = 256
@@ -25,7 +24,6 @@ TRIES = 6
 """Bins an empty bin looks into by a fixed table before it ranks all full bins."""
 _SPACES = " \t\n\x0b\f\r"
 _EMPTY = (1 << 56) - 1
-_BUCKET_ROWS = 5_000
 
 
 def let(value: Column, use) -> Column:
@@ -122,32 +120,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), estimate))
 
 
-def with_next(rows: DataFrame, *columns: str) -> DataFrame:
-    """Add ``next_<column>``: the values of the next row by ascending doc_id, the first one's after the last.
-
-    Rows are dealt by ranges of ids whose starts are existing ids; the rows at a start go to the
-    range before it too, so every range sees its successor.  Equal ids are ordered by their
-    columns.  Rows without an id have no next row and get nulls; they are spread by hash.
-    """
-    spark = rows.sparkSession
-    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"))
-    count, least = ids.agg(F.count("doc_id"), F.min("doc_id")).first()
-    bounds = id_bounds(ids, max(8 * partitions(spark), -(-count // _BUCKET_ROWS)))
-    key = F.col("doc_id").cast("long")
-    bucket = id_bucket(key, bounds)
-    starts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    stray = -1 - F.pmod(F.xxhash64(*columns), F.lit(256)).cast("int")
-    place = lambda b, ghost: F.struct(b.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
-    places = F.when(key.isNull(), F.array(place(stray, 0)))
-    places = places.when(key == F.lit(least).cast("long"), F.array(place(F.lit(0), 0), place(F.lit(len(bounds)), 1)))
-    places = places.when(F.get(starts, bucket - 1) == key, F.array(place(bucket, 0), place(bucket - 1, 1))).otherwise(F.array(place(bucket, 0)))
-    order = Window.partitionBy("bucket").orderBy("ghost", "doc_id", *columns)
-    dealt = rows.select("*", F.explode(places).alias("place")).select(*rows.columns, "place.*")
-    out = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("ghost = 0")
-    following = [F.when(F.col("doc_id").isNotNull(), F.col(f"next_{c}")).alias(f"next_{c}") for c in columns]
-    return out.select(*rows.columns, *following)
-
-
 def edited(text: Column, n: Column, following: Column) -> Column:
     """The last quarter of the text replaced by as many first characters of the following one, or all it has."""
     quarter = F.floor(n / 4).cast("int")
@@ -161,7 +133,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     row; an empty table gives no rows.  Texts and their first fingerprints move once.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    first = with_next(base.withColumn("packed", fingerprint(F.col("text"))), "text", "packed").withColumn("n", F.length("text"))
+    first = with_next(base.withColumn("packed", fingerprint(F.col("text"))), "doc_id", ["text", "packed"], wrap=True).withColumn("n", F.length("text"))
     changed = first.withColumn("edited", edited(F.col("text"), F.col("n"), F.col("next_text")))
     second = changed.select(
         "doc_id", "n", "packed", "next_packed", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_packed")

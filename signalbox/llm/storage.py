@@ -8,6 +8,7 @@ import numpy as np
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from signalbox.session import ensure_checkpoint_dir
 
@@ -52,11 +53,11 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def id_bounds(ids: DataFrame, buckets: int) -> list[int]:
+def id_bounds(ids: DataFrame, buckets: int) -> list:
     """Starts of about ``buckets`` ranges of ids with about equally many rows.
 
-    ``ids`` has one long column.  The bounds are quantiles of ids taken by their hash, so
-    they are existing ids and the same on every run.  About 20,000 ids come to the driver
+    ``ids`` has one column of longs or strings.  The bounds are quantiles of ids taken by their
+    hash, so they are existing ids and the same on every run.  About 20,000 ids come to the driver
     at any input size; the smallest id is no bound.
     """
     name = ids.columns[0]
@@ -70,12 +71,18 @@ def id_bounds(ids: DataFrame, buckets: int) -> list[int]:
     if not rows:
         return []
     rows.sort()
-    keys, weights = np.array([r[0] for r in rows], dtype=np.int64), np.cumsum([r[1] for r in rows])
+    weights = np.cumsum([r[1] for r in rows])
     at = np.searchsorted(weights, np.arange(1, buckets) * weights[-1] / buckets)
-    return [int(x) for x in np.unique(keys[at]) if x > total[1]]
+    return [x for x in sorted({rows[i][0] for i in at}) if x > total[1]]
 
 
-def id_bucket(value: Column, bounds: list[int]) -> Column:
+def literals(values: list) -> Column:
+    """An array of longs or strings."""
+    kind = "string" if values and isinstance(values[0], str) else "long"
+    return F.array(*[F.lit(x).cast(kind) for x in values]).cast(f"array<{kind}>")
+
+
+def id_bucket(value: Column, bounds: list) -> Column:
     """Number of bounds that are not above ``value``: the range it lies in; null ids lie in the first.
 
     Two steps of about the square root of the number of bounds each.
@@ -84,8 +91,36 @@ def id_bucket(value: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = F.size(F.filter(literal([g[0] for g in groups]), lambda b: b <= value))
-    group = F.get(F.array(*[literal(g) for g in groups]), coarse - 1)
+    coarse = F.size(F.filter(literals([g[0] for g in groups]), lambda b: b <= value))
+    group = F.get(F.array(*[literals(g) for g in groups]), coarse - 1)
     inside = F.size(F.filter(group, lambda b: b <= value))
     return F.when(value.isNull() | (coarse == 0), F.lit(0)).otherwise((coarse - 1) * step + inside).cast("int")
+
+
+def with_next(rows: DataFrame, key: str, columns: list[str], wrap: bool, before: list[str] = (), keys: DataFrame | None = None) -> DataFrame:
+    """Add ``next_<column>``: the values of the next row by ascending key; with ``wrap`` the first row's after the last.
+
+    Rows are dealt by ranges of keys whose starts are existing keys; the rows at a start go to the
+    range before it too, so every range sees its successor.  Equal keys are ordered by ``columns``.
+    Rows without a key have no next row and get nulls; they are spread by hash.  ``before`` names
+    columns of which ``last_<column>`` is added: those of the row before, null at a range's start.
+    ``keys`` has the same keys where they can be read at less cost.
+    """
+    counted = rows.select(key) if keys is None else keys.select(key)
+    count, least = counted.agg(F.count(key), F.min(key)).first()
+    bounds = id_bounds(counted, max(8 * partitions(rows.sparkSession), -(-count // 5_000)))
+    value = F.col(key)
+    bucket = id_bucket(value, bounds)
+    stray = -1 - F.pmod(F.xxhash64(*columns), F.lit(256)).cast("int")
+    place = lambda b, ghost: F.struct(b.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
+    places = F.when(value.isNull(), F.array(place(stray, 0)))
+    if wrap:
+        places = places.when(value == F.lit(least), F.array(place(F.lit(0), 0), place(F.lit(len(bounds)), 1)))
+    at_start = F.get(literals(bounds), bucket - 1) == value if bounds else F.lit(False)
+    places = places.when(at_start, F.array(place(bucket, 0), place(bucket - 1, 1))).otherwise(F.array(place(bucket, 0)))
+    order = Window.partitionBy("bucket").orderBy("ghost", key, *columns)
+    dealt = rows.select("*", F.explode(places).alias("place")).select(*rows.columns, "place.*")
+    near = [F.lead(c).over(order).alias(f"next_{c}") for c in columns] + [F.lag(c).over(order).alias(f"last_{c}") for c in before]
+    out = dealt.select("*", *near).where("ghost = 0")
+    keyed = [F.when(value.isNotNull(), F.col(c)).alias(c) for c in out.columns if c.startswith(("next_", "last_"))]
+    return out.select(*rows.columns, *keyed)
