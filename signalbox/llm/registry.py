@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["ngram_join", "toxicity", "mixing", "packing", "token_files", "html_text", "fingerprints", "warc"]
+MODULES = ["ngram_join", "toxicity", "mixing", "packing", "token_files", "html_text", "fingerprints", "warc", "graph_index"]
 
 
 def register(name: str, oracle: str | None = None):
