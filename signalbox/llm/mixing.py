@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from signalbox.llm.registry import register
+from signalbox.llm.storage import stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -21,6 +22,8 @@ EPOCHS = 2
 SEED = "mix-1"
 CHUNKS = 4096
 """Parts of the hash range in which running sums are made before their starts are added."""
+SOURCES = 100_000
+"""Sources up to which their cuts, one short row each, are broadcast."""
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -28,6 +31,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_key(seed: str = SEED) -> Column:
+    """Place of a document in the shuffled order."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """(source, source_size, weight, target) from (source, source_size), one row per source.
 
@@ -54,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def mix(
     docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, finish, taken): the words of each document that the mix takes.
+    """(doc_id, source, size, source_size, target, finish, servings, taken): the words of each document that the mix takes.
 
     ``finish`` is the virtual finish time of the first serving.  Documents are shuffled by
     the hash of seed and id, so reruns agree.  The document at which a source's target falls
@@ -63,8 +71,7 @@ def mix(
     documents of their own.  Only ids, sources and sizes are shuffled; a source's running
     sum is made in parts by hash, and the parts' starts come from a small table of sums.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), shuffle_key(seed).alias("key"))
     rows = rows.withColumn("chunk", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % CHUNKS)
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("chunk_size").alias("source_size")), weights, share, epochs)
@@ -76,17 +83,38 @@ def mix(
     inside = Window.partitionBy("source", "chunk").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("chunk_start") + F.col("inside")
     goal = F.floor(F.col("target") + 0.5)
-    served = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - before - F.col("source_size") * e)) for e in range(epochs)), F.lit(0))
+    served = [F.greatest(F.lit(0), F.least(F.col("size"), goal - before - F.col("source_size") * e)).cast("long") for e in range(epochs)]
     return (
         rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
         .select(
-            "doc_id", "source", "size", "source_size", "target",
-            ((before + F.col("size")) / F.col("weight")).alias("finish"), served.cast("long").alias("taken"),
+            "doc_id", "source", "key", "size", "source_size", "target",
+            ((before + F.col("size")) / F.col("weight")).alias("finish"), F.array(*served).alias("servings"), sum(served, F.lit(0)).cast("long").alias("taken"),
         )
     )
 
 
+def whole_documents(docs: DataFrame, size: Column, seed: str = SEED, epochs: int = EPOCHS, **options) -> DataFrame:
+    """The mix in whole documents: each row as often as it is served by half or more, its columns unchanged.
+
+    The order of a source's documents makes a serving a cut in that order, so the rows meet one
+    row per source and their texts do not move.  A source without words is kept as it is.
+    """
+    mixed = mix(docs, size, seed=seed, epochs=epochs, **options)
+    taken = lambda e: F.max(F.when((F.col("size") > 0) & (F.get("servings", F.lit(e)) * 2 >= F.col("size")), F.col("key")))
+    cuts = stored(mixed.groupBy("source").agg(F.first("source_size").alias("words"), *[taken(e).alias(f"cut{e}") for e in range(epochs)]), "cuts")
+    cuts = cuts.withColumnRenamed("source", "of")
+    if cuts.count() <= SOURCES:
+        cuts = F.broadcast(cuts)
+    times = sum((F.coalesce((F.col("place") <= F.col(f"cut{e}")).cast("int"), F.lit(0)) for e in range(epochs)), F.lit(0))
+    names = [f"`{c}`" for c in docs.columns]
+    # names of the documents' own that clash are out of the way inside the struct
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").cast("string").alias("from"), shuffle_key(seed).alias("place"))
+    met = rows.join(cuts, F.col("from").eqNullSafe(F.col("of")))
+    met = met.withColumn("times", F.when(F.col("words") == 0, F.lit(1)).otherwise(times))
+    return met.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

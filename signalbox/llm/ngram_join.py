@@ -202,15 +202,19 @@ def stars(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
     return dealt.mapInArrow(gather, "key long, hub long, node long, rank long")
 
 
-def bloomed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id may be among ``ids``: a bit table of fixed size is broadcast, at most 262,144 rows."""
+def bloomed(docs: DataFrame, ids: DataFrame, without: bool = False) -> DataFrame:
+    """Documents whose id may be among ``ids``, or ``without``, those whose id is not.
+
+    A bit table of fixed size is broadcast, at most 262,144 rows.
+    """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM))
     words = ids.select(slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")
     )
-    probe = docs.withColumn("slot", slot("doc_id"))
-    found = probe.join(F.broadcast(words), F.shiftright("slot", 6) == F.col("word"))
-    return found.where("shiftrightunsigned(bits, cast(slot % 64 AS int)) & 1L = 1L").select(docs.columns)
+    probe = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.when(F.col("doc_id").isNotNull(), slot("doc_id")).alias("slot"))
+    found = probe.join(F.broadcast(words), F.shiftright("slot", 6) == F.col("word"), "left")
+    maybe = F.coalesce(F.expr("shiftrightunsigned(bits, cast(slot % 64 AS int)) & 1L = 1L"), F.lit(False))
+    return found.where(~maybe if without else maybe).select("row.*")
 
 
 def verified(pairs: DataFrame, sets_: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -340,6 +344,21 @@ def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_class(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents without those that another one of their class, with the smallest id, stands for.
+
+    Columns are unchanged.  Of equal rows one stays.  Rows without an id stay, as nothing names them.
+    Only documents whose id may be among the removed or repeated ones are shuffled.
+    """
+    classes = stored(join_classes(docs, percent).where("doc_id IS NOT NULL"), "classes")
+    removed = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    touched = stored(removed.unionByName(repeated).distinct(), "touched")
+    # one row of an id's equal ones: chosen by the columns that can be compared
+    near = bloomed(docs, touched).join(removed, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return bloomed(docs, touched, without=True).unionByName(near)
+
+
 @register("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

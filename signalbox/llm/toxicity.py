@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalbox.llm.registry import register
 from signalbox.llm.storage import stored
@@ -175,19 +176,26 @@ def fit(docs: DataFrame, graded: DataFrame, sample: int = SAMPLE, limit: int = F
     return OrdinalModel(keys, weights, thresholds)
 
 
-def predict(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """Add ``severity`` and ``grade`` to documents, computed over whole texts.  A null or empty text has no features."""
+def judged(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """(row, severity, grade): each document as a struct of its own columns, and the model's result.
+
+    Computed over whole texts; a null or empty text has no features.
+    """
+    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.scores(batch.column(batch.num_columns - 1))
-            columns = [*batch.columns[:-1], pa.array(model.severity(scores)), pa.array(model.grade(scores).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "severity", "grade"])
+            scores = model.scores(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.severity(scores)), pa.array(model.grade(scores).astype(np.int32))], ["row", "severity", "grade"])
+
+    kinds = row.schema["row"].dataType
+    schema = T.StructType([T.StructField("row", kinds), T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType())])
+    return row.mapInArrow(run, schema)
+
 
-    # the text comes last, under a name of its own
-    taken = [f for f in docs.schema.fields if f.name not in ("severity", "grade")]
-    source = docs.select(*[F.col(f"`{f.name}`") for f in taken], F.col("text").cast("string").alias("__text"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken)
-    return source.mapInArrow(run, f"{out}, severity double, grade int")
+def rejecting(docs: DataFrame, model: OrdinalModel, most: int = 0) -> DataFrame:
+    """The documents with a grade of ``most`` or less, their columns unchanged."""
+    return judged(docs, model).where(F.col("grade") <= most).select("row.*")
 
 
 def toxic_grades(labels: DataFrame) -> DataFrame:
@@ -199,4 +207,4 @@ def toxic_grades(labels: DataFrame) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, toxic_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return predict(docs, model).select("doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic"))
+    return judged(docs, model).select("row.doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic"))
