@@ -35,6 +35,7 @@ class Settings:
     relax: float = 1.2
     batch: int = 256
     expand: int = 4
+    entries: int = 31
 
 
 class Graph:
@@ -48,7 +49,9 @@ class Graph:
         self.points = (np.concatenate([vectors, extra[:, None]], axis=1) / scale).astype(np.float32)
         n = len(vectors)
         self.edges = np.full((n, settings.degree), -1, dtype=np.int32)
-        self.start = int(np.argmax(self.points @ self.points.mean(axis=0))) if n else 0
+        # searches enter at the middle and at the longest vectors, which large products favour
+        middle = np.argsort(-(self.points @ self.points.mean(axis=0)), kind="stable")[:1]
+        self.entries = np.unique(np.concatenate([middle, np.argsort(-norms, kind="stable")[: settings.entries]]))
         order = np.random.Generator(np.random.PCG64(1)).permutation(n)
         # two passes: the first without relaxation
         for relax in (1.0, settings.relax):
@@ -64,9 +67,12 @@ class Graph:
         rows = np.full((q, beam), -1, dtype=np.int32)
         scores = np.full((q, beam), -np.inf, dtype=np.float32)
         done = np.ones((q, beam), dtype=bool)
-        rows[:, 0], scores[:, 0], done[:, 0] = self.start, queries @ self.points[self.start], False
+        first = len(self.entries)
+        value = queries @ self.points[self.entries].T
+        order = np.argsort(-value, axis=1, kind="stable")
+        rows[:, :first], scores[:, :first], done[:, :first] = self.entries[order], np.take_along_axis(value, order, axis=1), False
         seen = np.zeros((q, n), dtype=bool)
-        seen[:, self.start] = True
+        seen[:, self.entries] = True
         active = np.arange(q)
         while len(active):
             open_ = ~done[active]

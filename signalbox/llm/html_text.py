@@ -243,9 +243,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    A page's neighbour is the next one by path on its host, for the last one the one before.
-    Pages without a neighbour, with a null url or with a url without a host are judged by
-    their places alone.  Null html is empty and gives an empty text; equal rows each get a row.
+    A page's neighbour is the next one by path on its host, for the host's last page the one
+    before, unless that one lies in another range of pages.  Pages without a neighbour, a url
+    or a host are judged by their places alone.  Null html is empty and gives an empty text; equal rows each get a row.
     Lines move once, in ranges of host and path, so one host's pages are spread as well.
     """
 

@@ -108,7 +108,7 @@ def with_next(rows: DataFrame, key: str, columns: list[str], wrap: bool, before:
     """
     counted = rows.select(key) if keys is None else keys.select(key)
     count, least = counted.agg(F.count(key), F.min(key)).first()
-    bounds = id_bounds(counted, max(8 * partitions(rows.sparkSession), -(-count // 5_000)))
+    bounds = id_bounds(counted, max(min(8 * partitions(rows.sparkSession), count // 100), -(-count // 5_000)))
     value = F.col(key)
     bucket = id_bucket(value, bounds)
     stray = -1 - F.pmod(F.xxhash64(*columns), F.lit(256)).cast("int")
