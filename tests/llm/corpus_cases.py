@@ -1,3 +1,5 @@
+"""Rows and plain Python helpers for the tests of this folder; fixtures are imported by name."""
+
 import re
 
 import pytest

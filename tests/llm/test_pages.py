@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow.fs
 import pytest
+from corpus_cases import run  # noqa: F401
 
 from signalbox.llm import graph_index, html_text, huffman, storage, warc
 

@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 import numpy as np
-from conftest import shingles, words
+from corpus_cases import documents, edge_docs, shingles, words  # noqa: F401
 from pyspark.sql import functions as F
 
 from signalbox.llm import mixing, registry, toxicity

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import TEXTS, jaccard, shingles, words
+from corpus_cases import TEXTS, documents, edge_docs, jaccard, no_docs, run, shingles, words  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
