@@ -1,38 +1,24 @@
-"""Learned scorers on MLlib: classifiers, regressors, pairwise preferences and item response."""
+"""Learned scorers: classifiers, regressors, pairwise preferences and item response."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalbox.functions import cells as C
-from signalbox.operators import tfidf
+from signalbox.operators import boosting, linear, tfidf
 from signalbox.operators.audit import model_pairs
 from signalbox.operators.labels import soft_oracle_labels
 from signalbox.operators.neighbors import dense_rewards
 from signalbox.session import durable
 
-PARALLEL_FITS = 4
-
-
-def _fit_all(rows: DataFrame, jobs: Sequence[Callable]) -> list:
-    """Run independent fits from a few driver threads; each fit is a distributed job."""
-    inherit = inheritable_thread_target(rows.sparkSession)
-    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-        futures = [pool.submit(inherit(job)) for job in jobs]
-        return [f.result() for f in futures]
-
-
 def _cells(models: Sequence[str], value: Callable[[int], Column]) -> Column:
     return F.array(*[F.struct(F.lit(m).alias("model"), value(i).alias("score")) for i, m in enumerate(models)])
 
@@ -54,32 +40,19 @@ def linear_cells(queries: DataFrame, models: Sequence[str], weights: np.ndarray,
     """
     shared = queries.sparkSession.sparkContext.broadcast((weights, bias))
     width = len(models)
-    slim = queries.select("id", F.unwrap_udt("features").alias("f")).select("id", "f.type", "f.indices", "f.values")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            val = batch.column("values")
-            flat = val.flatten().to_numpy(zero_copy_only=False)
-            lengths = val.value_lengths().to_numpy(zero_copy_only=False)
-            if batch.column("type")[0].as_py() == 1:
-                idx = np.tile(np.arange(w.shape[0]), batch.num_rows)
-            else:
-                idx = batch.column("indices").flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            out = np.empty((batch.num_rows, w.shape[1]))
-            for j in range(w.shape[1]):
-                out[:, j] = np.bincount(row, weights=flat * w[idx, j], minlength=batch.num_rows)
-            out += b
-            if link == "logistic":
-                out = 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
-            ends = pa.array(np.arange(0, out.size + 1, w.shape[1]), pa.int32())
-            scores = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), scores], ["id", "scores"])
-
-    scored = slim.mapInArrow(score, "id long, scores array<double>")
+            for first, last, row, idx, values in linear.row_parts(batch):
+                out = linear.scores(row, idx, values, last - first, w) + b
+                if link == "logistic":
+                    out = 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
+                ends = pa.array(np.arange(0, out.size + 1, w.shape[1]), pa.int32())
+                scores = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), scores], ["id", "scores"])
+
+    scored = linear.sparse_parts(queries, ("id",)).mapInArrow(score, "id long, scores array<double>")
     if width != weights.shape[1]:
         return scored
     return scored.select("id", _cells(models, lambda i: F.get(F.col("scores"), F.lit(i))).alias("cells"))
@@ -91,58 +64,33 @@ def _label_index(models: Sequence[str], label: Column) -> Column:
 
 # --- regressors ------------------------------------------------------------------
 
-def _target_stats(rows: DataFrame, values: str, n_models: int) -> tuple[int, list[float]]:
-    spreads = [F.stddev_samp(F.get(F.col(values), F.lit(i))) for i in range(n_models)]
-    n, *stds = rows.agg(F.count(F.lit(1)), *spreads).first()
-    return n, [s or 0.0 for s in stds]
+def _size(rows: DataFrame) -> int:
+    return rows.select("features").first().features.size
 
 
-def fit_ridge(
-    rows: DataFrame, models: Sequence[str], alpha: float = 10.0, values: str = "rewards", max_iter: int = 100, tol: float = 1e-6
-) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts of one ridge regression per model on shared features.
+def fit_ridge(rows: DataFrame, models: Sequence[str], alpha: float = 10.0, values: str = "rewards") -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of one ridge regression per model on shared features, to convergence."""
+    parts = durable(linear.sparse_parts(rows, (values,)))
+    return linear.ridge(parts, values, _size(rows), len(models), alpha)
 
-    MLlib divides the squared loss by n and rescales by the label's deviation, hence the
-    translation of ``alpha``.  A constant target needs no fit.
-    """
-    n, stds = _target_stats(rows, values, len(models))
-    size = rows.select("features").first().features.size
-
-    def one(i: int):
-        label = F.get(F.col(values), F.lit(i)).alias("label")
-        data = rows.select("features", label)
-        if stds[i] == 0:
-            return np.zeros(size), data.agg(F.avg("label")).first()[0]
-        fitted = LinearRegression(
-            solver="l-bfgs", elasticNetParam=0.0, standardization=False, regParam=alpha / n * stds[i],
-            maxIter=max_iter, tol=tol,
-        ).fit(data)
-        return fitted.coefficients.toArray(), fitted.intercept
-
-    fitted = _fit_all(rows, [lambda i=i: one(i) for i in range(len(models))])
-    return np.stack([w for w, _ in fitted], axis=1), np.array([b for _, b in fitted])
-
-
-def ridge_scores(rows: DataFrame, queries: DataFrame, models: Sequence[str], alpha: float = 10.0, max_iter: int = 100) -> DataFrame:
-    weights, bias = fit_ridge(rows, models, alpha, max_iter=max_iter)
+
+def ridge_scores(rows: DataFrame, queries: DataFrame, models: Sequence[str], alpha: float = 10.0) -> DataFrame:
+    weights, bias = fit_ridge(rows, models, alpha)
     return linear_cells(queries, models, weights, bias)
 
 
+def _dense(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    return rows.select("id", vector_to_array("features").alias("vec"), *columns)
+
+
 def boosted_regression_scores(
     rows: DataFrame, queries: DataFrame, models: Sequence[str], trees: int = 300, depth: int = 4,
-    step: float = 0.05, seed: int = 42, values: str = "rewards",
+    step: float = 0.05, seed: int = 42, values: str = "rewards", row_share: float = 0.9, column_share: float = 0.9, sample: int = boosting.SAMPLE,
 ) -> DataFrame:
-    """One boosted reward regressor per model."""
-    def one(i: int):
-        data = rows.select("features", F.get(F.col(values), F.lit(i)).alias("label"))
-        return GBTRegressor(
-            maxIter=trees, maxDepth=depth, stepSize=step, seed=seed + i, predictionCol=f"_p{i}"
-        ).fit(data)
-
-    out = queries
-    for fitted in _fit_all(rows, [lambda i=i: one(i) for i in range(len(models))]):
-        out = fitted.transform(out)
-    return out.select("id", _cells(models, lambda i: F.col(f"_p{i}")).alias("cells"))
+    """One boosted reward regressor per model, fitted on ``sample`` rows at most."""
+    spec = boosting.Boosting(trees, depth, step, row_share, column_share)
+    scored = boosting.boosted_outputs(_dense(rows, F.col(values).alias("targets")), _dense(queries), len(models), spec, seed, sample)
+    return scored.select("id", _cells(models, lambda i: F.get("scores", F.lit(i))).alias("cells"))
 
 
 # --- classifiers -----------------------------------------------------------------
@@ -157,59 +105,57 @@ def _probabilities(column: str, models: Sequence[str]) -> Column:
     return _cells(models, lambda i: F.coalesce(F.get(array, F.lit(i)), F.lit(0.0)))
 
 
-def fit_logistic(rows: DataFrame, models: Sequence[str], c: float = 1.0, max_iter: int = 100, weight: str | None = None):
+def fit_logistic(rows: DataFrame, models: Sequence[str], c: float = 1.0, max_iter: int = 200, weight: str | None = None):
     """Multinomial logistic regression; ``c`` is the inverse of the penalty on the summed loss."""
     n = rows.count()
     estimator = LogisticRegression(
         family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=1e-6,
+        maxIter=max_iter, tol=1e-9,
     )
     if weight:
         estimator = estimator.setWeightCol(weight)
     return estimator.fit(rows)
 
 
-def logistic_scores(rows: DataFrame, queries: DataFrame, models: Sequence[str], c: float = 1.0, max_iter: int = 100) -> DataFrame:
+def logistic_scores(rows: DataFrame, queries: DataFrame, models: Sequence[str], c: float = 1.0, max_iter: int = 200) -> DataFrame:
     """Oracle-label classifier: ``rows`` has ``features, label``."""
     out = fit_logistic(_labelled(rows, models), models, c, max_iter).transform(queries)
     return out.select("id", _probabilities("probability", models).alias("cells"))
 
 
-def _boosted_probabilities(data: DataFrame, queries: DataFrame, models: Sequence[str], trees: int, depth: int, step: float, seed: int) -> DataFrame:
+def _boosted_probabilities(rows: DataFrame, queries: DataFrame, models: Sequence[str], spec: boosting.Boosting, seed: int, sample: int) -> DataFrame:
     """One binary boosted classifier per class, probabilities re-normalised over the classes."""
-    present = sorted(int(r.label) for r in data.select("label").distinct().collect())
+    data = rows.select("id", "features", _label_index(models, F.col("label")).cast("int").alias("label"))
+    present = sorted(r.label for r in data.select("label").distinct().collect())
     if len(present) == 1:
         only = present[0]
         return queries.select("id", _cells(models, lambda i: F.lit(1.0 if i == only else 0.0)).alias("cells"))
-
-    def one(i: int):
-        binary = data.select("features", (F.col("label") == i).cast("double").alias("label"))
-        return GBTClassifier(
-            maxIter=trees, maxDepth=depth, stepSize=step, seed=seed + i, predictionCol=f"_d{i}"
-        ).setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_p{i}").fit(binary)
-
-    out = queries
-    for fitted in _fit_all(data, [lambda i=i: one(i) for i in present]):
-        out = fitted.transform(out)
-    share = lambda i: F.get(vector_to_array(F.col(f"_p{i}")), F.lit(1)) if i in present else F.lit(0.0)
-    scored = out.select("id", _cells(models, share).alias("cells"))
+    targets = F.array(*[(F.col("label") == i).cast("double") for i in present]).alias("targets")
+    scored = boosting.boosted_outputs(_dense(data, targets), _dense(queries), len(present), spec, seed, sample)
+    share = lambda i: 1.0 / (1.0 + F.exp(-F.get("scores", F.lit(present.index(i))))) if i in present else F.lit(0.0)
+    scored = scored.select("id", _cells(models, share).alias("cells"))
     total = C.total(C.values(F.col("cells"), "score"))
     return C.add_field_with(scored, "score", {"total": total}, lambda c, s: c["score"] / s["total"])
 
 
 def boosted_classifier_scores(
-    rows: DataFrame, queries: DataFrame, models: Sequence[str], trees: int = 500, depth: int = 5, step: float = 0.05, seed: int = 42
+    rows: DataFrame, queries: DataFrame, models: Sequence[str], trees: int = 500, depth: int = 5, step: float = 0.05, seed: int = 42,
+    row_share: float = 0.9, column_share: float = 0.9, sample: int = boosting.SAMPLE,
 ) -> DataFrame:
-    return _boosted_probabilities(_labelled(rows, models), queries, models, trees, depth, step, seed)
+    spec = boosting.Boosting(trees, depth, step, row_share, column_share, logistic=True)
+    return _boosted_probabilities(rows, queries, models, spec, seed, sample)
 
 
 def classifier_ensemble_scores(
     rows: DataFrame, queries: DataFrame, models: Sequence[str], trees: int = 500, depth: int = 5, step: float = 0.05,
-    forest: int = 500, forest_depth: int = 12, c: float = 1.0, max_iter: int = 100, seed: int = 42,
+    forest: int = 500, forest_depth: int = 30, c: float = 1.0, max_iter: int = 1000, seed: int = 42,
 ) -> DataFrame:
-    """Mean class probability of boosted trees, a random forest and logistic regression."""
+    """Mean class probability of boosted trees, a random forest and logistic regression.
+
+    Forest trees grow until leaves are pure, to MLlib's limit of 30 levels.
+    """
     data = _labelled(rows, models)
-    boosted = _boosted_probabilities(data, queries, models, trees, depth, step, seed)
+    boosted = boosted_classifier_scores(rows, queries, models, trees, depth, step, seed)
     forest_model = RandomForestClassifier(
         numTrees=forest, maxDepth=forest_depth, seed=seed, predictionCol="_fp", rawPredictionCol="_fr", probabilityCol="_f"
     ).fit(data)
@@ -226,7 +172,7 @@ def classifier_ensemble_scores(
 
 
 def soft_oracle_scores(
-    rows: DataFrame, queries: DataFrame, panel: DataFrame, models: Sequence[str], temperature: float = 0.05, max_iter: int = 100
+    rows: DataFrame, queries: DataFrame, panel: DataFrame, models: Sequence[str], temperature: float = 0.05, max_iter: int = 1000
 ) -> DataFrame:
     """Regret-weighted soft-label classifier as a weighted multinomial regression.
 
@@ -247,36 +193,24 @@ def soft_oracle_scores(
 
 # --- independent performance and cost heads ------------------------------------------
 
-def head_cells(
-    rows: DataFrame, queries: DataFrame, models: Sequence[str], max_iter: int = 50, penalty: float = 1.0
-) -> DataFrame:
-    """``id, cells<model, performance, z_cost>`` from one head of each kind per model.
+def head_cells(rows: DataFrame, queries: DataFrame, models: Sequence[str], penalty: float = 1.0) -> DataFrame:
+    """``id, cells<model, performance, z_cost>`` from one head of each kind per model, to convergence.
 
-    ``rows`` has ``features, performances, z_costs`` arrays.  A fractional performance p is a
-    positive row of weight p and a negative row of weight 1 - p.
+    ``rows`` has ``features, performances, z_costs`` arrays.  A performance may be any fraction;
+    a model with performances of 0 or 1 alone has a constant head.
     """
-    n = rows.count()
-    size = rows.select("features").first().features.size
+    parts, size, m = durable(linear.sparse_parts(rows, ("performances", "z_costs"))), _size(rows), len(models)
+    spans = parts.agg(*[f(F.get("performances", F.lit(i))) for i in range(m) for f in (F.min, F.max)]).first()
+    constant = np.array([spans[2 * i] == spans[2 * i + 1] and spans[2 * i] in (0.0, 1.0) for i in range(m)])
 
-    def performance(i: int):
-        p = F.get(F.col("performances"), F.lit(i))
-        both = F.array(
-            F.struct(F.lit(1.0).alias("label"), p.alias("weight")),
-            F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - p).alias("weight")),
-        )
-        data = rows.select("features", F.explode_outer(both).alias("e")).select("features", "e.*").where("weight > 0")
-        seen = data.agg(F.min("label"), F.max("label")).first()
-        if seen[0] == seen[1]:
-            return np.zeros(size), 30.0 if seen[0] == 1.0 else -30.0
-        fitted = LogisticRegression(
-            weightCol="weight", regParam=penalty / n, standardization=False, maxIter=max_iter, tol=1e-6
-        ).fit(data)
-        return fitted.coefficients.toArray(), fitted.intercept
-
-    heads = _fit_all(rows, [lambda i=i: performance(i) for i in range(len(models))])
-    weights, bias = np.stack([w for w, _ in heads], axis=1), np.array([b for _, b in heads])
+    def examples(batch, first, last):
+        y = linear.matrix(batch.column("performances").slice(first, last - first), m)
+        return y, np.where(constant, 0.0, np.ones_like(y))
+
+    weights, bias = linear.logistic(parts, size, m, np.full(m, penalty), examples)
+    bias = np.where(constant, [30.0 if spans[2 * i] == 1.0 else -30.0 for i in range(m)], bias)
     perf = linear_cells(queries, models, weights, bias, "logistic")
-    weights, bias = fit_ridge(rows, models, penalty, "z_costs", max_iter)
+    weights, bias = linear.ridge(parts, "z_costs", size, m, penalty)
     cost = linear_cells(queries, models, weights, bias)
     joined = perf.join(cost.select("id", F.col("cells").alias("_c")), "id")
     cell = lambda c: F.struct(
@@ -295,10 +229,10 @@ def pairwise_scores(
     models: Sequence[str],
     spec: tfidf.TfidfSpec = tfidf.SPECS["pairwise"],
     min_margin: float = 0.0,
-    margin_power: float = 1.0,
+    margin_power: float = 0.5,
     penalty: float = 1e-5,
-    balanced: bool = False,
-    max_iter: int = 20,
+    balanced: bool = True,
+    max_iter: int = 30,
 ) -> DataFrame:
     """Mean win probability of every model over its margin-weighted pairwise classifiers.
 
@@ -323,32 +257,27 @@ def pairwise_scores(
         )
         .collect()
     }
-    size = rows.select("features").first().features.size
-    flat = np.zeros(size)
-
-    def one(i: int, j: int):
-        s = stats.get((models[i], models[j]))
-        if s is None:
-            return flat, 0.0
-        if s.wins in (0, s.n):
-            return flat, 30.0 if s.wins else -30.0
-        c_win, c_loss = (s.n / (2 * s.wins), s.n / (2 * (s.n - s.wins))) if balanced else (1.0, 1.0)
-        gap = F.get(F.col("rewards"), F.lit(i)) - F.get(F.col("rewards"), F.lit(j))
-        w = F.pow(F.greatest(F.abs(gap), F.lit(1e-6)), F.lit(float(margin_power)))
+    parts, size = durable(linear.sparse_parts(rows, ("rewards",))), _size(rows)
+    found = [stats.get((models[i], models[j])) for i, j in pairs]
+    mixed = np.array([s is not None and 0 < s.wins < s.n for s in found])
+    share = lambda s, wins: s.n / (2 * wins) if balanced else 1.0
+    c_win = np.array([share(s, s.wins) if ok else 0.0 for s, ok in zip(found, mixed)])
+    c_loss = np.array([share(s, s.n - s.wins) if ok else 0.0 for s, ok in zip(found, mixed)])
+    # the mean weighted loss and the penalty keep their proportion whatever the weights add up to
+    total = np.array([s.w_win * w + s.w_loss * l if ok else 1.0 for s, w, l, ok in zip(found, c_win, c_loss, mixed)])
+    size_of = np.array([s.n if ok else 1.0 for s, ok in zip(found, mixed)])
+    left, right = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
+    width = len(models)
+
+    def examples(batch, first, last):
+        r = linear.matrix(batch.column("rewards").slice(first, last - first), width)
+        gap = r[:, left] - r[:, right]
         won = gap > 0
-        data = rows.where(F.abs(gap) >= min_margin).select(
-            "features",
-            won.cast("double").alias("label"),
-            (w * F.when(won, c_win).otherwise(c_loss)).alias("weight"),
-        )
-        total = s.w_win * c_win + s.w_loss * c_loss
-        fitted = LogisticRegression(
-            weightCol="weight", regParam=penalty * s.n / total, standardization=False, maxIter=max_iter, tol=1e-6
-        ).fit(data)
-        return fitted.coefficients.toArray(), fitted.intercept
-
-    fitted = _fit_all(rows, [lambda i=i, j=j: one(i, j) for i, j in pairs])
-    weights, bias = np.stack([w for w, _ in fitted], axis=1), np.array([b for _, b in fitted])
+        weight = np.maximum(np.abs(gap), 1e-6) ** margin_power * np.where(won, c_win, c_loss) / total
+        return won.astype(np.float64), np.where(np.abs(gap) >= min_margin, weight, 0.0)
+
+    weights, bias = linear.logistic(parts, size, len(pairs), penalty * size_of / total, examples, max_iter=max_iter)
+    bias = np.where(mixed, bias, [0.0 if s is None else 30.0 if s.wins == s.n else -30.0 for s in found])
     names = [f"{i}:{j}" for i, j in pairs]
     wins = linear_cells(vectors, names, weights, bias, "logistic")
 

@@ -40,20 +40,20 @@ def g1(spark, sf):
     train, held = text_split(spark, sf)
     labelled = train.withColumn("label", C.best(F.col("cells"), "reward")["model"])
     rows, queries = G.text_features(labelled, held, TF.SPECS["classifier"], keep=("label",))
-    return long_scores(G.logistic_scores(rows, queries, MODELS, max_iter=30))
+    return long_scores(G.logistic_scores(rows, queries, MODELS))
 
 
 @register("g2_ridge_regression")
 def g2(spark, sf):
     train, held = text_split(spark, sf)
     rows, queries = G.text_features(NB.dense_rewards(train, MODELS), held, TF.SPECS["word12"], keep=("rewards",))
-    return long_scores(G.ridge_scores(rows, queries, MODELS, max_iter=40))
+    return long_scores(G.ridge_scores(rows, queries, MODELS))
 
 
 @register("g3_pairwise_preferences")
 def g3(spark, sf):
     train, held = text_split(spark, sf)
-    return long_scores(G.pairwise_scores(train, held, MODELS, min_margin=0.05, max_iter=8))
+    return long_scores(G.pairwise_scores(train, held, MODELS))
 
 
 # --- classifiers and regressors on embeddings ------------------------------------------------
@@ -71,28 +71,26 @@ def _vector_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
 @register("g4_classifier_ensemble")
 def g4(spark, sf):
     rows, queries = _vector_rows(spark, sf)
-    return long_scores(
-        G.classifier_ensemble_scores(rows, queries, MODELS, trees=5, depth=3, forest=20, forest_depth=6, max_iter=30)
-    )
+    return long_scores(G.classifier_ensemble_scores(rows, queries, MODELS))
 
 
 @register("g4_boosted_classifier")
 def g4_boosted(spark, sf):
     rows, queries = _vector_rows(spark, sf)
-    return long_scores(G.boosted_classifier_scores(rows, queries, MODELS, trees=5, depth=3))
+    return long_scores(G.boosted_classifier_scores(rows, queries, MODELS))
 
 
 @register("g5_boosted_regressors")
 def g5(spark, sf):
     rows, queries = _vector_rows(spark, sf)
-    return long_scores(G.boosted_regression_scores(rows, queries, MODELS, trees=5, depth=3))
+    return long_scores(G.boosted_regression_scores(rows, queries, MODELS))
 
 
 @register("g6_soft_oracle_classifier")
 def g6(spark, sf):
     train, held = text_split(spark, sf)
     rows, queries = G.text_features(train.select("id", "query"), held, TF.SPECS["word12"])
-    return long_scores(G.soft_oracle_scores(rows, queries, train.select("id", "cells"), MODELS, max_iter=20))
+    return long_scores(G.soft_oracle_scores(rows, queries, train.select("id", "cells"), MODELS))
 
 
 def _heads(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -103,7 +101,7 @@ def _heads(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     carried = NB.dense_rewards(train, MODELS, "performance", "performances")
     carried = NB.dense_rewards(carried, MODELS, "z_cost", "z_costs").select("id", "query", "performances", "z_costs")
     rows, queries = G.text_features(carried, held, TF.SPECS["word12"], keep=("performances", "z_costs"))
-    return G.head_cells(rows, queries, MODELS, max_iter=15), scaler, panel
+    return G.head_cells(rows, queries, MODELS), scaler, panel
 
 
 @register("g7_performance_cost_heads")
@@ -116,7 +114,7 @@ def g7(spark, sf):
 @register("g8_item_response")
 def g8(spark, sf):
     train, held = vector_split(spark, sf)
-    fitted = G.fit_item_response(train, MODELS, 64, latent=25, epochs=15)
+    fitted = G.fit_item_response(train, MODELS, 64)
     performance = G.item_response_cells(held, fitted)
     fixed = P.fixed_model_cost(R.normalize_cost(X.panel(spark, sf), "mean-row-max"))
     return C.to_long(P.fixed_cost_scores(performance, fixed), "performance", "score")
@@ -127,7 +125,7 @@ def g9(spark, sf):
     """Multi-output reward regression and the policy reward of its decisions."""
     train, held = text_split(spark, sf)
     rows, queries = G.text_features(NB.dense_rewards(train, MODELS), held, TF.SPECS["word12"], keep=("rewards",))
-    decisions = D.decide(G.ridge_scores(rows, queries, MODELS, max_iter=40))
+    decisions = D.decide(G.ridge_scores(rows, queries, MODELS))
     oracle = held.select(C.best(F.col("cells"), "reward")["value"].alias("v")).agg(F.avg("v")).scalar()
     return A.policy_reward(held, decisions).withColumn("oracle_reward", oracle)
 
@@ -170,9 +168,9 @@ def g10_learned(spark, sf):
     train, held = J.train_and_held(R.standardize_cost(panel, scaler), HELD, SPLIT_SEED)
     coding = F.col("task_domain") == "coding"
     general_train = NB.dense_rewards(train.where(~coding), MODELS, "performance", "performances")
-    embedder = K.fit_embedder(general_train.select("id", "query"), 16)
+    embedder = K.fit_embedder(general_train.select("id", "query"))
     vectors = K.embed(general_train.select("id", "query"), embedder).join(general_train.select("id", "performances"), "id")
-    response = G.fit_item_response(vectors, MODELS, embedder.width, epochs=10)
+    response = G.fit_item_response(vectors, MODELS, embedder.width)
     fixed = P.fixed_model_cost(train.where(~coding))
     general = P.fixed_cost_scores(
         G.item_response_cells(K.embed(held.where(~coding).select("id", "query"), embedder), response), fixed
@@ -180,7 +178,7 @@ def g10_learned(spark, sf):
     carried = NB.dense_rewards(train.where(coding), MODELS, "performance", "performances")
     carried = NB.dense_rewards(carried, MODELS, "z_cost", "z_costs").select("id", "query", "performances", "z_costs")
     rows, queries = G.text_features(carried, held.where(coding), TF.SPECS["classifier"], keep=("performances", "z_costs"))
-    heads = G.head_cells(rows, queries, MODELS, max_iter=8)
+    heads = G.head_cells(rows, queries, MODELS)
     special = R.plug_in_scores(heads, scaler, R.denominator(panel, "mean-row-max", "eps"))
     train_mean = P.global_cells(P.global_prior(R.add_reward(train, "mean-row-max", fit=panel)))
     part = held.select("id", "task_domain")
@@ -199,32 +197,32 @@ KNN_K = (5, 20, 50)
 
 def score_blocks(
     train: DataFrame, queries: DataFrame, views: Sequence[str] = VIEWS, ks: Sequence[int] = KNN_K,
-    ridge_alpha: float = 10.0, clusters: int = 64, max_iter: int = 30,
+    ridge_alpha: float = 10.0, clusters: int = 64,
 ) -> DataFrame:
     """``method, id, cells<model, score>`` of every view and scorer.
 
-    A view's vocabulary and vectors are made once; its neighbours are found once for the
-    largest k and cut at each k; the result is written before it is used by several boards.
+    A view's texts are cut into terms once for the vocabulary and once for the vectors, which
+    serve neighbours, ridge and clusters; neighbours are found once for the largest k and cut at
+    each k.  Vectors and rewards are stored, texts are not.
     """
     parts = []
-    carried = durable(NB.dense_rewards(train, MODELS).select("id", "query", "cells", "rewards"))
-    asked = durable(queries.select("id", "query"))
+    carried = NB.dense_rewards(train, MODELS)
+    fallback = P.global_cells(P.global_prior(carried))
+    asked = queries.select("id", "query")
     for view in views:
         model = TF.fit(carried, TF.SPECS[view])
         left = durable(TF.transform(asked, model))
         right = durable(TF.transform(carried, model, keep=("id", "rewards")))
         means = NB.weighted_mean(NB.nearest(left, right, max(ks), "sparse", ("rewards",)), MODELS, "rewards", ks, 1e-8)
-        joined = asked.select("id").join(means, "id", "left")
-        fallback = P.global_cells(P.global_prior(carried))
+        joined = left.select("id").join(means, "id", "left")
         for k in ks:
             cells = F.coalesce(F.col(f"cells_{k}"), fallback)
             parts.append(joined.select(F.lit(f"{view}_knn{k}").alias("method"), "id", cells.alias("cells")))
-        rows = durable(TF.transform(carried, model, keep=("id", "rewards"), as_vector=True))
-        vectors = TF.transform(asked, model, as_vector=True)
-        ridge = G.ridge_scores(rows, vectors, MODELS, ridge_alpha, max_iter)
+        rows, vectors = TF.as_vectors(right, model.size, ("id", "rewards")), TF.as_vectors(left, model.size)
+        ridge = G.ridge_scores(rows, vectors, MODELS, ridge_alpha)
         parts.append(ridge.select(F.lit(f"{view}_ridge").alias("method"), "id", "cells"))
         if clusters > 0:
-            cluster = K.cluster_scores(carried, asked, model, clusters, max_iter=5)
+            cluster = K.cluster_scores(rows, vectors, MODELS, fallback, clusters)
             parts.append(cluster.select(F.lit(f"{view}_cluster{clusters}").alias("method"), "id", "cells"))
     return durable(reduce(DataFrame.unionByName, parts))
 
@@ -232,8 +230,10 @@ def score_blocks(
 def block_rewards(blocks: DataFrame, panel: DataFrame) -> DataFrame:
     """Mean reward of every block's decisions: ``method, reward``."""
     decisions = D.decide(blocks, "score", ("method", "id"))
-    joined = decisions.join(panel.select("id", F.col("cells").alias("truth")), "id")
+    joined = decisions.join(panel.select("id", F.col("cells").alias("truth")), "id", "left")
     value = C.value_of(F.col("truth"), F.col("pred_model"), "reward")
+    message = F.concat(F.lit("decision without a reward: "), F.col("id").cast("string"))
+    value = F.when(value.isNull(), F.raise_error(message).cast("double")).otherwise(value)
     return joined.groupBy("method").agg(F.avg(value).alias("reward"))
 
 
@@ -280,17 +280,22 @@ def j3_knn(spark, sf):
 def j2_cv(spark, sf):
     """Mean reward of the oracle-label classifier over stratified folds."""
     labelled = rewarded_texts(spark, sf).withColumn("label", C.best(F.col("cells"), "reward")["model"])
-    folds = durable(J.stratified_folds(labelled, 3, 42))
+    folds = durable(J.stratified_folds(labelled, 5, 42))
     parts = []
-    for fold in range(3):
+    for fold in range(5):
         train, held = folds.where(F.col("fold") != fold), folds.where(F.col("fold") == fold)
         rows, queries = G.text_features(train, held, TF.SPECS["classifier"], keep=("label",))
-        decisions = D.decide(G.logistic_scores(rows, queries, MODELS, max_iter=10))
+        decisions = D.decide(G.logistic_scores(rows, queries, MODELS))
         parts.append(A.policy_reward(held, decisions).withColumn("fold", F.lit(fold)))
     return reduce(DataFrame.unionByName, parts)
 
 
 @register("j4_validation_board")
 def j4(spark, sf):
-    panel = rewarded_texts(spark, sf)
-    return validation_board(panel, [42], ("word12",), max_iter=15, clusters=16)
+    """Mean, spread and range of every method's reward over the seeds, all views and scorers."""
+    board = validation_board(rewarded_texts(spark, sf), J.cv_seeds("42,43"), VIEWS)
+    grouped = board.groupBy("method").agg(
+        F.avg("reward").alias("mean"), F.stddev_samp("reward").alias("std"), F.min("reward").alias("min"), F.max("reward").alias("max"),
+        F.count(F.lit(1)).alias("n"), F.max("n_blocks").alias("n_blocks"),
+    )
+    return grouped
