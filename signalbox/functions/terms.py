@@ -29,7 +29,7 @@ def _accent_table() -> tuple[str, str]:
             continue
         if not base:
             dropped.append(ch)
-        elif len(base) == 1 and code <= 0xFFFF:
+        elif len(base) == 1:
             changed.append(ch)
             targets.append(base)
     return "".join(changed + dropped), "".join(targets)

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalbox.functions.terms import terms
+from signalbox.session import durable
+
+TIES = 10_000
+"""Terms of equal frequency and prefix that are ordered directly."""
 
 
 @dataclass(frozen=True)
@@ -96,11 +100,48 @@ def vocabulary(docs: DataFrame, spec: TfidfSpec, text: str = "query", n_docs: in
     n = docs.count() if n_docs is None else n_docs
     stats = term_statistics(docs, spec, text)
     kept = stats.where((F.col("df") >= spec.min_df) & (F.col("df") <= F.lit(float(spec.max_df * n))))
-    top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(spec.max_features)
+    top = most_frequent(durable(kept), spec.max_features)
     idf = F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return top.withColumn("idf", idf)
 
 
+def most_frequent(stats: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` terms of largest ``tf``, the smaller term first on ties, without one task that orders them.
+
+    Counts by ``tf`` name the last frequency that is taken; its terms are cut at a prefix that
+    grows by a character until few terms share it.
+    """
+    if stats.count() <= limit:
+        return stats
+    by_tf = stats.groupBy("tf").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("tf"))
+    above, least = 0, None
+    # equal frequencies are one row; their number is about the square root of the text's length
+    for row in by_tf.toLocalIterator():
+        if above + row["n"] >= limit:
+            least = row["tf"]
+            break
+        above += row["n"]
+    chosen = stats.where(F.col("tf") > least)
+    ties, wanted, prefix = stats.where(F.col("tf") == least), limit - above, ""
+    while wanted:
+        length = len(prefix) + 1
+        own = ties.where(F.col("term").startswith(prefix)) if prefix else ties
+        if own.count() <= TIES:
+            return chosen.unionByName(own.orderBy("term").limit(wanted))
+        heads = own.groupBy(F.substring("term", 1, length).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for head, size in sorted((r["p"], r["n"]) for r in heads):
+            whole = own.where(F.substring("term", 1, length) == head)
+            # a term that is its own prefix is one row
+            if size <= wanted:
+                chosen, wanted = chosen.unionByName(whole), wanted - size
+            else:
+                prefix = head
+                break
+        else:
+            break
+    return chosen
+
+
 def fit(docs: DataFrame, spec: TfidfSpec, text: str = "query", retry_min_df: bool = False) -> TfidfModel:
     """Collect the vocabulary; its size is bounded by ``spec.max_features``."""
     n = docs.count()
@@ -169,6 +210,23 @@ def transform(docs: DataFrame, model: TfidfModel, keep: Sequence[str] = ("id",),
     return slim.mapInArrow(weigh, schema)
 
 
+def as_vectors(weighted: DataFrame, size: int, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """``keep`` columns and the ``idx, w`` arrays as one ``features`` vector."""
+    slim = weighted.select(*keep, "idx", "w")
+    fields = [f for f in slim.schema.fields if f.name in keep]
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            vector = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), batch.column("idx"), batch.column("w")],
+                ["type", "size", "indices", "values"],
+            )
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], vector], [*[f.name for f in fields], "features"])
+
+    return slim.mapInArrow(wrap, T.StructType([*fields, T.StructField("features", VectorUDT())]))
+
+
 def weight_rows(weighted: DataFrame, model: TfidfModel, keep: Sequence[str] = ("id",)) -> DataFrame:
     """Long ``id, term, w``: the term names looked up in the bounded vocabulary."""
     spark = weighted.sparkSession

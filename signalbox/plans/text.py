@@ -10,6 +10,7 @@ from signalbox.functions.tasks import task_label
 from signalbox.operators import decide as D
 from signalbox.operators import factor as K
 from signalbox.operators import neighbors as NB
+from signalbox.operators import priors as P
 from signalbox.operators import rewards as R
 from signalbox.operators import splits as J
 from signalbox.operators import tfidf as TF
@@ -73,14 +74,15 @@ def f1(spark, sf):
 
 @register(
     "f1_word_weights",
-    sql("split", word_terms_sql("split"), weights_sql(40000, False, 2), body="""SELECT id, count(*) AS n_terms, round(sum(w),5) AS total, round(max(w),8) AS top FROM w GROUP BY id"""),
+    sql("split", word_terms_sql("split"), weights_sql(40000, False, 2), body="""SELECT split.id, count(w.w) AS n_terms, coalesce(round(sum(w.w),5),0) AS total, round(max(w.w),8) AS top
+        FROM split LEFT JOIN w ON w.id=split.id GROUP BY split.id"""),
 )
 def f1_weights(spark, sf):
     train, held = J.train_and_held(rewarded_texts(spark, sf).select("id", "query"), HELD, SPLIT_SEED)
     model = TF.fit(train, TF.SPECS["retrieval"])
     weighted = TF.transform(train.unionByName(held), model)
     stats = weighted.select("id", F.size("idx").alias("n_terms"), C.total(F.col("w")).alias("total"), F.array_max("w").alias("top"))
-    return stats.where("n_terms > 0").select("id", "n_terms", F.round("total", 5).alias("total"), F.round("top", 8).alias("top"))
+    return stats.select("id", "n_terms", F.round("total", 5).alias("total"), F.round("top", 8).alias("top"))
 
 
 _CHARS = "strip_accents(lower(text))"
@@ -216,7 +218,7 @@ def f7(spark, sf):
 @register("f8_svd_embedding")
 def f8(spark, sf):
     train, held = text_split(spark, sf)
-    embedder = K.fit_embedder(train.select("id", "query"), 32)
+    embedder = K.fit_embedder(train.select("id", "query"))
     return K.embed(held.select("id", "query"), embedder).select("id", F.posexplode_outer("vec").alias("pos", "x"))
 
 
@@ -224,4 +226,6 @@ def f8(spark, sf):
 def f9(spark, sf):
     train, held = text_split(spark, sf)
     model = TF.fit(train, TF.SPECS["word12"])
-    return C.to_long(K.cluster_scores(train, held, model, 64), "score")
+    rows = TF.transform(NB.dense_rewards(train, MODELS), model, keep=("id", "rewards"), as_vector=True)
+    fallback = P.global_cells(P.global_prior(train))
+    return C.to_long(K.cluster_scores(rows, TF.transform(held, model, as_vector=True), MODELS, fallback), "score")

@@ -140,3 +140,21 @@ def test_vector_form_has_the_same_weights(spark):
     vec = {r.id: dict(zip(map(int, r.features.indices), r.features.values)) for r in TF.transform(docs, model, as_vector=True).collect()}
     assert flat == vec and flat[2] == {}
     assert np.isclose(sum(w * w for w in flat[0].values()), 1.0)
+
+
+def test_most_frequent_terms_cut_ties_by_term(spark, monkeypatch):
+    from signalbox.operators import tfidf as TF
+
+    monkeypatch.setattr(TF, "TIES", 3)
+    rows = [(f"t{i:03d}", 5 - i // 30) for i in range(120)] + [("t", 3), ("t0", 3), ("é", 3), ("z", 9)]
+    df = spark.createDataFrame(rows, "term string, tf long")
+    order = sorted(rows, key=lambda r: (-r[1], r[0].encode()))
+    for limit in (1, 2, 31, 32, 62, 64, 70, 92, 95, 124, 500):
+        assert sorted(tuple(r) for r in TF.most_frequent(df, limit).collect()) == sorted(order[:limit])
+
+
+def test_accents_above_the_basic_plane_are_folded(spark):
+    from signalbox.functions.terms import fold
+
+    df = spark.createDataFrame([("\U0001D400\U0001D401 \u00e9",)], "t string")
+    assert df.select(fold(F.col("t")).alias("x")).first().x == "AB e"
