@@ -12,11 +12,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from signalbox.functions import cells as C
 from signalbox.functions.scalars import truncate_text
@@ -31,6 +29,7 @@ TRAIN_ROWS = 4096
 BLOCK_VALUES = 4_000_000
 SMALL_BLOCK = 128
 SIMILARITY_DIGITS = 9
+PRODUCTS = 2_000_000
 
 
 # --- one block against one block ----------------------------------------------
@@ -80,16 +79,19 @@ def _sparse_similarities(queries: pa.Table, train: pa.Table) -> np.ndarray:
     order = np.argsort(t_term[rare], kind="stable")
     post_row, post_val = t_row[rare][order], t_val[rare][order]
     start = np.concatenate([[0], np.cumsum(np.bincount(t_term[rare], minlength=len(known)))])
-    for q in range(nq):
-        here = slice(q_off[q], q_off[q + 1])
-        term, weight = q_term[here], q_w[here]
-        length = start[term + 1] - start[term]
-        total = int(length.sum())
-        if total == 0:
-            continue
-        first = np.cumsum(length) - length
-        at = np.arange(total) + np.repeat(start[term] - first, length)
-        out[q] += np.bincount(post_row[at], weights=post_val[at] * np.repeat(weight, length), minlength=nt)
+    # all query terms meet their posting lists, a bounded number of products at a time
+    length = start[q_term + 1] - start[q_term]
+    ends = np.concatenate([[0], np.cumsum(length)])
+    first = 0
+    while first < len(q_term):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + PRODUCTS, side="right")) - 1)
+        part = length[first:last]
+        at = np.arange(ends[last] - ends[first]) + np.repeat(start[q_term[first:last]] - (ends[first:last] - ends[first]), part)
+        low, high = q_row[first], q_row[last - 1] + 1
+        cell = np.repeat((q_row[first:last] - low) * nt, part) + post_row[at]
+        sums = np.bincount(cell, weights=post_val[at] * np.repeat(q_w[first:last], part), minlength=(high - low) * nt)
+        out[low:high] += sums.reshape(high - low, nt)
+        first = last
     return out
 
 
@@ -104,17 +106,16 @@ def _dense_similarities(queries: pa.Table, train: pa.Table) -> np.ndarray:
 
 def _top_k(similarities: np.ndarray, train_ids: np.ndarray, k: int, positive_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """(query row, train row) of the k largest rounded similarities, the smaller id first on ties."""
-    rows, picks = [], []
     k = min(k, similarities.shape[1])
-    for q, sims in enumerate(similarities):
-        cut = np.partition(sims, -k)[-k]
-        keep = np.flatnonzero(sims >= cut)
-        if positive_only:
-            keep = keep[sims[keep] > 0]
-        keep = keep[np.lexsort((train_ids[keep], -sims[keep]))][:k]
-        rows.append(np.full(len(keep), q))
-        picks.append(keep)
-    return np.concatenate(rows), np.concatenate(picks)
+    cut = np.partition(similarities, similarities.shape[1] - k, axis=1)[:, similarities.shape[1] - k, None]
+    keep = similarities >= cut
+    if positive_only:
+        keep &= similarities > 0
+    rows, picks = np.nonzero(keep)
+    order = np.lexsort((train_ids[picks], -similarities[rows, picks], rows))
+    rows, picks = rows[order], picks[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[rank < k], picks[rank < k]
 
 
 # --- the blocked join -----------------------------------------------------------
@@ -151,8 +152,9 @@ def nearest(
 ) -> DataFrame:
     """``id, neighbor_id, similarity, rank`` and the neighbour's ``payload`` columns.
 
-    Exact for the rounded similarity; neighbours of equal similarity rank by id.  The payload
-    travels with the neighbour, so a neighbour many queries share needs no skewed join later.
+    Exact for the rounded similarity; neighbours of equal similarity rank by id.  Blocks carry
+    ids and vectors alone; the payload meets the k neighbours of a query afterwards, in a join
+    whose hot neighbours Spark splits.
     """
     columns = ["idx", "w"] if kind == "sparse" else ["vec"]
     size = F.size(columns[0])
@@ -161,27 +163,15 @@ def nearest(
     block = lambda n, tag: F.pmod(F.xxhash64(F.lit(tag), "id"), F.lit(n)).cast("int")
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", *columns, block(n_q, "q").alias("_q")).withColumn("_t", grid(n_t))
-    right = train.select("id", *columns, *payload, block(n_t, "t").alias("_t")).withColumn("_q", grid(n_q))
-    carried = [f for f in right.schema.fields if f.name in payload]
-    schema = T.StructType(
-        [
-            T.StructField("id", T.LongType()),
-            T.StructField("neighbor_id", T.LongType()),
-            T.StructField("similarity", T.DoubleType()),
-            *carried,
-        ]
-    )
+    right = train.select("id", *columns, block(n_t, "t").alias("_t")).withColumn("_q", grid(n_q))
     similarities = _sparse_similarities if kind == "sparse" else _dense_similarities
     digits = SIMILARITY_DIGITS
-    names = list(payload)
 
     def compare(q: pa.Table, t: pa.Table) -> pa.Table:
         empty = pa.table(
             {"id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())}
         )
         if q.num_rows == 0 or t.num_rows == 0:
-            for name in names:
-                empty = empty.append_column(name, t.column(name).slice(0, 0))
             return empty
         sims = np.round(similarities(q, t), digits)
         t_ids = t.column("id").to_numpy()
@@ -191,14 +181,15 @@ def nearest(
             "neighbor_id": pa.array(t_ids[picks], pa.int64()),
             "similarity": pa.array(sims[rows, picks], pa.float64()),
         }
-        for name in names:
-            out[name] = pc.take(t.column(name), pa.array(picks, pa.int64()))
         return pa.table(out)
 
     # Both sides are spread over the grid by block, n_q * n_t groups of bounded size.
-    local = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInArrow(compare, schema)
+    local = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInArrow(compare, "id long, neighbor_id long, similarity double")
     best = W.partitionBy("id").orderBy(F.desc("similarity"), F.asc("neighbor_id"))
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if not payload:
+        return ranked
+    return ranked.join(train.select(F.col("id").alias("_n"), *payload), F.col("neighbor_id") == F.col("_n")).drop("_n")
 
 
 def weighted_mean(
@@ -345,8 +336,13 @@ def apply_residuals(panel: DataFrame, residual_cells: DataFrame, weight: float)
     """score + weight * residual."""
     if not 0.0 <= weight <= 1.0:
         raise ValueError("weight must lie in [0, 1]")
-    joined = panel.join(residual_cells.select("id", F.col("cells").alias("_r")), "id")
-    corrected = lambda c: c["score"] + F.lit(weight) * C.value_of(F.col("_r"), c["model"], "score")
+    joined = panel.join(residual_cells.select("id", F.col("cells").alias("_r")), "id", "left")
+
+    def corrected(c: Column) -> Column:
+        residual = C.value_of(F.col("_r"), c["model"], "score")
+        message = F.concat(F.lit("no residual for model "), c["model"])
+        return c["score"] + F.lit(weight) * F.when(residual.isNull(), F.raise_error(message).cast("double")).otherwise(residual)
+
     return C.add_field(joined, "score", corrected).drop("_r")
 
 
