@@ -7,6 +7,7 @@ threshold gives the reward of every grid value at once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -85,15 +86,62 @@ def _grid_rewards(rows: DataFrame, biases: Sequence[float], j: int, grid: Sequen
     return [float(v) for v in (switched + rest) / n]
 
 
-def _grid(radius: float, step: float) -> list[float]:
-    """-radius, -radius + step, ... up to the radius, taken in units of the step."""
-    count = int(round(2 * radius / step)) + 1
-    return [round(-radius + i * step, 12) for i in range(count)]
+@dataclass(frozen=True)
+class Stage:
+    """Candidate values of one bias: a grid of its own, or offsets around the present value."""
+
+    grid: tuple[float, ...]
+    passes: int
+    around: bool
+
+    def candidates(self, present: float) -> list[float]:
+        return [present + g for g in self.grid] if self.around else list(self.grid)
+
+
+def _grid(radius: float, count: int, step: float) -> tuple[float, ...]:
+    return tuple(round(-radius + i * step, 12) for i in range(count))
+
+
+def half_open_grid(radius: float, step: float) -> tuple[float, ...]:
+    """-radius, -radius + step, ...; the last value is less than half a step beyond the radius."""
+    return _grid(radius, int(round(2 * radius / step)) + 1, step)
+
+
+def inner_grid(radius: float, step: float) -> tuple[float, ...]:
+    """-radius, -radius + step, ... as far as the radius goes."""
+    return _grid(radius, int(math.floor(2 * radius / step + 1e-9)) + 1, step)
+
+
+def _preferred(rewards: Sequence[float], tolerance: float) -> int:
+    """The first candidate whose reward is the largest, up to the tolerance."""
+    top = max(rewards)
+    return next(i for i, r in enumerate(rewards) if r >= top - tolerance)
 
 
-def _check(shrink: float) -> None:
+def _search(panel: DataFrame, models: Sequence[str], stages: Sequence[Stage], shrink: float, least_gain: float) -> BiasSearch:
+    """Go through the stages; a stage's passes visit every bias and end with a pass that moves none."""
     if not 0.0 <= shrink <= 1.0:
         raise ValueError("shrink must lie in [0, 1]")
+    rows = durable(_compact(panel, models))
+    biases = [0.0] * len(models)
+    initial = reached = _reward(rows, biases)
+
+    def moves(j: int, stage: Stage) -> bool:
+        nonlocal reached
+        values = stage.candidates(biases[j])
+        rewards = _grid_rewards(rows, biases, j, values)
+        best = _preferred(rewards, least_gain)
+        if rewards[best] <= reached + least_gain or values[best] == biases[j]:
+            return False
+        biases[j], reached = values[best], rewards[best]
+        return True
+
+    for stage in stages:
+        for _ in range(stage.passes):
+            if not sum([moves(j, stage) for j in range(len(models))]):
+                break
+    shrunk = [b * shrink for b in biases]
+    return BiasSearch(list(models), biases, shrunk, initial, reached, _reward(rows, shrunk))
 
 
 def fit_biases(
@@ -107,25 +155,7 @@ def fit_biases(
     """Search every bias on a fixed grid in turn; stop when a pass changes nothing; then shrink."""
     if max_bias < 0 or step <= 0 or passes <= 0:
         raise ValueError("needs max_bias >= 0, step > 0 and passes > 0")
-    _check(shrink)
-    rows = durable(_compact(panel, models))
-    grid = _grid(max_bias, step)
-    biases = [0.0] * len(models)
-    initial = best = _reward(rows, biases)
-    for _ in range(passes):
-        changed = False
-        for j in range(len(models)):
-            original, local, value = biases[j], best, biases[j]
-            for candidate, reward in zip(grid, _grid_rewards(rows, biases, j, grid)):
-                if reward > local + 1e-12:
-                    local, value = reward, candidate
-            biases[j] = value
-            if value != original:
-                changed, best = True, local
-        if not changed:
-            break
-    shrunk = [b * shrink for b in biases]
-    return BiasSearch(list(models), biases, shrunk, initial, best, _reward(rows, shrunk))
+    return _search(panel, models, [Stage(half_open_grid(max_bias, step), passes, False)], shrink, 1e-12)
 
 
 # Fixed values: (step, radius, passes) of the coarse stages; the last stage has a step of its own.
@@ -139,26 +169,9 @@ def fit_biases_coarse_to_fine(
     """Search offsets around the current bias, first widely and then finely; off unless enabled."""
     if not enable:
         return None
-    _check(shrink)
-    rows = durable(_compact(panel, models))
-    biases = [0.0] * len(models)
-    initial = best = _reward(rows, biases)
-    for width, radius, passes in (*COARSE_STAGES, (step, FINE_RADIUS, FINE_PASSES)):
-        offsets = _grid(radius, width)
-        for _ in range(passes):
-            improved = False
-            for j in range(len(models)):
-                trials = [biases[j] + o for o in offsets]
-                local, value = best, biases[j]
-                for candidate, reward in zip(trials, _grid_rewards(rows, biases, j, trials)):
-                    if reward > local + 1e-12:
-                        local, value = reward, candidate
-                if local > best:
-                    biases[j], best, improved = value, local, True
-            if not improved:
-                break
-    shrunk = [b * shrink for b in biases]
-    return BiasSearch(list(models), biases, shrunk, initial, best, _reward(rows, shrunk))
+    widths = (*COARSE_STAGES, (step, FINE_RADIUS, FINE_PASSES))
+    stages = [Stage(inner_grid(radius, width), passes, True) for width, radius, passes in widths]
+    return _search(panel, models, stages, shrink, 0.0)
 
 
 def apply_biases(panel: DataFrame, biases: DataFrame, strict: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions import cells as C
 from signalbox.operators import align as L
+from signalbox.operators import audit as A
 from signalbox.operators import calibrate as B
 from signalbox.operators import decide as D
 from signalbox.operators import ensemble as E
@@ -94,7 +95,7 @@ def test_bias_search_matches_direct_search(spark, panel):
     reward = rng.uniform(size=(60, 4))
     models = [f"Model_{c}" for c in "ABCD"]
     found = B.fit_biases(panel(score=scores, reward=reward), models, 0.2, 0.05, 2, 0.5)
-    grid, biases, best = B._grid(0.2, 0.05), np.zeros(4), direct(scores, reward, np.zeros(4))
+    grid, biases, best = B.half_open_grid(0.2, 0.05), np.zeros(4), direct(scores, reward, np.zeros(4))
     assert found.reward_initial == pytest.approx(best)
     for _ in range(2):
         changed = False
@@ -294,3 +295,20 @@ def test_stream_routes_each_query_once(spark, tmp_path):
     frame([2, 3]).write.mode("append").json(folder)
     run()
     assert sorted(r.id for r in earlier_decisions(spark, log).collect()) == [1, 2, 3]
+
+
+def test_offsets_stay_inside_the_radius():
+    assert B.inner_grid(0.2, 0.07)[-1] == pytest.approx(0.15) and B.inner_grid(0.2, 0.02)[-1] == pytest.approx(0.2)
+    assert B.half_open_grid(0.05, 0.002)[-1] == pytest.approx(0.05)
+
+
+def test_rows_without_a_partner_are_errors(spark, panel):
+    p = panel(score=[[0.6, 0.5], [0.1, 0.9]], reward=[[0.0, 1.0], [0.0, 1.0]])
+    one = spark.createDataFrame([(0, "Model_A")], "id long, pred_model string")
+    extra = spark.createDataFrame([(0, "Model_A"), (1, "Model_B"), (7, "Model_A")], "id long, pred_model string")
+    for decisions in (one, extra):
+        with pytest.raises(Exception, match="unknown decision label"):
+            A.policy_reward(p, decisions).collect()
+    assert A.policy_reward(p, extra, strict=False).first().n == 2
+    with pytest.raises(Exception, match="unknown model"):
+        D.versus_base(p, one).collect()
