@@ -20,12 +20,20 @@ QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 # --- policy reward ----------------------------------------------------------
 
 def policy_reward(panel: DataFrame, decisions: DataFrame, field: str = "reward", strict: bool = True) -> DataFrame:
-    """Mean reward of a decision table; an unknown label is an error when ``strict``."""
-    picked = gather(panel, decisions, field)
-    value = F.col("value")
+    """Mean reward of a decision table over the panel's queries.
+
+    When ``strict``, an unknown label, a decision without a query and a query without a decision
+    are errors; otherwise they leave the mean.
+    """
     if strict:
-        message = F.concat(F.lit("unknown decision label: "), F.col("pred_model"))
-        value = F.when(value.isNull(), F.raise_error(message).cast("double")).otherwise(value)
+        cells = panel.select("id", "cells").join(decisions.select("id", "pred_model"), "id", "full")
+        value = C.value_of(F.col("cells"), F.col("pred_model"), field)
+        label = F.coalesce("pred_model", F.lit("none"))
+        message = F.concat(F.lit("unknown decision label: "), label, F.lit(" of query "), F.col("id").cast("string"))
+        picked = cells.select(F.when(value.isNull(), F.raise_error(message).cast("double")).otherwise(value).alias("value"))
+    else:
+        picked = gather(panel, decisions, field).where("value IS NOT NULL")
+    value = F.col("value")
     return picked.agg(F.avg(value).alias("policy_reward"), F.count(F.lit(1)).alias("n"))
 
 

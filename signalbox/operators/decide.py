@@ -23,8 +23,11 @@ def oracle(panel: DataFrame, field: str = "reward", keep: Sequence[str] = ("id",
 
 
 def gather(panel: DataFrame, decisions: DataFrame, field: str, out: str = "value") -> DataFrame:
-    """Value of the chosen model's cell; one join on id, then a lookup inside the row."""
-    joined = decisions.select("id", "pred_model").join(panel.select("id", "cells"), "id")
+    """Value of the chosen model's cell; one join on id, then a lookup inside the row.
+
+    Every decision keeps its row; its value is null without a panel row or such a cell.
+    """
+    joined = decisions.select("id", "pred_model").join(panel.select("id", "cells"), "id", "left")
     return joined.select("id", "pred_model", C.value_of(F.col("cells"), F.col("pred_model"), field).alias(out))
 
 
@@ -87,10 +90,11 @@ def top_per_label(examples: DataFrame, k: int, max_chars: int = 0) -> DataFrame:
 
 def versus_base(panel: DataFrame, base: DataFrame, field: str = "score") -> DataFrame:
     """Best model against the base decision: margin over the base and gap to the runner-up."""
-    joined = panel.select("id", "cells").join(base.select("id", F.col("pred_model").alias("base_pred")), "id")
+    joined = panel.select("id", "cells").join(base.select("id", F.col("pred_model").alias("base_pred")), "id", "left")
     best = C.best(F.col("cells"), field)
     base_score = C.value_of(F.col("cells"), F.col("base_pred"), field)
-    message = F.concat(F.lit("base decision names an unknown model: "), F.col("base_pred"))
+    named = F.coalesce("base_pred", F.concat(F.lit("none for query "), F.col("id").cast("string")))
+    message = F.concat(F.lit("base decision names an unknown model: "), named)
     checked = F.when(base_score.isNull(), F.raise_error(message).cast("double")).otherwise(base_score)
     return joined.select(
         "id",

@@ -124,15 +124,17 @@ def i2(spark, sf):
 # --- votes ---------------------------------------------------------------------------------------
 
 # A history of submissions made from suppliers: file name, status and public score.
-HISTORY_SQL = """history AS (SELECT 'file_'||(s_suppkey%23) AS file_name, CASE WHEN s_suppkey%7=3 THEN 'Error' ELSE 'Complete' END AS status,
-    CASE WHEN s_suppkey%11=4 THEN NULL ELSE CAST(400+(s_suppkey*37)%100 AS DOUBLE)/1000 END AS public_score FROM supplier WHERE s_suppkey%2=1 OR s_suppkey<12)"""
+# Even suppliers share names, odd ones have their own.
+HISTORY_SQL = """history AS (SELECT 'file_'||(CASE WHEN s_suppkey%2=0 THEN s_suppkey%23 ELSE 23+s_suppkey END) AS file_name, CASE WHEN s_suppkey%7=3 THEN 'Error' ELSE 'Complete' END AS status,
+    CASE WHEN s_suppkey%11=4 THEN NULL ELSE CAST(400+(s_suppkey*37)%100 AS DOUBLE)/1000 END AS public_score FROM supplier)"""
 
 
 def history(spark, sf) -> DataFrame:
     key = F.col("s_suppkey")
-    rows = X.table(spark, sf, "supplier").where((key % 2 == 1) | (key < 12))
+    rows = X.table(spark, sf, "supplier")
+    number = F.when(key % 2 == 0, key % 23).otherwise(key + 23)
     return rows.select(
-        F.concat(F.lit("file_"), (key % 23).cast("string")).alias("file_name"),
+        F.concat(F.lit("file_"), number.cast("string")).alias("file_name"),
         F.when(key % 7 == 3, "Error").otherwise("Complete").alias("status"),
         F.when(key % 11 != 4, (400 + (key * 37) % 100).cast("double") / 1000).alias("public_score"),
     )
@@ -162,12 +164,11 @@ for _policy, _n in (("exclude", 5), ("max", 5), ("all", 0)):
     _register_history(_policy, _n)
 
 
-def submissions(spark, sf) -> DataFrame:
-    """A decision per file name and document, shifted by the file number."""
-    files = history(spark, sf).select("file_name").distinct()
+def submissions(spark, sf, files: DataFrame) -> DataFrame:
+    """A decision per document and file that votes, shifted by the file number."""
     number = F.split_part("file_name", F.lit("_"), F.lit(2)).cast("long")
     docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    # The file list is one row per submission and is exploded per document from a scalar array.
+    # The voting files are a few rows, exploded per document from a scalar array.
     names = files.agg(F.array_sort(F.collect_set("file_name")).alias("f")).scalar()
     rows = docs.withColumn("file_name", F.explode(names))
     letter = F.char(65 + (F.col("id") * (number + 1) + F.col("n_chars")) % 9)
@@ -182,7 +183,8 @@ VOTES_SQL = f"""u AS ({_USABLE['max']} ORDER BY public_score DESC, file_name LIM
 
 def votes(spark, sf) -> DataFrame:
     usable = E.usable_history(history(spark, sf), 0.42, "max", 5)
-    return E.vote_scores(submissions(spark, sf), E.vote_weights(usable))
+    weights = E.vote_weights(usable)
+    return E.vote_scores(submissions(spark, sf, weights), weights)
 
 
 @register("i3_vote_scores", sql(HISTORY_SQL, VOTES_SQL, body="SELECT id, model, round(score,8) AS score FROM votes"))

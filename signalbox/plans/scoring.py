@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +30,8 @@ def _r(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder next to the checkpoints for a query that writes and reads back."""
-    root = ensure_checkpoint_dir(spark)
-    if "://" in root or root.startswith("file:"):
-        return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-    os.makedirs(root, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=root)
+    """A new folder name below the checkpoints for a query that writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks ---------------------------------------------------------------

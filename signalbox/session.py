@@ -23,7 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="signalbox-checkpoint-")
     sc.setCheckpointDir(folder)
-    return folder
+    return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
