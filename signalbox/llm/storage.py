@@ -17,9 +17,7 @@ SAMPLE = 20_000
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the checkpoint folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
+    base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Remove everything that ``stored`` and the file writers left for this application."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
+    base = ensure_checkpoint_dir(spark).rstrip("/")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
