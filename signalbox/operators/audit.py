@@ -67,8 +67,14 @@ def policy_reward_metric(
 
 # --- per-row audit ----------------------------------------------------------
 
-def audit_rows(panel: DataFrame, score: str = "score", reward: str = "reward", keep: Sequence[str] = ("id",)) -> DataFrame:
-    """Selected and oracle model, their rewards, regret, score margin and reward gap per query."""
+def audit_rows(
+    panel: DataFrame, score: str = "score", reward: str = "reward", keep: Sequence[str] = ("id",), fields: Sequence[str] = ()
+) -> DataFrame:
+    """Selected and oracle model, their rewards, regret, score margin and reward gap per query.
+
+    ``keep`` carries row values such as the text and the row weight; each of the ``fields``
+    (logits, probabilities, targets, predicted scores) becomes an array in model order.
+    """
     cells = F.col("cells")
     picked, ideal = C.best(cells, score), C.best(cells, reward)
     base = panel.select(
@@ -79,6 +85,7 @@ def audit_rows(panel: DataFrame, score: str = "score", reward: str = "reward", k
         ideal["value"].alias("oracle_reward"),
         C.top_gap(cells, score).alias("margin"),
         F.least(F.greatest(C.top_gap(cells, reward), F.lit(0.0)), F.lit(1.0)).alias("reward_gap"),
+        *[C.values(cells, name).alias(name) for name in fields],
     )
     out = base.withColumn("routing_reward", C.value_of(cells, F.col("selected"), reward))
     return out.withColumn("regret", F.col("oracle_reward") - F.col("routing_reward")).drop("cells")

@@ -11,6 +11,7 @@ from signalbox.operators import align as L
 from signalbox.operators import audit as A
 from signalbox.operators import decide as D
 from signalbox.operators import labels as W
+from signalbox.operators import normalize as N
 from signalbox.operators import priors as P
 from signalbox.operators import rewards as R
 from signalbox.operators import splits as J
@@ -151,6 +152,32 @@ GAPS = """gaps AS (SELECT id, least(1,greatest(0,max(CASE WHEN rk=1 THEN reward
     gw AS (SELECT id, g, CAST(0.1 AS DOUBLE)+(1-CAST(0.1 AS DOUBLE))*least(1,greatest(0,g/(SELECT quantile_cont(g,0.9) FROM gaps))) AS row_weight FROM gaps)"""
 
 
+@register(
+    "d4_audit_cells",
+    sql(*REWARDS, "ranked", GAPS, body="""SELECT t.id, CAST(row_number() OVER (PARTITION BY t.id ORDER BY model)-1 AS INTEGER) AS pos,
+        round(te/sum(te) OVER (PARTITION BY t.id),8) AS target, round(pe/sum(pe) OVER (PARTITION BY t.id),8) AS probability, round(row_weight,8) AS row_weight
+        FROM (SELECT id, model, exp((reward-max(reward) OVER (PARTITION BY id))/CAST(0.05 AS DOUBLE)) AS te,
+          exp((score-max(score) OVER (PARTITION BY id))/CAST(0.05 AS DOUBLE)) AS pe FROM aw) t JOIN gw ON gw.id=t.id"""),
+)
+def d4_cells(spark, sf):
+    """What an audit keeps of every cell: targets, probabilities and the row's weight."""
+    panel = N.row_softmax(W.gap_weights(rewarded(spark, sf)), "reward", 0.05, out="target")
+    panel = N.row_softmax(panel, "score", 0.05, out="probability")
+    rows = A.audit_rows(panel, keep=("id", "row_weight"), fields=("target", "probability"))
+    zipped = F.posexplode(F.arrays_zip("target", "probability")).alias("pos", "e")
+    out = rows.select("id", "row_weight", zipped).select("id", "pos", "e.target", "e.probability", "row_weight")
+    return _r(out, "target", "probability", "row_weight")
+
+
+@register(
+    "d5_row_weight_quantiles",
+    sql("panel", "den", "rw", "ranked", GAPS, body=f"""SELECT 'row_weight' AS metric, q, round(value,8) AS value FROM
+        (SELECT unnest([{_Q}])::DOUBLE AS q, unnest(quantile_cont(row_weight, [{_Q}])) AS value FROM gw)"""),
+)
+def d5_row_weights(spark, sf):
+    return _r(A.quantile_table(W.gap_weights(rewarded(spark, sf)), ["row_weight"]), "value")
+
+
 @register(
     "d6_gap_weights",
     sql("panel", "den", "rw", "ranked", GAPS, body="SELECT id, round(row_weight,8) AS row_weight, round(g,8) AS raw_weight FROM gw"),
