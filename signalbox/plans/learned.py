@@ -25,7 +25,7 @@ from signalbox.plans.evaluation import HIER, PROMPTED_REWARD, profiled_rewards
 from signalbox.plans.fixtures import HELD, MODELS, SPLIT_SEED, sql
 from signalbox.plans.registry import register
 from signalbox.plans.scoring import _r
-from signalbox.plans.text import rewarded_texts, text_split, vector_split
+from signalbox.plans.text import KNN_SCORES, neighbors_sql, rewarded_texts, text_split, vector_split, weights_sql, word_terms_sql
 from signalbox.session import durable
 
 
@@ -264,7 +264,15 @@ def f10(spark, sf):
     return C.to_long(score_blocks(train, held), "score", keep=("method", "id"))
 
 
-@register("j3_knn_repeated_holdout")
+def _holdout_sql(seed: int) -> str:
+    split = X.SQL["split"].replace(f"md5('{SPLIT_SEED}:'", f"md5('{seed}:'")
+    ctes = ",\n".join([split, word_terms_sql("split"), weights_sql(200000), neighbors_sql(100), KNN_SCORES])
+    return f"""SELECT * FROM (WITH {ctes},
+        picks AS (SELECT r.reward, row_number() OVER (PARTITION BY k.id ORDER BY k.score DESC, k.model) AS rk FROM knn_all k JOIN rw r ON r.id=k.id AND r.model=k.model)
+        SELECT avg(reward) AS policy_reward, count(*) AS n, {seed} AS seed FROM picks WHERE rk=1)"""
+
+
+@register("j3_knn_repeated_holdout", sql("panel", "den", "rw", body=" UNION ALL ".join(_holdout_sql(seed) for seed in (42, 43))))
 def j3_knn(spark, sf):
     """Repeated hold-out reward of the nearest-neighbour scorer, one row per seed."""
     panel = durable(rewarded_texts(spark, sf))
