@@ -110,7 +110,7 @@ def fit_logistic(rows: DataFrame, models: Sequence[str], c: float = 1.0, max_ite
     n = rows.count()
     estimator = LogisticRegression(
         family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=1e-9,
+        maxIter=max_iter, tol=1e-7,
     )
     if weight:
         estimator = estimator.setWeightCol(weight)
