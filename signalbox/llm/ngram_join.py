@@ -9,8 +9,9 @@ which leaves results alone and keeps common passages from making candidates.
 
 Sets that show a common piece are candidates.  Their parity sketches (bit i is the parity of the
 hashes that fall on it) differ in no more bits than the sets differ in hashes, which rules most
-pairs out; the rest is verified on the texts.  Candidates of a piece are compared with one of them
-at a time, and only those that are not yet in its component are compared further.
+pairs out; the rest is verified on the texts.  First all sets of a piece meet its first one.  Those
+that are then outside its component meet the others in blocks by their sketches: first the
+nearest ones of each component are verified, then, if any were left, all in other components.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ OFTEN = 4
 HOT = 200_000
 """Pieces, at most, that are known to be frequent: a bound on what tasks are sent."""
 BLOCK = 256
-ROUNDS = 6
-DIRECT = 4_000_000
-"""Sketch comparisons up to which leftovers of common pieces are compared directly, before six rounds."""
+NEAREST = 3
+"""Candidates in one component that a set of a block is verified with before it is with all."""
+LABELS = 1_000_000
+"""Nodes up to which the table of components is broadcast."""
 BLOOM = 1 << 24
 
 
@@ -53,8 +55,8 @@ def node_hash(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parity sketch: 512 bits, or the power of two above twice the set's size if it is large, 16,384 at most."""
-    bits = 512 if len(hashes) <= 1024 else min(16384, 1 << (2 * len(hashes) - 1).bit_length())
+    """Parity sketch: 512 bits, or the power of two from twice the set's size on if that is more, 16,384 at most."""
+    bits = max(512, min(16384, 1 << (2 * len(hashes) - 1).bit_length()))
     return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -111,17 +113,21 @@ def sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, sketch); a text without words has no node."""
+    """(doc_id, mark, n, node, sketch, short): mark tells texts of one id apart, short is the sketch
+    folded to 64 bytes; a text without words has no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), node_hash(s) if len(s) else None, sketch(s) if len(s) else None) for _, s in sets(batch.column(1))]
-            n, node, bits = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "node", "sketch"]
-            )
+            rows = []
+            for _, s in sets(batch.column(1)):
+                bits = sketch(s) if len(s) else None
+                rows.append((len(s), node_hash(s), bits, fold([bits], 64).tobytes()) if len(s) else (0, None, None, None))
+            n, node, bits, short = zip(*rows) if rows else ((), (), (), ())
+            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], ["doc_id", "mark", "n", "node", "sketch", "short"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return marked.mapInArrow(run, "doc_id long, mark long, n long, node long, sketch binary, short binary")
 
 
 def frequent_pieces(docs: DataFrame, percent: int) -> np.ndarray:
@@ -147,7 +153,8 @@ def frequent_pieces(docs: DataFrame, percent: int) -> np.ndarray:
 
 
 def stars(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """(key, hub, node, rank) for all pieces shown by two nodes or more: hub is the first, rank counts from 2."""
+    """(key, hub, node, several) for all pieces shown by two nodes or more: hub is the first of them, node
+    another one, and ``several`` says whether there are three or more."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -174,8 +181,12 @@ def stars(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "node"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last group of a batch goes on in the next one: its key, hub, last node and rank
-        last_key, hub, last_node, last_rank = None, 0, None, 0
+        # of the last group: its key, hub, last node and size; its second node waits for a third
+        last_key, hub, last_node, size, waiting = None, 0, None, 0, None
+
+        def rows(key, hubs, node, several) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(hubs), pa.array(node), pa.array(several)], ["key", "hub", "node", "several"])
+
         for batch in batches:
             if not len(batch):
                 continue
@@ -185,21 +196,32 @@ def stars(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
             key, node, new = key[fresh], node[fresh], new[fresh]
             if not len(key):
                 continue
-            group = np.cumsum(new)
-            start = np.concatenate([[0], np.flatnonzero(new)]) if not new[0] else np.flatnonzero(new)
-            base = start[group - new[0]]
-            hubs, rank = node[base], np.arange(len(key)) - base + 1
-            if not new[0]:
-                carried = group == 0
-                hubs[carried] = hub
-                rank[carried] += last_rank
-            last_key, hub, last_node, last_rank = key[-1], hubs[-1], node[-1], int(rank[-1])
+            if waiting is not None:
+                yield rows([waiting[0]], [waiting[1]], [waiting[2]], [not new[0]])
+                waiting = None
+            goes_on = not new[0]
+            start = np.flatnonzero(new)
+            if goes_on:
+                start = np.concatenate([[0], start])
+            group = np.cumsum(new) - (not goes_on)
+            lengths = np.diff(np.concatenate([start, [len(key)]]))
+            hubs, rank, sizes = node[start], np.arange(len(key)) - start[group] + 1, lengths.copy()
+            if goes_on:
+                hubs[0] = hub
+                rank[group == 0] += size
+                sizes[0] += size
+            last_key, hub, last_node, size = key[-1], hubs[-1], node[-1], int(sizes[-1])
             keep = rank > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, hubs, node, rank)], ["key", "hub", "node", "rank"])
+            if size == 2 and keep[-1]:
+                waiting = (key[-1], hub, node[-1])
+                keep[-1] = False
+            yield rows(key[keep], hubs[group][keep], node[keep], (sizes > 2)[group][keep])
+        if waiting is not None:
+            yield rows([waiting[0]], [waiting[1]], [waiting[2]], [False])
 
     shown = docs.mapInArrow(show, "key long, node long")
     dealt = shown.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(gather, "key long, hub long, node long, rank long")
+    return dealt.mapInArrow(gather, "key long, hub long, node long, several boolean")
 
 
 def bloomed(docs: DataFrame, ids: DataFrame, without: bool = False) -> DataFrame:
@@ -238,8 +260,9 @@ def verified(pairs: DataFrame, sets_: DataFrame, docs: DataFrame, percent: int)
     both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "s", "t", "x", "y")
     open_ = stored(both.mapInArrow(possible, "a long, b long"), "pairs")
     wanted = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
-    first = stored(sets_.join(wanted, "node").select("node", F.col("first").alias("doc_id")), "wanted")
-    texts = bloomed(docs, first.select("doc_id")).join(first, "doc_id").groupBy("node").agg(F.first("text").alias("text"))
+    first = stored(sets_.join(wanted, "node").select("node", F.col("first").alias("doc_id"), "mark"), "wanted")
+    found = bloomed(docs, first.select("doc_id")).withColumn("mark", F.xxhash64("text"))
+    texts = found.join(first, ["doc_id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts, "texts")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,53 +279,104 @@ def verified(pairs: DataFrame, sets_: DataFrame, docs: DataFrame, percent: int)
 
 
 def leftovers(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label, open) for pieces with three nodes or more that lie in several components.
+    """(key, node, label, open, members) for pieces whose nodes beside the hub lie in several components.
 
     ``open`` marks nodes outside the component of the piece's hub; the hub itself has been compared with all.
     """
     known = labels.select(F.col("node").alias("k"), "label")
-    rows = star.join(known, F.col("node") == F.col("k"), "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label"))
-    rows = rows.join(known.select("k", F.col("label").alias("other")), F.col("hub") == F.col("k"), "left")
+    if labels.count() <= LABELS:
+        known = F.broadcast(known)
+    rows = star.where("several").join(known, F.col("node") == F.col("k"), "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label"))
+    rows = rows.join(known.withColumnRenamed("label", "other"), F.col("hub") == F.col("k"), "left")
     rows = rows.select("key", "node", "label", (F.col("label") != F.coalesce("other", "hub")).alias("open"))
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("open").cast("long")).alias("opened")).where("members > 1 AND opened > 0")
-    return stored(rows.join(mixed, "key"), "leftovers")
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("open").cast("long")).alias("opened"))
+    return stored(rows.join(mixed.where("members > 1 AND opened > 0").drop("opened"), "key"), "leftovers")
 
 
-def in_blocks(left: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of an open node and another one of its piece, in different components, that sketches allow.
+def in_blocks(left: DataFrame, sets_: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """(a, b, more): pairs of an open node and another one of its piece, in different components, that sketches allow.
 
-    A piece's nodes are dealt to blocks of about 256; every open node visits all blocks.
+    A piece's nodes are dealt to blocks of about 256, and every open node visits all of them.
+    With ``nearest`` a node keeps that many candidates of a component in a block, and ``more``
+    marks the pairs of nodes that had others.
     """
-    rows = left.join(sets_.select("node", "n", "sketch"), "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    own = rows.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "node", "label", "n", "sketch")
-    visit = rows.where("open").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", "label", "n", "sketch")
+    known = sets_.select("node", "n", F.col("short"))
+    rows = left.join(known, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    own = rows.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "node", "label", "n", "short")
+    visit = rows.where("open").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", "label", "n", "short")
+
+    def pairs(probes: list, members: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not probes or not members:
+            return
+        node, label, n, bits = (np.concatenate(x) for x in zip(*members))
+        for own_node, own_label, own_n, own_bits in probes:
+            for at in range(0, len(own_node), BLOCK):
+                here = slice(at, at + BLOCK)
+                p_node, p_label, p_n = own_node[here, None], own_label[here, None], own_n[here, None]
+                near = (p_label != label) & (np.minimum(p_n, n) * 100 >= percent * np.maximum(p_n, n))
+                i, j = np.nonzero(near)
+                far = np.bitwise_count(own_bits[here][i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                close = far <= (100 - percent) * (own_n[here][i] + n[j]) // (100 + percent)
+                i, j, far = i[close], j[close], far[close]
+                more = np.zeros(len(i), dtype=bool)
+                if nearest is not None and len(i):
+                    order = np.lexsort((far, label[j], i))
+                    i, j = i[order], j[order]
+                    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (label[j[1:]] != label[j[:-1]])]))
+                    size = np.diff(np.concatenate([first, [len(i)]]))
+                    keep = np.arange(len(i)) - np.repeat(first, size) < nearest
+                    more = np.repeat(size > nearest, size)[keep]
+                    i, j = i[keep], j[keep]
+                a, b = p_node[i, 0], node[j]
+                yield np.minimum(a, b), np.maximum(a, b), more
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes: list[tuple] = []
-        key = None
+        place, probes, members = None, [], []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for k, block, role, node, label, n, bits in zip(*columns):
-                if (k, block) != key:
-                    key, probes, table = (k, block), [], None
-                if role == 0:
-                    probes.append((node, label, n, bits))
-                    continue
-                if table is None:
-                    table = [np.array([p[i] for p in probes]) for i in range(3)] + [fold([p[3] for p in probes], 64)]
-                nodes_, labels_, sizes, short = table
-                most = (100 - percent) * (sizes + n) // (100 + percent)
-                near = (labels_ != label) & (nodes_ != node) & (np.minimum(sizes, n) * 100 >= percent * np.maximum(sizes, n))
-                near[near] = np.bitwise_count(short[near] ^ fold([bits], 64)).sum(axis=1) <= most[near]
-                for i in np.flatnonzero(near):
-                    if len(bits) == 64 or distance(bits, probes[i][3]) <= most[i]:
-                        out.append((min(node, int(nodes_[i])), max(node, int(nodes_[i]))))
-            out = list(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            if not len(batch):
+                continue
+            key, block, role, node, label, n = (batch.column(i).to_numpy() for i in range(6))
+            bits = _short(batch.column(6))
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])]))
+            out = []
+            for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)]):
+                if (key[low], block[low]) != place:
+                    out += pairs(probes, members)
+                    place, probes, members = (key[low], block[low]), [], []
+                part = (node[low:high], label[low:high], n[low:high], bits[low:high])
+                (members if role[low] else probes).append(part)
+            if out:
+                yield _pairs(out)
+        out = list(pairs(probes, members))
+        if out:
+            yield _pairs(out)
 
     dealt = own.unionByName(visit).repartition(partitions(left.sparkSession), "key", "block").sortWithinPartitions("key", "block", "role")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _short(column: pa.Array) -> np.ndarray:
+    """64-byte sketches as rows of eight words."""
+    start = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + 64 * len(column)].copy().view(np.uint64).reshape(-1, 8)
+
+
+def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, more = (np.concatenate(x) for x in zip(*parts))
+    _, first = np.unique(np.stack([a, b, more.astype(np.int64)], axis=1), axis=0, return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(more[first])], ["a", "b", "more"])
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: only old components and new nodes are gone through again."""
+    known = labels.select(F.col("node").alias("k"), F.col("label"))
+    edges = links.join(known.withColumnRenamed("label", "x"), F.col("u") == F.col("k"), "left").drop("k")
+    edges = edges.join(known.withColumnRenamed("label", "y"), F.col("v") == F.col("k"), "left")
+    edges = edges.select(F.coalesce("x", "u").alias("u"), F.coalesce("y", "v").alias("v")).distinct()
+    higher = components(edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    moved = labels.join(higher, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    fresh = higher.join(labels.select("node"), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    return stored(moved.unionByName(fresh), "labels")
 
 
 def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -310,32 +384,31 @@ def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Documents link when their sets of distinct five-word shingles have the similarity
     ``percent`` / 100; with fewer words the whole sequence is the one shingle.  Null and empty
-    texts have size 0 and stay alone, null ids stay alone with a null component if their text is
-    alone; equal rows link as equal texts do.  Words are lower-cased from A to Z.
+    texts have size 0 and stay alone; equal rows link as equal texts do.  A row without an id is in
+    the component of its equals that have one; a text that only such rows have links with nothing
+    and has a null component.  Words are lower-cased from A to Z.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = stored(nodes(docs), "nodes")
-    sets_ = table.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"))
+    sets_ = table.where("node IS NOT NULL").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"),
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("place"),
+    ).select("node", "n", "sketch", "short", F.col("place.doc_id").alias("first"), "place.mark")
     sets_ = stored(sets_, "sets")
     star = stored(stars(docs, frequent_pieces(docs, percent), percent), "stars")
-    links = verified(star.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets_, docs, percent)
-    labels = components(links)
-    for turn in range(ROUNDS + 1):
-        left = leftovers(star, labels)
-        work = left.where("open").agg(F.sum("members")).first()[0] or 0
-        if not work:
-            break
-        last = work <= DIRECT or turn == ROUNDS
-        if last:
-            pairs = in_blocks(left, sets_, percent)
-        else:
-            # another node of each piece, the same for most pieces of a family, meets those outside its component
-            chosen = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label")
-            hubs = left.groupBy("key").agg(F.min(chosen).alias("hub"))
-            pairs = left.join(hubs, "key").where("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        links = stored(links.unionByName(verified(pairs, sets_, docs, percent)), "links")
-        labels = components(links)
-        if last:
+    pairs = star.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    labels = components(verified(pairs, sets_, docs, percent))
+    tested = None
+    for nearest in (NEAREST, None):
+        found = in_blocks(leftovers(star, labels), sets_, percent, nearest)
+        if tested is not None:
+            found = found.join(tested, ["a", "b"], "left_anti")
+        found = stored(found, "found")
+        tested = found.select("a", "b")
+        more = found.agg(F.max("more")).first()[0]
+        if more is not None:
+            labels = merged(labels, verified(found.select("a", "b"), sets_, docs, percent))
+        if not more:
             break
     joined = sets_.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -70,6 +70,12 @@ def test_join_finds_chains_and_hot_groups_without_losing_links(spark):
     assert sorted(map(tuple, ngram_join.join_classes(df).collect())) == classes(rows)
 
 
+def test_join_tells_texts_of_one_id_apart(spark):
+    base = [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (1, "quite another text of more than five words here"), (2, " ".join(base[1:])), (3, "quite another text of more than five words here too")]
+    assert sorted(map(tuple, ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(classes(rows))
+
+
 def test_one_of_each_class_keeps_columns_and_one_of_equal_rows(edge_docs):
     kept = ngram_join.one_of_each_class(edge_docs)
     assert kept.columns == edge_docs.columns
