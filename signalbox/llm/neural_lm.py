@@ -78,15 +78,18 @@ class Model:
     def log10(self, context: np.ndarray, target: np.ndarray, batch: int = 4096) -> np.ndarray:
         """Normalised log probabilities of the targets."""
         out = np.empty(len(target))
-        transposed = np.ascontiguousarray(self.outputs.T)
+        # the bias is one more dimension, so that one product makes the scores
+        transposed = np.concatenate([self.outputs.T, self.bias[None, :]])
+        predicted = np.ones((batch, len(transposed)), dtype=np.float32)
         for at in range(0, len(target), batch):
-            scores = self.predicted(context[at : at + batch]) @ transposed
-            scores += self.bias
-            own = scores[np.arange(len(scores)), target[at : at + batch]]
+            n = min(batch, len(target) - at)
+            predicted[:n, :-1] = self.predicted(context[at : at + n])
+            scores = predicted[:n] @ transposed
+            own = scores[np.arange(n), target[at : at + n]]
             top = scores.max(axis=1)
             scores -= top[:, None]
             np.exp(scores, out=scores)
-            out[at : at + batch] = own - top - np.log(scores.sum(axis=1))
+            out[at : at + n] = own - top - np.log(scores.sum(axis=1))
         return out / np.log(10.0)
 
 
@@ -101,7 +104,7 @@ class Trainer:
         self.log_noise = np.log(settings.noise * share).astype(np.float32)
         self.squares = [np.full(x.shape, 1e-4, dtype=np.float32) for x in (model.inputs, model.outputs, model.weights, model.bias)]
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> float:
+    def step(self, context: np.ndarray, target: np.ndarray) -> None:
         model, n, d = self.model, len(target), self.settings.dims
         noise = np.minimum(np.searchsorted(self.cumulated, self.draw.random(self.settings.noise)), len(self.cumulated) - 1)
         parts = [model.inputs[context[:, i]] for i in range(context.shape[1])]
@@ -109,7 +112,7 @@ class Trainer:
         wanted = model.outputs[target]
         good = np.einsum("ij,ij->i", q, wanted) + model.bias[target] - self.log_noise[target]
         bad = q @ model.outputs[noise].T + (model.bias[noise] - self.log_noise[noise])
-        g_good = _sigmoid(good) - 1.0
+        g_good = _sigmoid(good) - np.float32(1)
         g_bad = _sigmoid(bad)
         d_q = g_good[:, None] * wanted + g_bad @ model.outputs[noise]
         d_out = _summed(target, g_good[:, None] * q, len(model.outputs))
@@ -122,7 +125,6 @@ class Trainer:
             g = (g / n).astype(np.float32)
             s += g * g
             x -= self.settings.rate * g / np.sqrt(s)
-        return float(np.logaddexp(0, -good).mean() + np.logaddexp(0, bad).sum(axis=1).mean())
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         order = self.draw.permutation(len(target))
@@ -132,7 +134,8 @@ class Trainer:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
+    half = x.dtype.type(0.5)
+    return half * (1 + np.tanh(half * x))
 
 
 def _summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
