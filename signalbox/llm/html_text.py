@@ -128,7 +128,9 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which lines of ``a`` are in the longest common subsequence with ``b``.
 
-    Equal ends are taken off first.  Very long middles are cut at their unique common lines.
+    Equal ends and lines that only one side has are taken off first.  Above ``CELLS`` the inputs are
+    halved where the lengths of the halves' subsequences add up to the most (Hirschberg), so memory
+    is linear in them.
     """
     out = np.zeros(len(a), dtype=bool)
     m = min(len(a), len(b))
@@ -140,10 +142,15 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     tail = m if same.all() else int(np.argmin(same))
     out[len(a) - tail :] = True
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if not len(x) or not len(y) or not len(np.intersect1d(x, y)):
+    at = head + np.flatnonzero(np.isin(x, y))
+    x, y = a[at], y[np.isin(y, x)]
+    if not len(x):
         return out
-    if len(x) * len(y) > CELLS:
-        out[head : len(a) - tail] = _anchored(x, y)
+    if len(x) * len(y) > CELLS and len(x) > 1:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        out[at[:half]] = common(x[:half], y[:cut])
+        out[at[half:]] = common(x[half:], y[cut:])
         return out
     table = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
     for i in range(len(x)):
@@ -156,39 +163,16 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out[head + i] = True
+            out[at[i]] = True
     return out
 
 
-def _anchored(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """As ``common`` for long inputs: the longest increasing run of lines unique in both, and the parts between them."""
-    out = np.zeros(len(x), dtype=bool)
-    ux, ix, nx = np.unique(x, return_index=True, return_counts=True)
-    uy, iy, ny = np.unique(y, return_index=True, return_counts=True)
-    keys, px, py = np.intersect1d(ux[nx == 1], uy[ny == 1], assume_unique=True, return_indices=True)
-    if not len(keys):
-        return np.isin(x, y)
-    px, py = ix[nx == 1][px], iy[ny == 1][py]
-    order = np.argsort(px)
-    px, py = px[order], py[order]
-    ends, tails, back = [], [], []
-    for k, v in enumerate(py.tolist()):
-        at = int(np.searchsorted(ends, v)) if ends else 0
-        back.append(tails[at - 1] if at else -1)
-        ends[at : at + 1] = [v]
-        tails[at : at + 1] = [k]
-    chain, k = [], tails[-1]
-    while k >= 0:
-        chain.append(k)
-        k = back[k]
-    i = j = 0
-    for p, q in [(int(px[k]), int(py[k])) for k in reversed(chain)] + [(len(x), len(y))]:
-        if (p - i) * (q - j) <= CELLS:
-            out[i:p] = common(x[i:p], y[j:q])
-        if p < len(x):
-            out[p] = True
-        i, j = p + 1, q + 1
-    return out
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` with every beginning of ``y``."""
+    row = np.zeros(len(y) + 1, dtype=np.int32)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == v)))
+    return row
 
 
 def main_text(lines: list[str], kinds: np.ndarray, shared: np.ndarray) -> str:
@@ -244,8 +228,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     A page's neighbour is the next one by path on its host, for the host's last page the one
-    before, unless that one lies in another range of pages.  Pages without a neighbour, a url
-    or a host are judged by their places alone.  Null html is empty and gives an empty text; equal rows each get a row.
+    before.  Pages without a neighbour, a url or a host are judged by their places alone.  Null html is empty and gives an empty text; equal rows each get a row.
     Lines move once, in ranges of host and path, so one host's pages are spread as well.
     """
 

@@ -101,8 +101,8 @@ def with_next(rows: DataFrame, key: str, columns: list[str], wrap: bool, before:
     Rows are dealt by ranges of keys whose starts are existing keys; the rows at a start go to the
     range before it too, so every range sees its successor.  Equal keys are ordered by ``columns``.
     Rows without a key have no next row and get nulls; they are spread by hash.  ``before`` names
-    columns of which ``last_<column>`` is added: those of the row before, null at a range's start.
-    ``keys`` has the same keys where they can be read at less cost.
+    columns of which ``last_<column>`` is added: those of the row before; the rows at a range's end
+    go to the range after it for that.  ``keys`` has the same keys where they can be read at less cost.
     """
     counted = rows.select(key) if keys is None else keys.select(key)
     count, least = counted.agg(F.count(key), F.min(key)).first()
@@ -115,7 +115,13 @@ def with_next(rows: DataFrame, key: str, columns: list[str], wrap: bool, before:
     if wrap:
         places = places.when(value == F.lit(least), F.array(place(F.lit(0), 0), place(F.lit(len(bounds)), 1)))
     at_start = F.get(literals(bounds), bucket - 1) == value if bounds else F.lit(False)
-    places = places.when(at_start, F.array(place(bucket, 0), place(bucket - 1, 1))).otherwise(F.array(place(bucket, 0)))
+    at_end = F.lit(False)
+    if before and bounds:
+        # every range starts with an existing key, so each has an end
+        ends = dict(counted.where(value.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.max(key)).collect())
+        at_end = F.coalesce(F.get(literals([ends[i] for i in range(len(bounds))]), bucket) == value, F.lit(False))
+    ghosts = [F.when(at_start, place(bucket - 1, 1)), F.when(at_end, place(bucket + 1, -1))]
+    places = places.otherwise(F.array_compact(F.array(place(bucket, 0), *ghosts)))
     order = Window.partitionBy("bucket").orderBy("ghost", key, *columns)
     dealt = rows.select("*", F.explode(places).alias("place")).select(*rows.columns, "place.*")
     near = [F.lead(c).over(order).alias(f"next_{c}") for c in columns] + [F.lag(c).over(order).alias(f"last_{c}") for c in before]

@@ -71,6 +71,23 @@ def test_common_is_a_longest_common_subsequence():
     assert html_text.common(mixed, long).sum() >= 2495
 
 
+def test_common_is_longest_above_the_table_size(monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [[rng.integers(0, 6, n).astype(np.uint64) for n in (60, 45)] for _ in range(20)]
+    want = [html_text.common(a, b).sum() for a, b in pairs]
+    monkeypatch.setattr(html_text, "CELLS", 50)
+    for (a, b), n in zip(pairs, want):
+        kept = a[html_text.common(a, b)]
+        it = iter(b.tolist())
+        assert len(kept) == n and all(x in it for x in kept.tolist())
+
+
+def test_both_neighbours_are_seen_across_ranges(spark):
+    df = spark.range(2000).select(storage.F.format_string("%05d", "id").alias("k"), storage.F.col("id").alias("v"))
+    got = storage.with_next(df, "k", ["v"], wrap=False, before=["v"]).orderBy("v").collect()
+    assert [(r.last_v, r.next_v) for r in got] == [(i - 1 if i else None, i + 1 if i < 1999 else None) for i in range(2000)]
+
+
 def test_archives(spark):
     big = "x" * 200
     rows = [(i, f"http://a/{i}?q=ü%20 &b", big) for i in range(30, 0, -1)]
