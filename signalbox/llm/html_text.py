@@ -1,10 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into text lines, one for each block, with the kind of place they stand in.  Pages
-are paired with their neighbour by URL path on the same host, and the two pages' lines are
-aligned by their longest common subsequence.  Lines that both have are template text and go,
-except inside an article element, where a common line is a quotation or a copy.  Lines in places
-that HTML names as no part of an article go as well.
+A page is cut into text lines, one for each block, with the kind of place they stand in.  Lines in
+places that HTML names as no part of an article go.  The others are aligned, by longest common
+subsequences, with those of the pages nearest by URL path on the same host whose text differs, and
+with those of a few pages from anywhere on the host.  What differing pages share is template text
+and goes; what a copy of the page shares says nothing about the template.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.llm.registry import register
-from signalbox.llm.storage import with_next
+from signalbox.llm.storage import stored, with_next
 
 # Element names of HTML
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
@@ -43,9 +43,11 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _PLACES = frozenset(PLACES)
 OUTSIDE, APART_KIND, INSIDE = 0, 1, 2
-COPY = 0.9
-"""A page without an article element whose neighbour shares this much of its text is a copy of it, and keeps all."""
+COPY = 0.5
+"""A page that shares this much of the text that not all compared pages share is a copy, and no evidence of a template."""
 CELLS = 4_000_000
+FAR, DRAWN = 3, 256
+"""Pages compared from anywhere on the host, and the hash groups they are drawn from."""
 
 
 def _named_apart(name: str, attributes: str) -> bool:
@@ -175,78 +177,130 @@ def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return row
 
 
+def standing(kinds: np.ndarray) -> np.ndarray:
+    """Which lines stay by their places alone."""
+    return kinds == INSIDE if (kinds == INSIDE).any() else kinds == OUTSIDE
+
+
+def template(own: np.ndarray, sizes: np.ndarray, inside: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which lines of a page are template text, judged by other pages of its host with differing lines.
+
+    A line that one differing page shares is template text; inside an article it may be a quotation,
+    so two must share it.  Copies are told by what is left without the lines that all share, so at
+    least two other pages are needed; a line shared with copies alone stays.  With one other page a
+    page that has no line of its own keeps all.
+    """
+    shares = np.array([common(own, x) for x in others], dtype=bool).reshape(len(others), len(own))
+    if len(shares) < 2:
+        found = shares.any(axis=0) & ~inside
+        return found & ~found.all()
+    rest = np.where(shares.all(axis=0), 0, sizes)
+    differing = shares if not rest.any() else shares[shares @ rest < COPY * rest.sum()]
+    return differing.sum(axis=0) >= np.where(inside, 2, 1)
+
+
 def main_text(lines: list[str], kinds: np.ndarray, shared: np.ndarray) -> str:
-    """Join the lines that stay."""
-    if (kinds == INSIDE).any():
-        keep = (kinds == INSIDE) & ~(shared & (kinds != INSIDE))
-    else:
-        body = kinds == OUTSIDE
-        size = np.array([len(x) for x in lines])
-        copy = size[body & shared].sum() >= COPY * size[body].sum()
-        keep = body if copy else body & ~shared
-    return "\n".join(lines[i] for i in np.flatnonzero(keep))
+    """Join the lines that stay: those in their places without the shared ones."""
+    return "\n".join(lines[i] for i in np.flatnonzero(standing(kinds) & ~shared))
 
 
-_LINES = "page_id long, url string, host string, key string, lines array<string>, kinds binary, hashes binary"
-_URL = r"^(?:[a-zA-Z][\w+.-]*://)?(?:[^/?#@]*@)?([^/:?#]*)(?::[0-9]*)?([^?#]*)"
+_PAGE = "page_id long, url string, host string, key string, digest binary, lines array<string>, body binary"
+_URL = r"^(?:[a-zA-Z][\w+.-]*://)?(?:[^/?#@]*@)?([^/:?#]*)(?::[0-9]*)?([^?#]*)(\?[^#]*)?"
+_LINE = np.dtype([("hash", "<u8"), ("size", "<u4"), ("kind", "u1")])
 
 
 def placed(pages: DataFrame) -> DataFrame:
     """Add the page's host and its place among the host's paths, null without a host."""
     host = F.lower(F.regexp_extract("url", _URL, 1))
-    key = F.concat_ws("\x01", "host", F.regexp_extract("url", _URL, 2), F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0"))
+    key = F.concat_ws("\x01", "host", F.regexp_extract("url", _URL, 2), F.regexp_extract("url", _URL, 3))
     out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return out.withColumn("host", F.when(host != "", host)).withColumn("key", F.when(F.col("host").isNotNull(), key))
 
 
-def split_pages(pages: DataFrame) -> DataFrame:
-    """Parse every placed page once: its lines, their kinds and hashes."""
+def split_pages(pages: DataFrame, texts: bool) -> DataFrame:
+    """Parse every placed page: the lines that stand in their places (if asked for), their hashes, sizes and kinds, and a digest of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
             for page_id, url, host, key, page in zip(*(c.to_pylist() for c in batch.columns)):
                 lines, kinds = page_lines(page or "")
-                hashes = np.array([xxhash.xxh64_intdigest(x) for x in lines], dtype="<u8").tobytes()
-                rows.append((page_id, url, host, key, lines, bytes(kinds), hashes))
+                stay = np.flatnonzero(standing(np.array(kinds, dtype=np.uint8))).tolist()
+                lines = [lines[i] for i in stay]
+                body = np.array([(xxhash.xxh64_intdigest(x), len(x), kinds[i]) for i, x in zip(stay, lines)], dtype=_LINE).tobytes()
+                rows.append((page_id, url, host, key, xxhash.xxh3_128_digest(body), lines if texts else [], body))
                 held += len(page or "")
                 if held > 4 << 20:
                     yield _batch(rows)
                     rows, held = [], 0
             yield _batch(rows)
 
-    return pages.select("page_id", "url", "host", "key", "html").mapInArrow(run, _LINES)
+    return pages.select("page_id", "url", "host", "key", "html").mapInArrow(run, _PAGE)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary()]
-    names = [x.split(" ")[0] for x in _LINES.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.binary()]
+    names = [x.split(" ")[0] for x in _PAGE.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, digest, shared): packed flags of the template lines of every differing text of a host.
+
+    Equal texts of a host are one entry with the first place of them, and a place is compared as one
+    of its texts, so a page's neighbours are the next texts at other places, however often it was
+    copied or fetched.  Only hashes move.
+    """
+    split = split_pages(pages.where("host IS NOT NULL"), texts=False).where(F.length("body") > 0)
+    contents = stored(split.groupBy("host", "digest").agg(F.min("key").alias("key"), F.min("body").alias("body")), "contents")
+    places = contents.groupBy("host", "key").agg(F.min("body").alias("body"), F.count(F.lit(1)).alias("texts"))
+    draw = F.xxhash64("key")
+    drawn = places.groupBy("host", F.pmod(draw, F.lit(DRAWN)).alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "key", "body")).alias("page"))
+    far = drawn.groupBy("host").agg(F.slice(F.sort_array(F.collect_list("page")), 1, FAR)["body"].alias("far"))
+    near = with_next(places.join(far, "host", "left"), "key", ["host", "body"], wrap=False, before=["host", "body"], keys=contents.select("key"))
+    beside = [F.when(F.col(f"{x}_host") == F.col("host"), F.col(f"{x}_body")).alias(x) for x in ("last", "next")]
+    near = near.select("host", "key", "body", "texts", *beside, "far")
+    # a place's other texts meet the neighbours of the place
+    several = near.where("texts > 1").drop("body", "texts", "host").join(contents.select("host", "key", "body"), "key")
+    entries = near.where("texts = 1").select("host", "body", "last", "next", "far").unionByName(several.select("host", "body", "last", "next", "far"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, flags = [], []
+            for body, last, after, far in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                own = np.frombuffer(body, dtype=_LINE)
+                others = {np.frombuffer(x, dtype=_LINE)["hash"].tobytes() for x in (last, after, *(far or [])) if x}
+                others.discard(own["hash"].tobytes())
+                shared = template(own["hash"], own["size"].astype(np.int64), own["kind"] != OUTSIDE, [np.frombuffer(x, dtype="<u8") for x in sorted(others)])
+                digests.append(xxhash.xxh3_128_digest(body))
+                flags.append(np.packbits(shared).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(flags, pa.binary())], ["host", "digest", "shared"])
+
+    return entries.mapInArrow(run, "host string, digest binary, shared binary")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    A page's neighbour is the next one by path on its host, for the host's last page the one
-    before.  Pages without a neighbour, a url or a host are judged by their places alone.  Null html is empty and gives an empty text; equal rows each get a row.
-    Lines move once, in ranges of host and path, so one host's pages are spread as well.
+    A page is compared with the nearest places before and after it by path and query on its host whose
+    text differs, and with ``FAR`` places of the host.  Pages without another page on the host, a url
+    or a host are judged by their places alone.  Null html is empty and gives an empty text; equal rows each get a row.
+    Pages are parsed twice, so that lines move once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for host, lines, kinds, own, after, next_host, before, last_host in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                other = after if host and next_host == host else before if host and last_host == host else None
-                a = np.frombuffer(own, dtype="<u8")
-                shared = common(a, np.frombuffer(other, dtype="<u8")) if other is not None else np.zeros(len(a), dtype=bool)
-                texts.append(main_text(lines, np.frombuffer(kinds, dtype=np.uint8), shared))
+            for lines, body, shared in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                kinds = np.frombuffer(body, dtype=_LINE)["kind"]
+                flags = np.unpackbits(np.frombuffer(shared or bytes(len(kinds)), dtype=np.uint8), count=len(kinds)).astype(bool)
+                texts.append(main_text(lines, kinds, flags))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     pages = placed(pages)
-    near = with_next(split_pages(pages), "key", ["host", "hashes"], wrap=False, before=["host", "hashes"], keys=pages)
-    near = near.select("page_id", "url", "host", "lines", "kinds", "hashes", "next_hashes", "next_host", "last_hashes", "last_host")
-    out = near.mapInArrow(run, "page_id long, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    split = split_pages(pages, texts=True).drop("key")
+    out = split.join(templates(pages), ["host", "digest"], "left").select("page_id", "url", "lines", "body", "shared")
+    return out.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 @register("op6_html_text")

@@ -50,6 +50,24 @@ def test_pages_without_article_lose_what_their_neighbours_share(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html_text.extract(df).collect()}
+
+
+def test_short_pages_and_fetched_again_pages_lose_the_template(spark):
+    frame = lambda body: "".join(f"<div>Menu line {i} of this site</div>" for i in range(40)) + body + "<div>All rights reserved</div>"
+    rows = [(i, f"http://h.example/a/{i}", frame(f"<p>own text {i}</p>")) for i in range(6)]
+    # the same page again, as it was and with another date, and copies of it at other places
+    rows += [(10 + i, "http://h.example/a/3", rows[3][2]) for i in range(4)]
+    rows += [(20 + i, "http://h.example/a/4#x", frame(f"<p>own text 4</p><p>on day {i}</p>")) for i in range(3)]
+    rows += [(30 + i, f"http://h.example/a/5{i}", rows[5][2]) for i in range(4)]
+    got = texts(spark, rows)
+    assert [got[i] for i in range(6)] == [f"own text {i}" for i in range(6)]
+    assert {got[10 + i] for i in range(4)} == {"own text 3"} and {got[30 + i] for i in range(4)} == {"own text 5"}
+    assert [got[20 + i] for i in range(3)] == [f"own text 4\non day {i}" for i in range(3)]
+
+
 def test_common_is_a_longest_common_subsequence():
     def longest(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
