@@ -42,7 +42,7 @@ _PLACE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|<[/!?a-zA-Z][^>]*\Z""", re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _PLACES = frozenset(PLACES)
-OUTSIDE, APART_KIND, INSIDE = 0, 1, 2
+OUTSIDE, APART_KIND, INSIDE, MAIN = 0, 1, 2, 3
 COPY = 0.5
 """A page that shares this much of the text that not all compared pages share is a copy, and no evidence of a template."""
 CELLS = 4_000_000
@@ -55,19 +55,19 @@ def _named_apart(name: str, attributes: str) -> bool:
         return False
     for m in _PLACE.finditer(attributes):
         if not _PLACES.isdisjoint(_SPLIT.split((m[1] or m[2] or m[3] or "").lower())):
-            return name not in ("body", "html", "article", "main")
+            return name not in ("body", "html", "main")
     return False
 
 
 def page_lines(page: str) -> tuple[list[str], list[int]]:
-    """Lines of a page with their kinds: apart from the article by their place, inside an article, or outside.
+    """Lines of a page with their kinds: apart from the text by their place, inside the main element, inside an article, or outside.
 
     Unclosed elements end with the element around them; an unclosed one without end ends with the page.
     """
     lines, kinds, parts = [], [], []
-    # open elements that count: name, and whether it is apart (1) or core (2)
+    # open elements that count: name, and whether it is apart (1), an article (2) or main (3)
     stack: list[tuple[str, int]] = []
-    apart = core = 0
+    apart = core = main = 0
     at = 0
 
     def end_line() -> None:
@@ -76,7 +76,7 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
             parts.clear()
             if text:
                 lines.append(text)
-                kinds.append(APART_KIND if apart else INSIDE if core else OUTSIDE)
+                kinds.append(APART_KIND if apart else MAIN if main else INSIDE if core else OUTSIDE)
 
     while True:
         m = _TAG.search(page, at)
@@ -103,7 +103,8 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                 if stack[i][0] == name:
                     for _, kind in stack[i:]:
                         apart -= kind == 1
-                        core -= kind == 2
+                        core -= kind >= 2
+                        main -= kind == 3
                     del stack[i:]
                     break
             continue
@@ -111,18 +112,19 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
         if name in VOID or attributes.endswith("/"):
             continue
         kind = 0
-        if name in CORE:
-            kind = 2
-        elif name in APART or (name == "header" and not core) or _named_apart(name, attributes):
+        if name in APART or (name == "header" and not core) or _named_apart(name, attributes):
             kind = 1
             end_line()
+        elif name in CORE:
+            kind = 3 if name == "main" else 2
         if kind or name in BLOCK:
             if name == "p" and stack and stack[-1][0] == "p":
                 # a paragraph ends at the next one
                 apart -= stack.pop()[1] == 1
             stack.append((name, kind))
             apart += kind == 1
-            core += kind == 2
+            core += kind >= 2
+            main += kind == 3
     end_line()
     return lines, kinds
 
@@ -178,25 +180,44 @@ def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def standing(kinds: np.ndarray) -> np.ndarray:
-    """Which lines stay by their places alone."""
-    return kinds == INSIDE if (kinds == INSIDE).any() else kinds == OUTSIDE
+    """Which lines stay by their places alone: those in the main element; without it all that are not apart.
+
+    An article element can be a teaser or a comment, so it says nothing of the lines outside it.
+    """
+    return kinds == MAIN if (kinds == MAIN).any() else kinds != APART_KIND
 
 
-def template(own: np.ndarray, sizes: np.ndarray, inside: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+def template(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Which lines of a page are template text, judged by other pages of its host with differing lines.
 
-    A line that one differing page shares is template text; inside an article it may be a quotation,
-    so two must share it.  Copies are told by what is left without the lines that all share, so at
-    least two other pages are needed; a line shared with copies alone stays.  With one other page a
-    page that has no line of its own keeps all.
+    Pages are given as lines (``_LINE``).  A line that one differing page shares is template text;
+    inside an article or the main element it may be a quotation, so two pages and most of the
+    compared ones must share it.  Copies, of the page or of each other, are told by what is left
+    without the lines that all share, so at least two other pages are needed; a line shared with
+    copies alone stays.  With one other page a page that has no line of its own keeps all.
     """
-    shares = np.array([common(own, x) for x in others], dtype=bool).reshape(len(others), len(own))
+    inside = own["kind"] != OUTSIDE
+    shares = np.array([common(own["hash"], x["hash"]) for x in others], dtype=bool).reshape(len(others), len(own))
     if len(shares) < 2:
         found = shares.any(axis=0) & ~inside
         return found & ~found.all()
-    rest = np.where(shares.all(axis=0), 0, sizes)
-    differing = shares if not rest.any() else shares[shares @ rest < COPY * rest.sum()]
-    return differing.sum(axis=0) >= np.where(inside, 2, 1)
+    everywhere = own["hash"][shares.all(axis=0)]
+    rest = np.where(shares.all(axis=0), 0, own["size"].astype(np.int64))
+    if rest.any():
+        stay = shares @ rest < COPY * rest.sum()
+        shares, others = shares[stay], [x for x, s in zip(others, stay) if s]
+    votes = shares.any(axis=0) & ~inside
+    if (shares.sum(axis=0) >= 2)[inside].any():
+        others = [x[~np.isin(x["hash"], everywhere)] for x in others]
+        first = [i for i, x in enumerate(others) if not any(_copies(x, y) for y in others[:i])]
+        count = shares[first].sum(axis=0)
+        votes |= (count >= 2) & (2 * count > len(first))
+    return votes
+
+
+def _copies(x: np.ndarray, y: np.ndarray) -> bool:
+    size = x["size"].astype(np.int64)
+    return len(x) > 0 and size[np.isin(x["hash"], y["hash"])].sum() >= COPY * size.sum()
 
 
 def main_text(lines: list[str], kinds: np.ndarray, shared: np.ndarray) -> str:
@@ -218,7 +239,10 @@ def placed(pages: DataFrame) -> DataFrame:
 
 
 def split_pages(pages: DataFrame, texts: bool) -> DataFrame:
-    """Parse every placed page: the lines that stand in their places (if asked for), their hashes, sizes and kinds, and a digest of these."""
+    """Parse every placed page: the lines that stand in their places and a digest of their hashes, sizes and kinds.
+
+    With ``texts`` the body has the lines' kinds alone; without, all three and no texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +252,8 @@ def split_pages(pages: DataFrame, texts: bool) -> DataFrame:
                 stay = np.flatnonzero(standing(np.array(kinds, dtype=np.uint8))).tolist()
                 lines = [lines[i] for i in stay]
                 body = np.array([(xxhash.xxh64_intdigest(x), len(x), kinds[i]) for i, x in zip(stay, lines)], dtype=_LINE).tobytes()
-                rows.append((page_id, url, host, key, xxhash.xxh3_128_digest(body), lines if texts else [], body))
+                digest = xxhash.xxh3_128_digest(body)
+                rows.append((page_id, url, host, key, digest, lines, bytes(kinds[i] for i in stay)) if texts else (page_id, url, host, key, digest, [], body))
                 held += len(page or "")
                 if held > 4 << 20:
                     yield _batch(rows)
@@ -256,8 +281,10 @@ def templates(pages: DataFrame) -> DataFrame:
     places = contents.groupBy("host", "key").agg(F.min("body").alias("body"), F.count(F.lit(1)).alias("texts"))
     draw = F.xxhash64("key")
     drawn = places.groupBy("host", F.pmod(draw, F.lit(DRAWN)).alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "key", "body")).alias("page"))
-    far = drawn.groupBy("host").agg(F.slice(F.sort_array(F.collect_list("page")), 1, FAR)["body"].alias("far"))
-    near = with_next(places.join(far, "host", "left"), "key", ["host", "body"], wrap=False, before=["host", "body"], keys=contents.select("key"))
+    far = drawn.groupBy("host").agg(F.slice(F.sort_array(F.collect_list("page")), 1, FAR)["body"].alias("far")).where(F.size("far") > 1)
+    # keys of a host begin with it and a \x01
+    far = far.select("host", F.concat("host", F.lit("\x01")).alias("low"), F.concat("host", F.lit("\x02")).alias("high"), "far")
+    near = with_next(places, "key", ["host", "body"], wrap=False, before=["host", "body"], keys=contents.select("key"), groups=far)
     beside = [F.when(F.col(f"{x}_host") == F.col("host"), F.col(f"{x}_body")).alias(x) for x in ("last", "next")]
     near = near.select("host", "key", "body", "texts", *beside, "far")
     # a place's other texts meet the neighbours of the place
@@ -269,9 +296,9 @@ def templates(pages: DataFrame) -> DataFrame:
             digests, flags = [], []
             for body, last, after, far in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 own = np.frombuffer(body, dtype=_LINE)
-                others = {np.frombuffer(x, dtype=_LINE)["hash"].tobytes() for x in (last, after, *(far or [])) if x}
-                others.discard(own["hash"].tobytes())
-                shared = template(own["hash"], own["size"].astype(np.int64), own["kind"] != OUTSIDE, [np.frombuffer(x, dtype="<u8") for x in sorted(others)])
+                others = {x["hash"].tobytes(): x for x in (np.frombuffer(x, dtype=_LINE) for x in (last, after, *(far or [])) if x)}
+                others.pop(own["hash"].tobytes(), None)
+                shared = template(own, [others[k] for k in sorted(others)])
                 digests.append(xxhash.xxh3_128_digest(body))
                 flags.append(np.packbits(shared).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(flags, pa.binary())], ["host", "digest", "shared"])
@@ -292,7 +319,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for lines, body, shared in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                kinds = np.frombuffer(body, dtype=_LINE)["kind"]
+                kinds = np.frombuffer(body, dtype=np.uint8)
                 flags = np.unpackbits(np.frombuffer(shared or bytes(len(kinds)), dtype=np.uint8), count=len(kinds)).astype(bool)
                 texts.append(main_text(lines, kinds, flags))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])

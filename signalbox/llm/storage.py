@@ -95,7 +95,7 @@ def id_bucket(value: Column, bounds: list) -> Column:
     return F.when(value.isNull() | (coarse == 0), F.lit(0)).otherwise((coarse - 1) * step + inside).cast("int")
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str], wrap: bool, before: list[str] = (), keys: DataFrame | None = None) -> DataFrame:
+def with_next(rows: DataFrame, key: str, columns: list[str], wrap: bool, before: list[str] = (), keys: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Add ``next_<column>``: the values of the next row by ascending key; with ``wrap`` the first row's after the last.
 
     Rows are dealt by ranges of keys whose starts are existing keys; the rows at a start go to the
@@ -103,6 +103,8 @@ def with_next(rows: DataFrame, key: str, columns: list[str], wrap: bool, before:
     Rows without a key have no next row and get nulls; they are spread by hash.  ``before`` names
     columns of which ``last_<column>`` is added: those of the row before; the rows at a range's end
     go to the range after it for that.  ``keys`` has the same keys where they can be read at less cost.
+    ``groups`` has a column of ``columns``, the least and greatest key of its value, and a value column:
+    rows of the group get it; it is dealt to every range between the keys.
     """
     counted = rows.select(key) if keys is None else keys.select(key)
     count, least = counted.agg(F.count(key), F.min(key)).first()
@@ -125,6 +127,11 @@ def with_next(rows: DataFrame, key: str, columns: list[str], wrap: bool, before:
     order = Window.partitionBy("bucket").orderBy("ghost", key, *columns)
     dealt = rows.select("*", F.explode(places).alias("place")).select(*rows.columns, "place.*")
     near = [F.lead(c).over(order).alias(f"next_{c}") for c in columns] + [F.lag(c).over(order).alias(f"last_{c}") for c in before]
+    if groups is not None:
+        group, low, high, given = groups.columns
+        ranges = F.sequence(id_bucket(F.col(low), bounds), id_bucket(F.col(high), bounds))
+        dealt = dealt.unionByName(groups.select(group, F.col(given).alias("given"), F.lit(-2).alias("ghost"), F.explode(ranges).alias("bucket")), allowMissingColumns=True)
+        near.append(F.max("given").over(Window.partitionBy("bucket", group)).alias(given))
     out = dealt.select("*", *near).where("ghost = 0")
     keyed = [F.when(value.isNotNull(), F.col(c)).alias(c) for c in out.columns if c.startswith(("next_", "last_"))]
-    return out.select(*rows.columns, *keyed)
+    return out.select(*rows.columns, *keyed, *([] if groups is None else [given]))

@@ -68,6 +68,23 @@ def test_short_pages_and_fetched_again_pages_lose_the_template(spark):
     assert [got[20 + i] for i in range(3)] == [f"own text 4\non day {i}" for i in range(3)]
 
 
+def test_template_inside_articles_goes_and_copies_and_quotations_stay(spark):
+    page = lambda tag, body: f"<body><{tag}><p>Print this page</p><p>{body}</p><div>Was this useful?</div></{tag}></body>"
+    rows = [(i, f"http://m.example/{i}", page("main", f"main text {i}")) for i in range(5)]
+    rows += [(10 + i, f"http://a.example/{i}", page("article", f"article {i}</p><p>{'quoted' if i in (2, 3) else f'more {i}'}")) for i in range(5)]
+    rows += [(15, "http://a.example/25", page("article", "article 2</p><p>quoted</p><p>copied"))]
+    got = texts(spark, rows)
+    assert [got[i] for i in range(5)] == [f"main text {i}" for i in range(5)]
+    assert [got[10 + i] for i in range(5)] == [f"article {i}\n{'quoted' if i in (2, 3) else f'more {i}'}" for i in range(5)]
+    assert got[15] == "article 2\nquoted\ncopied"
+
+
+def test_text_beside_article_elements_stays(spark):
+    page = "<div>{0} long text in a div</div><article><p>Teaser {0}</p></article><article class='comment'><p>Reader {0}</p></article>"
+    got = texts(spark, [(i, f"http://c.example/{i}", page.format(i)) for i in range(3)])
+    assert [got[i] for i in range(3)] == [f"{i} long text in a div\nTeaser {i}" for i in range(3)]
+
+
 def test_common_is_a_longest_common_subsequence():
     def longest(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
