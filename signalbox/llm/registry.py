@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["ngram_join", "toxicity", "mixing", "packing", "token_files", "html_text", "fingerprints", "warc", "neural_lm", "graph_index", "periodic"]
+MODULES = [
+    "ngram_join", "toxicity", "mixing", "packing", "token_files", "html_text", "fingerprints", "warc", "neural_lm", "graph_index",
+    "collocations", "periodic",
+]
 
 
 def register(name: str, oracle: str | None = None):

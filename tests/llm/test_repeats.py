@@ -1,6 +1,8 @@
 """Periodic runs, collocations and repeated substrings against plain Python."""
 
+import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from corpus_cases import LONG, TEXTS, documents, edge_docs, no_docs, run, words  # noqa: F401
 from pyspark.sql import functions as F
 
-from signalbox.llm import periodic
+from signalbox.llm import collocations, periodic
 
 
 def runs_of(w, least=24, times=3):
@@ -84,3 +86,53 @@ def test_runs_edge_cases(edge_docs, no_docs):
     long = [r for r in got if r[1] > 100_000]
     assert {r[1] for r in long} == {300_000, 300_001} and all(r[2] for r in long)
     assert periodic.with_runs(no_docs).count() == 0
+
+
+def collocated(rows, least, longest, contained, first):
+    """(lang, rank, phrase, a, l, r, n, score) by counting all phrases."""
+    counts, total = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))):
+            w = [x for x in re.split("[\x20\x09]+", piece) if x]
+            total[lang or "und"] += len(w)
+            counts.update((lang or "und", tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    often = {g: a for g, a in counts.items() if len(g[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, w), a in often.items():
+        for k in range(2, len(w)):
+            gone |= {(lang, w[i : i + k]) for i in range(len(w) - k + 1) if 100 * a >= contained * counts[lang, w[i : i + k]]}
+    out = collections.defaultdict(list)
+    for (lang, w), a in often.items():
+        if (lang, w) not in gone:
+            cuts = [(1_000_000 * a * a // (counts[lang, w[:k]] * counts[lang, w[k:]]), k, counts[lang, w[:k]], counts[lang, w[k:]]) for k in range(1, len(w))]
+            score, _, l, r = min(cuts)
+            out[lang].append((-score, -a, " ".join(w).encode(), l, r))
+    return sorted((lang, i + 1, p.decode(), -a, l, r, total[lang], -s) for lang, found in out.items() for i, (s, a, p, l, r) in enumerate(sorted(found)[:first]))
+
+
+def test_collocations_are_those_of_all_phrases(run, documents):
+    rows, _ = documents
+    got = run("op11_collocations")
+    want = collocated(list(zip(rows.lang, rows.text)), 10, 3, 50, 2000)
+    assert sorted(got.itertuples(index=False, name=None)) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("least,longest,contained,first", [(3, 4, 50, 40), (2, 2, 100, 1000), (5, 5, 20, 7)])
+def test_collocations_of_random_words(spark, least, longest, contained, first, monkeypatch):
+    rng = np.random.default_rng(longest)
+    names = ["a", "B", "ab", "é", "\u2003", "x" * 300, "a-b", "ÉT"]
+    pieces = [" ".join(names[k] for k in rng.integers(0, 2 + i % 7, rng.integers(0, 40))) for i in range(60)]
+    pieces += ["long " * 500, " \t a  a\tb ", "a.b,c\n\rd;;e!?", None, ""]
+    rows = [((None, "und", "en", "english")[k % 4], t + "." + t if t and k % 3 else t) for k, t in enumerate(pieces)]
+    # few sums fit at once, so tasks send several parts
+    monkeypatch.setattr(collocations, "_FLUSH", 200)
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "lang string, text string, phrase string, f string").repartition(3)
+    got = collocations.collocations(df, least, longest, contained, first).collect()
+    assert sorted(map(tuple, got)) == collocated(rows, least, longest, contained, first)
+
+
+def test_collocations_edge_cases(edge_docs, no_docs):
+    df = edge_docs.withColumn("lang", F.col("source"))
+    want = collocated([(None if k % 5 == 0 else f"s{k % 3}", t) for k, (_, t) in enumerate(TEXTS)], 10, 3, 50, 2000)
+    assert sorted(map(tuple, collocations.collocations(df).collect())) == want
+    assert collocations.collocations(no_docs.withColumn("lang", F.lit("en"))).count() == 0
