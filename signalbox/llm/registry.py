@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 MODULES = [
     "ngram_join", "toxicity", "mixing", "packing", "token_files", "html_text", "fingerprints", "warc", "neural_lm", "graph_index",
-    "collocations", "periodic",
+    "collocations", "bwt_dedup", "periodic",
 ]
 
 

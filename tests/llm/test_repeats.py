@@ -10,7 +10,7 @@ import pytest
 from corpus_cases import LONG, TEXTS, documents, edge_docs, no_docs, run, words  # noqa: F401
 from pyspark.sql import functions as F
 
-from signalbox.llm import collocations, periodic
+from signalbox.llm import bwt_dedup, collocations, periodic
 
 
 def runs_of(w, least=24, times=3):
@@ -136,3 +136,80 @@ def test_collocations_edge_cases(edge_docs, no_docs):
     want = collocated([(None if k % 5 == 0 else f"s{k % 3}", t) for k, (_, t) in enumerate(TEXTS)], 10, 3, 50, 2000)
     assert sorted(map(tuple, collocations.collocations(df).collect())) == want
     assert collocations.collocations(no_docs.withColumn("lang", F.lit("en"))).count() == 0
+
+
+def without(rows, length):
+    """(doc_id, n_bytes, spans, kept) by a set of all strings, rows in order."""
+    seen, out = set(), []
+    for i, text in rows:
+        raw = (text or "").encode()
+        gone = np.zeros(len(raw), dtype=bool)
+        for at in range(len(raw) - length + 1):
+            if raw[at : at + length] in seen:
+                gone[at : at + length] = True
+            seen.add(raw[at : at + length])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        out.append((i, len(raw), [(int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2])], bytes(np.frombuffer(raw, np.uint8)[~gone])))
+    return out
+
+
+def test_repeated_bytes_are_those_of_a_set_of_all_strings(run, documents):
+    rows, _ = documents
+    got = run("op12_repeated_bytes").sort_values("doc_id")
+    want = [(i, n, sum(b for _, b in s), len(s), hashlib.sha256(k).hexdigest()) for i, n, s, k in without(list(zip(rows.doc_id, rows.text)), 100)]
+    assert list(got.itertuples(index=False, name=None)) == want
+    assert got.n_removed.gt(0).sum() > 10
+
+
+@pytest.mark.parametrize("length,sample,often", [(16, 64, 24), (40, 1, 3), (100, 1, 2), (131, 1, 10_000)])
+def test_repeated_bytes_of_cut_and_joined_texts(spark, length, sample, often):
+    """Texts put together from parts of others, with passages at all ends, by either way of dealing contexts."""
+    rng = np.random.default_rng(length)
+    letters = np.array(list("abcdeéß \u2003.")), np.array(["a"]), np.array(["a", "b"])
+    texts = []
+    for k in range(90):
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            if texts and rng.random() < 0.6:
+                old = texts[rng.integers(len(texts))]
+                low = rng.integers(0, max(1, len(old)))
+                parts.append(old[low : low + rng.integers(1, 400)])
+            else:
+                parts.append("".join(rng.choice(letters[rng.integers(3) if k % 4 == 0 else 0], rng.integers(0, 300))))
+        texts.append("".join(parts))
+    ids = sorted(rng.choice(10_000, len(texts), replace=False).tolist())
+    rows = list(zip(ids, texts))
+    df = spark.createDataFrame(rng.permutation(np.array(rows, dtype=object)).tolist(), "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in bwt_dedup.without_repeats(df, length, sample, often).collect())
+    assert got == without(rows, length)
+
+
+def test_merged_transforms_give_the_repeated_intervals():
+    """Against sorting all suffixes, with one string a shard and several."""
+    rng = np.random.default_rng(3)
+    strings = [bytes(rng.integers(97, 99, rng.integers(1, 60)).astype(np.uint8)) for _ in range(30)]
+    for length in (9, 16, 21):
+        for size in (1, 7, 30):
+            shards, base = [], 0
+            for low in range(0, 30, size):
+                shards.append(bwt_dedup.Shard(strings[low : low + size], length, base))
+                base += len(shards[-1].last)
+            suffix, block = bwt_dedup.merged(shards, length)
+            string = np.concatenate([s.string + low for s, low in zip(shards, range(0, 30, size))])[suffix]
+            place = np.concatenate([s.place for s in shards])[suffix]
+            ring = lambda i, p: ((strings[i] + b"\xff") * 30)[p : p + length]
+            got = [ring(i, p) for i, p in zip(string, place)]
+            every = collections.Counter(ring(i, p) for i, s in enumerate(strings) for p in range(len(s) + 1))
+            assert got == sorted(x for x, n in every.items() for _ in range(n) if n > 1)
+            assert [a == b for a, b in zip(got, got[1:])] == (block[1:] == block[:-1]).tolist()
+
+
+def test_repeated_bytes_edge_cases(edge_docs, no_docs):
+    got = collections.Counter((r.doc_id, r.n_bytes, sum(s.length for s in r.spans), bytes(r.kept)) for r in bwt_dedup.without_repeats(edge_docs).collect())
+    rows = sorted({(i, t) for i, t in TEXTS if i is not None and t and len(t) < 10_000})
+    want = {(i, n, sum(b for _, b in s), k) for i, n, s, k in without(rows, 100)}
+    assert want <= set(got) and sum(got.values()) == len(TEXTS) and got[(None, 0, 0, b"")] == 1
+    # the upper-case text comes twice under one id: one document
+    assert sum(n for (i, *_), n in got.items() if i == 3) == 2 and len([g for g in got if g[0] == 3]) == 1
+    # the long text repeats itself, and with it the space after its last word
+    assert {n for i, _, n, _ in got if i == 10} == {len(LONG) + 1} and bwt_dedup.without_repeats(no_docs).count() == 0
