@@ -321,7 +321,7 @@ WITH pieces AS (
     FROM (SELECT lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                      '[.,;:!?\\x0A-\\x0D]') AS p FROM documents)
 ), lists AS (
-    SELECT lang, list_filter(regexp_split_to_array(piece_text, '[\\x20\\x09]+'), x -> x <> '') AS w FROM pieces
+    SELECT lang, [x FOR x IN regexp_split_to_array(piece_text, '[\\x20\\x09]+') IF x <> ''] AS w FROM pieces
 ), starts AS (
     SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists WHERE len(w) > 0
 ), grams AS (
