@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from signalbox.llm.ngram_join import bloomed
 from signalbox.llm.registry import register
 from signalbox.llm.storage import partitions, stored
-from signalbox.llm.text import CHUNK, mix, spans, texts
+from signalbox.llm.text import CHUNK, lean, mix, spans, texts
 
 LENGTH = 100
 KEY = 24
@@ -274,7 +274,7 @@ def hot_keys(rows: DataFrame, length: int, sample: int, often: int) -> np.ndarra
                 yield _columns(["key", "content"], rows["key"], rows["content"])
 
     some = rows.where(F.pmod(F.xxhash64("doc", "mark"), F.lit(sample)) == 0)
-    counted = some.mapInArrow(run, "key long, content long").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often)
+    counted = some.mapInArrow(lean(run), "key long, content long").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often)
     counted = stored(counted, "keys")
     total = counted.agg(F.sum("n")).first()[0] or 0
     # keys with n contexts are at most the n-th part of the sum
@@ -361,9 +361,9 @@ def candidates(rows: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
                 waiting = None if several else rows[first & (group == group[-1])]
             last = rows[-1:]
 
-    sent = rows.mapInArrow(send, "dealt long, copy boolean, content long, doc long, mark long, span long, within long")
+    sent = rows.mapInArrow(lean(send), "dealt long, copy boolean, content long, doc long, mark long, span long, within long")
     dealt = sent.repartition(partitions(rows.sparkSession), "dealt").sortWithinPartitions(*names)
-    return dealt.mapInArrow(gather, "doc long, mark long, span long, key long")
+    return dealt.mapInArrow(lean(gather), "doc long, mark long, span long, key long")
 
 
 def compared(open_: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -400,7 +400,7 @@ def compared(open_: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             yield found()
 
     dealt = strings.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "doc", "mark", "span")
-    return dealt.mapInArrow(compare, "doc long, mark long, span long")
+    return dealt.mapInArrow(lean(compare), "doc long, mark long, span long")
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("length", pa.int64())])
@@ -454,7 +454,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE,
     raw = F.col("text").cast("binary").alias("raw")
     near = bloomed(touched, ids).join(lists.withColumnRenamed("doc", "doc_id"), ["doc_id", "mark"], "left").select("id", raw, "found")
     rest = bloomed(touched, ids, without=True).select("id", raw, F.lit(None).cast("array<long>").alias("found"))
-    return rest.unionByName(near).mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary")
+    return rest.unionByName(near).mapInArrow(lean(cut), "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary")
 
 
 @register("op12_repeated_bytes")

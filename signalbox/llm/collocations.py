@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from signalbox.llm.registry import register
 from signalbox.llm.storage import partitions, stored
-from signalbox.llm.text import Words, mix, spans, texts, words_of
+from signalbox.llm.text import Words, lean, mix, spans, texts, words_of
 
 LEAST = 10
 LONGEST = 3
@@ -41,7 +41,7 @@ BITS = 26
 """The table that rules phrases out has 2 ** BITS bits, 8 MB, at any size of the corpus."""
 SLICE = 1 << 21
 """Words of the dictionary, about, whose phrases one range of hashes holds."""
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # bytes between words become spaces, those between pieces line feeds, and letters small
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -119,12 +119,14 @@ def dictionary(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
                 names = _running(words.hash, first, end) ^ mix((own.astype(np.uint64) << np.uint64(20)) + lang.astype(np.uint64))
                 _, at, freq = np.unique(names, return_index=True, return_counts=True)
                 chunk = joined(words, first[at], end[at])
-                kinds = langs.dictionary.take(pa.array(lang[at]))
-                yield pa.RecordBatch.from_arrays([kinds, chunk, pa.array(own[at].astype(np.int32)), pa.array(freq)], ["lang", "chunk", "own", "freq"])
+                key = pc.binary_join_element_wise(chunk, pa.array(own[at]).cast(pa.string()), langs.dictionary.take(pa.array(lang[at])), "\t")
+                yield pa.RecordBatch.from_arrays([key, pa.array(freq)], ["key", "freq"])
 
     plain = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    found = plain.where("text IS NOT NULL").mapInArrow(parse, "lang string, chunk string, own int, freq long")
-    return found.groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq"))
+    found = plain.where("text IS NOT NULL").mapInArrow(lean(parse), "key string, freq long").groupBy("key").agg(F.sum("freq").alias("freq"))
+    # one narrow key is dealt; chunks have no tabs
+    parts = F.split("key", "\t", 3)
+    return found.select(parts[2].alias("lang"), parts[0].alias("chunk"), parts[1].cast("int").alias("own"), "freq")
 
 
 class Grams:
@@ -172,7 +174,8 @@ def frequent(chunks: DataFrame, sizes: list[int], least: int, table: Broadcast |
     """A table of 2 ** BITS bits with those set that begin the hash of a phrase that occurs ``least`` times.
 
     Tasks send sorted hashes and their counts, cut by leading bits; each range of hashes gives its
-    part of the table.
+    part of the table.  The bits that a range shares and the 40 after them stand for a hash: equal ones by
+    chance let a phrase through that is counted by its words later.
     """
     words = chunks.agg(F.sum("own")).first()[0] or 0
     slices = 1 << min(20, max(6, (words // SLICE).bit_length()))
@@ -184,9 +187,9 @@ def frequent(chunks: DataFrame, sizes: list[int], least: int, table: Broadcast |
         def flushed() -> pa.RecordBatch:
             names, freq = summed(held, weights)
             ends = np.searchsorted(names >> cut, np.arange(slices + 1).astype(np.uint64))
-            keys = [names[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            counts = [freq[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["slice", "names", "counts"])
+            high, low = (names >> (cut - np.uint64(8))).astype(np.uint8), (names >> (cut - np.uint64(40))).astype("<u4")
+            planes = [[x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])] for x in (high, low, freq.astype("<i4"))]
+            return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), *(pa.array(x, pa.binary()) for x in planes)], ["slice", "high", "low", "counts"])
 
         for batch in batches:
             if not len(batch):
@@ -212,8 +215,8 @@ def frequent(chunks: DataFrame, sizes: list[int], least: int, table: Broadcast |
         for batch in batches:
             for i in range(len(batch)):
                 key = batch.column(0)[i].as_py()
-                names = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.uint64)
-                counts = np.frombuffer(batch.column(2)[i].as_buffer(), dtype="<i4").astype(np.int64)
+                high, low, counts = (np.frombuffer(batch.column(1 + k)[i].as_buffer(), dtype=t) for k, t in enumerate((np.uint8, "<u4", "<i4")))
+                names = (high.astype(np.uint64) << (cut - np.uint64(8))) | (low.astype(np.uint64) << (cut - np.uint64(40)))
                 # what comes waits until it is half as much as what is summed
                 known, waiting = found.setdefault(key, ([], []))
                 known.append(names)
@@ -224,15 +227,15 @@ def frequent(chunks: DataFrame, sizes: list[int], least: int, table: Broadcast |
         for key, (known, waiting) in found.items():
             names, freq = summed(known, waiting)
             bits = np.zeros((1 << BITS) // slices, dtype=bool)
-            place = (names[freq >= least] >> np.uint64(64 - BITS)).astype(np.int64) - key * len(bits)
+            place = (names[freq >= least] >> np.uint64(64 - BITS)).astype(np.int64)
             bits[place] = True
             out.append((key, np.packbits(bits, bitorder="little").tobytes()))
         if out:
             key, bits = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(bits, pa.binary())], ["slice", "bits"])
 
-    counted = chunks.mapInArrow(count, "slice int, names binary, counts binary")
-    parts = counted.repartition(min(slices, 2 * partitions(chunks.sparkSession)), "slice").mapInArrow(decide, "slice int, bits binary")
+    counted = chunks.mapInArrow(lean(count), "slice int, high binary, low binary, counts binary")
+    parts = counted.repartition(min(slices, 2 * partitions(chunks.sparkSession)), "slice").mapInArrow(lean(decide), "slice int, bits binary")
     table = np.zeros((1 << BITS) // 8, dtype=np.uint8)
     width = len(table) // slices
     for key, bits in parts.collect():  # slices rows, 8 MB together
@@ -269,12 +272,12 @@ def phrase_counts(chunks: DataFrame, least: int, longest: int) -> DataFrame:
                 distinct, where, group = np.unique(names, return_index=True, return_inverse=True)
                 freq = np.bincount(group, grams.freq[at], len(distinct)).astype(np.int64)
                 at = at[where]
-                kinds = grams.langs.dictionary.take(pa.array(grams.lang[at]))
-                size = pa.array(np.full(len(at), n, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([kinds, joined(grams.words, at, at + n), size, pa.array(freq)], ["lang", "phrase", "words", "f"])
+                key = pc.binary_join_element_wise(joined(grams.words, at, at + n), grams.langs.dictionary.take(pa.array(grams.lang[at])), "\t")
+                yield pa.RecordBatch.from_arrays([key, pa.array(freq)], ["key", "f"])
 
-    found = chunks.mapInArrow(let_through, "lang string, phrase string, words int, f long")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = chunks.mapInArrow(lean(let_through), "key string, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    parts = F.split("key", "\t", 2)
+    return found.select(parts[1].alias("lang"), parts[0].alias("phrase"), F.size(F.split(parts[0], " ")).alias("words"), "f")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, contained: int = CONTAINED, first: int = FIRST) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from signalbox.llm.registry import register
 from signalbox.llm.storage import stored
-from signalbox.llm.text import Words, words_of
+from signalbox.llm.text import Words, lean, words_of
 
 FOLDS, HELD_OUT = 7, 2
 
@@ -216,7 +216,7 @@ def count_words(texts: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield _counts(*summed())
 
-    counted = texts.select("text").mapInArrow(run, "hash long, class int, n long")
+    counted = texts.select("text").mapInArrow(lean(run), "hash long, class int, n long")
     return stored(counted.groupBy("hash").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "counts")
 
 
@@ -266,7 +266,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, settings: Settings) -> Model
                 values = trainer.model.flat() * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(np.full(len(values), float(seen))), pa.array(values)], ["i", "w", "x"])
 
-        sums = rows.select("text").mapInArrow(run, "i long, w double, x double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
+        sums = rows.select("text").mapInArrow(lean(run), "i long, w double, x double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
         if not sums:
             return start
         values = np.empty(len(sums))
@@ -328,7 +328,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 row += n
                 yield pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _SCORED.split(", ")])
 
-    scored = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, _SCORED), "scored")
+    scored = stored(docs.select("doc_id", "text", "held_out").mapInArrow(lean(run), _SCORED), "scored")
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
     joined = pairs.join(counts.select("hash", "n"), "hash")
     more = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("more_known"))

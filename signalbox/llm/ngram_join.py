@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from signalbox.llm.components import components
 from signalbox.llm.registry import register
 from signalbox.llm.storage import partitions, stored
-from signalbox.llm.text import mix, words_of
+from signalbox.llm.text import lean, mix, words_of
 
 PERCENT = 75
 BASE = 3072
@@ -35,7 +35,9 @@ SAMPLE = 64
 OFTEN = 4
 HOT = 200_000
 """Pieces, at most, that are known to be frequent: a bound on what tasks are sent."""
-BLOCK = 256
+BLOCK = 2048
+PAIRS = 1 << 17
+"""Pairs whose sketches are compared at a time."""
 NEAREST = 3
 """Candidates in one component that a set of a block is verified with before it is with all."""
 LABELS = 1_000_000
@@ -55,8 +57,11 @@ def node_hash(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parity sketch: 512 bits, or the power of two from twice the set's size on if that is more, 16,384 at most."""
-    bits = max(512, min(16384, 1 << (2 * len(hashes) - 1).bit_length()))
+    """Parity sketch: 512 bits, or the power of two from 0.85 times the set's size on if that is more.
+
+    Two unrelated sets of n hashes differ in about half of such bits, 0.4 n at least, and linked ones in 0.29 n at most.
+    """
+    bits = max(512, 1 << (17 * len(hashes) // 20).bit_length())
     return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -65,13 +70,21 @@ def fold(sketches: list[bytes], size: int) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, dtype=np.uint64).reshape(-1, size // 8), axis=0) for s in sketches])
 
 
-def distance(a: bytes, b: bytes) -> int:
-    size = min(len(a), len(b))
-    return int(np.bitwise_count(fold([a], size) ^ fold([b], size)).sum())
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the sketches of each pair differ, the longer one folded to the shorter."""
+    sizes = np.array([min(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64)
+    out = np.zeros(len(sizes), dtype=np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at] = np.bitwise_count(fold([a[i] for i in at], size) ^ fold([b[i] for i in at], size)).sum(axis=1, dtype=np.int64)
+    return out
+
 
+def pieces(hashes: np.ndarray, hot: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The keys that a set (sorted distinct hashes) shows, for each band in which it may find a partner.
 
-def pieces(hashes: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys that a set (sorted distinct hashes) shows, for each band in which it may find a partner."""
+    The order of pieces: those that are not in ``hot``, then the others by the count ``often``, then by key.
+    """
     n, out = len(hashes), []
     band = 0
     while n >= BASE << (2 * band):
@@ -98,7 +111,8 @@ def pieces(hashes: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.nd
             if len(rare) > most:
                 keys = rare
             else:
-                out += [rare, np.sort(keys[common])[: most + 1 - len(rare)]]
+                order = np.lexsort((keys[common], often[at[common]]))
+                out += [rare, keys[common][order[: most + 1 - len(rare)]]]
                 continue
         out.append(np.partition(keys, most)[: most + 1])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
@@ -113,25 +127,26 @@ def sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n, node, sketch, short): mark tells texts of one id apart, short is the sketch
-    folded to 64 bytes; a text without words has no node."""
+    """(doc_id, mark, n, node, sketch): mark tells texts of one id apart; a text without words has no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for _, s in sets(batch.column(1)):
-                bits = sketch(s) if len(s) else None
-                rows.append((len(s), node_hash(s), bits, fold([bits], 64).tobytes()) if len(s) else (0, None, None, None))
-            n, node, bits, short = zip(*rows) if rows else ((), (), (), ())
-            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(short, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], ["doc_id", "mark", "n", "node", "sketch", "short"])
+                rows.append((len(s), node_hash(s), sketch(s)) if len(s) else (0, None, None))
+            n, node, bits = zip(*rows) if rows else ((), (), ())
+            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], ["doc_id", "mark", "n", "node", "sketch"])
 
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    return marked.mapInArrow(run, "doc_id long, mark long, n long, node long, sketch binary, short binary")
+    return marked.mapInArrow(lean(run), "doc_id long, mark long, n long, node long, sketch binary")
+
 
+def frequent_pieces(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of pieces that several documents of a sample by hash show or could show, sorted, and their counts.
 
-def frequent_pieces(docs: DataFrame, percent: int) -> np.ndarray:
-    """Sorted keys of pieces that several documents of a sample by hash show or could show."""
+    ``HOT`` keys at most: the least count is chosen from the counts of counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -147,12 +162,20 @@ def frequent_pieces(docs: DataFrame, percent: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    counted = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    keys = [r[0] for r in counted.orderBy(F.desc("n"), "key").limit(HOT).select("key").collect()]
-    return np.sort(np.array(keys, dtype=np.int64).view(np.uint64))
+    counted = stored(sample.mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "frequent")
+    # powers of two keep the counts of counts few
+    level = F.floor(F.log2("n")).cast("int")
+    total, least = 0, OFTEN
+    for power, n in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += n
+        if total > HOT:
+            least = 2 << power
+            break
+    rows = sorted(counted.where(F.col("n") >= least).collect(), key=lambda r: r[0] % (1 << 64))
+    return np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
-def stars(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
+def stars(docs: DataFrame, hot: np.ndarray, often: np.ndarray, percent: int) -> DataFrame:
     """(key, hub, node, several) for all pieces shown by two nodes or more: hub is the first of them, node
     another one, and ``several`` says whether there are three or more."""
 
@@ -170,7 +193,7 @@ def stars(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
                     # forgotten copies come again and are merged after the shuffle
                     seen.clear()
                 seen.add(node)
-                own = pieces(s, hot, percent)
+                own = pieces(s, hot, often, percent)
                 keys.append(own)
                 owners.append(np.full(len(own), node))
                 held += len(own)
@@ -219,9 +242,9 @@ def stars(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
         if waiting is not None:
             yield rows([waiting[0]], [waiting[1]], [waiting[2]], [False])
 
-    shown = docs.mapInArrow(show, "key long, node long")
+    shown = docs.mapInArrow(lean(show), "key long, node long")
     dealt = shown.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(gather, "key long, hub long, node long, several boolean")
+    return dealt.mapInArrow(lean(gather), "key long, hub long, node long, several boolean")
 
 
 def bloomed(docs: DataFrame, ids: DataFrame, without: bool = False) -> DataFrame:
@@ -250,15 +273,15 @@ def verified(pairs: DataFrame, sets_: DataFrame, docs: DataFrame, percent: int)
             s, t = (batch.column(i).to_numpy() for i in (2, 3))
             keep = np.minimum(s, t) * 100 >= percent * np.maximum(s, t)
             most = (100 - percent) * (s + t) // (100 + percent)
-            x, y = batch.column(4), batch.column(5)
-            for i in np.flatnonzero(keep):
-                keep[i] = distance(x[i].as_py(), y[i].as_py()) <= most[i]
+            left = pa.array(np.flatnonzero(keep))
+            far = distances(batch.column(4).take(left).to_pylist(), batch.column(5).take(left).to_pylist())
+            keep[keep] = far <= most[keep]
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     left = sets_.select(F.col("node").alias("a"), F.col("n").alias("s"), F.col("sketch").alias("x"), F.col("first").alias("i"))
     right = sets_.select(F.col("node").alias("b"), F.col("n").alias("t"), F.col("sketch").alias("y"), F.col("first").alias("j"))
     both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "s", "t", "x", "y")
-    open_ = stored(both.mapInArrow(possible, "a long, b long"), "pairs")
+    open_ = stored(both.mapInArrow(lean(possible), "a long, b long"), "pairs")
     wanted = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
     first = stored(sets_.join(wanted, "node").select("node", F.col("first").alias("doc_id"), "mark"), "wanted")
     found = bloomed(docs, first.select("doc_id")).withColumn("mark", F.xxhash64("text"))
@@ -275,7 +298,7 @@ def verified(pairs: DataFrame, sets_: DataFrame, docs: DataFrame, percent: int)
 
     full = open_.join(texts.select(F.col("node").alias("a"), F.col("text").alias("p")), "a")
     full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("q")), "b").select("a", "b", "p", "q")
-    return stored(full.mapInArrow(decide, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    return stored(full.mapInArrow(lean(decide), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
 def leftovers(star: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,72 +316,94 @@ def leftovers(star: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(rows.join(mixed.where("members > 1 AND opened > 0").drop("opened"), "key"), "leftovers")
 
 
+class Block:
+    """Nodes of a block with their sketches, for comparison with others."""
+
+    def __init__(self, parts: list[tuple]):
+        self.node, self.label, self.n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        self.sketches = [x for p in parts for x in p[3]]
+        self.size = np.array([len(x) for x in self.sketches], dtype=np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def by(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes that have sketches of ``size`` bytes or more, folded to it, and the row of each node (or -1)."""
+        if size not in self.folded:
+            at = np.flatnonzero(self.size >= size)
+            rows = np.full(len(self.size), -1)
+            rows[at] = np.arange(len(at))
+            self.folded[size] = fold([self.sketches[i] for i in at], size) if len(at) else np.zeros((0, size // 8), np.uint64), rows
+        return self.folded[size]
+
+    def near(self, other: Block, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(own place, other's place, bits apart) of pairs in different components that may be linked, own places ascending."""
+        step = max(1, PAIRS // max(1, len(other.node)))
+        for low in range(0, len(self.node), step):
+            own = slice(low, low + step)
+            n, m = self.n[own, None], other.n
+            i, j = np.nonzero((self.label[own, None] != other.label) & (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)))
+            i += low
+            size = np.minimum(self.size[i], other.size[j])
+            far = np.empty(len(i), dtype=np.int64)
+            for width in np.unique(size).tolist():
+                at = np.flatnonzero(size == width)
+                (x, p), (y, q) = self.by(width), other.by(width)
+                for first in range(0, len(at), 8 * PAIRS // width):
+                    some = at[first : first + 8 * PAIRS // width]
+                    far[some] = np.bitwise_count(x[p[i[some]]] ^ y[q[j[some]]]).sum(axis=1, dtype=np.int64)
+            close = far <= (100 - percent) * (self.n[i] + other.n[j]) // (100 + percent)
+            yield i[close], j[close], far[close]
+
+
 def in_blocks(left: DataFrame, sets_: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """(a, b, more): pairs of an open node and another one of its piece, in different components, that sketches allow.
 
-    A piece's nodes are dealt to blocks of about 256, and every open node visits all of them.
-    With ``nearest`` a node keeps that many candidates of a component in a block, and ``more``
-    marks the pairs of nodes that had others.
+    A piece's nodes are dealt to blocks of about ``BLOCK``, and every open node visits all of them; a
+    task holds one block and the visitors that a batch brings.  With ``nearest`` a node keeps that many candidates of a
+    component in a block, and ``more`` marks the pairs of nodes that had others.
     """
-    known = sets_.select("node", "n", F.col("short"))
+    known = sets_.select("node", "n", "sketch")
     rows = left.join(known, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    own = rows.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "node", "label", "n", "short")
-    visit = rows.where("open").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", "label", "n", "short")
-
-    def pairs(probes: list, members: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if not probes or not members:
-            return
-        node, label, n, bits = (np.concatenate(x) for x in zip(*members))
-        for own_node, own_label, own_n, own_bits in probes:
-            for at in range(0, len(own_node), BLOCK):
-                here = slice(at, at + BLOCK)
-                p_node, p_label, p_n = own_node[here, None], own_label[here, None], own_n[here, None]
-                near = (p_label != label) & (np.minimum(p_n, n) * 100 >= percent * np.maximum(p_n, n))
-                i, j = np.nonzero(near)
-                far = np.bitwise_count(own_bits[here][i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                close = far <= (100 - percent) * (own_n[here][i] + n[j]) // (100 + percent)
-                i, j, far = i[close], j[close], far[close]
-                more = np.zeros(len(i), dtype=bool)
-                if nearest is not None and len(i):
-                    order = np.lexsort((far, label[j], i))
-                    i, j = i[order], j[order]
-                    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (label[j[1:]] != label[j[:-1]])]))
-                    size = np.diff(np.concatenate([first, [len(i)]]))
-                    keep = np.arange(len(i)) - np.repeat(first, size) < nearest
-                    more = np.repeat(size > nearest, size)[keep]
-                    i, j = i[keep], j[keep]
-                a, b = p_node[i, 0], node[j]
-                yield np.minimum(a, b), np.maximum(a, b), more
+    own = rows.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "label", "n", "sketch")
+    visit = rows.where("open").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "label", "n", "sketch")
+
+    def pairs(probes: Block, members: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j, far in probes.near(members, percent):
+            more = np.zeros(len(i), dtype=bool)
+            if nearest is not None and len(i):
+                order = np.lexsort((far, members.label[j], i))
+                i, j = i[order], j[order]
+                first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (members.label[j[1:]] != members.label[j[:-1]])]))
+                size = np.diff(np.concatenate([first, [len(i)]]))
+                keep = np.arange(len(i)) - np.repeat(first, size) < nearest
+                more = np.repeat(size > nearest, size)[keep]
+                i, j = i[keep], j[keep]
+            a, b = probes.node[i], members.node[j]
+            yield np.minimum(a, b), np.maximum(a, b), more
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, probes, members = None, [], []
+        place, members, block = None, [], None
         for batch in batches:
             if not len(batch):
                 continue
-            key, block, role, node, label, n = (batch.column(i).to_numpy() for i in range(6))
-            bits = _short(batch.column(6))
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])]))
+            key, number, role, node, label, n = (batch.column(i).to_numpy() for i in range(6))
+            bits = batch.column(6).to_pylist()
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])]))
             out = []
             for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)]):
-                if (key[low], block[low]) != place:
-                    out += pairs(probes, members)
-                    place, probes, members = (key[low], block[low]), [], []
+                if (key[low], number[low]) != place:
+                    place, members, block = (key[low], number[low]), [], None
                 part = (node[low:high], label[low:high], n[low:high], bits[low:high])
-                (members if role[low] else probes).append(part)
+                if role[low] == 0:
+                    # the members of a block come before its visitors
+                    members.append(part)
+                elif members:
+                    block = block or Block(members)
+                    out += pairs(Block([part]), block)
             if out:
                 yield _pairs(out)
-        out = list(pairs(probes, members))
-        if out:
-            yield _pairs(out)
 
     dealt = own.unionByName(visit).repartition(partitions(left.sparkSession), "key", "block").sortWithinPartitions("key", "block", "role")
-    return dealt.mapInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def _short(column: pa.Array) -> np.ndarray:
-    """64-byte sketches as rows of eight words."""
-    start = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
-    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + 64 * len(column)].copy().view(np.uint64).reshape(-1, 8)
+    return dealt.mapInArrow(lean(compare), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -380,7 +425,10 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest id that each document reaches by links.
+    """(doc_id, mark, class, n_shingles, component_id): the smallest id that each document reaches by links.
+
+    ``mark`` is a hash of the text, which tells rows of one id apart, and ``class`` names the component (null
+    without words): those of one id's texts may differ and yet have the same smallest id.
 
     Documents link when their sets of distinct five-word shingles have the similarity
     ``percent`` / 100; with fewer words the whole sequence is the one shingle.  Null and empty
@@ -391,11 +439,11 @@ def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = stored(nodes(docs), "nodes")
     sets_ = table.where("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"),
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("place"),
-    ).select("node", "n", "sketch", "short", F.col("place.doc_id").alias("first"), "place.mark")
+    ).select("node", "n", "sketch", F.col("place.doc_id").alias("first"), "place.mark")
     sets_ = stored(sets_, "sets")
-    star = stored(stars(docs, frequent_pieces(docs, percent), percent), "stars")
+    star = stored(stars(docs, *frequent_pieces(docs), percent), "stars")
     pairs = star.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     labels = components(verified(pairs, sets_, docs, percent))
     tested = None
@@ -412,26 +460,35 @@ def join_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
     joined = sets_.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    members = joined.join(least, "label").select(F.col("node").alias("k"), "component_id")
+    members = joined.join(least, "label").select(F.col("node").alias("k"), F.col("label").alias("class"), "component_id")
     out = table.join(members, F.col("node") == F.col("k"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "mark", "class", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each_class(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those that another one of their class, with the smallest id, stands for.
 
-    Columns are unchanged.  Of equal rows one stays.  Rows without an id stay, as nothing names them.
+    Columns are unchanged, whatever their names.  Of the rows that have the smallest id of a class one stays, the one with
+    the least hash of its text; rows of one id with texts of different classes are told apart.  Rows
+    without an id stay, as nothing names them, and texts without words stay, one for each id and text.  An empty table stays empty.
     Only documents whose id may be among the removed or repeated ones are shuffled.
     """
     classes = stored(join_classes(docs, percent).where("doc_id IS NOT NULL"), "classes")
-    removed = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    heads = classes.where("doc_id = component_id AND class IS NOT NULL").select("class", "doc_id", "mark")
+    # classes of which rows with different texts have the smallest id
+    twice = heads.groupBy("class").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most")
+    removed = heads.join(twice, "class").where("mark <> least").select("doc_id", "mark")
+    removed = removed.unionByName(classes.where("doc_id <> component_id").select("doc_id", "mark")).distinct()
     repeated = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    touched = stored(removed.unionByName(repeated).distinct(), "touched")
+    removed = stored(removed, "removed")
+    touched = stored(removed.select("doc_id").unionByName(repeated).distinct(), "touched")
     # one row of an id's equal ones: chosen by the columns that can be compared
-    near = bloomed(docs, touched).join(removed, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return bloomed(docs, touched, without=True).unionByName(near)
+    near = bloomed(docs, touched).select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    near = near.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("mark"))
+    kept = near.join(removed, ["doc_id", "mark"], "left_anti").select("row.*").dropDuplicates(["doc_id", "text"])
+    return bloomed(docs, touched, without=True).unionByName(kept)
 
 
 @register("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark", "class")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.llm.registry import register
+from signalbox.llm.text import lean
 from signalbox.llm.tokens import END, VOCABULARY, token_ids
 
 
@@ -155,7 +156,8 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = VOCABULAR
             keys, prompts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for first, last, ids, bounds in token_ids(batch.column(1), vocabulary, END):
                 for i in range(first, last):
-                    own = ids[bounds[i - first] : bounds[i - first + 1]]
+                    # a copy: what waits does not hold on to all ids of its range
+                    own = ids[bounds[i - first] : bounds[i - first + 1]].copy()
                     packer.add(Piece(keys[i], 0, own, prompts[i], len(own)))
                     if len(packer.out) >= 1000:
                         yield closed()
@@ -163,7 +165,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), vocabulary: str = VOCABULAR
         if packer.out:
             yield closed()
 
-    return docs.select(*columns).mapInArrow(run, OUT)
+    return docs.select(*columns).mapInArrow(lean(run), OUT)
 
 
 def digest(packed: DataFrame) -> DataFrame:

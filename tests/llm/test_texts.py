@@ -44,7 +44,7 @@ def test_join_classes_are_those_of_all_pairs(run, documents):
 
 
 def test_join_edge_cases(edge_docs, no_docs):
-    got = ngram_join.join_classes(edge_docs).collect()
+    got = ngram_join.join_classes(edge_docs).drop("mark", "class").collect()
     key = lambda r: tuple((x is not None, x or 0) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(classes(TEXTS), key=key)
     assert ngram_join.join_classes(no_docs).count() == 0
@@ -67,13 +67,37 @@ def test_join_finds_chains_and_hot_groups_without_losing_links(spark):
         rows.append((i := i + 1, " ".join(near)))
     rows += [(i + 1 + k, passage) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted(map(tuple, ngram_join.join_classes(df).collect())) == classes(rows)
+    assert sorted(map(tuple, ngram_join.join_classes(df).drop("mark", "class").collect())) == classes(rows)
 
 
 def test_join_tells_texts_of_one_id_apart(spark):
     base = [f"b{i}" for i in range(60)]
     rows = [(1, " ".join(base)), (1, "quite another text of more than five words here"), (2, " ".join(base[1:])), (3, "quite another text of more than five words here too")]
-    assert sorted(map(tuple, ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(classes(rows))
+    assert sorted(map(tuple, ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).drop("mark", "class").collect())) == sorted(classes(rows))
+
+
+def test_one_of_each_class_tells_texts_of_one_id_apart(spark):
+    """Id 5 stands for a copy of document 1, for a text of its own, and for two near copies of another one."""
+    base = [f"b{i}" for i in range(60)]
+    other = [f"o{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (5, " ".join(base[1:])), (5, "quite another text of more than five words here")]
+    rows += [(5, " ".join(other)), (5, " ".join(other[:-1])), (6, " ".join(other[1:])), (5, " ".join(other))]
+    kept = sorted(map(tuple, ngram_join.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert len(kept) == 3 and {rows[0], rows[2]} < set(kept) and (set(kept) - {rows[0], rows[2]}) < {rows[3], rows[4]}
+
+
+def test_leftovers_of_a_passage_meet_by_sketches_of_their_size(spark):
+    """Sets above 1,000 shingles around one passage, unlinked with its first ones, some of them in pairs."""
+    passage = " ".join(f"p{k}" for k in range(900))
+    rows = []
+    for k in range(40):
+        own = [f"u{k}_{j}" for j in range(450)]
+        rows.append((2 * k, passage + " " + " ".join(own)))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, passage + " " + " ".join(own[60:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.join_classes(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == classes(rows)
 
 
 def test_one_of_each_class_keeps_columns_and_one_of_equal_rows(edge_docs):
@@ -90,10 +114,12 @@ def test_pieces_are_shown_by_linked_sets_in_any_order():
             a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
             b = np.unique(np.concatenate([a[cut // 2 :], rng.integers(0, 2**64, cut // 3, dtype=np.uint64)]))
             common = len(np.intersect1d(a, b))
-            hot = np.sort(rng.choice(ngram_join.pieces(a, np.zeros(0, np.uint64)), min(n // 9, 5))) if n > 50 else np.zeros(0, np.uint64)
+            none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            hot = np.unique(rng.choice(ngram_join.pieces(a, *none), min(n // 9, 5))) if n > 50 else none[0]
+            often = rng.integers(4, 9, len(hot))
             if 100 * common >= 75 * (len(a) + len(b) - common) and len(a) != common:
-                assert len(np.intersect1d(ngram_join.pieces(a, hot), ngram_join.pieces(b, hot)))
-            assert ngram_join.distance(ngram_join.sketch(a), ngram_join.sketch(b)) <= len(a) + len(b) - 2 * common
+                assert len(np.intersect1d(ngram_join.pieces(a, hot, often), ngram_join.pieces(b, hot, often)))
+            assert ngram_join.distances([ngram_join.sketch(a)], [ngram_join.sketch(b)])[0] <= len(a) + len(b) - 2 * common
 
 
 def test_ordinal_regression_orders_grades_and_holds_out_well():
