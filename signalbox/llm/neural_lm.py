@@ -1,15 +1,22 @@
 """Log-bilinear language model, trained by noise-contrastive estimation, with normalised scores.
 
-Outcomes are the most frequent words, the end of a text, and classes of the other words by
-their last two bytes.  The last words' vectors, each weighted by its position, add up to a
-predicted vector; its product with an outcome's vector and the outcome's bias are its score.
-Training tells outcomes from noise drawn by their frequency and never sums over all outcomes;
-scoring does, in batched matrix products, so probabilities add up to one.  A word of a class has
-its share of the class by its count.
+The last words' vectors, each weighted by its position, add up to a predicted vector; its product with
+an outcome's vector and the outcome's bias are the outcome's score.  A word is predicted in two steps: first its class, then
+the word within the class.  Words that come often have vectors of their own and form classes by
+frequency; their number grows with the square root of the corpus, and classes have about the square root of
+that many words, so a token costs the two roots.  All other words belong to classes by their last two bytes
+and have their share of the class by their count.  The end of a text is a class of its own.
+
+Training tells outcomes from noise drawn by their frequency, for classes and within each class, and never
+sums over all outcomes; scoring does, in batched matrix products, so probabilities add up to one.
+
+Tasks train on their own partitions and their models are averaged, each vector by how often a partition had it; so
+the model depends on how the input is partitioned, and is the same for the same partitions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,111 +27,202 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalbox.llm.registry import register
-from signalbox.llm.storage import stored
+from signalbox.llm.storage import partitions, stored
 from signalbox.llm.text import Words, lean, words_of
 
 FOLDS, HELD_OUT = 7, 2
+ROWS = 1024
+"""Vectors that are sent together."""
 
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 416
-    classes: int = 95
+    growth: float = 2.0
+    """Words with vectors: so many times the square root of the number of tokens, between ``least`` and ``most``."""
+    least: int = 256
+    most: int = 1 << 18
+    """Bounds the model: 36 MB."""
+    rare: int = 31
     dims: int = 16
     context: int = 3
     noise: int = 48
-    batch: int = 4096
-    rate: float = 0.08
+    noise_within: int = 24
+    batch: int = 16384
+    rate: float = 0.1
     frequent: int = 65_536
-    """Words whose counts every task is sent; the counts of rarer ones are joined."""
+    """Words, at least those with vectors, whose counts every task is sent; the counts of rarer ones are joined."""
     warm: int = 8
     """The first round of training takes one in so many texts, the second one all."""
 
+
+@dataclass(frozen=True)
+class Shape:
+    """Items are words with vectors, then the rare classes, then the end (as context: the begin) of a text."""
+
+    words: int
+    rare: int
+    dims: int
+    context: int
+
+    @property
+    def width(self) -> int:
+        """Words of a class."""
+        return max(1, math.isqrt(self.words))
+
+    @property
+    def groups(self) -> int:
+        return -(-self.words // self.width)
+
+    @property
+    def items(self) -> int:
+        return self.words + self.rare + 1
+
     @property
-    def outcomes(self) -> int:
-        return self.words + self.classes + 1
+    def classes(self) -> int:
+        return self.groups + self.rare + 1
+
+    def class_of(self, item: np.ndarray) -> np.ndarray:
+        return np.where(item < self.words, item // self.width, self.groups + item - self.words)
+
+    def members(self, group: int) -> slice:
+        return slice(group * self.width, min(self.words, (group + 1) * self.width))
 
 
 @dataclass
 class Model:
-    """Vectors as predictors (one row more, for the text's begin) and as outcomes, position weights, biases."""
+    """One row per vector: items as predictors, classes, words in their classes, position weights; the last column has biases."""
 
-    inputs: np.ndarray
-    outputs: np.ndarray
-    weights: np.ndarray
-    bias: np.ndarray
+    shape: Shape
+    rows: np.ndarray
 
     @staticmethod
-    def first(counts: np.ndarray, settings: Settings) -> Model:
+    def first(counts: np.ndarray, shape: Shape) -> Model:
+        """``counts`` by item."""
         draw = np.random.Generator(np.random.PCG64(3))
-        m, d = settings.outcomes, settings.dims
-        normal = lambda *shape: draw.normal(0, 0.3, shape).astype(np.float32)
-        bias = np.log((counts + 0.5) / (counts + 0.5).sum()).astype(np.float32)
-        return Model(normal(m + 1, d), normal(m, d), np.full((settings.context, d), 1 / settings.context, dtype=np.float32), bias)
+        size = shape.items + shape.classes + shape.words + shape.context
+        model = Model(shape, draw.normal(0, 0.3, (size, shape.dims + 1)).astype(np.float32))
+        model.rows[:, -1] = 0.0
+        model.weights[:] = 1 / shape.context
+        for part, share in ((model.tops, _class_counts(counts, shape)), (model.words, counts[: shape.words])):
+            part[:, -1] = np.log((share + 0.5) / (share + 0.5).sum()) if len(part) else 0.0
+        return model
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.inputs, self.outputs, self.weights, self.bias)]).astype(np.float64)
+    @property
+    def inputs(self) -> np.ndarray:
+        return self.rows[: self.shape.items]
 
-    def filled(self, values: np.ndarray) -> Model:
-        out, at = [], 0
-        for x in (self.inputs, self.outputs, self.weights, self.bias):
-            out.append(values[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return Model(*out)
+    @property
+    def tops(self) -> np.ndarray:
+        return self.rows[self.shape.items :][: self.shape.classes]
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.rows[self.shape.items + self.shape.classes :][: self.shape.words]
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.rows[len(self.rows) - self.shape.context :, :-1]
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.inputs[context[:, i]] * self.weights[i] for i in range(context.shape[1]))
+        """Predicted vectors; a one at the end takes in the biases."""
+        out = np.ones((len(context), self.shape.dims + 1), dtype=np.float32)
+        out[:, :-1] = sum(self.inputs[context[:, i], :-1] * self.weights[i] for i in range(context.shape[1]))
+        return out
 
     def log10(self, context: np.ndarray, target: np.ndarray, batch: int = 4096) -> np.ndarray:
-        """Normalised log probabilities of the targets."""
-        out = np.empty(len(target))
-        # the bias is one more dimension, so that one product makes the scores
-        transposed = np.concatenate([self.outputs.T, self.bias[None, :]])
-        predicted = np.ones((batch, len(transposed)), dtype=np.float32)
+        """Normalised log probabilities of the target items."""
+        out, shape = np.zeros(len(target)), self.shape
+        kind = shape.class_of(target)
+        # tokens of one class beside each other
+        order = np.argsort(kind, kind="stable")
+        predicted = self.predicted(context[order])
+        kind, wanted = kind[order], target[order]
         for at in range(0, len(target), batch):
-            n = min(batch, len(target) - at)
-            predicted[:n, :-1] = self.predicted(context[at : at + n])
-            scores = predicted[:n] @ transposed
-            own = scores[np.arange(n), target[at : at + n]]
-            top = scores.max(axis=1)
-            scores -= top[:, None]
-            np.exp(scores, out=scores)
-            out[at : at + n] = own - top - np.log(scores.sum(axis=1))
+            own = slice(at, at + batch)
+            out[order[own]] = _log_share(predicted[own] @ self.tops.T, kind[own])
+        cuts = np.searchsorted(kind, np.arange(shape.groups + 1))
+        for group in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            members = shape.members(group)
+            for at in range(cuts[group], cuts[group + 1], batch):
+                own = slice(at, min(at + batch, cuts[group + 1]))
+                out[order[own]] += _log_share(predicted[own] @ self.words[members].T, wanted[own] - members.start)
         return out / np.log(10.0)
 
 
+def _log_share(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of the share that each row's own outcome has of the exponentials."""
+    value = scores[np.arange(len(own)), own]
+    top = scores.max()
+    if top - scores.min() > 80:
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+    else:
+        # no row can overflow or vanish
+        scores -= top
+    np.exp(scores, out=scores)
+    return value - top - np.log(scores.sum(axis=1))
+
+
+def _class_counts(counts: np.ndarray, shape: Shape) -> np.ndarray:
+    return np.bincount(shape.class_of(np.arange(shape.items)), counts, shape.classes)
+
+
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad; a minibatch shares its noise."""
+    """Noise-contrastive estimation with AdaGrad; a minibatch shares its noise, within a class too."""
 
     def __init__(self, model: Model, counts: np.ndarray, settings: Settings, seed: int):
         self.model, self.settings = model, settings
         self.draw = np.random.Generator(np.random.PCG64(seed))
-        share = (counts + 0.5) / (counts + 0.5).sum()
+        share = _class_counts(counts, model.shape) + 0.5
+        share /= share.sum()
         self.cumulated = np.cumsum(share)
         self.log_noise = np.log(settings.noise * share).astype(np.float32)
-        self.squares = [np.full(x.shape, 1e-4, dtype=np.float32) for x in (model.inputs, model.outputs, model.weights, model.bias)]
+        self.squares = np.full(model.rows.shape, 1e-4, dtype=np.float32)
+        self.times = np.zeros(len(model.rows))
+        """How often each vector was met."""
+        self.within = []
+        for group in range(model.shape.groups):
+            share = counts[model.shape.members(group)] + 0.5
+            share = share / share.sum()
+            self.within.append((np.cumsum(share), np.log(settings.noise_within * share).astype(np.float32)))
+
+    def contrast(self, q: np.ndarray, outcomes: np.ndarray, own: np.ndarray, cumulated: np.ndarray, log_noise: np.ndarray, noises: int, d_q: np.ndarray) -> np.ndarray:
+        """Gradient of the outcomes' rows; that of the predicted vectors is added to ``d_q``."""
+        noise = np.minimum(np.searchsorted(cumulated, self.draw.random(noises) * cumulated[-1]), len(cumulated) - 1)
+        wanted, unwanted = outcomes[own], outcomes[noise]
+        g_good = _sigmoid(np.einsum("ij,ij->i", q, wanted) - log_noise[own]) - np.float32(1)
+        g_bad = _sigmoid(q @ unwanted.T - log_noise[noise])
+        d_q += g_good[:, None] * wanted + g_bad @ unwanted
+        out = _summed(own, g_good[:, None] * q, len(outcomes))
+        np.add.at(out, noise, g_bad.T @ q)
+        return out
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        model, n, d = self.model, len(target), self.settings.dims
-        noise = np.minimum(np.searchsorted(self.cumulated, self.draw.random(self.settings.noise)), len(self.cumulated) - 1)
-        parts = [model.inputs[context[:, i]] for i in range(context.shape[1])]
-        q = sum(p * model.weights[i] for i, p in enumerate(parts))
-        wanted = model.outputs[target]
-        good = np.einsum("ij,ij->i", q, wanted) + model.bias[target] - self.log_noise[target]
-        bad = q @ model.outputs[noise].T + (model.bias[noise] - self.log_noise[noise])
-        g_good = _sigmoid(good) - np.float32(1)
-        g_bad = _sigmoid(bad)
-        d_q = g_good[:, None] * wanted + g_bad @ model.outputs[noise]
-        d_out = _summed(target, g_good[:, None] * q, len(model.outputs))
-        np.add.at(d_out, noise, g_bad.T @ q)
-        d_bias = np.bincount(target, weights=g_good, minlength=len(model.bias))
-        np.add.at(d_bias, noise, g_bad.sum(axis=0))
-        d_in = sum(_summed(context[:, i], d_q * model.weights[i], len(model.inputs)) for i in range(context.shape[1]))
-        d_weights = np.stack([(d_q * p).sum(axis=0) for p in parts])
-        for x, s, g in zip((model.inputs, model.outputs, model.weights, model.bias), self.squares, (d_in, d_out, d_weights, d_bias)):
-            g = (g / n).astype(np.float32)
-            s += g * g
-            x -= self.settings.rate * g / np.sqrt(s)
+        model, shape, n = self.model, self.model.shape, len(target)
+        q, d_q = model.predicted(context), np.zeros((n, shape.dims + 1), dtype=np.float32)
+        gradient = np.zeros_like(model.rows)
+        grown = Model(shape, gradient)
+        kind = shape.class_of(target)
+        grown.tops[:] = self.contrast(q, model.tops, kind, self.cumulated, self.log_noise, self.settings.noise, d_q)
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(shape.groups + 1))
+        for group in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            rows, members = order[cuts[group] : cuts[group + 1]], shape.members(group)
+            d_own = np.zeros((len(rows), shape.dims + 1), dtype=np.float32)
+            grown.words[members] = self.contrast(q[rows], model.words[members], target[rows] - members.start, *self.within[group], self.settings.noise_within, d_own)
+            d_q[rows] += d_own
+        d_q = d_q[:, :-1]
+        for i in range(shape.context):
+            grown.inputs[:, :-1] += _summed(context[:, i], d_q * model.weights[i], shape.items)
+            grown.weights[i] = (d_q * model.inputs[context[:, i], :-1]).sum(axis=0)
+        met = np.bincount(context.ravel(), minlength=shape.items)
+        self.times[: shape.items] += met
+        self.times[shape.items :][: shape.classes] += np.bincount(kind, minlength=shape.classes)
+        self.times[shape.items + shape.classes :][: shape.words] += np.bincount(target[target < shape.words], minlength=shape.words)
+        self.times[len(self.times) - shape.context :] += n
+        gradient /= n
+        self.squares += gradient * gradient
+        model.rows -= self.settings.rate * gradient / np.sqrt(self.squares)
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         order = self.draw.permutation(len(target))
@@ -155,12 +253,13 @@ def word_class(words: Words, classes: int) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Frequent words by sorted hash: counts, and outcome numbers of the most frequent (-1: of the class)."""
+    """Frequent words by sorted hash: counts, and items of those with vectors (-1: of a rare class)."""
 
     keys: np.ndarray
     counts: np.ndarray
-    outcome: np.ndarray
-    outcome_counts: np.ndarray
+    item: np.ndarray
+    shape: Shape
+    item_counts: np.ndarray
     class_mass: np.ndarray
     tokens: int
     distinct: int
@@ -173,19 +272,21 @@ class Vocabulary:
         return np.where(self.keys[at] == hashes, at, -1)
 
 
-def sequences(words: Words, entry: np.ndarray, vocabulary: Vocabulary, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(outcomes, contexts, bounds) of a range of texts; each text's last outcome is its end."""
-    kind = word_class(words, settings.classes) + settings.words
+def sequences(words: Words, entry: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items, contexts, bounds) of a range of texts; each text's last item is its end."""
+    shape = vocabulary.shape
+    item = word_class(words, shape.rare) + shape.words
     if len(vocabulary.keys):
-        own = vocabulary.outcome[entry]
-        kind = np.where((entry >= 0) & (own >= 0), own, kind)
-    end = settings.outcomes - 1
-    target = np.insert(kind, words.bound[1:], end)
+        own = vocabulary.item[entry]
+        item = np.where((entry >= 0) & (own >= 0), own, item)
+    end = shape.items - 1
+    target = np.insert(item, words.bound[1:], end)
     bounds = words.bound + np.arange(len(words.bound))
     position = np.arange(len(target)) - np.repeat(bounds[:-1], np.diff(bounds))
-    context = np.empty((len(target), settings.context), dtype=np.int64)
-    for i in range(settings.context):
-        context[:, i] = np.where(position > i, np.roll(target, i + 1), settings.outcomes)
+    context = np.empty((len(target), shape.context), dtype=np.int64)
+    for i in range(shape.context):
+        # before a text's first word there is the begin
+        context[:, i] = np.where(position > i, np.roll(target, i + 1), end)
     return target, context, bounds
 
 
@@ -208,7 +309,7 @@ def count_words(texts: DataFrame, settings: Settings) -> DataFrame:
         for batch in batches:
             for _, _, words in words_of(batch.column(0)):
                 key, first, n = np.unique(words.hash, return_index=True, return_counts=True)
-                held.append((key, word_class(words, settings.classes)[first], n))
+                held.append((key, word_class(words, settings.rare)[first], n))
                 if sum(len(h[0]) for h in held) > 1_500_000:
                     held[:] = [summed()]
                     if len(held[0][0]) > 750_000:
@@ -224,60 +325,118 @@ def _counts(key: np.ndarray, kind: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n)], ["hash", "class", "n"])
 
 
+def least_count(counts: DataFrame, limit: int) -> int:
+    """The least n such that at most ``limit`` words have n or more: by the counts of powers of two, then within one."""
+    level, above = F.floor(F.log2("n")).cast("int"), 0
+    for power, words in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if above + words > limit:
+            inside = counts.where(level == power).groupBy("n").count().collect()
+            for n, more in sorted(inside, reverse=True):
+                if above + more > limit:
+                    return n + 1
+                above += more
+        above += words
+    return 1
+
+
 def vocabulary_of(counts: DataFrame, ends: int, settings: Settings) -> Vocabulary:
-    """The frequent words and the classes' sums; both have fixed sizes."""
-    top = counts.orderBy(F.desc("n"), "hash").limit(settings.frequent).collect()
+    """The frequent words, of bounded number, and the rare classes' sums."""
     classes = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
     tokens = sum(r["n"] for r in classes) + ends
     distinct = sum(r["types"] for r in classes) + (ends > 0)
-    mass, class_tokens = np.ones(settings.classes), np.zeros(settings.classes)
+    wanted = min(settings.most, max(settings.least, math.ceil(settings.growth * math.sqrt(tokens))))
+    top = counts.where(F.col("n") >= least_count(counts, max(wanted, settings.frequent))).collect()
+    top.sort(key=lambda r: (-r["n"], r["hash"]))
+    shape = Shape(min(wanted, len(top)), settings.rare, settings.dims, settings.context)
+    mass, item_counts = np.ones(settings.rare), np.zeros(shape.items)
     for r in classes:
         mass[r["class"]] += r["n"] + r["types"]
-        class_tokens[r["class"]] += r["n"]
-    outcome_counts = np.zeros(settings.outcomes)
-    for i, r in enumerate(top[: settings.words]):
-        outcome_counts[i] = r["n"]
+        item_counts[shape.words + r["class"]] += r["n"]
+    for i, r in enumerate(top[: shape.words]):
+        item_counts[i] = r["n"]
         mass[r["class"]] -= r["n"] + 1
-        class_tokens[r["class"]] -= r["n"]
-    outcome_counts[settings.words : -1] = class_tokens
-    outcome_counts[-1] = ends
+        item_counts[shape.words + r["class"]] -= r["n"]
+    item_counts[-1] = ends
     keys = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
-    outcome = np.where(np.arange(len(top)) < settings.words, np.arange(len(top)), -1)
+    item = np.where(np.arange(len(top)) < shape.words, np.arange(len(top)), -1)
     n = np.array([r["n"] for r in top], dtype=np.int64)
-    return Vocabulary(keys[order], n[order], outcome[order], outcome_counts, mass, tokens, distinct)
+    return Vocabulary(keys[order], n[order], item[order], shape, item_counts, mass, tokens, distinct)
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, settings: Settings) -> Model:
-    """Two rounds over the texts' partitions, a part of the texts and then all; each ends with the
-    average of the partitions' models by their tokens.  Fixed numbers of parameters reach the driver."""
-    model = Model.first(vocabulary.outcome_counts, settings)
+    """Two rounds over the texts' partitions, a part of the texts and then all; each ends with the average of the
+    partitions' vectors, weighted by how often each was met.  The bounded model alone reaches the driver."""
+    context = texts.sparkSession.sparkContext
+    shape = vocabulary.shape
+    known = context.broadcast(vocabulary)
+    schema = "block int, times array<float>, total array<float>"
 
     def round_(rows: DataFrame, start: Model, seed: int) -> Model:
+        begun = context.broadcast(start.rows)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(start.filled(start.flat()), vocabulary.outcome_counts, settings, seed + TaskContext.get().partitionId())
-            seen = 0
+            vocabulary = known.value
+            trainer = Trainer(Model(shape, begun.value.copy()), vocabulary.item_counts, settings, seed + TaskContext.get().partitionId())
+            seen = False
             for batch in batches:
                 for _, _, words in words_of(batch.column(0)):
-                    target, context, _ = sequences(words, vocabulary.find(words.hash), vocabulary, settings)
+                    target, context, _ = sequences(words, vocabulary.find(words.hash), vocabulary)
                     trainer.learn(context, target)
-                    seen += len(target)
+                    seen = True
             if seen:
-                values = trainer.model.flat() * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(np.full(len(values), float(seen))), pa.array(values)], ["i", "w", "x"])
-
-        sums = rows.select("text").mapInArrow(lean(run), "i long, w double, x double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
-        if not sums:
-            return start
-        values = np.empty(len(sums))
-        for r in sums:
-            values[r["i"]] = r["x"]
-        return start.filled(values)
-
-    warm = round_(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(settings.warm)) == 0), model, 1000)
+                yield _blocks(np.arange(0, len(begun.value), ROWS), trainer.times, trainer.model.rows * trainer.times[:, None].astype(np.float32))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for block, times, total in zip(*(batch.column(i) for i in range(3))):
+                    own = found.setdefault(block.as_py(), [0.0, 0.0])
+                    own[0] = own[0] + times.values.to_numpy().astype(np.float64)
+                    own[1] = own[1] + total.values.to_numpy().astype(np.float64)
+            for block, (times, total) in found.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([times], pa.list_(pa.float32())), pa.array([total], pa.list_(pa.float32()))], ["block", "times", "total"]
+                )
+
+        sent = rows.select("text").mapInArrow(lean(run), schema).repartition(partitions(rows.sparkSession), "block")
+        out = start.rows.copy()
+        for block, times, total in zip(*(sent.mapInArrow(add, schema).toArrow().column(i) for i in range(3))):
+            here = out[block.as_py() * ROWS :][:ROWS]
+            times, total = times.values.to_numpy(), total.values.to_numpy().reshape(-1, out.shape[1])
+            # a vector that no partition met stays
+            met = times > 0
+            here[met] = total[met] / times[met, None]
+        return Model(shape, out)
+
+    warm = round_(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(settings.warm)) == 0), Model.first(vocabulary.item_counts, shape), 1000)
     return round_(texts, warm, 2000)
 
 
+def _blocks(starts: np.ndarray, times: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(starts // ROWS, pa.int32()), pa.array([times[a : a + ROWS].astype(np.float32) for a in starts], pa.list_(pa.float32())),
+            pa.array([total[a : a + ROWS].ravel() for a in starts], pa.list_(pa.float32())),
+        ],
+        ["block", "times", "total"],
+    )
+
+
+@dataclass
+class Learned:
+    counts: DataFrame
+    vocabulary: Vocabulary
+    model: Model
+
+
+def learn(texts: DataFrame, settings: Settings = Settings()) -> Learned:
+    """Counts of all words, and a model, from (doc_id, text)."""
+    counts = count_words(texts, settings)
+    vocabulary = vocabulary_of(counts, texts.select("doc_id").count(), settings)
+    return Learned(counts, vocabulary, train(texts, vocabulary, settings))
+
+
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, found double, score double, rare array<long>, times array<int>"
 
 
@@ -290,27 +449,29 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     without learning texts every count is 0.  Rare words' counts are joined by hash.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    learnt = docs.where("NOT held_out")
-    counts = count_words(learnt, settings)
-    vocabulary = vocabulary_of(counts, learnt.select("doc_id").count(), settings)
-    model = train(learnt, vocabulary, settings)
-    end_count = int(vocabulary.outcome_counts[-1])
-    tokens, distinct = vocabulary.tokens, vocabulary.distinct
-    log_mass = np.log10(vocabulary.class_mass)
-    log_count = np.log10(vocabulary.counts + 1.0)
+    return scored(docs, learn(docs.where("NOT held_out"), settings))
+
+
+def scored(docs: DataFrame, learned: Learned) -> DataFrame:
+    """Scores of (doc_id, text, held_out) by what was learned."""
+    counts, tokens, distinct = learned.counts, learned.vocabulary.tokens, learned.vocabulary.distinct
+    shared = docs.sparkSession.sparkContext.broadcast((learned.vocabulary, learned.model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
+        vocabulary, model = shared.value
+        end_count = int(vocabulary.item_counts[-1])
+        log_mass, log_count = np.log10(vocabulary.class_mass), np.log10(vocabulary.counts + 1.0)
         for batch in batches:
             for first, last, words in words_of(batch.column(1)):
                 entry = vocabulary.find(words.hash)
-                target, context, bounds = sequences(words, entry, vocabulary, settings)
-                total = np.concatenate([[0.0], np.cumsum(model.log10(context, target, settings.batch))])
+                target, context, bounds = sequences(words, entry, vocabulary)
+                total = np.concatenate([[0.0], np.cumsum(model.log10(context, target))])
                 value = total[bounds[1:]] - total[bounds[:-1]]
                 frequent = entry >= 0
-                in_class = target[np.arange(len(entry)) + np.repeat(np.arange(last - first), words.counts())] >= settings.words
+                in_class = target[np.arange(len(entry)) + np.repeat(np.arange(last - first), words.counts())] >= vocabulary.shape.words
                 own = np.where(frequent, log_count[entry] if len(log_count) else 0.0, 0.0)
-                share = np.where(in_class, own - log_mass[word_class(words, settings.classes)], 0.0)
+                share = np.where(in_class, own - log_mass[word_class(words, vocabulary.shape.rare)], 0.0)
                 sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (own, share, frequent)]
                 found, shares, known = (s[words.bound[1:]] - s[words.bound[:-1]] for s in sums)
                 rare, times = [], []
@@ -328,11 +489,11 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 row += n
                 yield pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _SCORED.split(", ")])
 
-    scored = stored(docs.select("doc_id", "text", "held_out").mapInArrow(lean(run), _SCORED), "scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
+    rows = stored(docs.select("doc_id", "text", "held_out").mapInArrow(lean(run), _SCORED), "scored")
+    pairs = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
     joined = pairs.join(counts.select("hash", "n"), "hash")
     more = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
-    out = scored.drop("rare", "times").join(more, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    out = rows.drop("rare", "times").join(more, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("found") + F.col("more") - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1.0)))).alias("base_score"),

@@ -291,26 +291,82 @@ def test_language_model(run, documents):
 
 
 def test_language_model_is_normalised():
-    settings = neural_lm.Settings(words=20, classes=9)
-    counts = np.arange(30, dtype=float)
-    model = neural_lm.Model.first(counts, settings)
-    context = np.random.default_rng(1).integers(0, 31, (7, 3))
-    total = sum(10 ** model.log10(context, np.full(7, o)) for o in range(30))
-    assert np.allclose(total, 1, atol=1e-5)
+    shape = neural_lm.Shape(20, 9, 16, 3)
+    model = neural_lm.Model.first(np.arange(30, dtype=float), shape)
+    context = np.random.default_rng(1).integers(0, 30, (7, 3))
+    for scale in (1, 40):
+        model.rows *= scale
+        total = sum(10 ** model.log10(context, np.full(7, o)) for o in range(30))
+        assert np.allclose(total, 1, atol=1e-5)
 
 
 def test_contrastive_training_learns_a_planted_bigram():
-    settings = neural_lm.Settings(words=20, classes=9, context=1, batch=256, rate=0.2)
+    shape, settings = neural_lm.Shape(20, 9, 16, 1), neural_lm.Settings(batch=256, rate=0.2)
     rng = np.random.default_rng(4)
     counts = np.full(30, 100.0)
     context = rng.integers(0, 30, (40_000, 1))
     target = np.where(rng.random(40_000) < 0.8, (context[:, 0] * 7 + 3) % 30, rng.integers(0, 30, 40_000))
-    trainer = neural_lm.Trainer(neural_lm.Model.first(counts, settings), counts, settings, 1)
+    trainer = neural_lm.Trainer(neural_lm.Model.first(counts, shape), counts, settings, 1)
     for _ in range(3):
         trainer.learn(context, target)
     assert trainer.model.log10(context[:2000], target[:2000]).mean() > -0.75 > math.log10(1 / 30)
 
 
+def test_language_model_scores_word_by_word(spark, documents):
+    """Scores against plain products, and probabilities of all words, known or not, that add up to one."""
+    rows, df = documents
+    settings = neural_lm.Settings(growth=0.2, least=30, frequent=50)
+    learned = neural_lm.learn(df.select("doc_id", "text"), settings)
+    known, model, shape = learned.vocabulary, learned.model, learned.vocabulary.shape
+    assert shape.words > 30 and len(known.keys) <= max(50, shape.words)
+    texts = [words(t) for t in rows.text]
+    counts = collections.Counter(w for t in texts for w in t)
+    if len(known.keys) > shape.words:
+        assert (known.item >= 0).sum() == shape.words
+    import pyarrow as pa
+
+    from signalbox.llm.text import words_of
+
+    names = list(counts)
+    parsed = next(words_of(pa.array([" ".join(names)]), limit=1 << 30))[2]
+    entry = known.find(parsed.hash)
+    item = np.where((entry >= 0) & (known.item[entry] >= 0), known.item[entry], shape.words + neural_lm.word_class(parsed, shape.rare))
+    item_of = dict(zip(names, item.tolist()))
+    assert all(counts[w] == known.item_counts[i] for w, i in item_of.items() if i < shape.words)
+    mass = np.ones(shape.rare)
+    for w, i in item_of.items():
+        if i >= shape.words:
+            mass[i - shape.words] += counts[w] + 1
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def chances(before):
+        context = [*([shape.items - 1] * 3), *before][-3:][::-1]
+        q = np.append(sum(model.inputs[c, :-1].astype(float) * model.weights[i] for i, c in enumerate(context)), 1.0)
+        top = soft(model.tops.astype(float) @ q)
+        out = {}
+        for i in range(shape.words):
+            members = shape.members(i // shape.width)
+            out[i] = top[i // shape.width] * soft(model.words[members].astype(float) @ q)[i - members.start]
+        for r in range(shape.rare + 1):
+            out[shape.words + r] = top[shape.groups + r]
+        return out
+
+    got = {r.doc_id: r.score for r in neural_lm.scored(df.select("doc_id", "text", F.lit(False).alias("held_out")), learned).collect()}
+    short = sorted(range(len(texts)), key=lambda k: len(texts[k]))[:6]
+    for k in short:
+        items, total = [], 0.0
+        for w in texts[k]:
+            p = chances(items)
+            items.append(item_of[w])
+            total += math.log10(p[items[-1]] * (1.0 if items[-1] < shape.words else (counts[w] + 1) / mass[items[-1] - shape.words]))
+        p = chances(items)
+        total += math.log10(p[shape.items - 1])
+        assert got[rows.doc_id[k]] == pytest.approx(total, rel=1e-4)
+        # words of a rare class share its probability with one that was never seen
+        share = sum(p[i] if i < shape.words else p[i] * (counts[w] + 1) / mass[i - shape.words] for w, i in item_of.items())
+        assert share + sum(p[shape.words + r] / mass[r] for r in range(shape.rare)) + p[shape.items - 1] == pytest.approx(1.0, abs=1e-6)
+
+
 def test_language_model_edge_cases(edge_docs, no_docs, spark):
     assert neural_lm.score(no_docs).count() == 0
     got = neural_lm.score(edge_docs).toPandas()
