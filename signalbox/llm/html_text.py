@@ -38,36 +38,57 @@ PLACES = (
     "modal overlay sidebar aside widget menu nav navbar navigation navigations breadcrumb breadcrumbs pagination footer masthead header comment "
     "comments respond disqus replies share sharing social related recommended newsletter subscribe signup login search complementary contentinfo"
 ).split()
+# Words that may stand beside them in one name, as in site-footer or ad-slot-2; with any other one, as in has-sidebar
+# or comments-open, the name tells of a state or of something else
+BESIDE = (
+    "site page post entry article blog main top bottom left right side upper lower primary secondary global local inner outer container wrapper "
+    "wrap block box list section area bar slot unit panel row col column group item items link links button buttons btn icon icons text message "
+    "form field title heading content body posts articles stories news js the"
+).split()
+HEADERS = {"header", "masthead"}
 _PLACE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|<[/!?a-zA-Z][^>]*\Z""", re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_PLACES = frozenset(PLACES)
+_PLACES, _BESIDE = frozenset(PLACES), frozenset(BESIDE)
 OUTSIDE, APART_KIND, INSIDE, MAIN = 0, 1, 2, 3
 COPY = 0.5
 """A page that shares this much of the text that not all compared pages share is a copy, and no evidence of a template."""
+MOST = 0.5
+"""A place told by its name is none if it holds more than this share of the page's text."""
 CELLS = 4_000_000
 FAR, DRAWN = 3, 256
 """Pages compared from anywhere on the host, and the hash groups they are drawn from."""
 
 
-def _named_apart(name: str, attributes: str) -> bool:
-    if not attributes or "=" not in attributes:
+def _named_apart(name: str, attributes: str, core: bool) -> bool:
+    """Whether a class, id or role is the name of a place; headers inside an article are part of it."""
+    if not attributes or "=" not in attributes or name in ("body", "html", "main"):
         return False
     for m in _PLACE.finditer(attributes):
-        if not _PLACES.isdisjoint(_SPLIT.split((m[1] or m[2] or m[3] or "").lower())):
-            return name not in ("body", "html", "main")
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+            named = [w for w in words if w in _PLACES and not (core and w in HEADERS)]
+            if named and all(w in _PLACES or w in _BESIDE for w in words):
+                return True
     return False
 
 
 def page_lines(page: str) -> tuple[list[str], list[int]]:
     """Lines of a page with their kinds: apart from the text by their place, inside the main element, inside an article, or outside.
 
-    Unclosed elements end with the element around them; an unclosed one without end ends with the page.
+    Text of inline elements that are apart, as buttons in a paragraph, is left out of its line.  An element that only its name
+    sets apart is not if it holds an article, the main element or most of the page's text, unless there is an article or main element outside of such places.  Unclosed
+    elements end with the element around them; an unclosed one without end ends with the page.
     """
     lines, kinds, parts = [], [], []
-    # open elements that count: name, and whether it is apart (1), an article (2) or main (3)
+    # open elements that count: name, and whether it is apart (1), an article (2), main (3), apart by name (4) or apart inline (5)
     stack: list[tuple[str, int]] = []
-    apart = core = main = 0
+    apart = core = main = muted = 0
+    # places by name: those that are open, the numbers of them around each line, their sizes, and those that hold a core
+    named: list[int] = []
+    around: list[tuple[int, ...]] = []
+    sizes: list[int] = []
+    holding: set[int] = set()
     at = 0
 
     def end_line() -> None:
@@ -77,14 +98,26 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
             if text:
                 lines.append(text)
                 kinds.append(APART_KIND if apart else MAIN if main else INSIDE if core else OUTSIDE)
+                around.append(tuple(named))
+                for place in named:
+                    sizes[place] += len(text)
+
+    def leave(kind: int) -> None:
+        nonlocal apart, core, main, muted
+        apart -= kind == 1
+        core -= kind in (2, 3)
+        main -= kind == 3
+        muted -= kind == 5
+        if kind == 4:
+            named.pop()
 
     while True:
         m = _TAG.search(page, at)
+        text = page[at:] if m is None else page[at : m.start()]
+        if text and not muted:
+            parts.append(text)
         if m is None:
-            parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -96,15 +129,16 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
             continue
         if name == "br":
             parts.append(" ")
-        if name in BLOCK:
+        if name in BLOCK and not (muted and name == "option"):
             end_line()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, kind in stack[i:]:
-                        apart -= kind == 1
-                        core -= kind >= 2
-                        main -= kind == 3
+                    if any(kind not in (0, 5) for _, kind in stack[i:]):
+                        # what waits lies in the places that end here
+                        end_line()
+                    for _, kind in reversed(stack[i:]):
+                        leave(kind)
                     del stack[i:]
                     break
             continue
@@ -112,21 +146,33 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
         if name in VOID or attributes.endswith("/"):
             continue
         kind = 0
-        if name in APART or (name == "header" and not core) or _named_apart(name, attributes):
-            kind = 1
-            end_line()
+        if name in APART or (name == "header" and not core):
+            kind = 1 if name in BLOCK or name in ("head", "nav", "dialog") else 5
+        elif _named_apart(name, attributes, core > 0):
+            kind = 4 if name in BLOCK else 5
         elif name in CORE:
             kind = 3 if name == "main" else 2
+            holding.update(named)
+        if kind not in (0, 5):
+            end_line()
         if kind or name in BLOCK:
             if name == "p" and stack and stack[-1][0] == "p":
                 # a paragraph ends at the next one
-                apart -= stack.pop()[1] == 1
+                leave(stack.pop()[1])
             stack.append((name, kind))
             apart += kind == 1
-            core += kind >= 2
+            core += kind in (2, 3)
             main += kind == 3
+            muted += kind == 5
+            if kind == 4:
+                named.append(len(sizes))
+                sizes.append(0)
     end_line()
-    return lines, kinds
+    total = sum(len(x) for x, kind in zip(lines, kinds) if kind != APART_KIND)
+    # the article lies outside of all places, or maybe in one
+    clear = any(kind in (INSIDE, MAIN) and not own for kind, own in zip(kinds, around))
+    places = {i for i, n in enumerate(sizes) if clear or (i not in holding and n <= MOST * total)}
+    return lines, [APART_KIND if not places.isdisjoint(own) else kind for kind, own in zip(kinds, around)]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
