@@ -108,8 +108,8 @@ def vocabulary(docs: DataFrame, spec: TfidfSpec, text: str = "query", n_docs: in
 def most_frequent(stats: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` terms of largest ``tf``, the smaller term first on ties, without one task that orders them.
 
-    Counts by ``tf`` name the last frequency that is taken; its terms are cut at a prefix that
-    grows by a character until few terms share it.
+    Counts by ``tf`` name the last frequency that is taken, and its last term is found by counts of
+    prefixes; what is returned is one filter over ``stats``.
     """
     if stats.count() <= limit:
         return stats
@@ -121,25 +121,28 @@ def most_frequent(stats: DataFrame, limit: int) -> DataFrame:
             least = row["tf"]
             break
         above += row["n"]
-    chosen = stats.where(F.col("tf") > least)
-    ties, wanted, prefix = stats.where(F.col("tf") == least), limit - above, ""
-    while wanted:
-        length = len(prefix) + 1
-        own = ties.where(F.col("term").startswith(prefix)) if prefix else ties
-        if own.count() <= TIES:
-            return chosen.unionByName(own.orderBy("term").limit(wanted))
-        heads = own.groupBy(F.substring("term", 1, length).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-        for head, size in sorted((r["p"], r["n"]) for r in heads):
-            whole = own.where(F.substring("term", 1, length) == head)
-            # a term that is its own prefix is one row
-            if size <= wanted:
-                chosen, wanted = chosen.unionByName(whole), wanted - size
-            else:
-                prefix = head
+    last = nth_term(stats.where(F.col("tf") == least).select("term"), limit - above)
+    return stats.where((F.col("tf") > least) | ((F.col("tf") == least) & (F.col("term") <= last)))
+
+
+def nth_term(terms: DataFrame, n: int) -> str:
+    """The n-th smallest of distinct terms: a prefix grows by a character until few terms share it."""
+    prefix = ""
+    while True:
+        own = terms.where(F.col("term").startswith(prefix)) if prefix else terms
+        head = F.substring("term", 1, len(prefix) + 1)
+        # a term that is its own prefix is one row
+        for name, size, low in sorted(map(tuple, own.groupBy(head.alias("p")).agg(F.count(F.lit(1)), F.min("term")).collect())):
+            if size == n == 1:
+                return low
+            if size >= n:
                 break
+            n -= size
         else:
-            break
-    return chosen
+            raise ValueError("fewer terms than that")
+        prefix = name
+        if size <= TIES:
+            return own.where(head == name).orderBy("term").limit(n).agg(F.max("term")).first()[0]
 
 
 def fit(docs: DataFrame, spec: TfidfSpec, text: str = "query", retry_min_df: bool = False) -> TfidfModel:

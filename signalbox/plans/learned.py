@@ -222,7 +222,7 @@ def score_blocks(
         ridge = G.ridge_scores(rows, vectors, MODELS, ridge_alpha)
         parts.append(ridge.select(F.lit(f"{view}_ridge").alias("method"), "id", "cells"))
         if clusters > 0:
-            cluster = K.cluster_scores(rows, vectors, MODELS, fallback, clusters)
+            cluster = K.cluster_scores(right, left, MODELS, fallback, model.size, clusters)
             parts.append(cluster.select(F.lit(f"{view}_cluster{clusters}").alias("method"), "id", "cells"))
     return durable(reduce(DataFrame.unionByName, parts))
 

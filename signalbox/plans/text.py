@@ -226,6 +226,6 @@ def f8(spark, sf):
 def f9(spark, sf):
     train, held = text_split(spark, sf)
     model = TF.fit(train, TF.SPECS["word12"])
-    rows = TF.transform(NB.dense_rewards(train, MODELS), model, keep=("id", "rewards"), as_vector=True)
+    rows = TF.transform(NB.dense_rewards(train, MODELS), model, keep=("id", "rewards"))
     fallback = P.global_cells(P.global_prior(train))
-    return C.to_long(K.cluster_scores(rows, TF.transform(held, model, as_vector=True), MODELS, fallback), "score")
+    return C.to_long(K.cluster_scores(rows, TF.transform(held, model), MODELS, fallback, model.size), "score")

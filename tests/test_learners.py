@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions import cells as C
 from signalbox.operators import audit as A
+from signalbox.operators import clusters
 from signalbox.operators import decide as D
 from signalbox.operators import factor as K
 from signalbox.operators import learners as G
@@ -52,8 +53,43 @@ def test_text_scorers_find_the_signal(planted):
     assert routed(NB.knn_scores(train, held, MODELS, SPEC, (10,))[10], held) > 0.65
     assert routed(G.pairwise_scores(train, held, MODELS, SPEC, balanced=True), held) == pytest.approx(0.9)
     fallback = P.global_cells(P.global_prior(train))
-    assert K.cluster_scores(rows, queries, MODELS, fallback, 1).count() == 60
-    assert routed(K.cluster_scores(rows, queries, MODELS, fallback, 12), held) > 0.5
+    # texts of six words for each label: clusters follow what texts are about
+    plain = F.expr("concat_ws(' ', split(query, ' ')[0], concat(split(query, ' ')[0], 'b'), concat(split(query, ' ')[0], 'c'), concat(split(query, ' ')[0], 'd'), concat(split(query, ' ')[0], 'e'), concat(split(query, ' ')[0], 'f'))")
+    model = TF.fit(train.withColumn("query", plain), SPEC)
+    sparse = TF.transform(NB.dense_rewards(train.withColumn("query", plain), MODELS), model, keep=("id", "rewards"))
+    asked = TF.transform(held.withColumn("query", plain), model)
+    assert K.cluster_scores(sparse, asked, MODELS, fallback, model.size, 1).count() == 60
+    assert routed(K.cluster_scores(sparse, asked, MODELS, fallback, model.size, 6), held) == pytest.approx(0.9)
+
+
+def test_mini_batches_cluster_as_well_as_full_batches(spark):
+    """Cost against Lloyd's steps from many starts, on sparse rows around eight centres and on rows without structure."""
+    rng = np.random.default_rng(2)
+    size, k = 40, 8
+    around = np.maximum(rng.normal(0, 0.25, (600, size)) + rng.random((k, size))[rng.integers(0, k, 600)] * 2 - 0.9, 0)
+    loose = np.where(rng.random((500, size)) < 0.2, rng.random((500, size)), 0.0)
+    for x in (around, loose):
+        best = np.inf
+        for _ in range(10):
+            c = x[rng.permutation(len(x))[:k]]
+            for _ in range(60):
+                far = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+                label = far.argmin(1)
+                c = np.stack([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+            best = min(best, ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).min(1).sum())
+        rows = [(i, np.flatnonzero(r).tolist(), r[r != 0].tolist()) for i, r in enumerate(x)]
+        df = spark.createDataFrame(rows, "id long, idx array<int>, w array<double>").repartition(3)
+        centres, cost = clusters.fit_kmeans(df, size, k, batch=64)
+        own = ((x**2).sum(1)[:, None] - 2 * x @ centres + (centres.astype(float) ** 2).sum(0)).min(1).sum()
+        assert cost == pytest.approx(own, rel=1e-4) and cost <= 1.02 * best
+        placed = {r.id: r.cluster for r in clusters.nearest_centre(df, centres, ("id",)).collect()}
+        assert np.allclose([((x[i] - centres[:, j]) ** 2).sum() for i, j in placed.items()], [((x[i][:, None] - centres) ** 2).sum(0).min() for i in placed], atol=1e-4)
+
+
+def test_clusters_of_rows_without_terms_and_of_equal_rows(spark):
+    df = spark.createDataFrame([(0, [], []), (1, [2], [1.0]), (2, [2], [1.0]), (3, [], [])], "id long, idx array<int>, w array<double>")
+    centres, cost = clusters.fit_kmeans(df, 4, 2)
+    assert centres.shape == (4, 2) and cost == pytest.approx(0.0, abs=1e-6)
 
 
 def test_trees_find_the_signal(spark):
