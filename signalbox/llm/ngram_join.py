@@ -80,12 +80,13 @@ def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def pieces(hashes: np.ndarray, hot: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys that a set (sorted distinct hashes) shows, for each band in which it may find a partner.
+def pieces(hashes: np.ndarray, hot: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, prior): the keys that a set (sorted distinct hashes) shows, for each band in which it may find a partner.
 
-    The order of pieces: those that are not in ``hot``, then the others by the count ``often``, then by key.
+    The order of pieces: those that are not in ``hot``, then the others by the count ``often``, then by key.  ``prior`` has
+    for one of the others the one that the set shows before it, or 0.
     """
-    n, out = len(hashes), []
+    n, out, prior = len(hashes), [], []
     band = 0
     while n >= BASE << (2 * band):
         band += 1
@@ -112,10 +113,15 @@ def pieces(hashes: np.ndarray, hot: np.ndarray, often: np.ndarray, percent: int
                 keys = rare
             else:
                 order = np.lexsort((keys[common], often[at[common]]))
-                out += [rare, keys[common][order[: most + 1 - len(rare)]]]
+                shown = keys[common][order[: most + 1 - len(rare)]]
+                out += [rare, shown]
+                prior += [np.zeros(len(rare) + 1, dtype=np.uint64), shown[:-1]]
                 continue
         out.append(np.partition(keys, most)[: most + 1])
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+        prior.append(np.zeros(most + 1, dtype=np.uint64))
+    if not out:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    return np.concatenate(out), np.concatenate(prior)
 
 
 def sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -176,13 +182,16 @@ def frequent_pieces(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stars(docs: DataFrame, hot: np.ndarray, often: np.ndarray, percent: int) -> DataFrame:
-    """(key, hub, node, several) for all pieces shown by two nodes or more: hub is the first of them, node
-    another one, and ``several`` says whether there are three or more."""
+    """(key, hub, node, prior, several) for all pieces shown by two nodes or more: hub is the first of them, node
+    another one with its prior piece, and ``several`` says whether there are three or more."""
+
+    def shown(*columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["key", "node", "prior"])
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, owners, held = [], [], 0
+            keys, owners, priors, held = [], [], [], 0
             for _, s in sets(batch.column(1)):
                 if not len(s):
                     continue
@@ -193,34 +202,35 @@ def stars(docs: DataFrame, hot: np.ndarray, often: np.ndarray, percent: int) ->
                     # forgotten copies come again and are merged after the shuffle
                     seen.clear()
                 seen.add(node)
-                own = pieces(s, hot, often, percent)
-                keys.append(own)
+                own, prior = pieces(s, hot, often, percent)
+                keys.append(own.view(np.int64))
+                priors.append(prior.view(np.int64))
                 owners.append(np.full(len(own), node))
                 held += len(own)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "node"])
-                    keys, owners, held = [], [], 0
+                if held > 300_000:
+                    yield shown(keys, owners, priors)
+                    keys, owners, priors, held = [], [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "node"])
+                yield shown(keys, owners, priors)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of the last group: its key, hub, last node and size; its second node waits for a third
         last_key, hub, last_node, size, waiting = None, 0, None, 0, None
 
-        def rows(key, hubs, node, several) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(hubs), pa.array(node), pa.array(several)], ["key", "hub", "node", "several"])
+        def rows(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "hub", "node", "prior", "several"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            key, node = (c.to_numpy() for c in batch.columns)
+            key, node, prior = (c.to_numpy() for c in batch.columns)
             new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
             fresh = new | np.concatenate([[node[0] != last_node], node[1:] != node[:-1]])
-            key, node, new = key[fresh], node[fresh], new[fresh]
+            key, node, prior, new = key[fresh], node[fresh], prior[fresh], new[fresh]
             if not len(key):
                 continue
             if waiting is not None:
-                yield rows([waiting[0]], [waiting[1]], [waiting[2]], [not new[0]])
+                yield rows(*([x] for x in waiting), [not new[0]])
                 waiting = None
             goes_on = not new[0]
             start = np.flatnonzero(new)
@@ -236,15 +246,15 @@ def stars(docs: DataFrame, hot: np.ndarray, often: np.ndarray, percent: int) ->
             last_key, hub, last_node, size = key[-1], hubs[-1], node[-1], int(sizes[-1])
             keep = rank > 1
             if size == 2 and keep[-1]:
-                waiting = (key[-1], hub, node[-1])
+                waiting = (key[-1], hub, node[-1], prior[-1])
                 keep[-1] = False
-            yield rows(key[keep], hubs[group][keep], node[keep], (sizes > 2)[group][keep])
+            yield rows(key[keep], hubs[group][keep], node[keep], prior[keep], (sizes > 2)[group][keep])
         if waiting is not None:
-            yield rows([waiting[0]], [waiting[1]], [waiting[2]], [False])
+            yield rows(*([x] for x in waiting), [False])
 
-    shown = docs.mapInArrow(lean(show), "key long, node long")
-    dealt = shown.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(lean(gather), "key long, hub long, node long, several boolean")
+    sent = docs.mapInArrow(lean(show), "key long, node long, prior long")
+    dealt = sent.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(lean(gather), "key long, hub long, node long, prior long, several boolean")
 
 
 def bloomed(docs: DataFrame, ids: DataFrame, without: bool = False) -> DataFrame:
@@ -302,26 +312,30 @@ def verified(pairs: DataFrame, sets_: DataFrame, docs: DataFrame, percent: int)
 
 
 def leftovers(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label, open, members) for pieces whose nodes beside the hub lie in several components.
+    """(key, node, label, open, prior, members) for pieces whose nodes beside the hub lie in several components.
 
-    ``open`` marks nodes outside the component of the piece's hub; the hub itself has been compared with all.
+    ``open`` marks nodes outside the component of the piece's hub; the hub itself has been compared with all.  Two nodes with
+    the same prior piece meet there, too, so a piece whose nodes all have the same one is left out.
     """
     known = labels.select(F.col("node").alias("k"), "label")
     if labels.count() <= LABELS:
         known = F.broadcast(known)
-    rows = star.where("several").join(known, F.col("node") == F.col("k"), "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label"))
+    rows = star.where("several").join(known, F.col("node") == F.col("k"), "left").select("key", "hub", "node", "prior", F.coalesce("label", "node").alias("label"))
     rows = rows.join(known.withColumnRenamed("label", "other"), F.col("hub") == F.col("k"), "left")
-    rows = rows.select("key", "node", "label", (F.col("label") != F.coalesce("other", "hub")).alias("open"))
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("open").cast("long")).alias("opened"))
-    return stored(rows.join(mixed.where("members > 1 AND opened > 0").drop("opened"), "key"), "leftovers")
+    rows = rows.select("key", "node", "label", "prior", (F.col("label") != F.coalesce("other", "hub")).alias("open"))
+    mixed = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.sum(F.col("open").cast("long")).alias("opened"), F.min("prior").alias("low"), F.max("prior").alias("high")
+    )
+    mixed = mixed.where("members > 1 AND opened > 0 AND (low <> high OR low = 0)").select("key", "members")
+    return stored(rows.join(mixed, "key"), "leftovers")
 
 
 class Block:
     """Nodes of a block with their sketches, for comparison with others."""
 
     def __init__(self, parts: list[tuple]):
-        self.node, self.label, self.n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        self.sketches = [x for p in parts for x in p[3]]
+        self.node, self.label, self.n, self.prior = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        self.sketches = [x for p in parts for x in p[4]]
         self.size = np.array([len(x) for x in self.sketches], dtype=np.int64)
         self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -335,12 +349,16 @@ class Block:
         return self.folded[size]
 
     def near(self, other: Block, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(own place, other's place, bits apart) of pairs in different components that may be linked, own places ascending."""
+        """(own place, other's place, bits apart) of pairs in different components that may be linked, own places ascending.
+
+        Pairs with the same prior piece are left to that one.
+        """
         step = max(1, PAIRS // max(1, len(other.node)))
         for low in range(0, len(self.node), step):
             own = slice(low, low + step)
-            n, m = self.n[own, None], other.n
-            i, j = np.nonzero((self.label[own, None] != other.label) & (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)))
+            n, m, prior = self.n[own, None], other.n, self.prior[own, None]
+            apart = (self.label[own, None] != other.label) & ((prior != other.prior) | (prior == 0))
+            i, j = np.nonzero(apart & (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)))
             i += low
             size = np.minimum(self.size[i], other.size[j])
             far = np.empty(len(i), dtype=np.int64)
@@ -363,8 +381,8 @@ def in_blocks(left: DataFrame, sets_: DataFrame, percent: int, nearest: int | No
     """
     known = sets_.select("node", "n", "sketch")
     rows = left.join(known, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    own = rows.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "label", "n", "sketch")
-    visit = rows.where("open").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "label", "n", "sketch")
+    own = rows.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "label", "n", "prior", "sketch")
+    visit = rows.where("open").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "label", "n", "prior", "sketch")
 
     def pairs(probes: Block, members: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for i, j, far in probes.near(members, percent):
@@ -385,14 +403,14 @@ def in_blocks(left: DataFrame, sets_: DataFrame, percent: int, nearest: int | No
         for batch in batches:
             if not len(batch):
                 continue
-            key, number, role, node, label, n = (batch.column(i).to_numpy() for i in range(6))
-            bits = batch.column(6).to_pylist()
+            key, number, role, node, label, n, prior = (batch.column(i).to_numpy() for i in range(7))
+            bits = batch.column(7).to_pylist()
             cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])]))
             out = []
             for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)]):
                 if (key[low], number[low]) != place:
                     place, members, block = (key[low], number[low]), [], None
-                part = (node[low:high], label[low:high], n[low:high], bits[low:high])
+                part = (node[low:high], label[low:high], n[low:high], prior[low:high], bits[low:high])
                 if role[low] == 0:
                     # the members of a block come before its visitors
                     members.append(part)

@@ -50,8 +50,10 @@ def test_join_edge_cases(edge_docs, no_docs):
     assert ngram_join.join_classes(no_docs).count() == 0
 
 
-def test_join_finds_chains_and_hot_groups_without_losing_links(spark):
-    """Copies, a chain whose ends are unlike, and unlike texts around one passage."""
+@pytest.mark.parametrize("sample", [64, 1])
+def test_join_finds_chains_and_hot_groups_without_losing_links(spark, sample, monkeypatch):
+    """Copies, a chain whose ends are unlike, and unlike texts around one passage, with few and with many pieces known as frequent."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", sample)
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(60)]
     rows, i = [], 0
@@ -86,8 +88,11 @@ def test_one_of_each_class_tells_texts_of_one_id_apart(spark):
     assert len(kept) == 3 and {rows[0], rows[2]} < set(kept) and (set(kept) - {rows[0], rows[2]}) < {rows[3], rows[4]}
 
 
-def test_leftovers_of_a_passage_meet_by_sketches_of_their_size(spark):
+@pytest.mark.parametrize("sample,block", [(64, 2048), (1, 2048), (1, 7)])
+def test_leftovers_of_a_passage_meet_by_sketches_of_their_size(spark, sample, block, monkeypatch):
     """Sets above 1,000 shingles around one passage, unlinked with its first ones, some of them in pairs."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", sample)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     passage = " ".join(f"p{k}" for k in range(900))
     rows = []
     for k in range(40):
@@ -115,10 +120,10 @@ def test_pieces_are_shown_by_linked_sets_in_any_order():
             b = np.unique(np.concatenate([a[cut // 2 :], rng.integers(0, 2**64, cut // 3, dtype=np.uint64)]))
             common = len(np.intersect1d(a, b))
             none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            hot = np.unique(rng.choice(ngram_join.pieces(a, *none), min(n // 9, 5))) if n > 50 else none[0]
+            hot = np.unique(rng.choice(ngram_join.pieces(a, *none)[0], min(n // 9, 5))) if n > 50 else none[0]
             often = rng.integers(4, 9, len(hot))
             if 100 * common >= 75 * (len(a) + len(b) - common) and len(a) != common:
-                assert len(np.intersect1d(ngram_join.pieces(a, hot, often), ngram_join.pieces(b, hot, often)))
+                assert len(np.intersect1d(ngram_join.pieces(a, hot, often)[0], ngram_join.pieces(b, hot, often)[0]))
             assert ngram_join.distances([ngram_join.sketch(a)], [ngram_join.sketch(b)])[0] <= len(a) + len(b) - 2 * common
 
 
