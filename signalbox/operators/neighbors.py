@@ -3,12 +3,17 @@
 Both sides are cut into blocks of bounded size.  A task compares one block with one block using
 NumPy and passes on only the k best per query, so similarities are never emitted pair by pair
 and no task holds more than two blocks.
+
+For sparse vectors without negative weights blocks are clusters of alike rows, and a query visits only those that can hold
+one of its k nearest: the product of the query with the largest weight of every term of a block bounds all
+similarities in it.  The blocks with the largest bounds are searched first; their k-th similarity is what
+the bounds of others have to reach.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,10 @@ QUERY_ROWS = 1024
 TRAIN_ROWS = 4096
 BLOCK_VALUES = 4_000_000
 SMALL_BLOCK = 128
+CLUSTER_ROWS = 64
+"""Rows of a cluster, about, where few leaders are enough for that; smaller blocks have sharper bounds."""
+LEADERS = 512
+SEEDS = 2
 SIMILARITY_DIGITS = 9
 PRODUCTS = 2_000_000
 
@@ -140,6 +149,44 @@ def _grid_shape(queries: tuple[int, int], train: tuple[int, int], cores: int) ->
     return n_q, n_t
 
 
+def _comparison(kind: str, k: int, positive_only: bool):
+    """A function of two Arrow tables: the k best rows of the second one for each row of the first one."""
+    similarities = _sparse_similarities if kind == "sparse" else _dense_similarities
+    digits = SIMILARITY_DIGITS
+
+    def compare(q: pa.Table, t: pa.Table) -> pa.Table:
+        empty = pa.table(
+            {"id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())}
+        )
+        if q.num_rows == 0 or t.num_rows == 0:
+            return empty
+        sims = np.round(similarities(q, t), digits)
+        t_ids = t.column("id").to_numpy()
+        rows, picks = _top_k(sims, t_ids, k, positive_only)
+        out = {
+            "id": q.column("id").take(pa.array(rows, pa.int64())),
+            "neighbor_id": pa.array(t_ids[picks], pa.int64()),
+            "similarity": pa.array(sims[rows, picks], pa.float64()),
+        }
+        return pa.table(out)
+
+    return compare
+
+
+_FOUND = "id long, neighbor_id long, similarity double"
+
+
+def _ranked(local: DataFrame, k: int) -> DataFrame:
+    best = W.partitionBy("id").orderBy(F.desc("similarity"), F.asc("neighbor_id"))
+    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _with_payload(ranked: DataFrame, train: DataFrame, payload: Sequence[str]) -> DataFrame:
+    if not payload:
+        return ranked
+    return ranked.join(train.select(F.col("id").alias("_n"), *payload), F.col("neighbor_id") == F.col("_n")).drop("_n")
+
+
 def nearest(
     queries: DataFrame,
     train: DataFrame,
@@ -154,7 +201,7 @@ def nearest(
 
     Exact for the rounded similarity; neighbours of equal similarity rank by id.  Blocks carry
     ids and vectors alone; the payload meets the k neighbours of a query afterwards, in a join
-    whose hot neighbours Spark splits.
+    whose hot neighbours Spark splits.  Every query visits every block.
     """
     columns = ["idx", "w"] if kind == "sparse" else ["vec"]
     size = F.size(columns[0])
@@ -164,32 +211,124 @@ def nearest(
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", *columns, block(n_q, "q").alias("_q")).withColumn("_t", grid(n_t))
     right = train.select("id", *columns, block(n_t, "t").alias("_t")).withColumn("_q", grid(n_q))
-    similarities = _sparse_similarities if kind == "sparse" else _dense_similarities
-    digits = SIMILARITY_DIGITS
+    # Both sides are spread over the grid by block, n_q * n_t groups of bounded size.
+    local = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInArrow(_comparison(kind, k, positive_only), _FOUND)
+    return _with_payload(_ranked(local, k), train, payload)
 
-    def compare(q: pa.Table, t: pa.Table) -> pa.Table:
-        empty = pa.table(
-            {"id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())}
-        )
-        if q.num_rows == 0 or t.num_rows == 0:
-            return empty
-        sims = np.round(similarities(q, t), digits)
-        t_ids = t.column("id").to_numpy()
-        rows, picks = _top_k(sims, t_ids, k, positive_only)
-        out = {
-            "id": q.column("id").take(pa.array(rows, pa.int64())),
-            "neighbor_id": pa.array(t_ids[picks], pa.int64()),
-            "similarity": pa.array(sims[rows, picks], pa.float64()),
-        }
-        return pa.table(out)
 
-    # Both sides are spread over the grid by block, n_q * n_t groups of bounded size.
-    local = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInArrow(compare, "id long, neighbor_id long, similarity double")
-    best = W.partitionBy("id").orderBy(F.desc("similarity"), F.asc("neighbor_id"))
-    ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    if not payload:
-        return ranked
-    return ranked.join(train.select(F.col("id").alias("_n"), *payload), F.col("neighbor_id") == F.col("_n")).drop("_n")
+# --- blocks that a bound rules out --------------------------------------------------
+
+def _clustered(train: DataFrame, block_rows: int, leaders: int) -> tuple[DataFrame, int]:
+    """(``id, idx, w, _t``, number of blocks): rows beside the leader they are most like.
+
+    Leaders are rows taken by hash, of bounded number and size.  Clusters beyond the bounds of a block are
+    cut by hash.
+    """
+    count, stored = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()
+    each = max(1.0, stored / max(1, count))
+    wanted = int(min(max(1, count // block_rows), leaders, max(1, BLOCK_VALUES / (4 * each))))
+    own = train.where(F.size("idx") > 0).select("id", "idx", "w")
+    chosen = own.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()
+    shared = train.sparkSession.sparkContext.broadcast(chosen)
+    slim = train.select("id", "idx", "w")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(low, QUERY_ROWS)
+                near = np.zeros(part.num_rows, dtype=np.int64)
+                if shared.value.num_rows:
+                    near = _sparse_similarities(pa.Table.from_batches([part]), shared.value).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near, pa.int32())], ["id", "idx", "w", "_c"])
+
+    placed = durable(slim.mapInArrow(place, "id long, idx array<int>, w array<double>, _c int"))
+    # one row per leader
+    sizes = placed.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("idx")).alias("v")).collect()
+    parts = [1] * max(1, wanted)
+    for row in sizes:
+        parts[row["_c"]] = max(1, math.ceil(row["n"] / TRAIN_ROWS), math.ceil(row["v"] / BLOCK_VALUES))
+    starts = np.concatenate([[0], np.cumsum(parts)]).tolist()
+    part = F.pmod(F.xxhash64(F.lit("t"), "id"), F.get(F.lit(parts), F.col("_c")))
+    return placed.withColumn("_t", (F.get(F.lit(starts), F.col("_c")) + part).cast("int")).drop("_c"), starts[-1]
+
+
+def _largest_weights(placed: DataFrame) -> DataFrame:
+    """``id`` (the block), ``idx, w``: the largest weight of every term in a block."""
+
+    def largest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        idx, _ = _offsets(table.column("idx"))
+        w, _ = _offsets(table.column("w"))
+        order = np.lexsort((w, idx))
+        last = np.flatnonzero(np.concatenate([idx[order][1:] != idx[order][:-1], np.ones(min(1, len(idx)), dtype=bool)]))
+        at = order[last]
+        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "idx": pa.array([idx[at]], pa.list_(pa.int32())), "w": pa.array([w[at]], pa.list_(pa.float64()))})
+
+    return durable(placed.groupBy("_t").applyInArrow(largest, "id long, idx array<int>, w array<double>"))
+
+
+def _reached(queries: DataFrame, bounds: DataFrame, query_rows: int) -> DataFrame:
+    """``id, _t``: the blocks whose bound reaches ``reach``, but for those in ``seen``, of every query."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_q, n_t = _grid_shape(_blocks(queries, query_rows, F.size("idx")), _blocks(bounds, QUERY_ROWS, F.size("idx")), cores)
+    block = lambda n, tag: F.pmod(F.xxhash64(F.lit(tag), "id"), F.lit(n)).cast("int")
+    left = queries.withColumn("_q", block(n_q, "q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))))
+    right = bounds.withColumn("_b", block(n_t, "t")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    slack = 2.0 * 10.0**-SIMILARITY_DIGITS
+
+    def reach(q: pa.Table, t: pa.Table) -> pa.Table:
+        rows, picks = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if q.num_rows and t.num_rows:
+            bound = _sparse_similarities(q, t)
+            blocks = t.column("id").to_numpy()
+            # a sum in another order may lie a little lower
+            near = (bound > 0) & (bound + slack >= q.column("reach").to_numpy()[:, None])
+            seen, at = _offsets(q.column("seen"))
+            place = np.searchsorted(np.sort(blocks), seen)
+            known = np.sort(blocks)[np.minimum(place, len(blocks) - 1)] == seen
+            column = np.argsort(blocks)[np.minimum(place, len(blocks) - 1)]
+            near[np.repeat(np.arange(q.num_rows), np.diff(at))[known], column[known]] = False
+            rows, picks = np.nonzero(near)
+            picks = blocks[picks]
+        return pa.table({"id": q.column("id").take(pa.array(rows, pa.int64())), "_t": pa.array(picks, pa.int32())})
+
+    return left.groupBy("_q", "_b").cogroup(right.groupBy("_q", "_b")).applyInArrow(reach, "id long, _t int")
+
+
+def _visited(queries: DataFrame, placed: DataFrame, visits: DataFrame, k: int, query_rows: int) -> DataFrame:
+    """The k best rows of every block that a query visits; a block's visitors come in groups of about ``query_rows``."""
+    groups = visits.groupBy("_t").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("_n"))
+    left = visits.join(groups, "_t").withColumn("_q", F.pmod(F.xxhash64(F.lit("q"), "id"), F.col("_n")).cast("int")).drop("_n")
+    left = left.join(queries.select("id", "idx", "w"), "id")
+    right = placed.join(groups, "_t").withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return left.groupBy("_t", "_q").cogroup(right.groupBy("_t", "_q")).applyInArrow(_comparison("sparse", k, True), _FOUND)
+
+
+def nearest_by_bounds(
+    queries: DataFrame, train: DataFrame, k: int, payload: Sequence[str] = (), block_rows: int = CLUSTER_ROWS, seeds: int = SEEDS,
+    leaders: int = LEADERS, query_rows: int = QUERY_ROWS, stats: dict | None = None,
+) -> DataFrame:
+    """``nearest`` for sparse vectors without negative weights and positive similarities, without the blocks that cannot matter.
+
+    ``stats``, if given, gets the number of blocks of the training rows, of pairs of a query and a block, and of
+    those that were compared.
+    """
+    queries = queries.select("id", "idx", "w")
+    placed, blocks = _clustered(train, block_rows, leaders)
+    bounds = _largest_weights(placed)
+    first = nearest(queries, bounds, seeds, "sparse", query_rows=query_rows).select("id", F.col("neighbor_id").cast("int").alias("_t"))
+    first = durable(first)
+    local = durable(_visited(queries, placed, first, k, query_rows))
+    # fewer than k found: any similarity above zero may matter
+    kth = F.when(F.count(F.lit(1)) >= k, F.get(F.sort_array(F.collect_list("similarity"), asc=False), F.lit(k - 1))).otherwise(F.lit(0.0))
+    reach = local.groupBy("id").agg(kth.alias("reach"))
+    seen = first.groupBy("id").agg(F.collect_list("_t").alias("seen"))
+    # a query without a block of positive bound has no neighbour
+    asked = queries.join(seen, "id").join(reach, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
+    more = durable(_reached(asked, bounds, query_rows))
+    if stats is not None:
+        stats |= {"blocks": blocks, "pairs": blocks * queries.count(), "compared": first.count() + more.count()}
+    found = local.unionByName(_visited(queries, placed, more, k, query_rows))
+    return _with_payload(_ranked(found, k), train, payload)
 
 
 def weighted_mean(
@@ -244,7 +383,7 @@ def text_neighbors(
     model = tfidf.fit(train, spec)
     left = durable(tfidf.transform(queries, model))
     right = durable(tfidf.transform(train, model, keep=("id", *payload)))
-    return nearest(left, right, k, "sparse", payload)
+    return nearest_by_bounds(left, right, k, payload)
 
 
 def knn_scores(

@@ -102,3 +102,26 @@ def test_residuals_and_warm_up(spark):
     want = unit(0.8 * query + 0.2 * train[near].mean(axis=1))
     assert np.allclose(warmed, want)
     assert NB.warm_up(right, left, 4, k=0).orderBy("id").first().vec == [float(x) for x in query[0]]
+
+
+@pytest.mark.parametrize("block_rows,k,query_rows", [(4, 12, 5), (8, 1, 500), (1, 31, 500), (1000, 12, 7)])
+def test_bounds_leave_neighbours_alone(spark, block_rows, k, query_rows):
+    """The same rows as without bounds: a third of them copies, ties at the k-th place, queries without neighbours."""
+    docs = _texts() + ["other words entirely"] * 3 + [f"w{i} w{i + 1}" for i in range(0, 50, 2)]
+    frame = spark.createDataFrame([(i, d, f"p{i}") for i, d in enumerate(docs)], "id long, query string, tag string")
+    train, query = frame.where("id % 4 < 3"), frame.where("id % 4 = 3 OR id >= 88").withColumn("id", F.col("id") + 1000)
+    model = TF.fit(train, TF.TfidfSpec("word", 1, 2))
+    left, right = TF.transform(query, model), TF.transform(train, model, keep=("id", "tag"))
+    stats = {}
+    columns = ["id", "rank", "neighbor_id", "similarity", "tag"]
+    got = NB.nearest_by_bounds(left, right, k, ("tag",), block_rows, query_rows=query_rows, stats=stats).select(columns)
+    want = NB.nearest(left, right, k, "sparse", ("tag",)).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert stats["compared"] <= stats["pairs"] and (block_rows > 8 or stats["compared"] < 0.8 * stats["pairs"])
+
+
+def test_bounds_of_empty_and_unlike_tables(spark):
+    df = spark.createDataFrame([(1, [0, 2], [0.6, 0.8]), (2, [], [])], "id long, idx array<int>, w array<double>")
+    other = spark.createDataFrame([(7, [1], [1.0]), (8, [], [])], df.schema)
+    assert NB.nearest_by_bounds(df, other, 3).count() == 0 == NB.nearest_by_bounds(df.where("false"), df, 3).count() == NB.nearest_by_bounds(df, df.where("false"), 3).count()
+    assert [(r.id, r.neighbor_id, r.similarity) for r in NB.nearest_by_bounds(df, df, 3).collect()] == [(1, 1, 1.0)]
