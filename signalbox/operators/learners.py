@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,9 @@ def linear_cells(queries: DataFrame, models: Sequence[str], weights: np.ndarray,
                 out = linear.scores(row, idx, values, last - first, w) + b
                 if link == "logistic":
                     out = 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
+                elif link == "softmax":
+                    out = np.exp(out - out.max(axis=1, keepdims=True))
+                    out /= out.sum(axis=1, keepdims=True)
                 ends = pa.array(np.arange(0, out.size + 1, w.shape[1]), pa.int32())
                 scores = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), scores], ["id", "scores"])
@@ -105,22 +108,20 @@ def _probabilities(column: str, models: Sequence[str]) -> Column:
     return _cells(models, lambda i: F.coalesce(F.get(array, F.lit(i)), F.lit(0.0)))
 
 
-def fit_logistic(rows: DataFrame, models: Sequence[str], c: float = 1.0, max_iter: int = 200, weight: str | None = None):
-    """Multinomial logistic regression; ``c`` is the inverse of the penalty on the summed loss."""
-    n = rows.count()
-    estimator = LogisticRegression(
-        family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=1e-7,
-    )
-    if weight:
-        estimator = estimator.setWeightCol(weight)
-    return estimator.fit(rows)
+def fit_logistic(rows: DataFrame, models: Sequence[str], c: float = 1.0, max_iter: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of a multinomial head on labels; ``c`` is the inverse of the penalty on the summed loss."""
+    parts = durable(linear.sparse_parts(rows.select("features", _label_index(models, F.col("label")).cast("int").alias("label")), ("label",)))
+
+    def examples(batch, first, last):
+        label = batch.column("label").slice(first, last - first).to_numpy()
+        return (label[:, None] == np.arange(len(models))).astype(np.float64), np.ones(len(label))
+
+    return linear.softmax(parts, _size(rows), len(models), 1.0 / c, examples, max_iter=max_iter)
 
 
-def logistic_scores(rows: DataFrame, queries: DataFrame, models: Sequence[str], c: float = 1.0, max_iter: int = 200) -> DataFrame:
-    """Oracle-label classifier: ``rows`` has ``features, label``."""
-    out = fit_logistic(_labelled(rows, models), models, c, max_iter).transform(queries)
-    return out.select("id", _probabilities("probability", models).alias("cells"))
+def logistic_scores(rows: DataFrame, queries: DataFrame, models: Sequence[str], c: float = 1.0, max_iter: int = 500) -> DataFrame:
+    """Oracle-label classifier: ``rows`` has ``features, label``; a class without rows has no share."""
+    return linear_cells(queries, models, *fit_logistic(rows, models, c, max_iter), "softmax")
 
 
 def _boosted_probabilities(rows: DataFrame, queries: DataFrame, models: Sequence[str], spec: boosting.Boosting, seed: int, sample: int) -> DataFrame:
@@ -159,13 +160,9 @@ def classifier_ensemble_scores(
     forest_model = RandomForestClassifier(
         numTrees=forest, maxDepth=forest_depth, seed=seed, predictionCol="_fp", rawPredictionCol="_fr", probabilityCol="_f"
     ).fit(data)
-    logistic = fit_logistic(data, models, c, max_iter)
-    out = logistic.transform(forest_model.transform(queries))
-    both = out.select(
-        "id",
-        _probabilities("_f", models).alias("_forest"),
-        _probabilities("probability", models).alias("_logistic"),
-    ).join(boosted, "id")
+    logistic = logistic_scores(rows, queries, models, c, max_iter).select("id", F.col("cells").alias("_logistic"))
+    forest_part = forest_model.transform(queries).select("id", _probabilities("_f", models).alias("_forest"))
+    both = forest_part.join(logistic, "id").join(boosted, "id")
     part = lambda c, name: C.value_of(F.col(name), c["model"], "score")
     mean = lambda c: (c["score"] + part(c, "_forest") + part(c, "_logistic")) / F.lit(3.0)
     return C.add_field(both, "score", mean).drop("_forest", "_logistic")
@@ -174,21 +171,22 @@ def classifier_ensemble_scores(
 def soft_oracle_scores(
     rows: DataFrame, queries: DataFrame, panel: DataFrame, models: Sequence[str], temperature: float = 0.05, max_iter: int = 1000
 ) -> DataFrame:
-    """Regret-weighted soft-label classifier as a weighted multinomial regression.
+    """Regret-weighted soft-label classifier: one multinomial head on the soft targets themselves.
 
-    Each query becomes one row per model weighted by target times row weight, which has the
-    minimiser of the weighted divergence from the soft targets.
+    Row weights are taken relative to their mean, so the penalty keeps its proportion.
     """
     labels = soft_oracle_labels(panel, temperature).select("id", "cells", "row_weight")
     joined = rows.select("id", "features").join(labels, "id")
-    exploded = joined.select("features", "row_weight", F.explode_outer("cells").alias("cell"))
-    data = exploded.select(
-        "features",
-        _label_index(models, F.col("cell.model")).alias("label"),
-        (F.col("cell.target") * F.col("row_weight")).alias("weight"),
-    ).where("weight > 0")
-    out = fit_logistic(durable(data), models, max_iter=max_iter, weight="weight").transform(queries)
-    return out.select("id", _probabilities("probability", models).alias("cells"))
+    targets = F.array(*[F.coalesce(C.value_of(F.col("cells"), F.lit(m), "target"), F.lit(0.0)) for m in models])
+    parts = durable(linear.sparse_parts(joined.select("features", targets.alias("targets"), "row_weight"), ("targets", "row_weight")))
+    mean = parts.agg(F.avg("row_weight")).first()[0] or 1.0
+
+    def examples(batch, first, last):
+        weight = batch.column("row_weight").slice(first, last - first).to_numpy() / mean
+        return linear.matrix(batch.column("targets").slice(first, last - first), len(models)), weight
+
+    weights, bias = linear.softmax(parts, _size(rows), len(models), 1.0, examples, max_iter=max_iter)
+    return linear_cells(queries, models, weights, bias, "softmax")
 
 
 # --- independent performance and cost heads ------------------------------------------

@@ -11,6 +11,7 @@ from signalbox.operators import clusters
 from signalbox.operators import decide as D
 from signalbox.operators import factor as K
 from signalbox.operators import learners as G
+from signalbox.operators import linear
 from signalbox.operators import neighbors as NB
 from signalbox.operators import priors as P
 from signalbox.operators import tfidf as TF
@@ -245,3 +246,26 @@ def test_boosted_trees_match_a_plain_search():
     labels = (y > 1).astype(float)
     odds = boosting.fit_boosted(x, labels, boosting.Boosting(60, 3, 0.1, logistic=True), 0).predict(x)
     assert ((odds > 0) == (labels > 0)).mean() > 0.95
+
+
+def test_softmax_on_soft_targets_is_optimal(spark):
+    """The gradient vanishes at the solution, a class without targets has no share, and hard labels are a special case."""
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((80, 12)) < 0.4, rng.random((80, 12)), 0.0)
+    y = rng.random((80, 4)) ** 3
+    y[:, 2] = 0.0
+    y /= y.sum(axis=1, keepdims=True)
+    weight = rng.random(80) + 0.1
+    rows = [(np.flatnonzero(r).tolist(), r[r != 0].tolist(), t.tolist(), float(v)) for r, t, v in zip(x, y, weight)]
+    df = spark.createDataFrame(rows, "idx array<int>, w array<double>, targets array<double>, weight double").repartition(3)
+
+    def examples(batch, first, last):
+        return linear.matrix(batch.column("targets").slice(first, last - first), 4), batch.column("weight").slice(first, last - first).to_numpy()
+
+    w, b = linear.softmax(df, 12, 4, 0.3, examples, tol=1e-9)
+    z = x @ w + b
+    share = np.exp(z - z.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    residual = weight[:, None] * (share - y)
+    assert (share[:, 2] == 0).all() and b[2] == -np.inf
+    assert np.abs(x.T @ residual + 0.3 * w).max() < 1e-6 and np.abs(residual.sum(axis=0)).max() < 1e-6
