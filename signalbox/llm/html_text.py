@@ -46,6 +46,30 @@ BESIDE = (
     "form field title heading content body posts articles stories news js the"
 ).split()
 HEADERS = {"header", "masthead"}
+# Words that may stand beside them in one name, as in site-footer or ad-slot-2; with any other one, as in has-sidebar
+# or comments-open, the name tells of a state or of something else
+BESIDE = (
+    "site page post entry article blog main top bottom left right side upper lower primary secondary global local inner outer container wrapper "
+    "wrap block box list section area bar slot unit panel row col column group item items link links button buttons btn icon icons text message "
+    "form field title heading content body js the"
+).split()
+HEADERS = {"header", "masthead"}
+# Words that may stand beside them in one name, as in site-footer or ad-slot-2; with any other one, as in has-sidebar
+# or comments-open, the name tells of a state or of something else
+BESIDE = (
+    "site page post entry article blog main top bottom left right side upper lower primary secondary global local inner outer container wrapper "
+    "wrap block box list section area bar slot unit panel row col column group item items link links button buttons btn icon icons text message "
+    "form field title heading content body js the"
+).split()
+HEADERS = {"header", "masthead"}
+# Words that may stand beside them in one name, as in site-footer or ad-slot-2; with any other one, as in has-sidebar
+# or comments-open, the name tells of a state or of something else
+BESIDE = (
+    "site page post entry article blog main top bottom left right side upper lower primary secondary global local inner outer container wrapper "
+    "wrap block box list section area bar slot unit panel row col column group item items link links button buttons btn icon icons text message "
+    "form field title heading content body js the"
+).split()
+HEADERS = {"header", "masthead"}
 _PLACE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|<[/!?a-zA-Z][^>]*\Z""", re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -55,6 +79,12 @@ COPY = 0.5
 """A page that shares this much of the text that not all compared pages share is a copy, and no evidence of a template."""
 MOST = 0.5
 """A place told by its name is none if it holds more than this share of the page's text."""
+MOST = 0.5
+"""A place told by its name is none if it holds more than this share of the page's text."""
+MOST = 0.5
+"""A place told by its name is none if it holds more than this share of the page's text."""
+MOST = 0.5
+"""A place told by its name is none if it holds more than this share of the page's text."""
 CELLS = 4_000_000
 FAR, DRAWN = 3, 256
 """Pages compared from anywhere on the host, and the hash groups they are drawn from."""
@@ -62,7 +92,7 @@ FAR, DRAWN = 3, 256
 
 def _named_apart(name: str, attributes: str, core: bool) -> bool:
     """Whether a class, id or role is the name of a place; headers inside an article are part of it."""
-    if not attributes or "=" not in attributes or name in ("body", "html", "main"):
+    if not attributes or "=" not in attributes or name in ("body", "html", "main", "article"):
         return False
     for m in _PLACE.finditer(attributes):
         for token in (m[1] or m[2] or m[3] or "").lower().split():
@@ -77,7 +107,7 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
     """Lines of a page with their kinds: apart from the text by their place, inside the main element, inside an article, or outside.
 
     Text of inline elements that are apart, as buttons in a paragraph, is left out of its line.  An element that only its name
-    sets apart is not if it holds an article, the main element or most of the page's text, unless there is an article or main element outside of such places.  Unclosed
+    sets apart is not if it holds an article, the main element or most of the page's text.  Unclosed
     elements end with the element around them; an unclosed one without end ends with the page.
     """
     lines, kinds, parts = [], [], []
@@ -129,7 +159,7 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
             continue
         if name == "br":
             parts.append(" ")
-        if name in BLOCK and not (muted and name == "option"):
+        if name in BLOCK:
             end_line()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -148,11 +178,11 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
         kind = 0
         if name in APART or (name == "header" and not core):
             kind = 1 if name in BLOCK or name in ("head", "nav", "dialog") else 5
-        elif _named_apart(name, attributes, core > 0):
-            kind = 4 if name in BLOCK else 5
         elif name in CORE:
             kind = 3 if name == "main" else 2
             holding.update(named)
+        elif _named_apart(name, attributes, core > 0):
+            kind = 4 if name in BLOCK else 5
         if kind not in (0, 5):
             end_line()
         if kind or name in BLOCK:
@@ -169,9 +199,7 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                 sizes.append(0)
     end_line()
     total = sum(len(x) for x, kind in zip(lines, kinds) if kind != APART_KIND)
-    # the article lies outside of all places, or maybe in one
-    clear = any(kind in (INSIDE, MAIN) and not own for kind, own in zip(kinds, around))
-    places = {i for i, n in enumerate(sizes) if clear or (i not in holding and n <= MOST * total)}
+    places = {i for i, n in enumerate(sizes) if i not in holding and n <= MOST * total}
     return lines, [APART_KIND if not places.isdisjoint(own) else kind for kind, own in zip(kinds, around)]
 
 

@@ -88,11 +88,12 @@ def _dense(rows: DataFrame, *columns: str | Column) -> DataFrame:
 
 def boosted_regression_scores(
     rows: DataFrame, queries: DataFrame, models: Sequence[str], trees: int = 300, depth: int = 4,
-    step: float = 0.05, seed: int = 42, values: str = "rewards", row_share: float = 0.9, column_share: float = 0.9, sample: int = boosting.SAMPLE,
+    step: float = 0.05, seed: int = 42, values: str = "rewards", row_share: float = 0.9, column_share: float = 0.9,
 ) -> DataFrame:
-    """One boosted reward regressor per model, fitted on ``sample`` rows at most."""
+    """One boosted reward regressor per model, fitted on all rows together."""
     spec = boosting.Boosting(trees, depth, step, row_share, column_share)
-    scored = boosting.boosted_outputs(_dense(rows, F.col(values).alias("targets")), _dense(queries), len(models), spec, seed, sample)
+    forests = boosting.fit_together(_dense(rows, F.col(values).alias("targets")), len(models), spec, seed)
+    scored = boosting.predicted(_dense(queries), forests)
     return scored.select("id", _cells(models, lambda i: F.get("scores", F.lit(i))).alias("cells"))
 
 

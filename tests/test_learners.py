@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions import cells as C
 from signalbox.operators import audit as A
-from signalbox.operators import clusters
+from signalbox.operators import boosting, clusters
 from signalbox.operators import decide as D
 from signalbox.operators import factor as K
 from signalbox.operators import learners as G
@@ -269,3 +269,23 @@ def test_softmax_on_soft_targets_is_optimal(spark):
     residual = weight[:, None] * (share - y)
     assert (share[:, 2] == 0).all() and b[2] == -np.inf
     assert np.abs(x.T @ residual + 0.3 * w).max() < 1e-6 and np.abs(residual.sum(axis=0)).max() < 1e-6
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_trees_grown_together_are_those_grown_alone(spark, parts, monkeypatch):
+    """Every output's forest equals that of one table in memory, whether histograms are added on executors or not."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(220, 5)), 2)
+    y = np.stack([np.where(x[:, 0] > 0.3, 2.0, -1.0) + 0.2 * x[:, 1], x[:, 2] * (x[:, 3] > 0), np.full(220, 0.5)], axis=1)
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "id long, vec array<double>, targets array<double>").repartition(parts)
+    spec = boosting.Boosting(13, 3, 0.2, row_share=1.0, column_share=1.0)
+    if parts > 1:
+        monkeypatch.setattr(boosting, "DIRECT", 0)
+    cuts = boosting.quantile_cuts(df, 5)
+    for j, forest in enumerate(boosting.fit_together(df, 3, spec)):
+        alone = boosting.fit_boosted(x, y[:, j], spec, 42 + j, cuts)
+        assert np.allclose(forest.predict(x), alone.predict(x), atol=1e-9)
+        assert (forest.features == alone.features).mean() > 0.95 and forest.start == pytest.approx(alone.start)
+    # shares of rows and columns still find the signal, on all rows
+    some = boosting.fit_together(df, 1, boosting.Boosting(40, 3, 0.2, row_share=0.7, column_share=0.6))[0]
+    assert np.mean((some.predict(x) - y[:, 0]) ** 2) < 0.05 * y[:, 0].var()
