@@ -37,7 +37,7 @@ ROWS = 1024
 
 @dataclass(frozen=True)
 class Settings:
-    growth: float = 2.0
+    growth: float = 1.0
     """Words with vectors: so many times the square root of the number of tokens, between ``least`` and ``most``."""
     least: int = 256
     most: int = 1 << 18
@@ -45,13 +45,16 @@ class Settings:
     rare: int = 31
     dims: int = 16
     context: int = 3
-    noise: int = 48
-    noise_within: int = 24
+    noise: int = 32
+    noise_within: int = 16
     batch: int = 16384
-    rate: float = 0.1
+    steps: int = 12
+    """A range of texts of about a megabyte is learnt in so many minibatches or more, unless they fall below ``small`` tokens."""
+    small: int = 1024
+    rate: float = 0.12
     frequent: int = 65_536
     """Words, at least those with vectors, whose counts every task is sent; the counts of rarer ones are joined."""
-    warm: int = 8
+    warm: int = 16
     """The first round of training takes one in so many texts, the second one all."""
 
 
@@ -102,7 +105,7 @@ class Model:
         size = shape.items + shape.classes + shape.words + shape.context
         model = Model(shape, draw.normal(0, 0.3, (size, shape.dims + 1)).astype(np.float32))
         model.rows[:, -1] = 0.0
-        model.weights[:] = 1 / shape.context
+        model.weights[:, :-1] = 1 / shape.context
         for part, share in ((model.tops, _class_counts(counts, shape)), (model.words, counts[: shape.words])):
             part[:, -1] = np.log((share + 0.5) / (share + 0.5).sum()) if len(part) else 0.0
         return model
@@ -121,13 +124,16 @@ class Model:
 
     @property
     def weights(self) -> np.ndarray:
-        return self.rows[len(self.rows) - self.shape.context :, :-1]
+        return self.rows[len(self.rows) - self.shape.context :]
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        """Predicted vectors; a one at the end takes in the biases."""
-        out = np.ones((len(context), self.shape.dims + 1), dtype=np.float32)
-        out[:, :-1] = sum(self.inputs[context[:, i], :-1] * self.weights[i] for i in range(context.shape[1]))
-        return out
+    def predicted(self, context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Predicted vectors, a one at their end to take in the biases, and the context's vectors by position."""
+        parts = [np.take(self.inputs, context[:, i], axis=0) for i in range(context.shape[1])]
+        out = parts[0] * self.weights[0]
+        for part, weight in zip(parts[1:], self.weights[1:]):
+            out += part * weight
+        out[:, -1] = 1.0
+        return out, parts
 
     def log10(self, context: np.ndarray, target: np.ndarray, batch: int = 4096) -> np.ndarray:
         """Normalised log probabilities of the target items."""
@@ -135,7 +141,7 @@ class Model:
         kind = shape.class_of(target)
         # tokens of one class beside each other
         order = np.argsort(kind, kind="stable")
-        predicted = self.predicted(context[order])
+        predicted, _ = self.predicted(context[order])
         kind, wanted = kind[order], target[order]
         for at in range(0, len(target), batch):
             own = slice(at, at + batch)
@@ -194,40 +200,45 @@ class Trainer:
         g_bad = _sigmoid(q @ unwanted.T - log_noise[noise])
         d_q += g_good[:, None] * wanted + g_bad @ unwanted
         out = _summed(own, g_good[:, None] * q, len(outcomes))
-        np.add.at(out, noise, g_bad.T @ q)
+        d = out.shape[1]
+        np.add.at(out.reshape(-1), (noise[:, None] * d + np.arange(d)).ravel(), (g_bad.T @ q).ravel().astype(np.float64))
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         model, shape, n = self.model, self.model.shape, len(target)
-        q, d_q = model.predicted(context), np.zeros((n, shape.dims + 1), dtype=np.float32)
+        kind = shape.class_of(target)
+        # tokens of one class beside each other
+        order = np.argsort(kind.astype(np.uint16), kind="stable") if shape.classes < 1 << 16 else np.argsort(kind, kind="stable")
+        context, target, kind = context[order], target[order], kind[order]
+        (q, parts), d_q = model.predicted(context), np.zeros((n, shape.dims + 1), dtype=np.float32)
         gradient = np.zeros_like(model.rows)
         grown = Model(shape, gradient)
-        kind = shape.class_of(target)
         grown.tops[:] = self.contrast(q, model.tops, kind, self.cumulated, self.log_noise, self.settings.noise, d_q)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(shape.groups + 1))
+        cuts = np.searchsorted(kind, np.arange(shape.groups + 1))
         for group in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            rows, members = order[cuts[group] : cuts[group + 1]], shape.members(group)
-            d_own = np.zeros((len(rows), shape.dims + 1), dtype=np.float32)
-            grown.words[members] = self.contrast(q[rows], model.words[members], target[rows] - members.start, *self.within[group], self.settings.noise_within, d_own)
-            d_q[rows] += d_own
-        d_q = d_q[:, :-1]
-        for i in range(shape.context):
-            grown.inputs[:, :-1] += _summed(context[:, i], d_q * model.weights[i], shape.items)
-            grown.weights[i] = (d_q * model.inputs[context[:, i], :-1]).sum(axis=0)
+            own, members = slice(cuts[group], cuts[group + 1]), shape.members(group)
+            grown.words[members] = self.contrast(q[own], model.words[members], target[own] - members.start, *self.within[group], self.settings.noise_within, d_q[own])
+        d_q[:, -1] = 0.0
+        for i, part in enumerate(parts):
+            grown.inputs[:] += _summed(context[:, i], d_q * model.weights[i], shape.items)
+            grown.weights[i] = np.einsum("ij,ij->j", d_q, part)
         met = np.bincount(context.ravel(), minlength=shape.items)
         self.times[: shape.items] += met
         self.times[shape.items :][: shape.classes] += np.bincount(kind, minlength=shape.classes)
         self.times[shape.items + shape.classes :][: shape.words] += np.bincount(target[target < shape.words], minlength=shape.words)
         self.times[len(self.times) - shape.context :] += n
-        gradient /= n
-        self.squares += gradient * gradient
-        model.rows -= self.settings.rate * gradient / np.sqrt(self.squares)
+        gradient *= np.float32(1 / n)
+        squared = gradient * gradient
+        self.squares += squared
+        np.sqrt(self.squares, out=squared)
+        gradient *= np.float32(self.settings.rate)
+        gradient /= squared
+        model.rows -= gradient
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        order = self.draw.permutation(len(target))
-        for at in range(0, len(order), self.settings.batch):
-            own = order[at : at + self.settings.batch]
+        size = max(1, min(self.settings.batch, max(self.settings.small, len(target) // self.settings.steps)))
+        for at in range(0, len(target), size):
+            own = slice(at, at + size)
             self.step(context[own], target[own])
 
 

@@ -346,7 +346,7 @@ def test_language_model_scores_word_by_word(spark, documents):
 
     def chances(before):
         context = [*([shape.items - 1] * 3), *before][-3:][::-1]
-        q = np.append(sum(model.inputs[c, :-1].astype(float) * model.weights[i] for i, c in enumerate(context)), 1.0)
+        q = np.append(sum(model.inputs[c, :-1].astype(float) * model.weights[i, :-1] for i, c in enumerate(context)), 1.0)
         top = soft(model.tops.astype(float) @ q)
         out = {}
         for i in range(shape.words):
