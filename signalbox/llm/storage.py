@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql.window import Window
 from signalbox.session import ensure_checkpoint_dir
 
 SAMPLE = 20_000
+EVERY = 3.0
+"""Seconds between two collections of garbage."""
+_collected = 0.0
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,10 +32,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     in one folder per application; ``release`` removes it.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    collect_garbage(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, which a driver that holds little may not do for
+    long; loops of small jobs would keep the files of all rounds.
+    """
+    global _collected
+    if time.monotonic() - _collected > EVERY:
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def release(spark: SparkSession) -> None:
     """Remove everything that ``stored`` and the file writers left for this application."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
