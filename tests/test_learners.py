@@ -289,3 +289,25 @@ def test_trees_grown_together_are_those_grown_alone(spark, parts, monkeypatch):
     # shares of rows and columns still find the signal, on all rows
     some = boosting.fit_together(df, 1, boosting.Boosting(40, 3, 0.2, row_share=0.7, column_share=0.6))[0]
     assert np.mean((some.predict(x) - y[:, 0]) ** 2) < 0.05 * y[:, 0].var()
+
+
+def test_validation_board_ranks_blocks_below_the_oracle(spark):
+    """Two seeds of a planted table: every block and average once a seed, none above the oracle, text above the constant."""
+    from signalbox.plans import learned
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(90):
+        best = i % 3
+        words = [f"key{best}x{j}" for j in range(4)] + [f"noise{rng.integers(30)}" for _ in range(3)]
+        cells = [(m, 0.9 if j == best else 0.2 + 0.1 * float(rng.uniform())) for j, m in enumerate(learned.MODELS)]
+        rows.append((i, " ".join(words), cells))
+    panel = spark.createDataFrame(rows, "id long, query string, cells array<struct<model: string, reward: double>>")
+    board = learned.validation_board(panel, (1, 2), ["word12"], ks=(5,), clusters=3).collect()
+    by = {(r.seed, r.method): (r.reward, r.n_blocks) for r in board}
+    methods = {"oracle", "word12_knn5", "word12_ridge", "word12_cluster3", "cv_top3_avg"}
+    assert len(board) == len(by) == 10 and {m for _, m in by} == methods
+    for seed in (1, 2):
+        oracle = by[seed, "oracle"][0]
+        assert oracle == pytest.approx(0.9) and all(by[seed, m][0] <= oracle + 1e-9 for m in methods)
+        assert by[seed, "word12_ridge"][0] > 0.8 and by[seed, "cv_top3_avg"] == (pytest.approx(by[seed, "cv_top3_avg"][0]), 3)
