@@ -412,7 +412,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, settings: Settings) -> Model
 
         sent = rows.select("text").mapInArrow(lean(run), schema).repartition(partitions(rows.sparkSession), "block")
         out = start.rows.copy()
-        for block, times, total in zip(*(sent.mapInArrow(add, schema).toArrow().column(i) for i in range(3))):
+        table = sent.mapInArrow(add, schema).toArrow()
+        for block, times, total in zip(*(table.column(i) for i in range(3))):
             here = out[block.as_py() * ROWS :][:ROWS]
             times, total = times.values.to_numpy(), total.values.to_numpy().reshape(-1, out.shape[1])
             # a vector that no partition met stays
