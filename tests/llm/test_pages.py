@@ -108,93 +108,6 @@ def test_names_of_places_set_short_parts_apart(name):
     assert kept(f'<div><p>a text that is long enough</p></div><div class="{name}">menu <p>and more</p></div><p>the end</p>') == "a text that is long enough\nthe end"
 
 
-def kept(page):
-    lines, kinds = html_text.page_lines(page)
-    return html_text.main_text(lines, np.array(kinds, dtype=np.uint8), np.zeros(len(lines), dtype=bool))
-
-
-@pytest.mark.parametrize("page", [
-    '<div class="layout has-sidebar"><p>the whole text</p></div>', '<article class="post comments-open"><p>the whole text</p></article>',
-    '<div class="page-with-banner"><article><p>the whole text</p></article></div>', '<p id="related-work">the whole text</p>',
-    '<article><div class="entry-header"><h1>the whole text</h1></div></article>', '<div class="share"><main>the whole text</main></div>',
-    '<div class="widget">the whole text</div><div>or</div>'[:45], '<body class="has-ads no-sidebar"><p>the whole text</p></body>',
-])
-def test_names_of_layouts_take_no_text_away(page):
-    assert kept(page) == "the whole text"
-
-
-@pytest.mark.parametrize("inside", [
-    "<button>Share this</button>", '<a class="advert">Buy now</a>', '<span class="share">Share</span>', "<svg><text>k</text></svg>", "<select><option>x</option></select>",
-    '<span class="social-share">a <b>b</b></span>',
-])
-def test_inline_parts_that_are_apart_leave_the_block_whole(inside):
-    assert kept(f"<article><p>one {inside} two</p><p>three</p>{inside}</article>") == "one two\nthree"
-    assert kept(f"<article><div>{inside}</div><p>three and more</p></article>") == "three and more"
-
-
-@pytest.mark.parametrize("name", ["sidebar", "site-footer", "ad-slot-2", "cookie_banner", "post-comments", "related", "left sidebar", "newsletter-form"])
-def test_names_of_places_set_short_parts_apart(name):
-    assert kept(f'<div><p>a text that is long enough</p></div><div class="{name}">menu <p>and more</p></div><p>the end</p>') == "a text that is long enough\nthe end"
-
-
-def kept(page):
-    lines, kinds = html_text.page_lines(page)
-    return html_text.main_text(lines, np.array(kinds, dtype=np.uint8), np.zeros(len(lines), dtype=bool))
-
-
-@pytest.mark.parametrize("page", [
-    '<div class="layout has-sidebar"><p>the whole text</p></div>', '<article class="post comments-open"><p>the whole text</p></article>',
-    '<div class="page-with-banner"><article><p>the whole text</p></article></div>', '<p id="related-work">the whole text</p>',
-    '<article><div class="entry-header"><h1>the whole text</h1></div></article>', '<div class="share"><main>the whole text</main></div>',
-    '<div class="widget">the whole text</div><div>or</div>'[:45], '<body class="has-ads no-sidebar"><p>the whole text</p></body>',
-])
-def test_names_of_layouts_take_no_text_away(page):
-    assert kept(page) == "the whole text"
-
-
-@pytest.mark.parametrize("inside", [
-    "<button>Share this</button>", '<a class="advert">Buy now</a>', '<span class="share">Share</span>', "<svg><text>k</text></svg>", "<select><option>x</option></select>",
-    '<span class="social-share">a <b>b</b></span>',
-])
-def test_inline_parts_that_are_apart_leave_the_block_whole(inside):
-    assert kept(f"<article><p>one {inside} two</p><p>three</p>{inside}</article>") == "one two\nthree"
-    assert kept(f"<article><div>{inside}</div><p>three and more</p></article>") == "three and more"
-
-
-@pytest.mark.parametrize("name", ["sidebar", "site-footer", "ad-slot-2", "cookie_banner", "post-comments", "related", "left sidebar", "newsletter-form"])
-def test_names_of_places_set_short_parts_apart(name):
-    assert kept(f'<div><p>a text that is long enough</p></div><div class="{name}">menu <p>and more</p></div><p>the end</p>') == "a text that is long enough\nthe end"
-
-
-def kept(page):
-    lines, kinds = html_text.page_lines(page)
-    return html_text.main_text(lines, np.array(kinds, dtype=np.uint8), np.zeros(len(lines), dtype=bool))
-
-
-@pytest.mark.parametrize("page", [
-    '<div class="layout has-sidebar"><p>the whole text</p></div>', '<article class="post comments-open"><p>the whole text</p></article>',
-    '<div class="page-with-banner"><article><p>the whole text</p></article></div>', '<p id="related-work">the whole text</p>',
-    '<article><div class="entry-header"><h1>the whole text</h1></div></article>', '<div class="share"><main>the whole text</main></div>',
-    '<div class="widget">the whole text</div><div>or</div>'[:45], '<body class="has-ads no-sidebar"><p>the whole text</p></body>',
-])
-def test_names_of_layouts_take_no_text_away(page):
-    assert kept(page) == "the whole text"
-
-
-@pytest.mark.parametrize("inside", [
-    "<button>Share this</button>", '<a class="advert">Buy now</a>', '<span class="share">Share</span>', "<svg><text>k</text></svg>", "<select><option>x</option></select>",
-    '<span class="social-share">a <b>b</b></span>',
-])
-def test_inline_parts_that_are_apart_leave_the_block_whole(inside):
-    assert kept(f"<article><p>one {inside} two</p><p>three</p>{inside}</article>") == "one two\nthree"
-    assert kept(f"<article><div>{inside}</div><p>three and more</p></article>") == "three and more"
-
-
-@pytest.mark.parametrize("name", ["sidebar", "site-footer", "ad-slot-2", "cookie_banner", "post-comments", "related", "left sidebar", "newsletter-form"])
-def test_names_of_places_set_short_parts_apart(name):
-    assert kept(f'<div><p>a text that is long enough</p></div><div class="{name}">menu <p>and more</p></div><p>the end</p>') == "a text that is long enough\nthe end"
-
-
 def test_text_beside_article_elements_stays(spark):
     page = "<div>{0} long text in a div</div><article><p>Teaser {0}</p></article><article class='comment'><p>Reader {0}</p></article>"
     got = texts(spark, [(i, f"http://c.example/{i}", page.format(i)) for i in range(3)])
