@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import time
-import uuid
-
 import numpy as np
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from signalbox.session import ensure_checkpoint_dir
+from signalbox.session import collect_garbage, drop_folder, ensure_checkpoint_dir, filesystem, shared_folder
 
 SAMPLE = 20_000
-EVERY = 3.0
-"""Seconds between two collections of garbage."""
-_collected = 0.0
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the checkpoint folder that all executors share."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,31 +24,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of tables that nothing refers to any more.
-
-    It does so when the driver's JVM collects garbage, which a driver that holds little may not do for
-    long; loops of small jobs would keep the files of all rounds.
-    """
-    global _collected
-    if time.monotonic() - _collected > EVERY:
-        spark._jvm.System.gc()
-        _collected = time.monotonic()
-
-
 def release(spark: SparkSession) -> None:
     """Remove everything that ``stored`` and the file writers left for this application."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder URI and the path in it, for use inside a task."""
-    scheme, sep, rest = uri.partition(":")
-    if sep and scheme == "file":
-        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    drop_folder(spark, f"{base}/{spark.sparkContext.applicationId}")
 
 
 def partitions(spark: SparkSession) -> int:

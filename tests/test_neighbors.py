@@ -125,3 +125,13 @@ def test_bounds_of_empty_and_unlike_tables(spark):
     other = spark.createDataFrame([(7, [1], [1.0]), (8, [], [])], df.schema)
     assert NB.nearest_by_bounds(df, other, 3).count() == 0 == NB.nearest_by_bounds(df.where("false"), df, 3).count() == NB.nearest_by_bounds(df, df.where("false"), 3).count()
     assert [(r.id, r.neighbor_id, r.similarity) for r in NB.nearest_by_bounds(df, df, 3).collect()] == [(1, 1, 1.0)]
+
+
+def test_training_rows_are_stored_once(spark, tmp_path, monkeypatch):
+    """One copy of the training rows in files, however many groups the queries form, and none when the search is over."""
+    df = spark.createDataFrame([(i, [i % 7, 7 + i % 3], [0.6, 0.8]) for i in range(200)], "id long, idx array<int>, w array<double>")
+    blocks = NB._stored_blocks(df.withColumn("_t", F.expr("cast(id % 5 as int)")), str(tmp_path))
+    assert sorted(i for name, _, _ in blocks for i in NB._read(str(tmp_path), name).column("id").to_pylist()) == list(range(200))
+    monkeypatch.setattr(NB, "shared_folder", lambda spark, name: str(tmp_path / name))
+    assert NB.nearest_by_bounds(df, df, 3, query_rows=1).count() == 600
+    assert not (tmp_path / "blocks").exists()
