@@ -311,3 +311,21 @@ def test_validation_board_ranks_blocks_below_the_oracle(spark):
         oracle = by[seed, "oracle"][0]
         assert oracle == pytest.approx(0.9) and all(by[seed, m][0] <= oracle + 1e-9 for m in methods)
         assert by[seed, "word12_ridge"][0] > 0.8 and by[seed, "cv_top3_avg"] == (pytest.approx(by[seed, "cv_top3_avg"][0]), 3)
+
+
+def test_only_splits_of_boosted_trees_come_to_the_driver(spark, monkeypatch):
+    """What a level sends does not hold the bins' sums, however few the rows are."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist(), rng.normal(size=2).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, targets array<double>").repartition(3)
+    sent, collect = [], type(df).collect
+
+    def counted(self):
+        out = collect(self)
+        sent.extend(len(v) for r in out for v in r if hasattr(v, "__len__"))
+        return out
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    boosting.fit_together(df, 2, boosting.Boosting(2, 3))
+    # a row of bounds of bins is the longest
+    assert sent and max(sent) < boosting.BINS
