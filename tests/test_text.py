@@ -158,3 +158,20 @@ def test_accents_above_the_basic_plane_are_folded(spark):
 
     df = spark.createDataFrame([("\U0001D400\U0001D401 \u00e9",)], "t string")
     assert df.select(fold(F.col("t")).alias("x")).first().x == "AB e"
+
+
+def test_terms_are_counted_in_bounded_stretches(spark, monkeypatch):
+    """A batch is counted and weighed in stretches of its rows; the figures are those of the whole."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (i + 1)}" for j in range(3 * i))) for i in range(30)], "id long, query string")
+    spec = TF.TfidfSpec("word", 1, 2, 50)
+    counts = lambda: sorted(map(tuple, TF.term_statistics(docs, spec).collect()))
+    whole, model = counts(), TF.fit(docs, spec)
+    weights = sorted((r.id, r.idx, r.w) for r in TF.transform(docs, model).collect())
+    batch = TF.with_terms(docs, spec).select("_terms").toArrow().to_batches()[0]
+    monkeypatch.setattr(TF, "SLICE", 40)
+    parts = list(TF._slices(batch))
+    assert sum(p.num_rows for p in parts) == batch.num_rows
+    assert all(p.num_rows == 1 or len(p.column("_terms").flatten()) <= 40 for p in parts)
+    assert len(list(TF._partial_counts(iter([batch])))) > 1
+    assert counts() == whole
+    assert sorted((r.id, r.idx, r.w) for r in TF.transform(docs, model).collect()) == weights
