@@ -329,3 +329,23 @@ def test_only_splits_of_boosted_trees_come_to_the_driver(spark, monkeypatch):
     boosting.fit_together(df, 2, boosting.Boosting(2, 3))
     # a row of bounds of bins is the longest
     assert sent and max(sent) < boosting.BINS
+
+
+def test_outputs_fitted_in_groups_are_those_fitted_together(spark, monkeypatch):
+    """The driver's matrices have as many columns as a group; weights stay the same."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 4))
+    y = (x @ rng.normal(size=(4, 5)) + rng.normal(size=(80, 5)) > 0).astype(float)
+    df = spark.createDataFrame([([0, 1, 2, 3], a.tolist(), b.tolist()) for a, b in zip(x, y)], "idx array<int>, w array<double>, y array<double>")
+
+    def examples(batch, first, last):
+        got = linear.matrix(batch.column("y").slice(first, last - first), 5)
+        return got, np.ones_like(got)
+
+    whole = linear.logistic(df, 4, 5, np.ones(5), examples)
+    widths, descend = [], linear.descend
+    monkeypatch.setattr(linear, "GROUP", 64)
+    monkeypatch.setattr(linear, "descend", lambda rows, size, outputs, *rest: widths.append(outputs) or descend(rows, size, outputs, *rest))
+    parts = linear.logistic(df, 4, 5, np.ones(5), examples)
+    assert widths == [2, 2, 1]
+    assert np.allclose(whole[0], parts[0], atol=1e-4) and np.allclose(whole[1], parts[1], atol=1e-4)
