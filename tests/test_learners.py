@@ -344,6 +344,7 @@ def test_outputs_fitted_in_groups_are_those_fitted_together(spark, monkeypatch):
 
     whole = linear.logistic(df, 4, 5, np.ones(5), examples)
     widths, descend = [], linear.descend
+    monkeypatch.setattr(linear, "TOGETHER", 0)
     monkeypatch.setattr(linear, "GROUP", 64)
     monkeypatch.setattr(linear, "descend", lambda rows, size, outputs, *rest: widths.append(outputs) or descend(rows, size, outputs, *rest))
     parts = linear.logistic(df, 4, 5, np.ones(5), examples)
