@@ -11,7 +11,7 @@ Sets that show a common piece are candidates.  Their parity sketches (bit i is t
 hashes that fall on it) differ in no more bits than the sets differ in hashes, which rules most
 pairs out; the rest is verified on the texts.  First all sets of a piece meet its first one.  Those
 that are then outside its component meet the others in blocks by their sketches: first the
-nearest ones of each component are verified, then, if any were left, all in other components.
+nearest one of each set and piece is verified, then, if any were left, all in other components.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ HOT = 200_000
 BLOCK = 2048
 PAIRS = 1 << 17
 """Pairs whose sketches are compared at a time."""
-NEAREST = 3
-"""Candidates in one component that a set of a block is verified with before it is with all."""
+NEAREST = 1
+"""Candidates in other components that a set is verified with in a block before it is with all."""
 LABELS = 1_000_000
 """Nodes up to which the table of components is broadcast."""
 BLOOM = 1 << 24
@@ -376,8 +376,8 @@ def in_blocks(left: DataFrame, sets_: DataFrame, percent: int, nearest: int | No
     """(a, b, more): pairs of an open node and another one of its piece, in different components, that sketches allow.
 
     A piece's nodes are dealt to blocks of about ``BLOCK``, and every open node visits all of them; a
-    task holds one block and the visitors that a batch brings.  With ``nearest`` a node keeps that many candidates of a
-    component in a block, and ``more`` marks the pairs of nodes that had others.
+    task holds one block and the visitors that a batch brings.  With ``nearest`` a node keeps that many candidates
+    in a block, so that pairs are as many as visits, and ``more`` marks the pairs of nodes that had others.
     """
     known = sets_.select("node", "n", "sketch")
     rows = left.join(known, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
@@ -388,9 +388,9 @@ def in_blocks(left: DataFrame, sets_: DataFrame, percent: int, nearest: int | No
         for i, j, far in probes.near(members, percent):
             more = np.zeros(len(i), dtype=bool)
             if nearest is not None and len(i):
-                order = np.lexsort((far, members.label[j], i))
+                order = np.lexsort((members.node[j], far, i))
                 i, j = i[order], j[order]
-                first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (members.label[j[1:]] != members.label[j[:-1]])]))
+                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
                 size = np.diff(np.concatenate([first, [len(i)]]))
                 keep = np.arange(len(i)) - np.repeat(first, size) < nearest
                 more = np.repeat(size > nearest, size)[keep]

@@ -105,6 +105,19 @@ def test_leftovers_of_a_passage_meet_by_sketches_of_their_size(spark, sample, bl
     assert sorted(map(tuple, got)) == classes(rows)
 
 
+def test_first_pairs_of_a_piece_are_as_many_as_its_open_sets(spark):
+    """Sets of one piece, each a component of its own and near all others."""
+    n = 60
+    shared = np.sort(np.random.default_rng(5).integers(0, 2**63, 100, dtype=np.uint64))
+    near = [np.unique(np.append(shared, np.uint64(i))) for i in range(n)]
+    rows = [(i, len(s), bytearray(ngram_join.sketch(s))) for i, s in enumerate(near)]
+    sets_ = spark.createDataFrame(rows, "node long, n long, sketch binary")
+    left = spark.createDataFrame([(7, i, i, True, 0, n) for i in range(n)], "key long, node long, label long, open boolean, prior long, members long")
+    found = ngram_join.in_blocks(left, sets_, 75, ngram_join.NEAREST).collect()
+    assert 0 < len(found) <= n and all(r.more for r in found)
+    assert ngram_join.in_blocks(left, sets_, 75, None).count() == n * (n - 1) // 2
+
+
 def test_one_of_each_class_keeps_columns_and_one_of_equal_rows(edge_docs):
     kept = ngram_join.one_of_each_class(edge_docs)
     assert kept.columns == edge_docs.columns
