@@ -175,3 +175,20 @@ def test_terms_are_counted_in_bounded_stretches(spark, monkeypatch):
     assert len(list(TF._partial_counts(iter([batch])))) > 1
     assert counts() == whole
     assert sorted((r.id, r.idx, r.w) for r in TF.transform(docs, model).collect()) == weights
+
+
+@pytest.mark.parametrize("slice_", [500_000, 40])
+def test_term_statistics_count_units_without_making_all_terms(spark, monkeypatch, slice_):
+    """All analyzers against the terms themselves, on texts with blanks, marks, zeros, wide alphabets and nulls."""
+    monkeypatch.setattr(TF, "SLICE", slice_)
+    wide = "".join(chr(0x4E00 + 37 * i % 20_000) for i in range(6000))
+    texts = ["", None, " ", "a", "Ab  cd\t\n e ab", "x\x00y\x00\x00 z", "𝒳𝒴 😀😀 b", "éÀ\u0301x ﬁ", "aaa aaaa", wide, " one two two  three "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, query string")
+    for analyzer, low, high in (("word", 1, 2), ("word", 2, 3), ("char", 3, 5), ("char", 1, 2), ("char_wb", 3, 5)):
+        spec = TF.TfidfSpec(analyzer, low, high)
+        rows = TF.with_terms(docs, spec).select("id", F.explode("_terms").alias("term"))
+        want = rows.groupBy("term").agg(F.count(F.lit(1)), F.countDistinct("id")).collect()
+        found = TF.term_statistics(docs, spec)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want))
+        # n-grams are neither cut out nor joined by column functions
+        assert "?=" not in found._jdf.queryExecution().toString() and "zip_with" not in found._jdf.queryExecution().toString()
