@@ -248,6 +248,30 @@ def test_boosted_trees_match_a_plain_search():
     assert ((odds > 0) == (labels > 0)).mean() > 0.95
 
 
+def test_boosted_outputs_are_fitted_one_a_task(spark):
+    """More outputs than shuffle partitions: each has its own partition, with the sample and its own targets."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0], [float(10 * i + j) for j in range(11)]) for i in range(30)], "id long, vec array<float>, targets array<double>")
+    dealt = boosting.dealt_sample(rows, 11, 20)
+    parts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.collect_set("output").alias("outputs"), F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(p.outputs[0] for p in parts) == list(range(11)) and all(len(p.outputs) == 1 and p.n == 20 for p in parts)
+    assert dealt.where(F.col("target") != 10 * F.col("vec")[0] + F.col("output")).count() == 0
+    # grouping keeps these partitions
+    kept = dealt.groupBy("output").applyInArrow(lambda t: t.slice(0, 1).select(["output"]), "output int")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    assert "ENSURE_REQUIREMENTS" not in kept._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[1].split("REPARTITION_BY_NUM")[0]
+
+
+def test_boosted_leaves_hold_the_rows_asked_for():
+    """Histograms by column and the count of rows give the trees of a plain search over all cuts."""
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 9, (120, 4)).astype(float), rng.normal(size=120)
+    for least in (1, 15):
+        forest = boosting.fit_boosted(x, y, boosting.Boosting(1, 1, 1.0, 1.0, 1.0, min_rows=least), 0)
+        loss = lambda j, t: sum(((y[m] - y[m].mean()) ** 2).sum() for m in (x[:, j] <= t, x[:, j] > t))
+        cuts = [(j, t) for j in range(4) for t in np.unique(x[:, j]) if least <= (x[:, j] <= t).sum() <= 120 - least]
+        assert np.isclose(((forest.predict(x) - y) ** 2).sum(), min(loss(j, t) for j, t in cuts))
+
+
 def test_softmax_on_soft_targets_is_optimal(spark):
     """The gradient vanishes at the solution, a class without targets has no share, and hard labels are a special case."""
     rng = np.random.default_rng(6)
