@@ -248,6 +248,43 @@ def test_boosted_trees_match_a_plain_search():
     assert ((odds > 0) == (labels > 0)).mean() > 0.95
 
 
+def test_starved_centres_are_measured_once_an_epoch(spark, monkeypatch):
+    """Many centres that no row chooses: distances to all centres are taken once a start and epoch, not once a centre."""
+    rows = [([i % 4], [1.0 + 1e-3 * (i % 3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "idx array<int>, w array<double>").repartition(2).localCheckpoint()
+    calls, whole = [], clusters._distances
+    monkeypatch.setattr(clusters, "_distances", lambda *a: calls.append(1) or whole(*a))
+    epochs = []
+    scan = clusters._epoch
+    monkeypatch.setattr(clusters, "_epoch", lambda *a: epochs.append(1) or scan(*a))
+    # rows of twelve kinds for forty centres
+    centres, cost = clusters.fit_kmeans(df, 4, 40, starts=2, epochs=4)
+    assert len(calls) <= 2 * len(epochs) and cost < 1e-6 and centres.shape == (4, 40)
+
+
+def test_lazily_scaled_centres_are_the_running_means(spark):
+    """Sums, counts and costs of an epoch equal those of centres that are moved in place, one of them without weight."""
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((500, 30)) < 0.3, rng.random((500, 30)), 0.0)
+    df = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in x], "idx array<int>, w array<double>").coalesce(1)
+    centres, weight = x[:6].T.astype(np.float32), np.array([0.0, 0.01, 1.0, 5.0, 0.5, 2.0])
+    sums, counts, costs = clusters._epoch(df, centres, weight, 2, 3, 50)
+    own, mass, cost, chosen, total = centres.astype(np.float64), weight.copy(), np.zeros(2), np.zeros(6), np.zeros((30, 6))
+    for low in range(0, 500, 50):
+        part = x[low : low + 50]
+        far = ((part[:, :, None] - own) ** 2).sum(axis=1)
+        for s in range(2):
+            cost[s] += far[:, 3 * s : 3 * s + 3].min(axis=1).sum()
+            label = 3 * s + far[:, 3 * s : 3 * s + 3].argmin(axis=1)
+            for j in set(label):
+                mine = part[label == j]
+                mass[j] += len(mine)
+                chosen[j] += len(mine)
+                total[:, j] += mine.sum(axis=0)
+                own[:, j] += (mine.sum(axis=0) - len(mine) * own[:, j]) / mass[j]
+    assert np.array_equal(counts, chosen) and np.allclose(sums, total, atol=1e-4) and np.allclose(costs, cost, rtol=1e-5)
+
+
 def test_boosted_outputs_are_fitted_one_a_task(spark):
     """More outputs than shuffle partitions: each has its own partition, with the sample and its own targets."""
     rows = spark.createDataFrame([(i, [float(i), 1.0], [float(10 * i + j) for j in range(11)]) for i in range(30)], "id long, vec array<float>, targets array<double>")
