@@ -205,6 +205,34 @@ def test_embedding_spans_the_leading_directions(spark):
     assert np.allclose(K.embed(df, narrow).orderBy("id").first().vec, dense[0])
 
 
+@pytest.mark.parametrize("rank", [90, 12])
+def test_blocks_of_vectors_give_the_singular_vectors(spark, rank):
+    """Restarts and a rank below the number of vectors included; a scan serves a whole block."""
+    rng = np.random.default_rng(11)
+    # singular values fall slowly, so the small basis has to be restarted
+    left, right = np.linalg.qr(rng.normal(size=(150, rank)))[0], np.linalg.qr(rng.normal(size=(120, rank)))[0]
+    dense = (left * 0.96 ** np.arange(rank)) @ right.T
+    rows = spark.createDataFrame([(list(range(120)), r.tolist()) for r in dense], "idx array<int>, w array<double>").repartition(3).localCheckpoint()
+    scans, sums = [], K.linear._sums
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(K.linear, "_sums", lambda *a: scans.append(1) or sums(*a))
+        got = K.leading_vectors(rows, 120, 20, block=8, basis=0)
+    wanted = np.linalg.svd(dense)[2][: min(20, rank)]
+    assert got.shape == (120, min(20, rank)) and np.allclose(np.abs((got.T * wanted).sum(axis=1)), 1.0, atol=1e-9)
+    assert len(scans) <= 25
+
+
+def test_embedder_takes_blocks_when_rows_are_many(spark, monkeypatch):
+    """Beyond the bound the blocks give the vectors that MLlib gives below it."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.integers(40)}" for _ in range(9))) for i in range(70)], "id long, query string")
+    spec = TF.TfidfSpec("word", 1, 1)
+    below = K.fit_embedder(df, 6, spec).components
+    monkeypatch.setattr(K, "FEW", 10)
+    monkeypatch.setattr(K, "RowMatrix", None)
+    assert np.allclose(K.fit_embedder(df, 6, spec).components, below, atol=1e-7)
+
+
 def test_mixed_dense_and_sparse_vectors(spark):
     from pyspark.ml.linalg import Vectors
 
