@@ -380,6 +380,22 @@ def test_trees_grown_together_are_those_grown_alone(spark, parts, monkeypatch):
     assert np.mean((some.predict(x) - y[:, 0]) ** 2) < 0.05 * y[:, 0].var()
 
 
+@pytest.mark.parametrize("least", [1, 9])
+def test_boosted_classifiers_beyond_one_task_use_all_rows(spark, least):
+    """More rows than a task takes give the forests of one table that holds them all, not those of a part."""
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(260, 4)), 2)
+    y = np.stack([x[:, 0] + 0.5 * rng.normal(size=260) > 0.2, x[:, 1] * x[:, 2] > 0], axis=1).astype(float)
+    rows = [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, targets array<double>").repartition(3)
+    spec = boosting.Boosting(12, 3, 0.3, row_share=1.0, column_share=1.0, logistic=True, min_rows=least)
+    cuts = boosting.quantile_cuts(df, 4)
+    scored = {r.id: r.scores for r in boosting.boosted_outputs(df, df.select("id", "vec"), 2, spec, in_task=100).collect()}
+    for j in range(2):
+        alone = boosting.fit_boosted(x, y[:, j], spec, 42 + j, cuts)
+        assert np.allclose([scored[i][j] for i in range(260)], alone.predict(x), atol=1e-8)
+
+
 def test_validation_board_ranks_blocks_below_the_oracle(spark):
     """Two seeds of a planted table: every block and average once a seed, none above the oracle, text above the constant."""
     from signalbox.plans import learned
