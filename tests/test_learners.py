@@ -396,6 +396,22 @@ def test_boosted_classifiers_beyond_one_task_use_all_rows(spark, least):
         assert np.allclose([scored[i][j] for i in range(260)], alone.predict(x), atol=1e-8)
 
 
+def test_forest_thresholds_come_from_all_rows(spark, monkeypatch):
+    """Beyond the rows that MLlib looks at for thresholds, it gets no more kinds of values than bins of all rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 2))
+    rows = [(i, ("Model_A", "Model_B")[int(v[0] > 0)], v.tolist()) for i, v in enumerate(x)]
+    df = G.dense_features(spark.createDataFrame(rows, "id long, label string, vec array<double>").repartition(3), ("id", "label"))
+    monkeypatch.setattr(G, "FOREST_ROWS", 50)
+    seen, fit = [], G.RandomForestClassifier.fit
+    monkeypatch.setattr(G.RandomForestClassifier, "fit", lambda self, data: seen.append(data.collect()) or fit(self, data))
+    scored = G.classifier_ensemble_scores(df, df.select("id", "features"), ["Model_A", "Model_B"], trees=3, depth=2, forest=5, forest_depth=4)
+    best = {r.id: max(r.cells, key=lambda c: c.score).model for r in scored.collect()}
+    assert np.mean([best[i] == label for i, label, _ in rows]) > 0.95
+    kinds = np.array([r.features.toArray() for r in seen[0]])
+    assert len(kinds) == 120 and all(16 < len(np.unique(kinds[:, j])) <= G.FOREST_BINS for j in range(2))
+
+
 def test_validation_board_ranks_blocks_below_the_oracle(spark):
     """Two seeds of a planted table: every block and average once a seed, none above the oracle, text above the constant."""
     from signalbox.plans import learned
