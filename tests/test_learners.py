@@ -412,6 +412,59 @@ def test_forest_thresholds_come_from_all_rows(spark, monkeypatch):
     assert len(kinds) == 120 and all(16 < len(np.unique(kinds[:, j])) <= G.FOREST_BINS for j in range(2))
 
 
+def test_scans_read_stored_blocks(spark, monkeypatch):
+    """The rows are taken once for all scans of a fit, whose sums are those of the whole matrix; no file is left."""
+    import os
+
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((90, 12)) < 0.4, rng.random((90, 12)), 0.0)
+    x[7] = 0.0
+    taken = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            taken.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist(), int(i % 3)) for i, r in enumerate(x)], "idx array<int>, w array<double>, y int")
+    rows = rows.repartition(4).mapInArrow(counted, rows.schema)
+    weights, bias, z = rng.normal(size=(12, 3)), rng.normal(size=3), None
+    with linear.blocks(rows) as stored:
+        kept = stored.folder.partition(":")[2] if ":" in stored.folder else stored.folder
+        assert stored.rows == 90 and [len(t) for t in stored.tasks] == [1] * 4
+        files = set(os.listdir(kept))
+        for most in (0, linear.DIRECT):
+            monkeypatch.setattr(linear, "DIRECT", most)
+            top, bottom, loss = linear._sums(stored, weights, bias, lambda z, batch, first, last: (z, z * z))
+            z = x @ weights + bias
+            assert np.allclose(top, x.T @ z) and np.allclose(bottom, z.sum(axis=0)) and np.allclose(loss, (z * z).sum(axis=0))
+        assert np.allclose(linear._squares(stored, 12), [*(x * x).sum(axis=0), 90])
+        assert set(os.listdir(kept)) == files
+    assert taken.value == 90 and not os.path.exists(kept)
+
+
+def test_steps_scaled_by_curves_reach_the_same_heads(spark, monkeypatch):
+    """On many rows scaled steps end at the optimum of plain ones, also with an output that no target names."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(80, 5)) * [1.0, 8.0, 0.1, 1.0, 3.0]
+    df = spark.createDataFrame([(list(range(5)), r.tolist(), int(r[0] + r[2] > 0)) for r in x], "idx array<int>, w array<double>, y int").repartition(2)
+
+    def examples(batch, first, last):
+        y = batch.column("y").slice(first, last - first).to_numpy()
+        return (y[:, None] == np.arange(3)).astype(float), np.ones(len(y))
+
+    def both(batch, first, last):
+        y, weight = examples(batch, first, last)
+        return y, np.ones_like(y)
+
+    found = []
+    for few in (linear.FEW, 10):
+        monkeypatch.setattr(linear, "FEW", few)
+        found.append((*linear.softmax(df, 5, 3, 0.5, examples, tol=1e-9), *linear.logistic(df, 5, 2, np.ones(2), lambda *a: tuple(v[:, :2] for v in both(*a)), tol=1e-9, scaled=True)))
+    for one, other in zip(*found):
+        assert np.allclose(one, other, atol=1e-5)
+
+
 def test_validation_board_ranks_blocks_below_the_oracle(spark):
     """Two seeds of a planted table: every block and average once a seed, none above the oracle, text above the constant."""
     from signalbox.plans import learned
